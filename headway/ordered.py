@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 GROUP_LIMIT = "spark.headway.maxGroupRows"
 DEFAULT_GROUP_LIMIT = 4_000_000
 RUN = "_run"
+HOT = "_hot"
 _ALL = "_all"
 _CUTS = 32
 
@@ -223,9 +224,11 @@ def split_hot(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
         .join(F.broadcast(hot), _match(keys, "_h"))
         .groupBy(*names, "_n")
         .agg(F.percentile_approx("_t", F.array(*[F.lit(m) for m in marks]), 10000).alias("_cuts"))
-        .withColumn("_parts", F.ceil(F.col("_n") / (_CUTS * limit)))
+        .select(*names, "_cuts", F.ceil(F.col("_n") / (_CUTS * limit)).alias("_parts"), F.lit(True).alias(HOT))
     )
-    band = F.size(F.filter("_cuts", lambda c: c < t))
+    df = df.join(F.broadcast(cuts), _match(keys, "_h"), "left")
+    df = df.withColumn("_band", F.when(F.col("_cuts").isNotNull(), F.size(F.filter("_cuts", lambda c: c < t))))
+    band = F.col("_band")
     low = F.try_element_at("_cuts", band)
     high = F.try_element_at("_cuts", band + 1)
     share = F.try_divide(t - low, high - low)
@@ -236,13 +239,12 @@ def split_hot(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     run = (
         F.when(no_key, -1 - F.pmod(F.xxhash64(order), F.lit(4096)))
-        .when(F.col("_cuts").isNull(), F.lit(0))
+        .when(band.isNull(), F.lit(0))
         .when(t.isNull(), F.lit(1))
         .otherwise(1 + band * F.col("_parts") + inner)
         .cast("long")
     )
-    out = df.join(F.broadcast(cuts), _match(keys, "_h"), "left").withColumn(RUN, run)
-    return out.drop(*names, "_n", "_cuts", "_parts", _ALL)
+    return df.withColumn(RUN, run).drop(*names, "_cuts", "_parts", "_band", _ALL)
 
 
 def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], **calcs: Calc) -> DataFrame:
@@ -268,7 +270,7 @@ def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], **calcs: C
     stamp = F.struct(*order)
     names = [f"_k{i}" for i in range(len(keys))]
     runs = (
-        base.filter(F.col(RUN) > 0)
+        base.filter(HOT)
         .groupBy(*_renamed(keys, "_k"), F.col(RUN).alias("_krun"))
         .agg(*[calc.summary(stamp).alias(f"_s_{name}") for name, calc in calcs.items()])
     )
