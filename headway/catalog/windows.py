@@ -116,9 +116,10 @@ def _(spark, sf):
     pts = cells(spark, sf)
     tracks = o.with_group(
         pts.withColumn("part", F.expr("locationtime div 432000")), ["trip_id", "part"], track_t0=F.min("locationtime"))
-    return tr.recent_in_cell(
+    recent = tr.recent_in_cell(
         pts, tracks.select("xbin", "ybin", "event_id", "track_t0"), ["xbin", "ybin"], "locationtime", "event_id",
         "track_t0", ["event_id"], ["speed_m_s"], 4)
+    return tr.recent_rows(recent, ["event_id"])
 
 
 @query("ffill_cells", "event_id xbin ybin filled",

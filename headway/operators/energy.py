@@ -21,6 +21,7 @@ from headway.functions.geo import manhattan
 from headway.functions.scalar import clip, m_to_mi, param_of, ratio, relabel
 from headway.operators.aggregates import block_energy, exact_percentiles, regen
 from headway.operators.tracks import deadhead, downtime
+from headway.session import stage
 
 # Cabin air exchange through open doors.
 CABIN_TEMP_F = 65
@@ -172,7 +173,8 @@ def prepare_trips(trips: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The parts that no scenario changes: end over midnight, down time, way to the next trip."""
     df = trips.withColumn("t_min_of_day_end", unwrap_end("t_min_of_day", "t_min_of_day_end"))
     df = df.withColumn("t_min_trip", F.col("t_min_of_day_end") - F.col("t_min_of_day"))
-    return deadhead(downtime(df, keys), keys)
+    df = o.split_hot(df, keys, "t_min_of_day")
+    return o.drop_runs(deadhead(downtime(df, keys), keys), keys, "t_min_of_day")
 
 
 def fleet_energy(
@@ -185,13 +187,17 @@ def fleet_energy(
     ``aux_power_kw``, ``temperature_f`` and ``door_open_time_s``. Without
     ``block_depots`` blocks have no way from and to a depot.
     """
+    df = trip_costs(prepared, params, block_depots, depot_on)
+    return df.join(block_energy(df, keys), list(keys))
+
+
+def trip_costs(prepared: DataFrame, params: Mapping[str, object], block_depots: DataFrame | None, depot_on: Sequence[str]):
+    """Deadhead, door and depot energy of each trip row, without any grouping."""
     df = deadhead_energy(prepared, params["deadhead_consumption_kwh_mi"], params["aux_power_kw"])
     df = door_energy(df, params["temperature_f"], params["door_open_time_s"])
     if block_depots is None:
-        df = df.withColumns({"block_deadhead_kwh": F.lit(0.0), "block_deadhead_dist_m": F.lit(0.0)})
-    else:
-        df = depot_deadhead(df.join(block_depots, list(depot_on)), params["deadhead_consumption_kwh_mi"])
-    return df.join(block_energy(df, keys), list(keys))
+        return df.withColumns({"block_deadhead_kwh": F.lit(0.0), "block_deadhead_dist_m": F.lit(0.0)})
+    return depot_deadhead(df.join(block_depots, list(depot_on)), params["deadhead_consumption_kwh_mi"])
 
 
 def charging_needs(trips: DataFrame, keys: Sequence[str], plug_kw) -> DataFrame:
@@ -203,7 +209,12 @@ def charging_needs(trips: DataFrame, keys: Sequence[str], plug_kw) -> DataFrame:
         F.min_by("block_net_energy_kwh", at).alias("block_net_energy_kwh"),
         F.min_by("_plug", at).alias("plug_power_kw"),
     )
-    df = df.withColumns(
+    return charge_window(df)
+
+
+def charge_window(blocks: DataFrame) -> DataFrame:
+    """Charge time, window and least rate from a block's times, energy and plug."""
+    df = blocks.withColumns(
         {
             "charge_time_min": F.col("block_net_energy_kwh") / F.col("plug_power_kw") * 60,
             "t_charge_start_min": F.col("t_min_of_day_end"),
@@ -358,57 +369,66 @@ def cycle_variants(
     return list(seen.values())
 
 
-def scenario_metrics(
-    trips: DataFrame, charging: DataFrame, folded: DataFrame, keys: Sequence[str], battery_kwh: float = 466.0
-) -> DataFrame:
-    """The fleet numbers of each scenario, long form.
+def block_table(trips: DataFrame, keys: Sequence[str], plug_kw) -> DataFrame:
+    """Everything the charging and sensitivity steps need of a block, from one aggregate over trips."""
+    at = F.struct("t_min_of_day", "trip_id")
+    extra = {
+        "n_trips": F.count(F.lit(1)),
+        "sum_consumption": F.sum("consumption_kwh_mi"),
+        "t_min_of_day": F.min("t_min_of_day"),
+        "t_min_of_day_end": F.max_by("t_min_of_day_end", at),
+        "plug_power_kw": F.min_by("_plug", at),
+    }
+    return charge_window(block_energy(trips.withColumn("_plug", _col(plug_kw)), keys, extra=extra))
+
 
-    ``trips`` are the rows of :func:`fleet_energy`; the 15-minute power is the
-    peak of quarter-hour means, the 1-minute power the peak of minutes.
+def scenario_metrics(blocks: DataFrame, folded: DataFrame, keys: Sequence[str], battery_kwh: float = 466.0) -> DataFrame:
+    """The fleet numbers of each scenario, long form, from :func:`block_table` and the folded status.
+
+    The 15-minute power is the peak of quarter-hour means, the 1-minute power
+    the peak of minutes.
     """
     keys = list(keys)
-    block = [*keys, "block_id"]
-    at = F.struct("t_min_of_day", "trip_id")
-    blocks = trips.groupBy(*block).agg(
-        *[F.min_by(c, at).alias(c) for c in ("block_dist_mi", "block_net_energy_kwh", "block_consumption_kwh_mi")]
-    )
-    a = trips.groupBy(*keys).agg(
-        F.count(F.lit(1)).cast("double").alias("Number of Trips"),
-        F.avg("consumption_kwh_mi").alias("Avg. Trip Consumption (kWh/mi)"),
-    )
-    b = blocks.groupBy(*keys).agg(
+
+    def share(when: Column) -> Column:
+        return F.avg(F.when(when, 1.0).otherwise(0.0))
+
+    fleet = blocks.groupBy(*keys).agg(
+        F.sum("n_trips").cast("double").alias("Number of Trips"),
+        F.count(F.lit(1)).cast("double").alias("Number of Blocks"),
         F.avg("block_dist_mi").alias("Avg. Block Distance (mi)"),
+        F.avg("t_block_min").alias("Avg. Block Duration (min)"),
         F.avg("block_net_energy_kwh").alias("Avg. Block Energy (kWh)"),
         F.avg("block_consumption_kwh_mi").alias("Avg. Block Consumption (kWh/mi)"),
-    )
-    c = charging.groupBy(*keys).agg(
-        F.count(F.lit(1)).cast("double").alias("Number of Blocks"),
-        F.avg("t_block_min").alias("Avg. Block Duration (min)"),
-        F.avg(F.when(F.col("block_net_energy_kwh") < battery_kwh, 1.0).otherwise(0.0)).alias("Proportion Blocks Meeting Energy"),
-        F.avg(F.when(F.col("t_until_pullout_min") > F.col("charge_time_min"), 1.0).otherwise(0.0)).alias(
-            "Proportion Blocks Meeting Charging"
-        ),
+        (F.sum("sum_consumption") / F.sum("n_trips")).alias("Avg. Trip Consumption (kWh/mi)"),
+        share(F.col("block_net_energy_kwh") < battery_kwh).alias("Proportion Blocks Meeting Energy"),
+        share(F.col("t_until_pullout_min") > F.col("charge_time_min")).alias("Proportion Blocks Meeting Charging"),
         F.avg("charge_time_min").alias("Avg. Charge Time (min)"),
+        F.sum("block_net_energy_kwh").alias("_energy"),
     )
-    d = managed_rate(charging, folded, keys).select(*keys, F.col("min_charge_rate_managed").alias("Min Charge Rate (kW)"))
     quarter = folded.groupBy(*keys, F.floor(F.col("t_min_of_day") / 15).alias("_q")).agg(
-        F.avg("tot_power").alias("_p"), F.max("tot_power").alias("_m")
+        F.avg("tot_power").alias("_p"), F.max("tot_power").alias("_m"), F.sum("tot_veh_inactive").alias("_rest")
     )
-    e = quarter.groupBy(*keys).agg(
+    power = quarter.groupBy(*keys).agg(
         F.max("_m").alias("Peak 1min Power (kW)"),
         F.max("_p").alias("Peak 15min Power (kW)"),
         F.avg("_p").alias("Avg. 15min Power (kW)"),
+        (F.sum("_rest") / 60).alias("_hours"),
     )
-    energy = exact_percentiles(charging, keys, "block_net_energy_kwh", [0.1, 0.95], "e")
-    rate = exact_percentiles(charging, keys, "min_charge_rate", [0.1, 0.95], "r")
-    names = {
-        "e0": "Battery Capacity 10% (kWh)", "e1": "Battery Capacity 95% (kWh)",
-        "r0": "Charger Power 10% (kW)", "r1": "Charger Power 95% (kW)",
-    }
-    wide = a
-    for other in (b, c, d, e, energy, rate):
-        wide = wide.join(other, keys)
-    wide = wide.withColumnsRenamed(names)
+    needs = blocks.unpivot(keys, ["block_net_energy_kwh", "min_charge_rate"], "_of", "_v")
+    cuts = exact_percentiles(needs, [*keys, "_of"], "_v", [0.1, 0.95], "_p")
+
+    def cut(of: str, p: str) -> Column:
+        return F.max(F.when(F.col("_of") == of, F.col(p)))
+
+    cuts = cuts.groupBy(*keys).agg(
+        cut("block_net_energy_kwh", "_p0").alias("Battery Capacity 10% (kWh)"),
+        cut("block_net_energy_kwh", "_p1").alias("Battery Capacity 95% (kWh)"),
+        cut("min_charge_rate", "_p0").alias("Charger Power 10% (kW)"),
+        cut("min_charge_rate", "_p1").alias("Charger Power 95% (kW)"),
+    )
+    wide = fleet.join(power, keys).join(cuts, keys)
+    wide = wide.withColumn("Min Charge Rate (kW)", ratio("_energy", "_hours")).drop("_energy", "_hours")
     metrics = [m for m in wide.columns if m not in keys]
     return wide.unpivot(keys, [F.col(f"`{m}`") for m in metrics], "metric", "value")
 
@@ -434,8 +454,7 @@ def run_scenarios(
     if cycle_kwh is not None:
         df = df.drop("consumption_kwh_mi", "cyc_regen_kwh").join(cycle_kwh, ["trip_id", *CYCLE_PARAMS])
     df = df.withColumn("cyc_energy_kwh", F.col("consumption_kwh_mi") * m_to_mi("trip_dist_m"))
-    params = {p: F.col(p) for p in BASELINE}
-    energy = fleet_energy(df, params, [*scene, "block_id"], block_depots, depot_on)
-    charging = charging_needs(energy, [*scene, "block_id"], F.col("depot_plug_power_kw"))
-    folded = fold_minutes(vehicle_status(charging, scene), scene)
-    return name_parameters(scenario_metrics(energy, charging, folded, scene))
+    df = trip_costs(df, {p: F.col(p) for p in BASELINE}, block_depots, depot_on)
+    blocks = stage(block_table(df, [*scene, "block_id"], F.col("depot_plug_power_kw")), "blocks")
+    folded = stage(fold_minutes(vehicle_status(blocks, scene), scene), "status")
+    return name_parameters(scenario_metrics(blocks, folded, scene))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway import ordered as o
@@ -59,12 +59,17 @@ def nearest_by_key(
         .groupBy(key, F.col(qx).alias("_qx"), F.col(qy).alias("_qy"))
         .agg(F.min(F.struct(F.col(seq).alias("s"), F.col(place).alias("p"))).alias("_place"))
     )
-    spots = o.with_group(spots, [key], _n=F.count(F.lit(1)))
-    small = (
-        spots.filter(F.col("_n") <= inline)
+    # At most inline + 1 positions of a key leave each task; one more than
+    # inline marks a large key.
+    few = Window.partitionBy(key).orderBy("_qx", "_qy")
+    lists = (
+        spots.withColumn("_i", F.row_number().over(few))
+        .filter(F.col("_i") <= inline + 1)
         .groupBy(key)
         .agg(F.collect_list(F.struct("_qx", "_qy", "_place")).alias("_spots"))
     )
+    small = lists.filter(F.size("_spots") <= inline)
+    large_keys = lists.filter(F.size("_spots") > inline).select(key)
     here = F.array_min(
         F.transform(
             "_spots",
@@ -74,7 +79,7 @@ def nearest_by_key(
         )
     )
     found = points.join(small, key, "left").withColumn("_near", here).drop("_spots")
-    large = _nearest_in_cells(points, spots.filter(F.col("_n") > inline), key, x, y, cell)
+    large = _nearest_in_cells(points, spots.join(large_keys, key, "left_semi"), key, x, y, cell)
     both = found.join(large, [key, x, y], "left")
     best = F.coalesce("_near", "_far")
     return both.select(

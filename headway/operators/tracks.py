@@ -47,16 +47,19 @@ def cumulative_features(df: DataFrame, track: Sequence[str], order: Sequence[str
 
     ``cumul_dist_m`` keeps its offset: it is what the hourly baseline divides.
     """
+    cols = df.columns
+    names = ("cumul_time_s", "cumul_dist_km", "cumul_passed_stops_n")
     df = o.ordered(
-        df, track, order,
+        o.split_hot(df, track, order[0]), track, order,
         cumul_time_s=o.running_sum("calc_time_s"),
         cumul_dist_km=o.running_sum("calc_dist_km"),
         cumul_passed_stops_n=o.running_sum("passed_stops_n"),
     )
-    df = df.withColumn("cumul_dist_m", F.col("cumul_dist_km") * 1000)
-    names = ("cumul_time_s", "cumul_dist_km", "cumul_passed_stops_n")
-    df = o.with_group(df, track, **{f"_min_{n}": F.min(n) for n in names})
-    return df.withColumns({n: F.col(n) - F.col(f"_min_{n}") for n in names}).drop(*[f"_min_{n}" for n in names])
+    df = o.ordered(df, track, order, **{f"_min_{n}": o.group_min(n) for n in names})
+    keep = [c for c in cols if c not in (*names, "cumul_dist_m")]
+    return df.select(
+        *keep, *[(F.col(n) - F.col(f"_min_{n}")).alias(n) for n in names], (F.col("cumul_dist_km") * 1000).alias("cumul_dist_m")
+    )
 
 
 def passed_stops(df: DataFrame, track: Sequence[str], order: Sequence[str], seq="stop_sequence") -> DataFrame:
@@ -118,63 +121,67 @@ def recent_in_cell(
 ) -> DataFrame:
     """The last ``n`` observations in each sample's cell strictly before ``at``.
 
-    Points are numbered by time inside their cell and each sample learns how
-    many points precede it, from one ordered pass over both. The n row numbers
-    it needs then make an equi join on (cell, number), which spreads a busy
-    cell evenly; no sample is ever compared with all points of its cell.
-    Returns one row per sample and ``recency`` 1..n found, with the age.
+    Every point is given the n - 1 points before it in its cell; points and
+    samples are then laid on one time line per cell and each sample takes the
+    last point it sees. A sample is never compared with the points of its
+    cell, and a busy cell is split like any other hot key.
+    Returns one row per sample: ``recent``, an array of (values, age), newest
+    first, null where there is none.
     """
     cell, sample_key = list(cell), list(sample_key)
-    left = points.select(*cell, F.col(t).alias("_t"), F.lit(1).alias("_is_point"), F.col(tie).alias("_tie"))
-    right = samples.select(*cell, F.col(at).alias("_t"), F.lit(0).alias("_is_point"), *sample_key)
-    both = left.unionByName(right, allowMissingColumns=True)
-    seen = o.ordered(both, cell, ["_t", "_is_point", "_tie", *sample_key], _seen=o.running_sum("_is_point"))
-    numbered = points.select(*cell, F.col(t).alias("_t"), F.col(tie).alias("_tie"), *values)
-    numbers = seen.filter("_is_point = 1").select(*cell, "_tie", F.col("_seen").alias("_no"))
-    numbered = numbered.join(numbers, [*cell, "_tie"])
-    wanted = (
-        seen.filter("_is_point = 0 AND _seen > 0")
-        .select(*cell, *sample_key, F.col("_t").alias("_at"), "_seen")
-        .withColumn("_no", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_seen") - (n - 1)), F.col("_seen"))))
+    box = F.struct(*values, F.col(t).alias("_t"))
+    line = o.split_hot(points.select(*cell, t, tie, box.alias("_p0")), cell, t)
+    for i in range(1, n):
+        line = o.ordered(line, cell, [t, tie], **{f"_p{i}": o.prev(f"_p{i - 1}")})
+    line = line.select(
+        *cell, F.col(t).alias("_at"), F.lit(1).alias("_kind"), F.col(tie).alias("_tie"),
+        F.array(*[f"_p{i}" for i in range(n)]).alias("_seen"),
     )
-    return wanted.join(numbered, [*cell, "_no"]).select(
-        *cell,
-        *sample_key,
-        (F.col("_seen") - F.col("_no") + 1).alias("recency"),
-        *values,
-        (F.col("_t") - F.col("_at")).alias("elapsed_s"),
+    asked = samples.select(*cell, F.col(at).alias("_at"), F.lit(0).alias("_kind"), *sample_key)
+    both = line.unionByName(asked, allowMissingColumns=True)
+    both = o.ordered(both, cell, ["_at", "_kind", "_tie", *sample_key], _last=o.last_known("_seen"))
+    recent = F.transform(
+        F.filter("_last", lambda p: p.isNotNull()),
+        lambda p: F.struct(*[p[v].alias(v) for v in values], (p["_t"] - F.col("_at")).alias("elapsed_s")),
     )
+    return both.filter("_kind = 0").select(*cell, *sample_key, recent.alias("recent"))
+
+
+def recent_rows(recent: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The observations of :func:`recent_in_cell` as rows with ``recency`` from 1."""
+    rows = recent.select(*keys, F.posexplode("recent").alias("_i", "_r"))
+    return rows.select(*keys, (F.col("_i") + 1).alias("recency"), "_r.*")
 
 
-def recent_vectors(
-    samples: DataFrame, recent: DataFrame, sample_key: Sequence[str], values: Sequence[str], n: int,
-    strict: bool = False, fill: bool = False, run: Sequence[str] = (),
+def recent_columns(
+    recent: DataFrame, values: Sequence[str], n: int, strict: bool = False, fill_by: Sequence[str] | None = None
 ) -> DataFrame:
-    """One row per sample with ``value_1..value_n`` from :func:`recent_in_cell`.
+    """``value_1..value_n`` columns from :func:`recent_in_cell`.
 
-    Gaps stay null. ``strict`` blanks all n where one is missing; ``fill``
-    puts the mean of the run (the ``run`` columns of ``samples``) in the gaps.
+    Gaps stay null. ``strict`` blanks all n where one is missing; ``fill_by``
+    puts the mean over the given group (a run, a day) in the gaps, 0 where a
+    group has no value at all.
     """
-    picks = {
-        f"{v}_{i}": F.max(F.when(F.col("recency") == i, F.col(v))) for v in [*values, "elapsed_s"] for i in range(1, n + 1)
-    }
-    wide = recent.groupBy(*sample_key).agg(F.count(F.lit(1)).alias("_n"), *[e.alias(c) for c, e in picks.items()])
-    if strict:
-        wide = wide.withColumns({c: F.when(F.col("_n") == n, F.col(c)) for c in picks})
-    out = samples.join(wide.drop("_n"), list(sample_key), "left")
-    if fill:
-        group = list(run)
+    names = [*values, "elapsed_s"]
+    whole = F.size("recent") == n
+    picks = {}
+    for v in names:
+        for i in range(n):
+            value = F.try_element_at("recent", F.lit(i + 1))[v]
+            picks[f"{v}_{i + 1}"] = F.when(whole, value) if strict else value
+    out = recent.withColumns(picks)
+    if fill_by is not None:
         sums = {}
-        for v in [*values, "elapsed_s"]:
-            cols = [F.col(f"{v}_{i}").cast("double") for i in range(1, n + 1)]
+        for v in names:
+            cols = [F.col(f"{v}_{i + 1}").cast("double") for i in range(n)]
             sums[f"_sum_{v}"] = F.sum(sum((F.coalesce(c, F.lit(0.0)) for c in cols), F.lit(0.0)))
             sums[f"_cnt_{v}"] = F.sum(sum((c.isNotNull().cast("int") for c in cols), F.lit(0)))
-        out = o.with_group(out, group, **sums)
-        for v in [*values, "elapsed_s"]:
+        out = o.with_group(out, fill_by, **sums)
+        for v in names:
             mean = F.coalesce(ratio(f"_sum_{v}", f"_cnt_{v}"), F.lit(0.0))
-            out = out.withColumns({f"{v}_{i}": F.coalesce(F.col(f"{v}_{i}"), mean) for i in range(1, n + 1)})
+            out = out.withColumns({f"{v}_{i + 1}": F.coalesce(F.col(f"{v}_{i + 1}"), mean) for i in range(n)})
         out = out.drop(*sums)
-    return out
+    return out.drop("recent")
 
 
 def fill_forward(df: DataFrame, key: Sequence[str], order: Sequence[str], *cols: str) -> DataFrame:
@@ -190,18 +197,18 @@ def fill_both(df: DataFrame, key: Sequence[str], order: Sequence[str], *cols: st
 
 
 def lagged(df: DataFrame, key: Sequence[str], order: Sequence[str], col: str, k: int, name: str) -> DataFrame:
-    """The value k rows back, one ordered pass per row."""
-    df = df.withColumn(name, F.col(col))
+    """The value k rows back: k steps on one shuffle."""
+    df = o.split_hot(df, key, order[0]).withColumn(name, F.col(col))
     for _ in range(k):
-        df = o.ordered(df, key, order, _back=o.prev(name)).withColumn(name, F.col("_back")).drop("_back")
-    return df
+        df = o.ordered(df, key, order, **{name: o.prev(name)})
+    return o.drop_runs(df, key, order[0])
 
 
 def local_diff(df: DataFrame, key: Sequence[str], order: Sequence[str], col: str, k: int) -> DataFrame:
     """Value minus the value k - 1 rows back; rows without one go."""
-    df = o.ordered(df, key, order, _rn=o.row_number())
-    df = lagged(df, key, order, col, k - 1, "_old").filter(F.col("_rn") >= k)
-    return df.withColumn("local_diff", F.col(col) - F.col("_old")).drop("_old", "_rn")
+    df = df.withColumn("_box", F.struct(F.col(col).alias("v")))
+    df = lagged(df, key, order, "_box", k - 1, "_old").filter(F.col("_old").isNotNull())
+    return df.withColumn("local_diff", F.col(col) - F.col("_old.v")).drop("_old", "_box")
 
 
 def first_last(df: DataFrame, key: Sequence[str], order: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -231,8 +238,9 @@ def acceleration(df: DataFrame, key: Sequence[str], order: Sequence[str], speed:
 
 def segment_profile(df: DataFrame, shape="shape_id", seq="seq_id", speed="speed_mean", sep: float = 300.0) -> DataFrame:
     """Distance from the sequence, step time from the mean speed, running time."""
-    df = df.withColumn("cumul_dist_m", F.col(seq) * F.lit(float(sep)))
+    df = o.split_hot(df.withColumn("cumul_dist_m", F.col(seq) * F.lit(float(sep))), [shape], seq)
     df = o.ordered(df, [shape], [seq], _prev=o.prev("cumul_dist_m"))
     df = df.withColumn("calc_dist_m", F.coalesce(F.col("cumul_dist_m") - F.col("_prev"), F.lit(0.0))).drop("_prev")
     df = df.withColumn("calc_time_s", ratio("calc_dist_m", speed))
-    return o.ordered(df, [shape], [seq], cumul_time_s=o.running_sum("calc_time_s"))
+    df = o.ordered(df, [shape], [seq], cumul_time_s=o.running_sum("calc_time_s"))
+    return o.drop_runs(df, [shape], seq)

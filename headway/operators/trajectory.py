@@ -125,7 +125,7 @@ def peak_filter(
     if k % 2 == 0:
         raise ValueError("the window must be odd")
     h = k // 2
-    df = df.withColumns({"_b0": F.col(col), "_f0": F.col(col)})
+    df = o.split_hot(df, track, order[0]).withColumns({"_b0": F.col(col), "_f0": F.col(col)})
     for i in range(1, h + 1):
         df = o.ordered(df, track, order, **{f"_b{i}": o.prev(f"_b{i - 1}"), f"_f{i}": o.following(f"_f{i - 1}")})
     near = [F.col(f"_b{i}") for i in range(h, 0, -1)] + [F.col(col)] + [F.col(f"_f{i}") for i in range(1, h + 1)]
@@ -135,7 +135,7 @@ def peak_filter(
     df = df.withColumn("_full", full)
     df = o.ordered(df, track, order, _left=o.last_known("_full"), _right=o.next_known("_full"))
     value = clip(F.coalesce("_full", "_right", "_left", col), low, high)
-    return df.withColumn(name, value).drop(
+    return o.drop_runs(df, track, order[0]).withColumn(name, value).drop(
         "_full", "_left", "_right", *[f"_b{i}" for i in range(h + 1)], *[f"_f{i}" for i in range(h + 1)]
     )
 
@@ -212,7 +212,7 @@ def smooth(
 
 def points_along(shapes: DataFrame, shape: str, seq: str, x: str, y: str, step: float) -> DataFrame:
     """Points every ``step`` along each shape, with sequence and distance."""
-    df = o.ordered(shapes, [shape], [seq], _x=o.prev(x), _y=o.prev(y))
+    df = o.ordered(o.split_hot(shapes, [shape], seq), [shape], [seq], _x=o.prev(x), _y=o.prev(y))
     far = F.sqrt(F.pow(F.col(x) - F.col("_x"), 2) + F.pow(F.col(y) - F.col("_y"), 2))
     df = df.withColumn("_d", F.coalesce(far, F.lit(0.0)))
     df = o.ordered(df, [shape], [seq], dist_shape_m=o.running_sum("_d"))
@@ -354,8 +354,9 @@ def drive_cycle(
 
 def grade(df: DataFrame, track: Sequence[str], order: Sequence[str], elev: str, dist: str, limit: float = 0.15):
     """Elevation step over distance, gaps filled both ways, clipped."""
-    df = o.ordered(df, track, order, _e=o.prev(elev))
+    df = o.ordered(o.split_hot(df, track, order[0]), track, order, _e=o.prev(elev))
     step = F.when(F.col(elev).isNotNull(), F.col(elev) - F.coalesce("_e", elev))
     df = df.withColumn("_g", ratio(step, dist))
     df = o.ordered(df, track, order, _gf=o.last_known("_g"), _gb=o.next_known("_g"))
+    df = o.drop_runs(df, track, order[0])
     return df.withColumn("grade", clip(F.coalesce("_gf", "_gb"), -limit, limit)).drop("_e", "_g", "_gf", "_gb")

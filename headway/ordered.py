@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 
 GROUP_LIMIT = "spark.headway.maxGroupRows"
 DEFAULT_GROUP_LIMIT = 4_000_000
-RUN = "_run"
-HOT = "_hot"
 _ALL = "_all"
 _CUTS = 32
 
@@ -198,6 +196,11 @@ def _renamed(keys: Sequence[str], prefix: str) -> list[Column]:
     return [F.col(k).alias(f"{prefix}{i}") for i, k in enumerate(keys)]
 
 
+def _run_names(keys: Sequence[str], order: str) -> tuple[str, str]:
+    tag = "_".join([*keys, order])
+    return f"_run_{tag}", f"_hot_{tag}"
+
+
 def split_hot(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Add the run number: 0 for ordinary keys, 1.. in order for hot keys.
 
@@ -205,9 +208,14 @@ def split_hot(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     uneven density in time does not matter, and each quantile band is divided
     again until a run is near the limit. Rows without a key belong to no track
     and are scattered over negative runs.
+
+    :func:`ordered` does this on its own. Call it first when several ordered
+    steps on one key and order follow each other: they then share one split
+    and one shuffle. :func:`drop_runs` takes the columns off again.
     """
     limit = row_limit(df)
     keys = list(keys)
+    run_name, hot_name = _run_names(keys, order)
     if not keys:
         df, keys = df.withColumn(_ALL, F.lit(0)), [_ALL]
     t = F.col(order).cast("double")
@@ -224,7 +232,7 @@ def split_hot(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
         .join(F.broadcast(hot), _match(keys, "_h"))
         .groupBy(*names, "_n")
         .agg(F.percentile_approx("_t", F.array(*[F.lit(m) for m in marks]), 10000).alias("_cuts"))
-        .select(*names, "_cuts", F.ceil(F.col("_n") / (_CUTS * limit)).alias("_parts"), F.lit(True).alias(HOT))
+        .select(*names, "_cuts", F.ceil(F.col("_n") / (_CUTS * limit)).alias("_parts"), F.lit(True).alias(hot_name))
     )
     df = df.join(F.broadcast(cuts), _match(keys, "_h"), "left")
     df = df.withColumn("_band", F.when(F.col("_cuts").isNotNull(), F.size(F.filter("_cuts", lambda c: c < t))))
@@ -244,22 +252,28 @@ def split_hot(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
         .otherwise(1 + band * F.col("_parts") + inner)
         .cast("long")
     )
-    return df.withColumn(RUN, run).drop(*names, "_cuts", "_parts", "_band", _ALL)
+    return df.withColumn(run_name, run).drop(*names, "_cuts", "_parts", "_band", _ALL)
+
+
+def drop_runs(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    return df.drop(*_run_names(keys, order))
 
 
 def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], **calcs: Calc) -> DataFrame:
     """Add one column per calculation, rows of a key taken in ``order``.
 
     ``order[0]`` must be numeric (epoch seconds, metres, a count); the rest
-    breaks ties. If the frame already carries a run column from
-    :func:`split_hot` on the same key and order, it is reused and kept.
+    breaks ties. Run columns from :func:`split_hot` on the same key and order
+    are reused and kept.
     """
     keys, order = list(keys), list(order)
-    keep_run = RUN in df.columns
-    base = df if keep_run else split_hot(df, keys, order[0])
+    run, hot = _run_names(keys, order[0])
+    base = df if run in df.columns else split_hot(df, keys, order[0])
     if not keys:
         base, keys = base.withColumn(_ALL, F.lit(0)), [_ALL]
-    inside = Window.partitionBy(*keys, RUN)
+    # The hot flag follows from the key; with it among the partition keys the
+    # filter below can sink through earlier steps, down to the scan.
+    inside = Window.partitionBy(*keys, run, hot)
     frames = _Frames(
         inside.orderBy(*[F.col(o).asc() for o in order]),
         inside.orderBy(*[F.col(o).desc() for o in order]),
@@ -270,8 +284,8 @@ def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], **calcs: C
     stamp = F.struct(*order)
     names = [f"_k{i}" for i in range(len(keys))]
     runs = (
-        base.filter(HOT)
-        .groupBy(*_renamed(keys, "_k"), F.col(RUN).alias("_krun"))
+        base.filter(hot)
+        .groupBy(*_renamed(keys, "_k"), F.col(run).alias("_krun"))
         .agg(*[calc.summary(stamp).alias(f"_s_{name}") for name, calc in calcs.items()])
     )
     by_key = Window.partitionBy(*names)
@@ -279,16 +293,15 @@ def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], **calcs: C
     carry = runs.select(
         *names, "_krun", *[calc.across(F.col(f"_s_{name}"), chain).alias(f"_c_{name}") for name, calc in calcs.items()]
     )
-    joined = rows.join(F.broadcast(carry), _match(keys, "_k") & (F.col(RUN) == F.col("_krun")), "left")
-    keyed = F.col(RUN) >= 0
-    out = joined.select(
+    joined = rows.join(F.broadcast(carry), _match(keys, "_k") & (F.col(run) == F.col("_krun")), "left")
+    keyed = F.col(run) >= 0
+    return joined.select(
         *[c for c in df.columns if c not in calcs],
         *[
             F.when(keyed, calc.merge(F.col(f"_l_{name}"), F.col(f"_c_{name}"))).alias(name)
             for name, calc in calcs.items()
         ],
     )
-    return out
 
 
 def with_group(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
