@@ -42,7 +42,7 @@ def _(spark, sf):
     return bl.predict_constant(cumulated(spark, sf), KEY, ORDER)
 
 
-@query("kfold", "shingle_id event_id fold")
+@query("kfold", "shingle_id event_id fold", "SELECT *, CAST(CAST('0x' || substr(md5(shingle_id || '|42'), 1, 12) AS BIGINT) % 5 AS INTEGER) AS fold FROM smp")
 def _(spark, sf):
     return bl.assign_fold(samples(spark, sf), KEY, 5)
 
@@ -111,7 +111,9 @@ def _(spark, sf):
     return bl.select_features(cumulated(spark, sf), "static", ["event_id"])
 
 
-@query("tune_subset", "shingle_id event_id")
+@query("tune_subset", "shingle_id event_id",
+       """SELECT * FROM smp WHERE shingle_id IN (SELECT shingle_id FROM (SELECT DISTINCT shingle_id FROM smp)
+       ORDER BY CAST('0x' || substr(md5(shingle_id || '|42'), 1, 12) AS BIGINT), shingle_id LIMIT 100)""")
 def _(spark, sf):
     return bl.tuning_sample(samples(spark, sf), KEY, 100)
 

@@ -18,7 +18,8 @@ def _(spark, sf):
     return f.filter_points(samples(spark, sf), {"speed_m_s": (20.0, 80.0), "calc_dist_m": (100, 400)})
 
 
-@query("random_dropout", "event_id trip_id")
+@query("random_dropout", "event_id trip_id",
+       "SELECT * FROM pos WHERE CAST('0x' || substr(md5(CAST(event_id AS VARCHAR) || '|42'), 1, 12) AS BIGINT) % 1000000 >= 100000")
 def _(spark, sf):
     return f.dropout(positions(spark, sf), 0.1, 42, ["event_id"])
 
@@ -77,10 +78,10 @@ def _(spark, sf):
 
 
 @query("drop_impossible_jumps", "event_id trip_id calc_dist_m~3",
-       """SELECT * FROM stp_steps WHERE trip_id NOT IN (SELECT trip_id FROM stp_steps WHERE calc_dist_m > 55000)""")
+       """SELECT * FROM stp_steps WHERE trip_id NOT IN (SELECT trip_id FROM stp_steps WHERE calc_dist_m > 50000)""")
 def _(spark, sf):
     df = tr.step_metrics(positions(spark, sf), ["trip_id"], ["locationtime", "event_id"], method="haversine")
-    return f.drop_jump_trips(df, "trip_id", "calc_dist_m", 55000)
+    return f.drop_jump_trips(df, "trip_id", "calc_dist_m", 50000)
 
 
 @query("drop_bad_speeds", "event_id trip_id speed_m_s n_dropped",
@@ -132,7 +133,9 @@ def _(spark, sf):
     return r.top(positions(spark, sf), [F.desc("speed_m_s"), "event_id"], 25)
 
 
-@query("sample_groups", "shape_id trip_id")
+@query("sample_groups", "shape_id trip_id",
+       """SELECT * FROM trp WHERE shape_id IN (SELECT shape_id FROM (SELECT DISTINCT shape_id FROM trp)
+       ORDER BY CAST('0x' || substr(md5(shape_id || '|42'), 1, 12) AS BIGINT), shape_id LIMIT 10)""")
 def _(spark, sf):
     return r.sample_groups(trips(spark, sf), "shape_id", 10)
 
@@ -192,8 +195,8 @@ def _(spark, sf):
 
 view("stp_lag", """SELECT *, lag(lon) OVER w AS lon0, lag(lat) OVER w AS lat0, lag(locationtime) OVER w AS t0 FROM pos
     WINDOW w AS (PARTITION BY trip_id ORDER BY locationtime, event_id)""")
-view("stp_steps", """SELECT *, 12742e3 * asin(least(1e0, sqrt(pow(sin(radians(lat - lat0) / 2e0), 2)
-    + cos(radians(lat0)) * cos(radians(lat)) * pow(sin(radians(lon - lon0) / 2e0), 2)))) AS calc_dist_m,
+view("stp_steps", """SELECT *, 12742e3 * asin(sqrt(pow(sin(radians(lat - lat0) / 2e0), 2)
+    + cos(radians(lat0)) * cos(radians(lat)) * pow(sin(radians(lon - lon0) / 2e0), 2))) AS calc_dist_m,
     degrees(atan2(sin(radians(lon - lon0)) * cos(radians(lat)), cos(radians(lat0)) * sin(radians(lat))
       - sin(radians(lat0)) * cos(radians(lat)) * cos(radians(lon - lon0)))) AS calc_bear_d,
     locationtime - t0 AS calc_time_s FROM stp_lag""")

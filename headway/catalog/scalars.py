@@ -13,7 +13,7 @@ from headway.operators import filters as f
 from headway.operators import tracks as tr
 from headway.operators import trajectory as tj
 
-HAV = "12742e0 * asin(least(1e0, sqrt(pow(sin(radians({b2} - {b1}) / 2e0), 2) + cos(radians({b1})) * cos(radians({b2})) * pow(sin(radians({a2} - {a1}) / 2e0), 2))))"
+HAV = "12742e0 * asin(sqrt(pow(sin(radians({b2} - {b1}) / 2e0), 2) + cos(radians({b1})) * cos(radians({b2})) * pow(sin(radians({a2} - {a1}) / 2e0), 2)))"
 
 
 @query("haversine_km", "event_id km~6 km_sql~6",
@@ -25,7 +25,30 @@ def _(spark, sf):
         F.expr("haversine_km(lon, lat, -122.3e0, 47.6e0)").alias("km_sql"))
 
 
-@query("geodesic_inv", "event_id dist_m~3 bear_d~6")
+def vincenty_sql() -> str:
+    """Vincenty's inverse method from (-122.3, 47.6), the longitude iteration unrolled."""
+    f, a = "(1e0 / 298.257223563e0)", "6378137e0"
+    sql = f"""SELECT event_id, radians(lon - -122.3e0) AS dl, radians(lon - -122.3e0) AS lam, atan((1 - {f}) * tan(radians(47.6e0))) AS u1,
+        atan((1 - {f}) * tan(radians(lat))) AS u2 FROM pos"""
+    for _ in range(6):
+        sql = f"""SELECT *, sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) AS ss,
+            sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs FROM ({sql})"""
+        sql = f"SELECT *, CASE WHEN ss = 0 THEN 0e0 ELSE cos(u1) * cos(u2) * sin(lam) / ss END AS sa, atan2(ss, cs) AS sig FROM ({sql})"
+        sql = f"SELECT *, 1 - sa * sa AS ca FROM ({sql})"
+        sql = f"""SELECT *, CASE WHEN ca < 1e-15 THEN 0e0 ELSE cs - 2 * sin(u1) * sin(u2) / ca END AS cm,
+            {f} / 16 * ca * (4 + {f} * (4 - 3 * ca)) AS cc FROM ({sql})"""
+        keep = "event_id, dl, u1, u2, ss, cs, sig, ca, cm, sin(lam) AS sl, cos(lam) AS cl"
+        sql = f"""SELECT {keep}, dl + (1 - cc) * {f} * sa * (sig + cc * ss * (cm + cc * cs * (-1 + 2 * cm * cm))) AS lam FROM ({sql})"""
+        last, sql = sql, f"SELECT event_id, dl, u1, u2, lam FROM ({sql})"
+    sql = f"""SELECT *, degrees(atan2(cos(u2) * sl, cos(u1) * sin(u2) - sin(u1) * cos(u2) * cl)) AS bear_d,
+        ca * (1 / pow(1 - {f}, 2) - 1) AS usq FROM ({last})"""
+    sql = f"""SELECT *, 1 + usq / 16384 * (4096 + usq * (-768 + usq * (320 - 175 * usq))) AS aa,
+        usq / 1024 * (256 + usq * (-128 + usq * (74 - 47 * usq))) AS bb FROM ({sql})"""
+    return f"""SELECT event_id, bear_d, {a} * (1 - {f}) * aa * (sig - bb * ss * (cm + bb / 4 * (cs * (-1 + 2 * cm * cm)
+        - bb / 6 * cm * (-3 + 4 * ss * ss) * (-3 + 4 * cm * cm)))) AS dist_m FROM ({sql})"""
+
+
+@query("geodesic_inv", "event_id dist_m~3 bear_d~6", vincenty_sql())
 def _(spark, sf):
     df = positions(spark, sf).withColumns({"lon0": F.lit(-122.3), "lat0": F.lit(47.6)})
     return geo.geodesic(df, "lon0", "lat0", "lon", "lat")
@@ -50,7 +73,30 @@ def _(spark, sf):
     return boxes(spark, sf).withColumn("area", geo.bbox_area_km2("x0", "y0", "x1", "y1"))
 
 
-@query("project_utm", "event_id x~3 y~3 cx~3 cy~3")
+def utm_sql() -> str:
+    """Krüger series to fourth order for zone 10 north."""
+    n = "(1e0 / 298.257223563e0 / (2e0 - 1e0 / 298.257223563e0))"
+    a = [f"({n} / 2 - 2 * pow({n}, 2) / 3 + 5 * pow({n}, 3) / 16 + 41 * pow({n}, 4) / 180 - 127 * pow({n}, 5) / 288)",
+         f"(13 * pow({n}, 2) / 48 - 3 * pow({n}, 3) / 5 + 557 * pow({n}, 4) / 1440 + 281 * pow({n}, 5) / 630)",
+         f"(61 * pow({n}, 3) / 240 - 103 * pow({n}, 4) / 140 + 15061 * pow({n}, 5) / 26880)",
+         f"(49561 * pow({n}, 4) / 161280 - 179 * pow({n}, 5) / 168)"]
+    scale = f"(9996e-4 * 6378137e0 / (1 + {n}) * (1 + pow({n}, 2) / 4 + pow({n}, 4) / 64))"
+    k = f"(2 * sqrt({n}) / (1 + {n}))"
+    e = " + ".join(["eta"] + [f"{c} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, c in enumerate(a, 1)])
+    no = " + ".join(["xi"] + [f"{c} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, c in enumerate(a, 1)])
+    ecc = "sqrt(1e0 / 298.257222101e0 * (2 - 1e0 / 298.257222101e0))"
+    m = lambda p: f"(cos({p}) / sqrt(1 - pow({ecc} * sin({p}), 2)))"
+    t = lambda p: f"(tan(pi() / 4 - ({p}) / 2) / pow((1 - {ecc} * sin({p})) / (1 + {ecc} * sin({p})), {ecc} / 2))"
+    p1, p2, p0 = "radians(47.5e0)", "radians(48 + 44 / 60e0)", "radians(47e0)"
+    cone = f"((ln{m(p1)} - ln{m(p2)}) / (ln{t(p1)} - ln{t(p2)}))"
+    return f"""SELECT event_id, 5e5 + {scale} * ({e}) AS x, {scale} * ({no}) AS y, 5e5 + rho * sin(th) AS cx, rho0 - rho * cos(th) AS cy
+      FROM (SELECT *, atan2(tt, cos(l)) AS xi, atanh(sin(l) / sqrt(1 + tt * tt)) AS eta, 6378137e0 * g * pow({t('radians(lat)')}, c) AS rho,
+        6378137e0 * g * pow({t(p0)}, c) AS rho0, c * radians(lon + 120 + 50 / 60e0) AS th FROM (
+          SELECT *, radians(lon + 123) AS l, sinh(atanh(sin(radians(lat))) - {k} * atanh({k} * sin(radians(lat)))) AS tt,
+          {m(p1)} / (c * pow({t(p1)}, c)) AS g FROM (SELECT event_id, lon, lat, {cone} AS c FROM pos)))"""
+
+
+@query("project_utm", "event_id x~3 y~3 cx~3 cy~3", utm_sql())
 def _(spark, sf):
     df = geo.project(positions(spark, sf).drop("x", "y"), "lon", "lat", 32610)
     return geo.project(df, "lon", "lat", 32148, "cx", "cy")

@@ -74,10 +74,10 @@ def _(spark, sf):
 
 
 @query("shingle", "event_id trip_id shingle_id",
-       """SELECT *, trip_id || '_' || CASE WHEN rn - 1 < (n % 3) * (n // 3 + 1) THEN (rn - 1) // (n // 3 + 1)
-       ELSE n % 3 + (rn - 1 - (n % 3) * (n // 3 + 1)) // (n // 3) END AS shingle_id FROM num""")
+       """SELECT *, trip_id || '_' || CASE WHEN rn - 1 < (n % k) * (n // k + 1) THEN (rn - 1) // (n // k + 1)
+       ELSE n % k + (rn - 1 - (n % k) * (n // k + 1)) // (n // k) END AS shingle_id FROM (SELECT *, 2 + CAST('0x' || substr(md5(trip_id || '|42'), 1, 12) AS BIGINT) % 3 AS k FROM num)""")
 def _(spark, sf):
-    return tr.shingle(positions(spark, sf), *TRIP, 3, 4)
+    return tr.shingle(positions(spark, sf), *TRIP, 2, 5)
 
 
 @query("gap_to_next", "trip_id block_id t_min_down",

@@ -25,7 +25,8 @@ def haversine_km(lon1, lat1, lon2, lat2) -> Column:
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)
     half_lon = F.sin(F.radians(lon2 - lon1) / 2)
     chord = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    return F.lit(2.0 * EARTH_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(chord)))
+    # least() would skip a null and turn a missing point into half the globe.
+    return F.lit(2.0 * EARTH_KM) * F.asin(F.when(chord > 1, F.lit(1.0)).otherwise(F.sqrt(chord)))
 
 
 def manhattan(x1, y1, x2, y2) -> Column:
@@ -61,7 +62,7 @@ def grid_bin(value, low: float, high: float, size: float) -> Column:
     width = (high - low) / (edges - 1)
     inside = F.floor((value - F.lit(float(low))) / F.lit(width)) + 1
     return (
-        F.when(value < low, F.lit(0)).when(value >= high, F.lit(edges)).otherwise(F.least(inside, F.lit(edges - 1)))
+        F.when(value < low, F.lit(0)).when(value >= high, F.lit(edges)).when(inside > edges - 1, F.lit(edges - 1)).otherwise(inside)
     ).cast("long")
 
 

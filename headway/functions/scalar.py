@@ -62,6 +62,16 @@ def mi_to_km(value) -> Column:
     return col_of(value) * 1.60934
 
 
+def hash_number(keys, seed: int) -> Column:
+    """A number below 2**48 that depends only on the key values and the seed.
+
+    Made from MD5 of the joined texts, so that another engine can repeat a
+    split, a sample or a random step.
+    """
+    text = F.concat_ws("|", *[col_of(k).cast("string") for k in keys], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
+
+
 def param_of(name) -> Column:
     """``aux_power_kw`` from ``aux_power_kw-3``."""
     return F.split_part(col_of(name), F.lit("-"), F.lit(1))

@@ -8,13 +8,13 @@ FUNCTIONS = {
     "haversine_km": (
         "lon1 DOUBLE, lat1 DOUBLE, lon2 DOUBLE, lat2 DOUBLE",
         "DOUBLE",
-        "12742e0 * asin(least(1e0, sqrt(pow(sin(radians(lat2 - lat1) / 2e0), 2) + cos(radians(lat1))"
-        " * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2e0), 2))))",
+        "12742e0 * asin(sqrt(pow(sin(radians(lat2 - lat1) / 2e0), 2) + cos(radians(lat1))"
+        " * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2e0), 2)))",
     ),
     "grid_bin": (
         "v DOUBLE, lo DOUBLE, hi DOUBLE, size DOUBLE",
         "BIGINT",
-        "CASE WHEN v < lo THEN 0L WHEN v >= hi THEN cast(floor((hi - lo) / size) AS BIGINT)"
+        "CASE WHEN v IS NULL THEN NULL WHEN v < lo THEN 0L WHEN v >= hi THEN cast(floor((hi - lo) / size) AS BIGINT)"
         " ELSE least(cast(floor((v - lo) / ((hi - lo) / (floor((hi - lo) / size) - 1e0))) AS BIGINT) + 1L,"
         " cast(floor((hi - lo) / size) AS BIGINT) - 1L) END",
     ),

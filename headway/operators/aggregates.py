@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from headway import ordered as o
 from headway.functions.clock import hm_minutes
-from headway.functions.scalar import archetype_of, is_tuned, m_to_mi, ratio
+from headway.functions.scalar import archetype_of, hash_number, is_tuned, m_to_mi, ratio
 
 
 def _ends(stop_times: DataFrame, minute: Column) -> DataFrame:
@@ -41,7 +41,7 @@ def feature_config(
 ) -> DataFrame:
     """Mean and population deviation of each feature on a hashed share of samples."""
     if frac < 1:
-        df = df.filter(F.pmod(F.xxhash64(sample, F.lit(seed)), F.lit(1_000_000)) < int(frac * 1_000_000))
+        df = df.filter(F.pmod(hash_number([sample], seed), F.lit(1_000_000)) < int(frac * 1_000_000))
     stats = df.agg(
         F.count(F.lit(1)).alias("sample_count"),
         *[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c) for c in cols],

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headway import ordered as o
-from headway.functions.scalar import ratio
+from headway.functions.scalar import hash_number, ratio
 from headway.operators.aggregates import format_results
 from headway.operators.tracks import first_last
 
@@ -75,7 +75,7 @@ def predict_constant(samples: DataFrame, sample: str, order: Sequence[str], seco
 
 def assign_fold(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     """Fold number by hash of the sample: the same split on any partitioning, folds disjoint."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(k)).cast("int"))
+    return df.withColumn("fold", F.pmod(hash_number([key], seed), F.lit(k)).cast("int"))
 
 
 def sample_lengths(df: DataFrame, sample: str, row: str) -> DataFrame:
@@ -135,7 +135,7 @@ def select_features(df: DataFrame, name: str, keep: Sequence[str] = ()) -> DataF
 
 def tuning_sample(df: DataFrame, sample: str, n: int = 100, seed: int = 42) -> DataFrame:
     """All rows of ``n`` distinct samples picked by hash."""
-    picked = df.select(sample).distinct().orderBy(F.xxhash64(sample, F.lit(seed)), sample).limit(n)
+    picked = df.select(sample).distinct().orderBy(hash_number([sample], seed), sample).limit(n)
     return df.join(picked, sample, "left_semi")
 
 

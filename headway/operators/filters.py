@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from headway.functions.scalar import hash_number
 from headway.ordered import with_group
 
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
@@ -26,7 +27,7 @@ def filter_points(df: DataFrame, ranges: Ranges) -> DataFrame:
 
 def dropout(df: DataFrame, frac: float, seed: int, key: Sequence[str]) -> DataFrame:
     """Remove a share of rows chosen by a hash of the key: repeatable on any layout."""
-    share = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1_000_000))
+    share = F.pmod(hash_number(key, seed), F.lit(1_000_000))
     return df.filter(share >= int(frac * 1_000_000))
 
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from headway.functions.scalar import hash_number
+
 
 def order_tracks(df: DataFrame, keys: Sequence[str], global_order: bool = False) -> DataFrame:
     """Rows of a key together and in order, for writing; or one total order."""
@@ -30,7 +32,7 @@ def top(df: DataFrame, order: Sequence, n: int) -> DataFrame:
 
 def sample_groups(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """All rows of n groups picked by hash."""
-    picked = df.select(key).distinct().orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    picked = df.select(key).distinct().orderBy(hash_number([key], seed), key).limit(n)
     return df.join(picked, key, "left_semi")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from headway import ordered as o
 from headway.functions import geo
-from headway.functions.scalar import ratio
+from headway.functions.scalar import hash_number, ratio
 
 
 def step_metrics(
@@ -88,7 +88,7 @@ def shingle(
     so it is the same on any partitioning.
     """
     df = o.ordered(df, track, order, _rn=o.row_number(), _n=o.group_count())
-    k = F.lit(low) + F.pmod(F.xxhash64(*track, F.lit(seed)), F.lit(high - low))
+    k = F.lit(low) + F.pmod(hash_number(track, seed), F.lit(high - low))
     at, size, extra = F.col("_rn") - 1, F.floor(F.col("_n") / k), F.pmod(F.col("_n"), k)
     longer = extra * (size + 1)
     run = F.when(at < longer, F.floor(at / (size + 1))).otherwise(extra + F.floor(F.try_divide(at - longer, size)))

@@ -13,9 +13,10 @@ from pyspark.sql import types as T
 
 from headway import ordered as o
 from headway.functions import geo
-from headway.functions.scalar import clip, ratio
+from headway.functions.scalar import clip, hash_number, ratio
 from headway.operators.filters import day_services
 from headway.operators.tracks import step_metrics
+from headway.session import stage
 
 
 def _between(df: DataFrame, at: Column, low: Column, high: Column, cols: Sequence[str], name: str) -> DataFrame:
@@ -54,21 +55,21 @@ def resample_by_distance(
 
 def random_step(track: Sequence[str], seed: int = 42, low: int = 200, high: int = 400) -> Column:
     """A step length per track from ``low`` to ``high - 1`` metres, by hash."""
-    return (F.lit(low) + F.pmod(F.xxhash64(*track, F.lit(seed)), F.lit(high - low))).cast("double")
+    return (F.lit(low) + F.pmod(hash_number(track, seed), F.lit(high - low))).cast("double")
 
 
 def resample_trips(df: DataFrame, track: Sequence[str], order: Sequence[str], step: float | str | None = None,
                    max_jump: float = 100_000, method: str = "geodesic", first: Sequence[str] = ()) -> DataFrame:
     """Positions to equal steps: measure, drop trips with an impossible jump, resample."""
-    lon_t = order[0]
-    df = step_metrics(df, track, order, t=lon_t, method=method)
-    bad = df.filter(F.col("calc_dist_m") > max_jump).select(*track).distinct()
-    df = df.join(bad, list(track), "left_anti")
+    t = order[0]
+    df, done = o.shared_split(df, track, t)
+    df = step_metrics(df, track, order, t=t, method=method)
     df = df.withColumn("_d", F.coalesce("calc_dist_m", F.lit(0.0)))
-    df = o.ordered(df, track, order, cumul_dist_m=o.running_sum("_d"))
+    df = o.ordered(df, track, order, cumul_dist_m=o.running_sum("_d"), _far=o.group_max("_d"))
+    df = df.filter(F.col("_far") <= max_jump)
     if step is None:
         df, step = df.withColumn("_track_step", random_step(track)), "_track_step"
-    return resample_by_distance(df, track, order, step, linear=("lat", "lon", lon_t), first=first)
+    return done(resample_by_distance(df, track, order, step, linear=("lat", "lon", t), first=first))
 
 
 def resample_by_second(df: DataFrame, track: Sequence[str], t: str, cols: Sequence[str]) -> DataFrame:
@@ -125,7 +126,8 @@ def peak_filter(
     if k % 2 == 0:
         raise ValueError("the window must be odd")
     h = k // 2
-    df = o.split_hot(df, track, order[0]).withColumns({"_b0": F.col(col), "_f0": F.col(col)})
+    df, done = o.shared_split(df, track, order[0])
+    df = df.withColumns({"_b0": F.col(col), "_f0": F.col(col)})
     for i in range(1, h + 1):
         df = o.ordered(df, track, order, **{f"_b{i}": o.prev(f"_b{i - 1}"), f"_f{i}": o.following(f"_f{i - 1}")})
     near = [F.col(f"_b{i}") for i in range(h, 0, -1)] + [F.col(col)] + [F.col(f"_f{i}") for i in range(1, h + 1)]
@@ -135,7 +137,7 @@ def peak_filter(
     df = df.withColumn("_full", full)
     df = o.ordered(df, track, order, _left=o.last_known("_full"), _right=o.next_known("_full"))
     value = clip(F.coalesce("_full", "_right", "_left", col), low, high)
-    return o.drop_runs(df, track, order[0]).withColumn(name, value).drop(
+    return done(df).withColumn(name, value).drop(
         "_full", "_left", "_right", *[f"_b{i}" for i in range(h + 1)], *[f"_f{i}" for i in range(h + 1)]
     )
 
@@ -231,18 +233,17 @@ def trip_lines(
     line longer than ``part_points`` continues in a further row (``part``), so
     that no array grows without bound.
     """
-    df, order = stop_times, ["stop_sequence", "stop_id"]
+    order = ["stop_sequence", "stop_id"]
+    df, done = o.shared_split(stop_times, ["trip_id"], order[0])
+    df = o.ordered(df, ["trip_id"], order, _x=o.prev(x), _y=o.prev(y), _rn=o.row_number())
     if max_gap is not None:
-        df = o.ordered(df, ["trip_id"], order, _x=o.prev(x), _y=o.prev(y), _rn=o.row_number())
         gap = F.sqrt(F.pow(F.col(x) - F.col("_x"), 2) + F.pow(F.col(y) - F.col("_y"), 2))
         df = df.withColumn("_gap", gap).filter("_rn > 1")
-        bad = df.groupBy("trip_id").agg(F.max("_gap").alias("_g"), F.count(F.lit(1)).alias("_n"))
-        bad = bad.filter((F.col("_g") >= max_gap) | (F.col("_n") < min_stops)).select("trip_id")
-        df = df.join(bad, "trip_id", "left_anti")
+        df = o.ordered(df, ["trip_id"], order, _far=o.group_max("_gap"), _n=o.group_count())
+        df = df.filter((F.col("_far") < max_gap) & (F.col("_n") >= min_stops))
     keys = ["service_id", "route_id", "trip_id"]
-    rows = df.join(lookup, "trip_id").select(*keys, *order, x, y).distinct()
-    rows = o.ordered(rows, keys, [*order, x, y], _rn=o.row_number())
-    rows = rows.withColumn("part", F.floor((F.col("_rn") - 1) / part_points))
+    part = F.floor((F.col("_rn") - 1) / part_points).alias("part")
+    rows = done(df).join(lookup, "trip_id").groupBy(*keys, *order, x, y).agg(F.min(part).alias("part"), F.min("_rn").alias("_rn"))
     spot = F.struct("_rn", F.col(x).alias("x"), F.col(y).alias("y"))
     lines = rows.groupBy(*keys, "part").agg(F.sort_array(F.collect_list(spot)).alias("_l"))
     line = F.transform("_l", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
@@ -346,17 +347,19 @@ def drive_cycle(
     Grade is elevation step over distance, filled both ways and bounded; speed
     passes the peak filter and the smoother, bounded to 0..35 m/s.
     """
+    df, done = o.shared_split(df, track, order[0])
     df = grade(df, track, order, elev, dist)
     df = peak_filter(df, track, order, speed, 3, factor, factor, 0.0, 35.0, "_peaked")
-    df = smooth(df, track, order, "_peaked", low=0.0, high=35.0, name="mps")
+    df = done(smooth(df, track, order, "_peaked", low=0.0, high=35.0, name="mps"))
+    df = stage(df.select(*track, t, "mps", "grade"), "smoothed")
     return resample_by_second(df, track, t, ["mps", "grade"]).withColumnRenamed(t, "time_s")
 
 
 def grade(df: DataFrame, track: Sequence[str], order: Sequence[str], elev: str, dist: str, limit: float = 0.15):
     """Elevation step over distance, gaps filled both ways, clipped."""
-    df = o.ordered(o.split_hot(df, track, order[0]), track, order, _e=o.prev(elev))
+    df, done = o.shared_split(df, track, order[0])
+    df = o.ordered(df, track, order, _e=o.prev(elev))
     step = F.when(F.col(elev).isNotNull(), F.col(elev) - F.coalesce("_e", elev))
     df = df.withColumn("_g", ratio(step, dist))
     df = o.ordered(df, track, order, _gf=o.last_known("_g"), _gb=o.next_known("_g"))
-    df = o.drop_runs(df, track, order[0])
-    return df.withColumn("grade", clip(F.coalesce("_gf", "_gb"), -limit, limit)).drop("_e", "_g", "_gf", "_gb")
+    return done(df).withColumn("grade", clip(F.coalesce("_gf", "_gb"), -limit, limit)).drop("_e", "_g", "_gf", "_gb")

@@ -259,6 +259,16 @@ def drop_runs(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return df.drop(*_run_names(keys, order))
 
 
+def shared_split(df: DataFrame, keys: Sequence[str], order: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """One split for several ordered steps, and the call that ends it.
+
+    A split made further up is used as it is and stays for the caller.
+    """
+    if _run_names(keys, order)[0] in df.columns:
+        return df, lambda out: out
+    return split_hot(df, keys, order), lambda out: drop_runs(out, keys, order)
+
+
 def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], **calcs: Calc) -> DataFrame:
     """Add one column per calculation, rows of a key taken in ``order``.
 
