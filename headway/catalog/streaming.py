@@ -76,7 +76,7 @@ def _(spark, sf):
 
 @query("st_steps", "event_id trip_id calc_dist_m~3 calc_time_s~3", "SELECT * FROM stp_steps")
 def _(spark, sf):
-    return replay(spark, sf, st.stream_step_metrics, halves(spark, sf))
+    return replay(spark, sf, lambda df: st.stream_step_metrics(df, keep_ms=60 * st.DAY_MS), halves(spark, sf))
 
 
 def binned(df):
@@ -88,13 +88,13 @@ def binned(df):
        coalesce(list(p.speed_m_s ORDER BY p.locationtime DESC, p.event_id DESC) FILTER (p.event_id IS NOT NULL), []) [1:4] AS recent
        FROM cel q LEFT JOIN cel p ON q.xbin = p.xbin AND q.ybin = p.ybin AND p.locationtime < q.locationtime GROUP BY q.event_id""")
 def _(spark, sf):
-    return replay(spark, sf, lambda df: st.stream_recent_in_cell(binned(df), 4), halves(spark, sf))
+    return replay(spark, sf, lambda df: st.stream_recent_in_cell(binned(df), 4, keep_ms=60 * st.DAY_MS), halves(spark, sf))
 
 
 @query("st_cell_speed", "start xbin ybin speed~6 n",
-       """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, xbin, ybin, avg(value) AS speed, count(*) AS n FROM events JOIN
-       (SELECT event_id, xbin, ybin FROM cel) USING (event_id) GROUP BY ALL
-       HAVING start + INTERVAL 1 HOUR <= (SELECT w FROM wm)""")
+       """SELECT * FROM (SELECT hour_of AS start, xbin, ybin, avg(speed_m_s) AS speed, count(*) AS n FROM (SELECT cel.*,
+       TIMESTAMP '2024-01-01 00:00:00' + to_hours(locationtime // 3600 - 473352) AS hour_of FROM cel) GROUP BY 1, 2, 3)
+       WHERE start + INTERVAL 1 HOUR <= (SELECT w FROM wm)""")
 def _(spark, sf):
     return replay(spark, sf, lambda df: st.stream_cell_speed(binned(df), ["xbin", "ybin"], "speed_m_s", width="1 hour"))
 

@@ -144,7 +144,10 @@ def geodesic(df: DataFrame, lon1: str, lat1: str, lon2: str, lat2: str, dist="di
         m
         + big_b / 4 * (cs * (-1 + 2 * m * m) - big_b / 6 * m * (-3 + 4 * ss * ss) * (-3 + 4 * m * m))
     )
-    settled = F.abs(F.col("_lam") - F.col("_old")) < 1e-9
+    # Always true, but not deterministic: a filter on the result is not copied
+    # down through the steps above, which would multiply the expression.
+    here = F.monotonically_increasing_id() >= 0
+    settled = here & (F.abs(F.col("_lam") - F.col("_old")) < 1e-9)
     azimuth = F.degrees(F.atan2(c2 * F.col("_sl"), c1 * s2 - s1 * c2 * F.col("_cl")))
     work = work.withColumns(
         {

@@ -154,6 +154,9 @@ def block_ends(trips: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def cluster_depots(blocks: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """Blocks with a depot each: k-means centres of block starts, fitted by Spark."""
+    if k == 1:
+        centre = blocks.agg(F.avg("block_start_x"), F.avg("block_start_y")).first()
+        return blocks.withColumns({"depot_id": F.lit(0), "depot_x": F.lit(centre[0]), "depot_y": F.lit(centre[1])})
     vec = VectorAssembler(inputCols=["block_start_x", "block_start_y"], outputCol="_at").transform(blocks)
     model = KMeans(k=k, seed=seed, featuresCol="_at", predictionCol="depot_id").fit(vec)
     rows = [(i, float(c[0]), float(c[1])) for i, c in enumerate(model.clusterCenters())]
@@ -173,8 +176,8 @@ def prepare_trips(trips: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The parts that no scenario changes: end over midnight, down time, way to the next trip."""
     df = trips.withColumn("t_min_of_day_end", unwrap_end("t_min_of_day", "t_min_of_day_end"))
     df = df.withColumn("t_min_trip", F.col("t_min_of_day_end") - F.col("t_min_of_day"))
-    df = o.split_hot(df, keys, "t_min_of_day")
-    return o.drop_runs(deadhead(downtime(df, keys), keys), keys, "t_min_of_day")
+    df, done = o.shared_split(df, keys, "t_min_of_day")
+    return done(deadhead(downtime(df, keys), keys))
 
 
 def fleet_energy(

@@ -47,19 +47,17 @@ def cumulative_features(df: DataFrame, track: Sequence[str], order: Sequence[str
 
     ``cumul_dist_m`` keeps its offset: it is what the hourly baseline divides.
     """
-    cols = df.columns
     names = ("cumul_time_s", "cumul_dist_km", "cumul_passed_stops_n")
+    df, done = o.shared_split(df, track, order[0])
     df = o.ordered(
-        o.split_hot(df, track, order[0]), track, order,
+        df, track, order,
         cumul_time_s=o.running_sum("calc_time_s"),
         cumul_dist_km=o.running_sum("calc_dist_km"),
         cumul_passed_stops_n=o.running_sum("passed_stops_n"),
     )
     df = o.ordered(df, track, order, **{f"_min_{n}": o.group_min(n) for n in names})
-    keep = [c for c in cols if c not in (*names, "cumul_dist_m")]
-    return df.select(
-        *keep, *[(F.col(n) - F.col(f"_min_{n}")).alias(n) for n in names], (F.col("cumul_dist_km") * 1000).alias("cumul_dist_m")
-    )
+    df = df.withColumn("cumul_dist_m", F.col("cumul_dist_km") * 1000)
+    return done(df.withColumns({n: F.col(n) - F.col(f"_min_{n}") for n in names}).drop(*[f"_min_{n}" for n in names]))
 
 
 def passed_stops(df: DataFrame, track: Sequence[str], order: Sequence[str], seq="stop_sequence") -> DataFrame:
@@ -198,10 +196,10 @@ def fill_both(df: DataFrame, key: Sequence[str], order: Sequence[str], *cols: st
 
 def lagged(df: DataFrame, key: Sequence[str], order: Sequence[str], col: str, k: int, name: str) -> DataFrame:
     """The value k rows back: k steps on one shuffle."""
-    df = o.split_hot(df, key, order[0]).withColumn(name, F.col(col))
+    df, done = o.shared_split(df.withColumn(name, F.col(col)), key, order[0])
     for _ in range(k):
         df = o.ordered(df, key, order, **{name: o.prev(name)})
-    return o.drop_runs(df, key, order[0])
+    return done(df)
 
 
 def local_diff(df: DataFrame, key: Sequence[str], order: Sequence[str], col: str, k: int) -> DataFrame:
@@ -238,9 +236,8 @@ def acceleration(df: DataFrame, key: Sequence[str], order: Sequence[str], speed:
 
 def segment_profile(df: DataFrame, shape="shape_id", seq="seq_id", speed="speed_mean", sep: float = 300.0) -> DataFrame:
     """Distance from the sequence, step time from the mean speed, running time."""
-    df = o.split_hot(df.withColumn("cumul_dist_m", F.col(seq) * F.lit(float(sep))), [shape], seq)
+    df, done = o.shared_split(df.withColumn("cumul_dist_m", F.col(seq) * F.lit(float(sep))), [shape], seq)
     df = o.ordered(df, [shape], [seq], _prev=o.prev("cumul_dist_m"))
     df = df.withColumn("calc_dist_m", F.coalesce(F.col("cumul_dist_m") - F.col("_prev"), F.lit(0.0))).drop("_prev")
     df = df.withColumn("calc_time_s", ratio("calc_dist_m", speed))
-    df = o.ordered(df, [shape], [seq], cumul_time_s=o.running_sum("calc_time_s"))
-    return o.drop_runs(df, [shape], seq)
+    return done(o.ordered(df, [shape], [seq], cumul_time_s=o.running_sum("calc_time_s")))

@@ -214,7 +214,8 @@ def smooth(
 
 def points_along(shapes: DataFrame, shape: str, seq: str, x: str, y: str, step: float) -> DataFrame:
     """Points every ``step`` along each shape, with sequence and distance."""
-    df = o.ordered(o.split_hot(shapes, [shape], seq), [shape], [seq], _x=o.prev(x), _y=o.prev(y))
+    df, _ = o.shared_split(shapes, [shape], seq)
+    df = o.ordered(df, [shape], [seq], _x=o.prev(x), _y=o.prev(y))
     far = F.sqrt(F.pow(F.col(x) - F.col("_x"), 2) + F.pow(F.col(y) - F.col("_y"), 2))
     df = df.withColumn("_d", F.coalesce(far, F.lit(0.0)))
     df = o.ordered(df, [shape], [seq], dist_shape_m=o.running_sum("_d"))

@@ -68,12 +68,46 @@ def _haversine_m(lon1, lat1, lon2, lat2):
     return 2 * 6371000 * np.arcsin(np.sqrt(np.minimum(chord, 1.0)))
 
 
-class _Steps(StatefulProcessor):
+class _Expiring(StatefulProcessor):
+    """State that is dropped when the watermark is ``keep_ms`` past its newest row."""
+
+    def __init__(self, keep_ms: int) -> None:
+        self.keep_ms = keep_ms
+
+    def remember(self, newest_s: int, timerValues) -> None:
+        at = newest_s * 1000 + self.keep_ms
+        if at > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(at)
+
+    def newest(self):
+        raise NotImplementedError
+
+    def forget(self) -> None:
+        raise NotImplementedError
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        newest = self.newest()
+        if newest is not None and newest * 1000 + self.keep_ms <= expiredTimerInfo.getExpiryTimeInMs():
+            self.forget()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class _Steps(_Expiring):
     """Last point of each trip; a step is measured against it and within the batch."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = T.StructType().add("t", T.LongType()).add("lon", T.DoubleType()).add("lat", T.DoubleType())
-        self.last = handle.getValueState("last", schema, DAY_MS)
+        self.handle = handle
+        self.last = handle.getValueState("last", schema)
+
+    def newest(self):
+        return self.last.get()[0] if self.last.exists() else None
+
+    def forget(self) -> None:
+        self.last.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         df = pd.concat(list(rows)).sort_values(["locationtime", "event_id"], ignore_index=True)
@@ -88,34 +122,41 @@ class _Steps(StatefulProcessor):
         newest = df.iloc[-1]
         if before[0] is None or newest["locationtime"] >= before[0]:
             self.last.update((int(newest["locationtime"]), float(newest["lon"]), float(newest["lat"])))
+            self.remember(int(newest["locationtime"]), timerValues)
         yield out
 
-    def close(self) -> None:
-        pass
-
 
-def stream_step_metrics(df: DataFrame) -> DataFrame:
-    """Distance and time since the trip's previous point, over batch borders; state lives a day.
+def stream_step_metrics(df: DataFrame, ts: str = "ts", delay: str = "1 day", keep_ms: int = DAY_MS) -> DataFrame:
+    """Distance and time since the trip's previous point, over batch borders.
 
-    Input has trip_id, event_id, locationtime, lon, lat. One call sees one
-    trip's rows of one trigger, which ``max_files`` bounds.
+    Input has trip_id, event_id, locationtime, lon, lat and the event time. One
+    call sees one trip's rows of one trigger, which ``max_files`` bounds; a
+    trip without news for ``keep_ms`` is forgotten.
     """
     out = "trip_id string, event_id long, calc_dist_m double, calc_time_s double"
-    cols = df.select("trip_id", "event_id", "locationtime", "lon", "lat")
+    cols = df.withWatermark(ts, delay).select("trip_id", "event_id", "locationtime", "lon", "lat", ts)
     return cols.groupBy("trip_id").transformWithStateInPandas(
-        statefulProcessor=_Steps(), outputStructType=out, outputMode="Append", timeMode="ProcessingTime"
+        statefulProcessor=_Steps(keep_ms), outputStructType=out, outputMode="Append", timeMode="EventTime"
     )
 
 
-class _RecentInCell(StatefulProcessor):
+class _RecentInCell(_Expiring):
     """Ring of the last n observations of a cell."""
 
-    def __init__(self, n: int) -> None:
+    def __init__(self, n: int, keep_ms: int) -> None:
+        super().__init__(keep_ms)
         self.n = n
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = T.StructType().add("t", T.ArrayType(T.LongType())).add("v", T.ArrayType(T.DoubleType()))
-        self.ring = handle.getValueState("ring", schema, DAY_MS)
+        self.handle = handle
+        self.ring = handle.getValueState("ring", schema)
+
+    def newest(self):
+        return self.ring.get()[0][-1] if self.ring.exists() else None
+
+    def forget(self) -> None:
+        self.ring.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         df = pd.concat(list(rows)).sort_values(["locationtime", "event_id"], ignore_index=True)
@@ -130,21 +171,20 @@ class _RecentInCell(StatefulProcessor):
         # Keep enough for rows that share the newest second.
         keep = len(t) - np.searchsorted(t, t[-1], side="left") + self.n
         self.ring.update((t[-keep:].tolist(), v[-keep:].tolist()))
+        self.remember(int(t[-1]), timerValues)
         yield pd.DataFrame({"xbin": key[0], "ybin": key[1], "event_id": df["event_id"], "recent": recent})
 
-    def close(self) -> None:
-        pass
-
 
-def stream_recent_in_cell(df: DataFrame, n: int = 4) -> DataFrame:
-    """The last ``n`` speeds seen in each point's cell strictly before it; state lives a day.
+def stream_recent_in_cell(df: DataFrame, n: int = 4, ts: str = "ts", delay: str = "1 day", keep_ms: int = DAY_MS) -> DataFrame:
+    """The last ``n`` speeds seen in each point's cell strictly before it.
 
-    Input has xbin, ybin, event_id, locationtime, speed_m_s.
+    Input has xbin, ybin, event_id, locationtime, speed_m_s and the event
+    time; a cell without news for ``keep_ms`` is forgotten.
     """
     out = "xbin long, ybin long, event_id long, recent array<double>"
-    cols = df.select("xbin", "ybin", "event_id", "locationtime", "speed_m_s")
+    cols = df.withWatermark(ts, delay).select("xbin", "ybin", "event_id", "locationtime", "speed_m_s", ts)
     return cols.groupBy("xbin", "ybin").transformWithStateInPandas(
-        statefulProcessor=_RecentInCell(n), outputStructType=out, outputMode="Append", timeMode="ProcessingTime"
+        statefulProcessor=_RecentInCell(n, keep_ms), outputStructType=out, outputMode="Append", timeMode="EventTime"
     )
 
 
