@@ -5,8 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from headway.functions.scalar import col_of
 
@@ -90,75 +93,57 @@ def hex_id(q, r) -> Column:
 HEX_NEIGHBOURS = ((1, 0), (1, -1), (0, -1), (-1, 0), (-1, 1), (0, 1))
 
 
-def geodesic(df: DataFrame, lon1: str, lat1: str, lon2: str, lat2: str, dist="dist_m", bearing="bear_d", steps=6):
-    """WGS84 ellipsoid distance and forward azimuth, by Vincenty's inverse method.
+@F.pandas_udf(T.StructType().add("dist", T.DoubleType()).add("bearing", T.DoubleType()))
+def geodesic_inv(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.DataFrame:
+    """WGS84 ellipsoid distance in metres and forward azimuth in degrees, by Vincenty's inverse method.
 
-    The longitude iteration runs a fixed number of times, each as a projected
-    column, so that it stays generated code. Bus steps converge in two or three;
-    near-antipodal pairs, which do not converge, come out null.
+    Iterates a whole Arrow batch until every pair has settled, two or three
+    rounds for bus steps. Near-antipodal pairs, which do not settle, come out
+    null. An Arrow function, not a chain of columns: some fifty nested
+    expressions would be copied into every filter on the result.
     """
-    a, f = WGS84_A, WGS84_F
+    with np.errstate(all="ignore"):
+        return pd.DataFrame(dict(zip(("dist", "bearing"), _vincenty(*(c.to_numpy(float) for c in (lon1, lat1, lon2, lat2))))))
+
+
+def _vincenty(lon1, lat1, lon2, lat2, rounds: int = 20):
+    f, a = WGS84_F, WGS84_A
     b = a * (1 - f)
-    rad = F.radians
-    u1, u2 = F.atan((1 - f) * F.tan(rad(lat1))), F.atan((1 - f) * F.tan(rad(lat2)))
-    work = df.withColumns({"_u1": u1, "_u2": u2, "_L": rad(F.col(lon2) - F.col(lon1))})
-    work = work.withColumns(
-        {"_s1": F.sin("_u1"), "_c1": F.cos("_u1"), "_s2": F.sin("_u2"), "_c2": F.cos("_u2"), "_lam": F.col("_L")}
-    )
-    s1, c1, s2, c2 = (F.col(n) for n in ("_s1", "_c1", "_s2", "_c2"))
-    for _ in range(steps):
-        work = work.withColumns({"_sl": F.sin("_lam"), "_cl": F.cos("_lam")})
-        sl, cl = F.col("_sl"), F.col("_cl")
-        across, along = c2 * sl, c1 * s2 - s1 * c2 * cl
-        work = work.withColumns(
-            {"_ss": F.sqrt(across * across + along * along), "_cs": s1 * s2 + c1 * c2 * cl}
-        )
-        work = work.withColumns(
-            {
-                "_sig": F.atan2("_ss", "_cs"),
-                "_sa": F.when(F.col("_ss") == 0, F.lit(0.0)).otherwise(c1 * c2 * sl / F.col("_ss")),
-            }
-        )
-        work = work.withColumn("_c2a", 1 - F.col("_sa") * F.col("_sa"))
-        work = work.withColumn(
-            "_c2m", F.when(F.col("_c2a") < 1e-15, F.lit(0.0)).otherwise(F.col("_cs") - 2 * s1 * s2 / F.col("_c2a"))
-        )
-        cc = f / 16 * F.col("_c2a") * (4 + f * (4 - 3 * F.col("_c2a")))
-        ss, cs, m = F.col("_ss"), F.col("_cs"), F.col("_c2m")
-        work = work.withColumns(
-            {
-                "_old": F.col("_lam"),
-                "_lam": F.col("_L")
-                + (1 - cc) * f * F.col("_sa") * (F.col("_sig") + cc * ss * (m + cc * cs * (-1 + 2 * m * m))),
-            }
-        )
-    usq = F.col("_c2a") * ((a * a - b * b) / (b * b))
-    work = work.withColumns(
-        {
-            "_A": 1 + usq / 16384 * (4096 + usq * (-768 + usq * (320 - 175 * usq))),
-            "_B": usq / 1024 * (256 + usq * (-128 + usq * (74 - 47 * usq))),
-        }
-    )
-    big_b, ss, cs, m = F.col("_B"), F.col("_ss"), F.col("_cs"), F.col("_c2m")
-    shift = big_b * ss * (
-        m
-        + big_b / 4 * (cs * (-1 + 2 * m * m) - big_b / 6 * m * (-3 + 4 * ss * ss) * (-3 + 4 * m * m))
-    )
-    # Always true, but not deterministic: a filter on the result is not copied
-    # down through the steps above, which would multiply the expression.
-    here = F.monotonically_increasing_id() >= 0
-    settled = here & (F.abs(F.col("_lam") - F.col("_old")) < 1e-9)
-    azimuth = F.degrees(F.atan2(c2 * F.col("_sl"), c1 * s2 - s1 * c2 * F.col("_cl")))
-    work = work.withColumns(
-        {
-            dist: F.when(settled, b * F.col("_A") * (F.col("_sig") - shift)),
-            bearing: F.when(settled, azimuth),
-        }
-    )
-    return work.drop(
-        "_u1", "_u2", "_L", "_s1", "_c1", "_s2", "_c2", "_lam", "_sl", "_cl", "_ss", "_cs", "_sig", "_sa",
-        "_c2a", "_c2m", "_old", "_A", "_B",
-    )
+    apart = np.radians(lon2 - lon1)
+    u1, u2 = np.arctan((1 - f) * np.tan(np.radians(lat1))), np.arctan((1 - f) * np.tan(np.radians(lat2)))
+    s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
+    lam, change = apart, np.full_like(apart, np.inf)
+    for _ in range(rounds):
+        sl, cl = np.sin(lam), np.cos(lam)
+        sin_sig = np.hypot(c2 * sl, c1 * s2 - s1 * c2 * cl)
+        cos_sig = s1 * s2 + c1 * c2 * cl
+        sig = np.arctan2(sin_sig, cos_sig)
+        sin_az = np.where(sin_sig == 0, 0.0, c1 * c2 * sl / sin_sig)
+        cos2_az = 1 - sin_az**2
+        mid = np.where(cos2_az < 1e-15, 0.0, cos_sig - 2 * s1 * s2 / cos2_az)
+        c = f / 16 * cos2_az * (4 + f * (4 - 3 * cos2_az))
+        new = apart + (1 - c) * f * sin_az * (sig + c * sin_sig * (mid + c * cos_sig * (2 * mid**2 - 1)))
+        change, lam = np.abs(new - lam), new
+        if not (change > 1e-13).any():
+            break
+    k = cos2_az * (a * a - b * b) / (b * b)
+    big_a = 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k)))
+    big_b = k / 1024 * (256 + k * (-128 + k * (74 - 47 * k)))
+    inner = cos_sig * (2 * mid**2 - 1) - big_b / 6 * mid * (4 * sin_sig**2 - 3) * (4 * mid**2 - 3)
+    dist = b * big_a * (sig - big_b * sin_sig * (mid + big_b / 4 * inner))
+    bearing = np.degrees(np.arctan2(c2 * sl, c1 * s2 - s1 * c2 * cl))
+    settled = change < 1e-9
+    return np.where(settled, dist, np.nan), np.where(settled, bearing, np.nan)
+
+
+def geodesic(df: DataFrame, lon1: str, lat1: str, lon2: str, lat2: str, dist="dist_m", bearing="bear_d") -> DataFrame:
+    """Add :func:`geodesic_inv` as two columns; null where a coordinate is missing."""
+    whole = F.col(lon1).isNotNull() & F.col(lat1).isNotNull() & F.col(lon2).isNotNull() & F.col(lat2).isNotNull()
+    df = df.withColumn("_geo", geodesic_inv(lon1, lat1, lon2, lat2))
+    settled = whole & ~F.isnan("_geo.dist")
+    return df.withColumns(
+        {dist: F.when(settled, F.col("_geo.dist")), bearing: F.when(settled, F.col("_geo.bearing"))}
+    ).drop("_geo")
 
 
 def sphere_bearing(lon1, lat1, lon2, lat2) -> Column:

@@ -79,15 +79,15 @@ def nearest_by_key(
         )
     )
     found = points.join(small, key, "left").withColumn("_near", here).drop("_spots")
+    if large_keys.isEmpty():
+        return found.select(*points.columns, *_place_columns(F.col("_near"), place, seq))
     large = _nearest_in_cells(points, spots.join(large_keys, key, "left_semi"), key, x, y, cell)
     both = found.join(large, [key, x, y], "left")
-    best = F.coalesce("_near", "_far")
-    return both.select(
-        *points.columns,
-        best["place"]["p"].alias(place),
-        best["place"]["s"].alias(seq),
-        best["d"].alias("calc_stop_dist_m"),
-    )
+    return both.select(*points.columns, *_place_columns(F.coalesce("_near", "_far"), place, seq))
+
+
+def _place_columns(best: Column, place: str, seq: str) -> list[Column]:
+    return [best["place"]["p"].alias(place), best["place"]["s"].alias(seq), best["d"].alias("calc_stop_dist_m")]
 
 
 def _nearest_in_cells(points: DataFrame, spots: DataFrame, key: str, x: str, y: str, cell: float, levels: int = 10):

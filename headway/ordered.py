@@ -5,8 +5,9 @@ is right for nearly every trip and wrong for the one that holds a third of the
 table. :func:`split_hot` finds keys above a row limit and cuts them into
 consecutive runs of the order column; :func:`ordered` then computes inside
 (key, run) and carries the running state from run to run through a small
-aggregate, one row per run of a hot key. With no hot key in the data the
-runtime optimiser removes the carry branch and one shuffle is left.
+aggregate, one row per run of a hot key. Whether there is a hot key is checked
+first, with a count per key; without one the plan is a plain window, one
+shuffle and no carry.
 
 Sizes that are broadcast: hot keys number at most rows / limit and their runs
 at most a small multiple of that, whatever the data looks like.
@@ -219,12 +220,17 @@ def split_hot(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     if not keys:
         df, keys = df.withColumn(_ALL, F.lit(0)), [_ALL]
     t = F.col(order).cast("double")
+    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    scattered = F.when(no_key, -1 - F.pmod(F.xxhash64(order), F.lit(4096)))
     hot = (
-        df.groupBy(*keys)
+        df.filter(~no_key)
+        .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > limit)
         .select(*_renamed(keys, "_h"), "_n")
     )
+    if hot.isEmpty():
+        return df.withColumn(run_name, scattered.otherwise(F.lit(0)).cast("long")).drop(_ALL)
     marks = [i / _CUTS for i in range(_CUTS + 1)]
     names = [f"_h{i}" for i in range(len(keys))]
     cuts = (
@@ -244,10 +250,8 @@ def split_hot(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
         (band >= 1) & share.isNotNull(),
         F.least(F.floor(share * F.col("_parts")), F.col("_parts") - 1),
     ).otherwise(F.lit(0))
-    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     run = (
-        F.when(no_key, -1 - F.pmod(F.xxhash64(order), F.lit(4096)))
-        .when(band.isNull(), F.lit(0))
+        scattered.when(band.isNull(), F.lit(0))
         .when(t.isNull(), F.lit(1))
         .otherwise(1 + band * F.col("_parts") + inner)
         .cast("long")
@@ -283,7 +287,8 @@ def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], **calcs: C
         base, keys = base.withColumn(_ALL, F.lit(0)), [_ALL]
     # The hot flag follows from the key; with it among the partition keys the
     # filter below can sink through earlier steps, down to the scan.
-    inside = Window.partitionBy(*keys, run, hot)
+    split = hot in base.columns
+    inside = Window.partitionBy(*keys, run, hot) if split else Window.partitionBy(*keys, run)
     frames = _Frames(
         inside.orderBy(*[F.col(o).asc() for o in order]),
         inside.orderBy(*[F.col(o).desc() for o in order]),
@@ -291,6 +296,12 @@ def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], **calcs: C
     )
     rows = base.select("*", *[calc.local(frames).alias(f"_l_{name}") for name, calc in calcs.items()])
 
+    if not split:
+        return rows.select(
+            *[c for c in df.columns if c not in calcs],
+            *[F.when(F.col(run) >= 0, calc.merge(F.col(f"_l_{n}"), F.lit(None))).alias(n) for n, calc in calcs.items()],
+        )
+
     stamp = F.struct(*order)
     names = [f"_k{i}" for i in range(len(keys))]
     runs = (

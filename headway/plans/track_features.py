@@ -68,7 +68,7 @@ def clean_tracks(points: DataFrame, raster: DataFrame, origin: Sequence[float],
 
 def add_schedule(df: DataFrame, stop_times: DataFrame, stops: DataFrame, trips: DataFrame, by: Sequence[str]) -> DataFrame:
     """Nearest scheduled stop, scheduled elapsed time and stops passed."""
-    static = j.scheduled_stops(stop_times, stops)
+    static = stage(j.scheduled_stops(stop_times, stops), "static")
     df = f.keep_scheduled(df, static, by)
     df = stage(j.attach_schedule(j.nearest_by_key(df, static, "trip_id"), static, trips), "scheduled")
     df = tr.track_start(df, ["shingle_id"])
