@@ -278,25 +278,19 @@ def bin_minutes(status: DataFrame, width: int, by: Sequence[str], totals: Sequen
 
 
 def block_energy(
-    trips: DataFrame, keys: Sequence[str] = ("block_id",), order: Sequence[str] = ("t_min_of_day", "trip_id"),
-    extra: dict[str, Column] | None = None,
+    trips: DataFrame, keys: Sequence[str] = ("block_id",), order: Sequence[str] = ("t_min_of_day", "trip_id")
 ) -> DataFrame:
-    """Block totals of energy, distance and the resulting consumption.
-
-    ``extra`` aggregates are computed in the same pass.
-    """
+    """Block totals of energy, distance and the resulting consumption."""
     first = F.struct(*order)
-    extra = extra or {}
     sums = trips.groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in ("cyc_energy_kwh", "trip_door_kwh", "trip_deadhead_kwh", "cyc_regen_kwh",
                                       "trip_dist_m", "trip_deadhead_dist_m")],
         *[F.min_by(c, first).alias(c) for c in ("block_deadhead_kwh", "block_deadhead_dist_m")],
-        *[e.alias(n) for n, e in extra.items()],
     )
     net = F.col("cyc_energy_kwh") + F.col("trip_door_kwh") + F.col("trip_deadhead_kwh") + F.col("block_deadhead_kwh")
     far = F.col("trip_dist_m") + F.col("trip_deadhead_dist_m") + F.col("block_deadhead_dist_m")
     out = sums.select(
         *keys, net.alias("block_net_energy_kwh"), F.col("cyc_regen_kwh").alias("block_cyc_regen_kwh"),
-        m_to_mi(far).alias("block_dist_mi"), *extra,
+        m_to_mi(far).alias("block_dist_mi"),
     )
     return out.withColumn("block_consumption_kwh_mi", ratio("block_net_energy_kwh", "block_dist_mi"))

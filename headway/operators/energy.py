@@ -117,10 +117,15 @@ def own_blocks(trips: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.withColumn("block_id", block).drop("_gap")
 
 
-def deadhead_energy(df: DataFrame, kwh_mi, aux_kw) -> DataFrame:
-    """Energy between trips: the way there, and idling for at most an hour."""
+def idle_minutes() -> Column:
+    """Down time with the engine on: at most an hour per stop."""
+    return clip(F.col("t_min_down"), 0, 60)
+
+
+def deadhead_energy(df: DataFrame, kwh_mi, aux_kw, idle_min: Column | None = None) -> DataFrame:
+    """Energy between trips: the way there, and idling (by default from the trip's down time)."""
     drive = m_to_mi("trip_deadhead_dist_m") * _col(kwh_mi)
-    idle = clip(F.col("t_min_down"), 0, 60) * 60 * _col(aux_kw) / 3600
+    idle = (idle_minutes() if idle_min is None else idle_min) * 60 * _col(aux_kw) / 3600
     return df.withColumns(
         {"trip_deadhead_drive_kwh": drive, "trip_deadhead_aux_kwh": idle, "trip_deadhead_kwh": drive + idle}
     )
@@ -194,9 +199,10 @@ def fleet_energy(
     return df.join(block_energy(df, keys), list(keys))
 
 
-def trip_costs(prepared: DataFrame, params: Mapping[str, object], block_depots: DataFrame | None, depot_on: Sequence[str]):
-    """Deadhead, door and depot energy of each trip row, without any grouping."""
-    df = deadhead_energy(prepared, params["deadhead_consumption_kwh_mi"], params["aux_power_kw"])
+def trip_costs(prepared: DataFrame, params: Mapping[str, object], block_depots: DataFrame | None, depot_on: Sequence[str],
+               idle_min: Column | None = None) -> DataFrame:
+    """Deadhead, door and depot energy of each row, trip or block, without any grouping."""
+    df = deadhead_energy(prepared, params["deadhead_consumption_kwh_mi"], params["aux_power_kw"], idle_min)
     df = door_energy(df, params["temperature_f"], params["door_open_time_s"])
     if block_depots is None:
         return df.withColumns({"block_deadhead_kwh": F.lit(0.0), "block_deadhead_dist_m": F.lit(0.0)})
@@ -372,17 +378,35 @@ def cycle_variants(
     return list(seen.values())
 
 
-def block_table(trips: DataFrame, keys: Sequence[str], plug_kw) -> DataFrame:
-    """Everything the charging and sensitivity steps need of a block, from one aggregate over trips."""
+def block_stats(prepared: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What a block's energy depends on, summed over its trips.
+
+    Every cost is linear in these sums, so scenarios multiply blocks and not trips.
+    """
     at = F.struct("t_min_of_day", "trip_id")
-    extra = {
-        "n_trips": F.count(F.lit(1)),
-        "sum_consumption": F.sum("consumption_kwh_mi"),
-        "t_min_of_day": F.min("t_min_of_day"),
-        "t_min_of_day_end": F.max_by("t_min_of_day_end", at),
-        "plug_power_kw": F.min_by("_plug", at),
-    }
-    return charge_window(block_energy(trips.withColumn("_plug", _col(plug_kw)), keys, extra=extra))
+    return prepared.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_trips"),
+        F.sum("consumption_kwh_mi").alias("sum_consumption"),
+        F.sum(F.col("consumption_kwh_mi") * m_to_mi("trip_dist_m")).alias("cyc_energy_kwh"),
+        F.sum("cyc_regen_kwh").alias("block_cyc_regen_kwh"),
+        F.sum("trip_dist_m").alias("trip_dist_m"),
+        F.sum("trip_deadhead_dist_m").alias("trip_deadhead_dist_m"),
+        F.sum(idle_minutes()).alias("idle_min"),
+        F.sum("stop_count").alias("stop_count"),
+        F.min("t_min_of_day").alias("t_min_of_day"),
+        F.max_by("t_min_of_day_end", at).alias("t_min_of_day_end"),
+    )
+
+
+def block_table(stats: DataFrame, block_depots: DataFrame | None, depot_on: Sequence[str]) -> DataFrame:
+    """Energy, distance, consumption and charge window of each block, parameters read from its row."""
+    df = trip_costs(stats, {p: F.col(p) for p in BASELINE}, block_depots, depot_on, F.col("idle_min"))
+    net = F.col("cyc_energy_kwh") + F.col("trip_door_kwh") + F.col("trip_deadhead_kwh") + F.col("block_deadhead_kwh")
+    far = F.col("trip_dist_m") + F.col("trip_deadhead_dist_m") + F.col("block_deadhead_dist_m")
+    df = df.withColumns(
+        {"block_net_energy_kwh": net, "block_dist_mi": m_to_mi(far), "plug_power_kw": F.col("depot_plug_power_kw")}
+    )
+    return charge_window(df.withColumn("block_consumption_kwh_mi", ratio("block_net_energy_kwh", "block_dist_mi")))
 
 
 def scenario_metrics(blocks: DataFrame, folded: DataFrame, keys: Sequence[str], battery_kwh: float = 466.0) -> DataFrame:
@@ -451,13 +475,16 @@ def run_scenarios(
     replaces the trips' own consumption where the cycle stage was run.
     """
     keys = list(keys)
-    scene = [*keys, "file"]
-    prepared = prepare_trips(trips, [*keys, "block_id"])
-    df = with_scenarios(prepared, scenarios)
-    if cycle_kwh is not None:
-        df = df.drop("consumption_kwh_mi", "cyc_regen_kwh").join(cycle_kwh, ["trip_id", *CYCLE_PARAMS])
-    df = df.withColumn("cyc_energy_kwh", F.col("consumption_kwh_mi") * m_to_mi("trip_dist_m"))
-    df = trip_costs(df, {p: F.col(p) for p in BASELINE}, block_depots, depot_on)
-    blocks = stage(block_table(df, [*scene, "block_id"], F.col("depot_plug_power_kw")), "blocks")
+    scene, block = [*keys, "file"], [*keys, "block_id"]
+    scenarios = scenarios or scenario_list()
+    prepared = prepare_trips(trips, block)
+    if cycle_kwh is None:
+        df = with_scenarios(block_stats(prepared, block), scenarios)
+    else:
+        df = prepared.drop("consumption_kwh_mi", "cyc_regen_kwh").join(cycle_kwh, "trip_id")
+        names = ["file", *scenarios[0][1]]
+        grid = trips.sparkSession.createDataFrame([(n, *map(float, p.values())) for n, p in scenarios], names)
+        df = block_stats(df, [*block, *CYCLE_PARAMS]).join(grid, list(CYCLE_PARAMS))
+    blocks = stage(block_table(df, block_depots, depot_on), "blocks")
     folded = stage(fold_minutes(vehicle_status(blocks, scene), scene), "status")
     return name_parameters(scenario_metrics(blocks, folded, scene))
