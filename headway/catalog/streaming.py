@@ -20,6 +20,16 @@ def points(df):
 def replay(spark, sf, build, frames=None):
     """Run the stream over the events in one go, or over the given parts in turn, with one checkpoint."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", st.ROCKS)
+    # The number of state partitions is fixed when a stream first starts: one per core here.
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    try:
+        return _replay(spark, sf, build, frames)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def _replay(spark, sf, build, frames):
     events = table(spark, sf, "events")
     out, mark = shared_dir(spark, "stream-out"), shared_dir(spark, "stream-mark")
     if frames is None:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -142,15 +141,13 @@ def peak_filter(
     )
 
 
-@lru_cache(maxsize=256)
-def _fit_weights(window: int, degree: int) -> np.ndarray:
-    """Row i holds the weights that give the fitted polynomial at sample i; the last row the window's middle."""
-    x = np.arange(window) - (window - 1) / 2
-    scale = max((window - 1) / 2, 1.0)
-    basis = np.vander(x / scale, degree + 1, increasing=True)
-    solve = np.linalg.pinv(basis)
-    rows = np.vstack([basis, np.vander([0.0], degree + 1, increasing=True)])
-    return rows @ solve
+def _convolve(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Whole-window sums of values times weights; by transform where the window is wide."""
+    if len(weights) <= 512:
+        return np.convolve(values, weights[::-1], mode="valid")
+    size = 1 << int(len(values) + len(weights)).bit_length()
+    product = np.fft.irfft(np.fft.rfft(values, size) * np.fft.rfft(weights[::-1], size), size)
+    return product[len(weights) - 1 : len(values)]
 
 
 def _smooth_chunk(values: np.ndarray, start: int, n: int, window: int, degree: int) -> np.ndarray:
@@ -159,17 +156,21 @@ def _smooth_chunk(values: np.ndarray, start: int, n: int, window: int, degree: i
     Rows without a whole window inside the piece come out NaN unless they are
     at an end of the track, where the end window's polynomial is read.
     """
-    weights = _fit_weights(window, degree)
     out = np.full(len(values), np.nan)
+    if len(values) < window:
+        return out
+    x = (np.arange(window) - (window - 1) / 2) / max((window - 1) / 2, 1.0)
+    basis = np.vander(x, degree + 1, increasing=True)
+    fit = np.linalg.pinv(basis)
     half = window // 2
-    if len(values) >= window:
-        middle = np.convolve(values, weights[-1][::-1], mode="valid")
-        shift = half if window % 2 else half - 1
-        out[shift : shift + len(middle)] = middle
-        if start == 0:
-            out[:half] = weights[:half] @ values[:window]
-        if start + len(values) == n:
-            out[len(values) - half :] = weights[window - half : window] @ values[-window:]
+    # The constant term of the fit is its value in the middle of the window.
+    middle = _convolve(values, fit[0])
+    shift = half if window % 2 else half - 1
+    out[shift : shift + len(middle)] = middle
+    if start == 0:
+        out[:half] = basis[:half] @ (fit @ values[:window])
+    if start + len(values) == n:
+        out[len(values) - half :] = basis[window - half :] @ (fit @ values[-window:])
     return out
 
 
