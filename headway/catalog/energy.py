@@ -45,7 +45,7 @@ view("roadpow", road("(18340e0 + 41e0 * (150e0 * 0.453592e0))", "2e1"))
 view("roadsum", road_sums("roadpow"))
 
 
-@query("road_load", "trip_id rr_kwh~6 drag_kwh~6 ascent_kwh~6 accel_kwh~6 aux_kwh~6 ess_kwh~6 regen_kwh~6 dist_m~4 electric_kwh_per_mi~5",
+@query("road_load", "trip_id rr_kwh~9 drag_kwh~9 ascent_kwh~9 accel_kwh~9 aux_kwh~9 ess_kwh~9 regen_kwh~9 dist_m~4 electric_kwh_per_mi~5",
        "SELECT * FROM roadsum")
 def _(spark, sf):
     return e.road_load_energy(cycles(spark, sf), ["trip_id"], "time_s", "mps", "grade", aux_kw=20.0, passengers=41.0)
