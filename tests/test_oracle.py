@@ -1,4 +1,7 @@
-"""Every registered query against its SQL counterpart, on the smallest tables."""
+"""Every registered query against its SQL counterpart, on the smallest tables.
+
+Floats may differ in the last rounded digit; ``python tests/compare.py`` compares exactly.
+"""
 
 import pytest
 from compare import compare, database
@@ -17,11 +20,11 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    problem, _ = compare(spark, con, SF, QUERIES[name])
+    problem, _ = compare(spark, con, SF, QUERIES[name], exact=False)
     assert problem is None
 
 
 @pytest.mark.parametrize("name", SPLIT)
 def test_query_with_hot_keys(spark, con, small_groups, name):
-    problem, _ = compare(spark, con, SF, QUERIES[name])
+    problem, _ = compare(spark, con, SF, QUERIES[name], exact=False)
     assert problem is None
