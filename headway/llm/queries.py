@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headway.llm import bpe, quality
+from headway.llm import bpe, langid, licenses, quality, secrets, sharding, substrings
 from headway.llm.tables import documents
 
 
@@ -24,5 +24,31 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_bpe": op3_bpe, "op9_quality": op9_quality}
-ORACLE_SQL: dict[str, str] = {}
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+SHARD_BYTES = 32_000_000
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir), SHARD_BYTES)
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(documents(spark, sf_dir))
+
+
+QUERIES = {
+    "op1_licenses": op1_licenses, "op3_bpe": op3_bpe, "op5_sharding": op5_sharding, "op6_secrets": op6_secrets, "op7_language": op7_language,
+    "op8_substrings": op8_substrings, "op9_quality": op9_quality,
+}
+ORACLE_SQL = {"op5_sharding": sharding.oracle(SHARD_BYTES)}

@@ -37,3 +37,29 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return df.mapInArrow(run, struct)
+
+
+#: Stands for a null id inside an operator; it sorts first.
+NO_ID = -(1 << 63)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """key (the id), th (a hash of the text, so that rows that repeat an id stay apart), text."""
+    from pyspark.sql import functions as F
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
+def to_id(name: str = "key"):
+    from pyspark.sql import functions as F
+
+    return F.when(F.col(name) != NO_ID, F.col(name)).alias("doc_id")
+
+
+def group_count(docs: DataFrame, group_bytes: int) -> int:
+    """How many groups of about ``group_bytes`` of text the documents make, and enough for all tasks."""
+    from pyspark.sql import functions as F
+
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // group_bytes))
