@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headway.llm import bpe, langid, licenses, quality, secrets, sharding, substrings
+from headway.llm import bpe, langid, licenses, ngram_join, quality, secrets, sharding, substrings
 from headway.llm.tables import documents
 
 
@@ -28,6 +28,10 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(documents(spark, sf_dir))
+
+
 SHARD_BYTES = 32_000_000
 
 
@@ -48,7 +52,7 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_licenses": op1_licenses, "op3_bpe": op3_bpe, "op5_sharding": op5_sharding, "op6_secrets": op6_secrets, "op7_language": op7_language,
+    "op1_licenses": op1_licenses, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_bpe": op3_bpe, "op5_sharding": op5_sharding, "op6_secrets": op6_secrets, "op7_language": op7_language,
     "op8_substrings": op8_substrings, "op9_quality": op9_quality,
 }
 ORACLE_SQL = {"op5_sharding": sharding.oracle(SHARD_BYTES)}

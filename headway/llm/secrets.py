@@ -51,7 +51,7 @@ MORE = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
     Rule("google", r"AIza[A-Za-z0-9_-]+", 0, 39),
     Rule("stripe", r"[sr]k_live_[A-Za-z0-9]+", 0, 24),
-    Rule("url_password", r"[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@]+:([^\s:/@]+)@", 1, 4),
+    Rule("url_password", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/@]{1,200}:([^\s:/@]{1,200})@", 1, 4),
 )
 
 MAX_WAYS = 64
