@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headway.llm import bpe, langid, licenses, ngram_join, quality, secrets, sharding, substrings
-from headway.llm.tables import documents
+from headway.llm import bpe, decontaminate, langid, licenses, lines, ngram_join, quality, secrets, sharding, substrings
+from headway.llm.tables import documents, table
 
 
 def byte_bpe() -> str:
@@ -32,6 +32,14 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(documents(spark, sf_dir))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(documents(spark, sf_dir))
+
+
 SHARD_BYTES = 32_000_000
 
 
@@ -52,7 +60,7 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_licenses": op1_licenses, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_bpe": op3_bpe, "op5_sharding": op5_sharding, "op6_secrets": op6_secrets, "op7_language": op7_language,
-    "op8_substrings": op8_substrings, "op9_quality": op9_quality,
+    "op1_licenses": op1_licenses, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_bpe": op3_bpe, "op4_decontaminate": op4_decontaminate, "op5_sharding": op5_sharding, "op6_secrets": op6_secrets, "op7_language": op7_language,
+    "op8_substrings": op8_substrings, "op9_quality": op9_quality, "op10_lines": op10_lines,
 }
 ORACLE_SQL = {"op5_sharding": sharding.oracle(SHARD_BYTES)}
