@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headway.llm.tables import group_count, keyed, map_batches, to_id
-from headway.llm.words import slices
+from headway.llm.words import mix, slices
 
 SIZE = 20
 SEED = 8
@@ -43,7 +43,8 @@ GROUP_BYTES = 16_000_000
 FLUSH = 1_000_000
 _SECOND = 0xC2B2AE3D27D4EB4F
 
-PACKED = "part int, key long, th long, data binary"
+#: Leaves of a group (part >= 0) or reports for a share of the documents (part < 0).
+PACKED = "part int, data binary"
 
 
 def seeds(code: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +90,7 @@ class Leaves:
         self.parts, self.docs, self.held = [], [], 0
         paths, doc, word = columns[:-2], columns[-2], columns[-1]
         first, repeat = leaves_in_order(paths, docs, doc, word)
-        yield from reports(docs, doc, word, repeat if self.wide else repeated_everywhere(paths, first, repeat))
+        yield from reports(docs, doc, word, repeat if self.wide else repeated_everywhere(paths, first, repeat), self.groups)
         part = (paths[0][first] % np.uint64(self.groups)).astype(np.int64)
         by_part = np.argsort(part, kind="stable")
         first, part = first[by_part], part[by_part]
@@ -98,7 +99,7 @@ class Leaves:
             chunk = np.sort(chunk)
             used, index = np.unique(doc[chunk], return_inverse=True)
             yield {
-                "part": [int(paths[0][chunk[0]] % np.uint64(self.groups))], "key": [None], "th": [None],
+                "part": [int(paths[0][chunk[0]] % np.uint64(self.groups))],
                 "data": [pack([p[chunk] for p in paths], docs[used], index, word[chunk])],
             }
 
@@ -144,45 +145,68 @@ def repeated_everywhere(paths, first, repeat) -> np.ndarray:
     return np.concatenate([first[often], repeat])
 
 
-def reports(docs, doc, word, which):
-    """Packed word positions by document."""
+def reports(docs, doc, word, which, shares: int):
+    """Word positions by document, packed for the share of the documents that each belongs to."""
+    if not len(which):
+        return
     which = which[np.lexsort((word[which], doc[which]))]
-    cuts = np.flatnonzero(np.diff(doc[which])) + 1
-    for chunk in np.split(which, cuts) if len(which) else ():
-        key, th = docs[doc[chunk[0]]].tolist()
-        yield {"part": [-1], "key": [key], "th": [th], "data": [word[chunk].astype(np.int32).tobytes()]}
+    share = (mix(docs[:, 0].view(np.uint64) ^ mix(docs[:, 1].view(np.uint64))) % np.uint64(shares)).astype(np.int64)[doc[which]]
+    order = np.argsort(share, kind="stable")
+    for chunk in np.split(order, np.flatnonzero(np.diff(share[order])) + 1):
+        used, index = np.unique(doc[which[chunk]], return_inverse=True)
+        yield {"part": [-1 - int(share[chunk[0]])], "data": [pack([], docs[used], index, word[which[chunk]])]}
 
 
-def _gather(rows: DataFrame, wide: bool) -> DataFrame:
-    """Leaves by group to (key, th, positions); what tasks reported before passes by."""
+def _arrow(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    arrow = to_arrow_schema(_parse_datatype_string("key long, th long, data binary"))
-
-    def run(group: pa.Table) -> pa.Table:
-        out = []
-        paths, docs, doc, word, base = [], [], [], [], 0
-        for data in group.column("data"):
-            p, d, i, w = unpack(data.as_py())
-            paths.append(p)
-            docs.append(d)
-            doc.append(i.astype(np.int64) + base)
-            word.append(w)
-            base += len(d)
-        if paths:
-            columns = [np.concatenate(c) for c in zip(*paths)]
-            docs, doc, word = np.concatenate(docs), np.concatenate(doc), np.concatenate(word)
-            first, repeat = leaves_in_order(columns, docs, doc, word)
-            out = list(reports(docs, doc, word, repeat if wide else repeated_everywhere(columns, first, repeat)))
-        return pa.Table.from_pydict({k: [r[k][0] for r in out] for k in ("key", "th", "data")}, schema=arrow)
-
-    found = rows.filter("part >= 0").groupBy("part").applyInArrow(run, "key long, th long, data binary")
-    return found.unionByName(rows.filter("part < 0").select("key", "th", "data")).groupBy("key", "th").agg(F.collect_list("data").alias("found"))
+    return to_arrow_schema(_parse_datatype_string(schema))
+
+
+def _unpacked(group: pa.Table):
+    """All leaves of a group: paths, documents, document of each leaf, word."""
+    paths, docs, doc, word, base = [], [], [], [], 0
+    for data in group.column("data"):
+        p, d, i, w = unpack(data.as_py())
+        paths.append(p)
+        docs.append(d)
+        doc.append(i.astype(np.int64) + base)
+        word.append(w)
+        base += len(d)
+    return [np.concatenate(c) for c in zip(*paths)], np.concatenate(docs), np.concatenate(doc), np.concatenate(word)
+
+
+def _gather(rows: DataFrame, wide: bool, groups: int) -> DataFrame:
+    """Leaves by group to (key, th, found): packed positions of each document that has any."""
+    packed, merged = _arrow(PACKED), _arrow("key long, th long, found binary")
+
+    def find(group: pa.Table) -> pa.Table:
+        if group.column("part")[0].as_py() < 0:
+            return group.select(packed.names)  # reported by a task already
+        paths, docs, doc, word = _unpacked(group)
+        first, repeat = leaves_in_order(paths, docs, doc, word)
+        out = list(reports(docs, doc, word, repeat if wide else repeated_everywhere(paths, first, repeat), groups))
+        return pa.Table.from_pydict({k: [r[k][0] for r in out] for k in packed.names}, schema=packed)
+
+    def merge(group: pa.Table) -> pa.Table:
+        _, docs, doc, word = _unpacked(group)
+        place = np.lexsort((docs[:, 1], docs[:, 0]))
+        new = np.r_[True, np.any(docs[place][1:] != docs[place][:-1], axis=1)]
+        rank = np.empty(len(docs), np.int64)
+        rank[place] = np.cumsum(new) - 1
+        found = np.unique((rank[doc] << 32) | word)
+        owner = found >> 32
+        parts = np.split((found & 0xFFFFFFFF).astype(np.int32), np.flatnonzero(np.diff(owner)) + 1)
+        ids = docs[place][new][np.unique(owner)]
+        return pa.Table.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array([x.tobytes() for x in parts], pa.binary())], schema=merged)
+
+    reported = rows.groupBy("part").applyInArrow(find, PACKED)
+    return reported.groupBy("part").applyInArrow(merge, "key long, th long, found binary")
 
 
 def _positions(found) -> np.ndarray:
-    return np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in found.as_py()]))
+    return np.frombuffer(found.as_py(), np.int32)
 
 
 def repeated_windows(texts: DataFrame, size: int, groups: int) -> DataFrame:
@@ -219,9 +243,9 @@ def repeated_windows(texts: DataFrame, size: int, groups: int) -> DataFrame:
                     yield from leaves.flush()
         yield from leaves.flush()
 
-    seeded = _gather(map_batches(texts.filter("original").select("key", "th", "text"), sample, PACKED), False)
+    seeded = _gather(map_batches(texts.filter("original").select("key", "th", "text"), sample, PACKED), False, groups)
     left = texts.select("key", "th", "text").join(seeded.hint("shuffle_hash"), ["key", "th"]).select("key", "th", "text", "found")
-    return _gather(map_batches(left, full, PACKED), True)
+    return _gather(map_batches(left, full, PACKED), True, groups)
 
 
 def s_hash(s, start: np.ndarray, size: int, base: int | None = None) -> np.ndarray:
