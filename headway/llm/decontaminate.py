@@ -2,8 +2,8 @@
 
 Seeds are the n-grams of words of the benchmark items. A first pass counts in how
 many documents each seed occurs; an item's seeds are those that occur in at most
-``rare`` of all documents and, so that no item goes without, its ``always``
-rarest. A second pass finds the seeds in all documents, cuts out the stretch of
+``rare`` of all documents and, so that no item goes without, the ``always``
+rarest of those that occur. A second pass finds the seeds in all documents, cuts out the stretch of
 words around each diagonal that they lie on, and aligns it with the item. The
 score is the best local alignment over that of the item with itself.
 
@@ -76,7 +76,8 @@ class Items:
         """Which (item, seed) entries may start an alignment."""
         of = counts[np.searchsorted(self.seed, self.code)]
         keep = of <= most
-        order = np.lexsort((self.place, of, self.item))
+        held = np.flatnonzero(of > 0)  # a seed that no document has starts nothing
+        order = held[np.lexsort((self.place[held], of[held], self.item[held]))]
         rank = np.arange(len(order)) - np.searchsorted(self.item[order], self.item[order])
         keep[order[rank < always]] = True
         return keep

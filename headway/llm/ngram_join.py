@@ -12,7 +12,7 @@ that remain can't reach the required overlap.
 - How often a shingle occurs is read from a sketch of ``SLOTS`` counters, a fixed
   size however large the corpus. It decides the order, hence the work, never the
   result.
-- A prefix shingle's documents are first compared with the first of them only.
+- A prefix shingle's documents are first compared with one of them only, a hub.
   Links so found are contracted, and then pairs are formed of documents that
   share a prefix shingle but not yet a component. A group of near copies so costs
   one comparison each, not all pairs, and no link between components is lost.
@@ -205,6 +205,25 @@ def _close(an: str, bn: str, percent: int):
     return 100 * F.least(an, bn) >= percent * F.greatest(an, bn)
 
 
+def _in_reach(an: str, at: str, bn: str, bt: str, percent: int):
+    """Whether sets whose first common shingle stands at ``at`` and ``bt`` can overlap enough."""
+    left = F.least(F.col(an) - F.col(at), F.col(bn) - F.col(bt))
+    return (100 + percent) * left >= percent * (F.col(an) + F.col(bn))
+
+
+def _with_hub(entries: DataFrame) -> DataFrame:
+    """Add ``one``: of a shingle's documents the one most of whose prefix is shared, the smallest on a tie.
+
+    Copies that were edited each in its own way are near the text they come from
+    more than near each other, and have rare shingles of their own that it lacks.
+    """
+    score = entries.groupBy("key", "th").agg((F.count("*") / F.max("n")).alias("score"))
+    scored = entries.join(score, ["key", "th"])
+    hub = scored.groupBy("gram").agg(F.min(F.struct(-F.col("score"), "key", "th", "n", "at")).alias("one"))
+    one = F.struct("one.key", "one.th", "one.n", "one.at").alias("one")
+    return entries.join(hub.select("gram", one), "gram")
+
+
 def link(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links, itself included)."""
     spark = docs.sparkSession
@@ -215,12 +234,12 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     classes = sizes.filter("n > 0").groupBy("n", "fp1", "fp2").agg(F.min(F.struct("key", "th")).alias("first"))
     firsts = classes.select("first.key", "first.th")
     ordered = prefixes(texts, n, percent, levels)
-    entries = ordered.join(firsts, ["key", "th"]).select(F.explode("prefix").alias("gram"), "key", "th", "n")
+    entries = ordered.join(firsts, ["key", "th"]).select("key", "th", "n", F.posexplode("prefix").alias("at", "gram"))
     entries = stage(entries, "entries")
-    doc = F.struct("key", "th", "n")
-    shared = entries.groupBy("gram").agg(F.min(doc).alias("one"), F.count("*").alias("held")).filter("held > 1").select("gram", "one")
-    entries = stage(entries.join(shared, "gram"), "shared")
-    star = entries.filter(F.col("one") != doc).filter(_close("one.n", "n", percent)).select(
+    shared = entries.groupBy("gram").agg(F.count("*").alias("held")).filter("held > 1").select("gram")
+    entries = stage(_with_hub(entries.join(shared, "gram")), "shared")
+    same = (F.col("one.key") == F.col("key")) & (F.col("one.th") == F.col("th"))
+    star = entries.filter(~same).filter(_close("one.n", "n", percent) & _in_reach("one.n", "one.at", "n", "at", percent)).select(
         F.col("one.key").alias("a"), F.col("one.th").alias("ath"), F.col("one.n").alias("an"),
         F.col("key").alias("b"), F.col("th").alias("bth"), F.col("n").alias("bn"),
     ).distinct()
@@ -243,10 +262,10 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
 def _between_components(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs that share a prefix shingle but not a component, without those that were compared already."""
     labelled = entries.join(labels.select(F.col("node").alias("key"), "component"), "key", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "key")).select("gram", "one", "key", "th", "n", "component")
+    labelled = labelled.withColumn("component", F.coalesce("component", "key")).select("gram", "one", "key", "th", "n", "at", "component")
     mixed = labelled.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("gram")
-    left = labelled.join(mixed, "gram").filter(F.struct("key", "th", "n") != F.col("one"))
-    a = left.select("gram", F.col("key").alias("a"), F.col("th").alias("ath"), F.col("n").alias("an"), F.col("component").alias("ac"))
-    b = left.select("gram", F.col("key").alias("b"), F.col("th").alias("bth"), F.col("n").alias("bn"), F.col("component").alias("bc"))
-    pairs = a.join(b, "gram").filter("ac <> bc AND (a < b OR (a = b AND ath < bth))").filter(_close("an", "bn", percent))
+    left = labelled.join(mixed, "gram").filter((F.col("one.key") != F.col("key")) | (F.col("one.th") != F.col("th")))
+    a = left.select("gram", F.col("key").alias("a"), F.col("th").alias("ath"), F.col("n").alias("an"), F.col("at").alias("ai"), F.col("component").alias("ac"))
+    b = left.select("gram", F.col("key").alias("b"), F.col("th").alias("bth"), F.col("n").alias("bn"), F.col("at").alias("bi"), F.col("component").alias("bc"))
+    pairs = a.join(b, "gram").filter("ac <> bc AND (a < b OR (a = b AND ath < bth))").filter(_close("an", "bn", percent) & _in_reach("an", "ai", "bn", "bi", percent))
     return pairs.select("a", "ath", "an", "b", "bth", "bn").distinct()

@@ -19,6 +19,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from headway.llm.tables import stage
+
 BITS = 60
 
 
@@ -35,13 +37,16 @@ def _prefix(depth):
 
 
 def directory(rows: DataFrame, limit: int, low: int, high: int) -> DataFrame:
-    """(cell, depth): for each cell of ``high`` bits the depth of its bucket, at least ``low``; null where even the cell is too large."""
-    cells = rows.groupBy(_prefix(high).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
-    levels = cells.select("cell", "bytes", "n", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"))
+    """(cell, depth, one): for each cell of ``high`` bits the depth of its bucket, at least ``low``; null where even the cell is too large.
+
+    ``one``: all rows of the cell have one hash, so splitting goes no further.
+    """
+    cells = rows.groupBy(_prefix(high).alias("cell")).agg(F.sum("bytes").alias("bytes"), (F.min("code") == F.max("code")).alias("one"))
+    levels = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"))
     levels = levels.withColumn("bucket", F.expr(f"shiftright(cell, {high} - depth)"))
     fits = levels.groupBy("depth", "bucket").agg(F.sum("bytes").alias("held")).filter(F.col("held") <= limit)
     found = levels.join(fits, ["depth", "bucket"]).groupBy("cell").agg(F.min("depth").alias("depth"))
-    return cells.select("cell").join(found, "cell", "left")
+    return cells.select("cell", "one").join(found, "cell", "left")
 
 
 def shard(docs: DataFrame, limit: int, fine: int | None = None, step: int = 12) -> DataFrame:
@@ -58,15 +63,12 @@ def shard(docs: DataFrame, limit: int, fine: int | None = None, step: int = 12)
     while True:
         cells = directory(rows, limit, low, high)
         placed = rows.withColumn("cell", _prefix(high)).join(cells, "cell").drop("cell")
-        if high < BITS:
-            ready, open_rows = placed.filter("depth IS NOT NULL"), placed.filter("depth IS NULL").drop("depth")
-            more = not cells.filter("depth IS NULL").isEmpty()
-        else:
-            ready, more = placed, False
+        ready = placed.filter("depth IS NOT NULL OR one").drop("one")
         done = ready if done is None else done.unionByName(ready)
-        if not more:
+        rows = stage(placed.filter("depth IS NULL AND NOT one").drop("depth", "one"), "shards")
+        if rows.isEmpty():
             break
-        rows, low, high = open_rows, high + 1, min(BITS, high + step)
+        low, high = high + 1, min(BITS, high + step)
     depth = F.coalesce("depth", F.lit(BITS))
     return done.select(
         "doc_id", "bytes", depth.alias("depth"), F.expr(f"left(lpad(conv(code, 10, 2), {BITS}, '0'), coalesce(depth, {BITS}))").alias("shard"),
