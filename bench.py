@@ -9,6 +9,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 HEADLINE = (
@@ -22,14 +23,15 @@ HEADLINE = (
 def main() -> None:
     sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
     from headway.catalog import load
-    from headway.session import build_session
+    from headway.session import build_session, release
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = build_session(
         "bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false", spark__driver__memory="20g",
+        spark__checkpoint__dir=os.environ.get("BENCH_SHARED_DIR") or tempfile.mkdtemp(prefix="bench-"),
     )
     spark.sparkContext.setLogLevel("ERROR")
     queries, times = load(), {}
@@ -39,6 +41,7 @@ def main() -> None:
             start = time.perf_counter()
             queries[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
             taken.append(time.perf_counter() - start)
+            release(spark)
         times[name] = round(statistics.median(taken[1:]), 3)
     spark.stop()
     print(

@@ -1,5 +1,8 @@
 """Travel-time baselines, splits and scoring."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headway.catalog.registry import query, view
@@ -7,6 +10,7 @@ from headway.catalog.roles import samples, scores, table
 from headway.catalog.windows import SHINGLE, cumulated
 from headway.operators import aggregates as a
 from headway.operators import baselines as bl
+from headway.session import stage
 
 KEY, ORDER = "shingle_id", SHINGLE[1]
 view("hrs", """SELECT h AS t_hour, coalesce(speed, 6e0) AS speed FROM (SELECT unnest(range(24)) AS h) LEFT JOIN (
@@ -97,11 +101,14 @@ def _(spark, sf):
     return bl.apply_speeds(df, [KEY], ORDER)
 
 
-@query("learned_baseline", "shingle_id labels~4 preds~4")
+@query("learned_baseline", "shingle_id fold labels~4 preds~4")
 def _(spark, sf):
-    df = bl.assign_fold(cumulated(spark, sf), KEY, 5)
-    model, rows = bl.fit_travel_time(df.filter("fold > 0"), KEY, ORDER, ["x", "y", "sch_time_s", "cumul_dist_m"])
-    return model.transform(rows(df.filter("fold = 0")))
+    df = stage(bl.assign_fold(cumulated(spark, sf), KEY, 5), "folds")
+    scored = []
+    for fold in range(5):
+        model, rows = bl.fit_travel_time(df.filter(F.col("fold") != fold), KEY, ORDER, ["x", "y", "sch_time_s", "cumul_dist_m"])
+        scored.append(model.transform(rows(df.filter(F.col("fold") == fold))).select(KEY, "labels", "preds").withColumn("fold", F.lit(fold)))
+    return reduce(DataFrame.unionByName, scored)
 
 
 @query("feature_sets", "event_id calc_dist_m calc_bear_d x_cent y_cent elev_m calc_stop_dist_m sch_time_s passed_stops_n cumul_passed_stops_n",

@@ -8,19 +8,25 @@ from pyspark.sql import functions as F
 from headway.functions.scalar import col_of
 
 
+def _parts(clock):
+    """The n-th number (from 1) of a clock text; null where it is not a number."""
+    split = F.split(col_of(clock), ":")
+    return lambda n: F.try_element_at(split, F.lit(n)).try_cast("long")
+
+
 def hms_seconds(clock) -> Column:
-    """Seconds from ``HH:MM:SS``; hours may pass 24."""
-    part = F.split(col_of(clock), ":")
-    return part[0].cast("long") * 3600 + part[1].cast("long") * 60 + part[2].cast("long")
+    """Seconds from ``HH:MM:SS``; hours may pass 24. Anything else is null."""
+    part = _parts(clock)
+    return part(1) * 3600 + part(2) * 60 + part(3)
 
 
 def hm_minutes(clock, wrap: bool = False) -> Column:
-    """Minute of day from ``HH:MM[:SS]``; ``wrap`` takes 24 off later hours."""
-    part = F.split(col_of(clock), ":")
-    hour = part[0].cast("long")
+    """Minute of day from ``HH:MM[:SS]``; ``wrap`` takes 24 off later hours. Anything else is null."""
+    part = _parts(clock)
+    hour = part(1)
     if wrap:
         hour = F.when(hour > 23, hour - 24).otherwise(hour)
-    return hour * 60 + part[1].cast("long")
+    return hour * 60 + part(2)
 
 
 def scheduled_elapsed(scheduled, start) -> Column:

@@ -143,7 +143,7 @@ def training_rows(df: DataFrame, sample: str, route: str, cols: Sequence[str] =
     """Sample id, float features in fixed order and route, absent features filled."""
     df = with_features(df, cols)
     values = F.array(*[F.col(c).cast("float") for c in cols])
-    return df.select(sample, values.alias("features"), F.substring(F.col(route).cast("string"), 1, 30).alias(route))
+    return df.select(sample, values.alias("features"), F.col(route).cast("string").alias(route))
 
 
 def fit_travel_time(train: DataFrame, sample: str, order: Sequence[str], cols: Sequence[str], label="cumul_time_s"):

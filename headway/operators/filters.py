@@ -53,26 +53,46 @@ def filter_tracks(
 
 
 def slice_vehicle(df: DataFrame, vehicle: str, value, epoch: str, start: int, end: int) -> DataFrame:
-    """One vehicle's rows in a closed epoch range, ids compared as whole numbers."""
-    same = F.col(vehicle).cast("double").cast("long") == F.lit(value).cast("long")
-    return df.filter(same & F.col(epoch).cast("long").between(start, end))
+    """One vehicle's rows in a closed epoch range, ids compared as whole numbers; others match nothing."""
 
+    def whole(c: Column) -> Column:
+        text = c.cast("string")
+        return F.coalesce(text.try_cast("long"), text.try_cast("decimal(38, 6)").try_cast("long"))
 
-def active_services(calendar: DataFrame, day: date, in_range: bool = True) -> DataFrame:
-    """Services that run on the day; with ``in_range`` False only the weekday counts."""
+    return df.filter((whole(F.col(vehicle)) == whole(F.lit(value))) & F.col(epoch).try_cast("long").between(start, end))
+
+
+def active_services(
+    calendar: DataFrame, day: date, in_range: bool = True, exceptions: DataFrame | None = None, feed: Sequence[str] = ()
+) -> DataFrame:
+    """Services that run on the day; with ``in_range`` False only the weekday counts.
+
+    ``exceptions`` (service_id, date, exception_type) adds (1) and removes (2)
+    services for the day. ``feed`` columns are part of a service's key.
+    """
+    key = [*feed, "service_id"]
     runs = F.col(WEEKDAYS[day.weekday()]) == 1
     if in_range:
         start, end = (F.to_date(F.col(c).cast("string"), "yyyyMMdd") for c in ("start_date", "end_date"))
         runs = runs & F.lit(day).between(start, end)
-    return calendar.filter(runs).select("service_id")
+    active = calendar.filter(runs).select(*key)
+    if exceptions is None:
+        return active
+    that_day = F.to_date(F.col("date").cast("string"), "yyyyMMdd") == F.lit(day)
+    added = exceptions.filter(that_day & (F.col("exception_type") == 1)).select(*key)
+    gone = exceptions.filter(that_day & (F.col("exception_type") == 2)).select(*key)
+    return active.join(gone, key, "left_anti").unionByName(added).distinct()
 
 
-def day_services(trips: DataFrame, calendar: DataFrame | None, day: date, feed: Sequence[str]) -> DataFrame:
+def day_services(
+    trips: DataFrame, calendar: DataFrame | None, day: date, feed: Sequence[str], exceptions: DataFrame | None = None
+) -> DataFrame:
     """The services to use for a day, per feed.
 
     Those running on the date; a feed with none of them is taken whole, and
     then by weekday alone. Without a calendar the service with most trips
-    counts, and a feed's only service always does.
+    counts, and a feed's only service always does. A calendar that has the
+    ``feed`` columns is matched on them; one without serves all feeds alike.
     """
     feed = list(feed)
     counts = trips.groupBy(*feed, "service_id").agg(F.count(F.lit(1)).alias("n_trips"))
@@ -81,9 +101,11 @@ def day_services(trips: DataFrame, calendar: DataFrame | None, day: date, feed:
             F.min_by("service_id", F.struct(-F.col("n_trips"), "service_id")).alias("service_id")
         )
         return best
-    today = active_services(calendar, day).distinct().withColumn("_on", F.lit(1))
-    weekday = active_services(calendar, day, in_range=False).distinct().withColumn("_wd", F.lit(1))
-    flags = counts.join(today, "service_id", "left").join(weekday, "service_id", "left")
+    own = [c for c in feed if c in calendar.columns]
+    key = [*own, "service_id"]
+    today = active_services(calendar, day, True, exceptions, own).distinct().withColumn("_on", F.lit(1))
+    weekday = active_services(calendar, day, False, exceptions, own).distinct().withColumn("_wd", F.lit(1))
+    flags = counts.join(today, key, "left").join(weekday, key, "left")
     flags = with_group(flags, feed, _any=F.count("_on"), _services=F.count(F.lit(1)))
     keep = (
         F.when(F.col("_any") > 0, F.col("_on") == 1)

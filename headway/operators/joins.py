@@ -50,12 +50,13 @@ def nearest_by_key(
     a row expression after one join. Larger keys go through a pyramid of square
     cells: the finest level with a place around the point bounds the distance,
     and only cells within that bound are compared.
+    Points and places without a position (null or NaN) match nothing, at any size.
     Adds ``place``, ``seq`` and ``calc_stop_dist_m``; null where the key has no place.
     """
     x, y = xy
     qx, qy = place_xy
     spots = (
-        places.filter(F.col(qx).isNotNull() & F.col(qy).isNotNull())
+        places.filter(_known(qx) & _known(qy))
         .groupBy(key, F.col(qx).alias("_qx"), F.col(qy).alias("_qy"))
         .agg(F.min(F.struct(F.col(seq).alias("s"), F.col(place).alias("p"))).alias("_place"))
     )
@@ -78,14 +79,16 @@ def nearest_by_key(
             ),
         )
     )
-    found = points.join(small, key, "left").withColumn("_near", here).drop("_spots")
-    if large_keys.isEmpty():
-        return found.select(*points.columns, *_place_columns(F.col("_near"), place, seq))
+    found = points.join(small, key, "left").withColumn("_near", F.when(_known(x) & _known(y), here)).drop("_spots")
     large = _nearest_in_cells(points, spots.join(large_keys, key, "left_semi"), key, x, y, cell)
     both = found.join(large, [key, x, y], "left")
     return both.select(*points.columns, *_place_columns(F.coalesce("_near", "_far"), place, seq))
 
 
+def _known(c: str) -> Column:
+    return F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+
+
 def _place_columns(best: Column, place: str, seq: str) -> list[Column]:
     return [best["place"]["p"].alias(place), best["place"]["s"].alias(seq), best["d"].alias("calc_stop_dist_m")]
 
@@ -98,7 +101,7 @@ def _nearest_in_cells(points: DataFrame, spots: DataFrame, key: str, x: str, y:
         {"_cx": F.floor(F.col("_qx") / size), "_cy": F.floor(F.col("_qy") / size)}
     )
     asked = points.join(spots.select(key).distinct(), key, "left_semi").select(key, x, y).distinct()
-    asked = asked.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    asked = asked.filter(_known(x) & _known(y))
 
     def around(df: DataFrame, reach: int) -> DataFrame:
         offsets = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
@@ -129,7 +132,11 @@ def _nearest_in_cells(points: DataFrame, spots: DataFrame, key: str, x: str, y:
     least = F.sqrt(closest(x, "_cx") * closest(x, "_cx") + closest(y, "_cy") * closest(y, "_cy"))
     pairs = around(bound, 3).filter(least <= F.col("_ub")).join(tiled, [key, "_lv", "_cx", "_cy"])
     dist = _distance(F.col(x), F.col(y), F.col("_qx"), F.col("_qy"))
-    return pairs.groupBy(key, x, y).agg(F.min(F.struct(dist.alias("d"), F.col("_place").alias("place"))).alias("_far"))
+    best = F.min(F.struct(dist.alias("d"), F.col("_place").alias("place"))).alias("_far")
+    near = pairs.groupBy(key, x, y).agg(best)
+    # points outside every cell of the top level are compared with all places of their key
+    outside = asked.join(bound.select(key, x, y), [key, x, y], "left_anti").join(spots, key)
+    return near.unionByName(outside.groupBy(key, x, y).agg(best))
 
 
 def attach_schedule(points: DataFrame, static: DataFrame, trips: DataFrame) -> DataFrame:
@@ -197,15 +204,17 @@ def region_hourly_service(
     placed = assign_hex(stops, "stop_x", "stop_y", size).select("stop_id", "region_id")
     hour = F.pmod(F.floor(hms_seconds("arrival_time") / 3600), F.lit(24)).cast("int")
     seen = stop_times.join(placed, "stop_id").select("region_id", hour.alias("hour"), trip, direction).distinct()
-    by_hour = seen.groupBy("region_id", "hour").agg(
-        F.count_distinct(trip).alias("trips"), F.count_distinct(direction).alias("directions")
-    )
+    # one distinct per measure instead of expanding every row for both
+    counts = [
+        seen.select("region_id", "hour", c).distinct().groupBy("region_id", "hour").agg(F.count(c).alias("n")).withColumn("what", F.lit(what))
+        for c, what in ((trip, "trips"), (direction, "directions"))
+    ]
     picks = [
-        F.coalesce(F.max(F.when(F.col("hour") == h, F.col(c))), F.lit(0)).alias(f"{c}_{h}")
+        F.coalesce(F.max(F.when((F.col("hour") == h) & (F.col("what") == c), F.col("n"))), F.lit(0)).alias(f"{c}_{h}")
         for c in ("trips", "directions")
         for h in range(24)
     ]
-    return by_hour.groupBy("region_id").agg(*picks)
+    return counts[0].unionByName(counts[1]).groupBy("region_id").agg(*picks)
 
 
 def merge_sensors(

@@ -71,14 +71,23 @@ def resample_trips(df: DataFrame, track: Sequence[str], order: Sequence[str], st
     return done(resample_by_distance(df, track, order, step, linear=("lat", "lon", t), first=first))
 
 
-def resample_by_second(df: DataFrame, track: Sequence[str], t: str, cols: Sequence[str]) -> DataFrame:
-    """Mean per second, missing seconds filled in linearly."""
+def resample_by_second(
+    df: DataFrame, track: Sequence[str], t: str, cols: Sequence[str], longest_gap: int | None = None, block: int = 3600
+) -> DataFrame:
+    """Mean per second, missing seconds filled in linearly.
+
+    A gap is generated in blocks, so no row holds more than ``block`` seconds;
+    gaps above ``longest_gap`` seconds, where given, are left open.
+    """
     second = F.floor(t).cast("long")
     df = df.groupBy(*track, second.alias(t)).agg(*[F.avg(c).alias(c) for c in cols])
     df = o.ordered(df, track, [t], **{f"_n_{c}": o.following(c) for c in (t, *cols)})
     last = F.col(f"_n_{t}").isNull()
     ends = F.when(last, F.col(t)).otherwise(F.col(f"_n_{t}") - 1)
-    df = df.withColumn("_at", F.explode(F.sequence(F.col(t), ends)))
+    if longest_gap is not None:
+        ends = F.when(F.col(f"_n_{t}") - F.col(t) > longest_gap, F.col(t)).otherwise(ends)
+    df = df.withColumn("_end", ends).withColumn("_from", F.explode(F.sequence(F.col(t), F.col("_end"), F.lit(block).cast("long"))))
+    df = df.withColumn("_at", F.explode(F.sequence("_from", F.least(F.col("_end"), F.col("_from") + block - 1))))
     share = F.when(last, F.lit(0.0)).otherwise((F.col("_at") - F.col(t)) / (F.col(f"_n_{t}") - F.col(t)))
     values = {c: F.when(share == 0, F.col(c)).otherwise(F.col(c) + (F.col(f"_n_{c}") - F.col(c)) * share) for c in cols}
     return df.select(*track, F.col("_at").alias(t), *[e.alias(c) for c, e in values.items()])
@@ -142,12 +151,16 @@ def peak_filter(
 
 
 def _convolve(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Whole-window sums of values times weights; by transform where the window is wide."""
+    """Whole-window sums of values times weights; NaN exactly where a window holds an unknown value, whatever its width."""
+    unknown = np.isnan(values)
+    known = np.where(unknown, 0.0, values)
     if len(weights) <= 512:
-        return np.convolve(values, weights[::-1], mode="valid")
-    size = 1 << int(len(values) + len(weights)).bit_length()
-    product = np.fft.irfft(np.fft.rfft(values, size) * np.fft.rfft(weights[::-1], size), size)
-    return product[len(weights) - 1 : len(values)]
+        out = np.convolve(known, weights[::-1], mode="valid")
+    else:  # by transform
+        size = 1 << int(len(values) + len(weights)).bit_length()
+        out = np.fft.irfft(np.fft.rfft(known, size) * np.fft.rfft(weights[::-1], size), size)[len(weights) - 1 : len(values)]
+    count = np.concatenate([[0], np.cumsum(unknown)])
+    return np.where(count[len(weights) :] > count[: len(count) - len(weights)], np.nan, out)
 
 
 def _smooth_chunk(values: np.ndarray, start: int, n: int, window: int, degree: int) -> np.ndarray:
@@ -226,14 +239,12 @@ def points_along(shapes: DataFrame, shape: str, seq: str, x: str, y: str, step:
 
 def trip_lines(
     stop_times: DataFrame, lookup: DataFrame, x: str, y: str, max_gap: float | None = None, min_stops: int = 5,
-    part_points: int = 10_000,
 ) -> DataFrame:
-    """Ordered stop line per (service, route, trip), as an array of points.
+    """Stops of each (service, route, trip) in order, one row per point.
 
     With ``max_gap``, as for map matching: each trip's first stop goes, then
-    trips with a gap at or above it or with fewer than ``min_stops`` left. A
-    line longer than ``part_points`` continues in a further row (``part``), so
-    that no array grows without bound.
+    trips with a gap at or above it or with fewer than ``min_stops`` left. Lines
+    stay rows, so none grows without bound; :func:`as_lines` packs short ones.
     """
     order = ["stop_sequence", "stop_id"]
     df, done = o.shared_split(stop_times, ["trip_id"], order[0])
@@ -244,12 +255,14 @@ def trip_lines(
         df = o.ordered(df, ["trip_id"], order, _far=o.group_max("_gap"), _n=o.group_count())
         df = df.filter((F.col("_far") < max_gap) & (F.col("_n") >= min_stops))
     keys = ["service_id", "route_id", "trip_id"]
-    part = F.floor((F.col("_rn") - 1) / part_points).alias("part")
-    rows = done(df).join(lookup, "trip_id").groupBy(*keys, *order, x, y).agg(F.min(part).alias("part"), F.min("_rn").alias("_rn"))
-    spot = F.struct("_rn", F.col(x).alias("x"), F.col(y).alias("y"))
-    lines = rows.groupBy(*keys, "part").agg(F.sort_array(F.collect_list(spot)).alias("_l"))
-    line = F.transform("_l", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    return lines.select(*keys, "part", line.alias("line"))
+    return done(df).join(lookup, "trip_id").select(*keys, *order, F.col(x).alias("x"), F.col(y).alias("y")).distinct()
+
+
+def as_lines(points: DataFrame) -> DataFrame:
+    """The points of :func:`trip_lines` as one array per line, where lines are known to be short."""
+    spot = F.struct("stop_sequence", "stop_id", "x", "y")
+    lines = points.groupBy("service_id", "route_id", "trip_id").agg(F.sort_array(F.collect_list(spot)).alias("_l"))
+    return lines.withColumn("line", F.transform("_l", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))).drop("_l")
 
 
 def network_trajectories(

@@ -207,14 +207,15 @@ def split_hot(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
     Runs are cut at approximate quantiles of the numeric ``order`` column, so
     uneven density in time does not matter, and each quantile band is divided
-    again until a run is near the limit. Rows without a key belong to no track
+    again until a run is near the limit. Keys are split only in a session that
+    sets ``spark.headway.maxGroupRows``; the keys above it are found when the
+    plan runs, no job is started while it is built. Rows without a key belong to no track
     and are scattered over negative runs.
 
     :func:`ordered` does this on its own. Call it first when several ordered
     steps on one key and order follow each other: they then share one split
     and one shuffle. :func:`drop_runs` takes the columns off again.
     """
-    limit = row_limit(df)
     keys = list(keys)
     run_name, hot_name = _run_names(keys, order)
     if not keys:
@@ -222,6 +223,9 @@ def split_hot(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     t = F.col(order).cast("double")
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     scattered = F.when(no_key, -1 - F.pmod(F.xxhash64(order), F.lit(4096)))
+    if df.sparkSession.conf.get(GROUP_LIMIT, None) is None:
+        return df.withColumn(run_name, scattered.otherwise(F.lit(0)).cast("long")).drop(_ALL)
+    limit = row_limit(df)
     hot = (
         df.filter(~no_key)
         .groupBy(*keys)
@@ -229,8 +233,6 @@ def split_hot(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
         .filter(F.col("_n") > limit)
         .select(*_renamed(keys, "_h"), "_n")
     )
-    if hot.isEmpty():
-        return df.withColumn(run_name, scattered.otherwise(F.lit(0)).cast("long")).drop(_ALL)
     marks = [i / _CUTS for i in range(_CUTS + 1)]
     names = [f"_h{i}" for i in range(len(keys))]
     cuts = (

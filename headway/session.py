@@ -45,6 +45,18 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+_staged: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that :func:`stage` has written so far; call it when the results made from them are written."""
+    paths, _staged[:] = list(_staged), []
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    return len(paths)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
@@ -53,5 +65,6 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark, label)
+    _staged.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -21,17 +21,15 @@ def read_positions(
     ``columns`` maps the standard names to expressions over another layout.
     With files partitioned by day, ``days`` prunes folders before any is read.
     """
+    raw = spark.read.parquet(path)
     if columns is None:
-        raw = spark.read.parquet(path)
         columns = {name: name for name in ("trip_id", "locationtime", "lat", "lon", "vehicle_id")}
-    else:
-        raw = spark.read.parquet(path)
     if days is not None:
         raw = raw.filter(F.col(day_column).between(*days))
     types = dict(part.split() for part in schemas.POSITION.split(", "))
     where = F.split(F.col("_metadata.file_path"), "/")
     picked = raw.select(
-        *[F.expr(e).cast(types[n]).alias(n) for n, e in columns.items()],
+        *[F.expr(e).try_cast(types[n]).alias(n) for n, e in columns.items()],
         F.element_at(where, -1).alias("realtime_filename"),
         F.array_join(F.slice(where, 1, F.size(where) - 1), "/").alias("realtime_foldername"),
     )
@@ -45,7 +43,7 @@ def read_schedule(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
         # The header decides the order; columns are picked by name.
         raw = spark.read.csv(f"{path.rstrip('/')}/{name}", header=True)
         types = dict(part.split() for part in schema.split(", "))
-        return raw.select(*[F.col(c).cast(types[c]).alias(c) for c in cols]).dropna()
+        return raw.select(*[F.col(c).try_cast(types[c]).alias(c) for c in cols]).dropna()
 
     return (
         load("stop_times.txt", schemas.STOP_TIMES, ["trip_id", "stop_id", "arrival_time", "stop_sequence"]),

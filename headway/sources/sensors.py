@@ -15,7 +15,7 @@ def read_sensors(spark: SparkSession, path: str, offset: int = 0) -> tuple[DataF
     def load(name: str, schema: str) -> DataFrame:
         types = dict(part.split() for part in schema.split(", "))
         raw = spark.read.csv(f"{path.rstrip('/')}/{name}.csv", header=True)
-        raw = raw.select(*[F.col(c).cast(t).alias(c) for c, t in types.items()])
+        raw = raw.select(*[F.col(c).try_cast(t).alias(c) for c, t in types.items()])
         second = F.floor(F.col("time") / F.lit(1_000_000_000)) + offset
         return raw.withColumn("locationtime", second.cast("long")).drop("time")
 
@@ -36,11 +36,11 @@ def read_gnss(spark: SparkSession, path: str, low: int, high: int, leap_s: int =
     text_cols = ("day", "time")
     raw = spark.read.text(path).select(
         *[
-            (part[i] if n in text_cols else part[i].cast("double")).alias(n)
+            (F.get(part, i) if n in text_cols else F.get(part, i).try_cast("double")).alias(n)
             for i, n in enumerate(schemas.GNSS)
         ]
     )
-    stamp = F.to_timestamp(F.concat_ws(" ", F.regexp_replace("day", "/", "-"), "time"))
+    stamp = F.try_to_timestamp(F.concat_ws(" ", F.regexp_replace("day", "/", "-"), "time"))
     raw = raw.withColumns({"_at": stamp, "locationtime": F.unix_seconds(stamp) - leap_s})
     raw = raw.filter(F.col("locationtime").between(low, high))
     cols = [c for c in schemas.GNSS]
@@ -52,7 +52,7 @@ def read_drive_cycle(spark: SparkSession, path: str) -> DataFrame:
     """Standard cycle (seconds, mph) as time and metres per second; a byte-order mark is ignored."""
     raw = spark.read.csv(path, header=True)
     t, v = raw.columns[:2]
-    return raw.select(F.col(f"`{t}`").cast("int").alias("time_s"), mph_to_mps(F.col(f"`{v}`").cast("double")).alias("mps"))
+    return raw.select(F.col(f"`{t}`").try_cast("int").alias("time_s"), mph_to_mps(F.col(f"`{v}`").try_cast("double")).alias("mps"))
 
 
 def read_vehicles(spark: SparkSession, path: str, maps: tuple[str, ...] = ("mc_eff_map",)) -> DataFrame:
@@ -72,4 +72,4 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """The source registry, columns picked by name."""
     types = dict(part.strip().split() for part in REGISTRY.split(","))
     raw = spark.read.csv(path, header=True)
-    return raw.select(*[F.col(c).cast(t).alias(c) for c, t in types.items() if c in raw.columns])
+    return raw.select(*[F.col(c).try_cast(t).alias(c) for c, t in types.items() if c in raw.columns])
