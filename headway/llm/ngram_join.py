@@ -175,7 +175,8 @@ def verify(texts: DataFrame, pairs: DataFrame, n: int, percent: int, levels) ->
         dealt.select("a", "ath", "part").distinct().select(F.col("a").alias("key"), F.col("ath").alias("th"), group, F.lit(False).alias("other"))
     )
     asked = asked.select("key", "th", F.col("grp.a").alias("a"), F.col("grp.ath").alias("ath"), F.col("grp.part").alias("part"), "other")
-    rows = texts.join(asked, ["key", "th"]).select("key", "a", "ath", "part", "other", "text")
+    # what is asked for grows with the corpus, so it is never broadcast
+    rows = texts.join(asked.hint("merge"), ["key", "th"]).select("key", "a", "ath", "part", "other", "text")
 
     def sets(batches):
         for b in batches:
