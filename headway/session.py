@@ -49,10 +49,16 @@ _staged: list[str] = []
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables that :func:`stage` has written so far; call it when the results made from them are written."""
-    paths, _staged[:] = list(_staged), []
+def staged() -> list[str]:
+    """Paths of the tables that :func:`stage` has written and nobody has released."""
+    return list(_staged)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete staged tables, all by default; call it when the results made from them are written."""
+    paths = staged() if paths is None else [p for p in paths if p in _staged]
     for path in paths:
+        _staged.remove(path)
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
     return len(paths)
