@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -174,6 +173,6 @@ def scan(docs: DataFrame) -> DataFrame:
         for b in batches:
             rows = [scanner.scan(t.as_py() or "") for t in b.column(1)]
             if rows:
-                yield {"doc_id": b.column(0)} | {k: pa.array([r[k] for r in rows]) for k in rows[0]}
+                yield {"doc_id": b.column(0)} | {k: [r[k] for r in rows] for k in rows[0]}
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SCHEMA)
