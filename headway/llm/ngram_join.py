@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from headway.llm.components import components
 from headway.llm.tables import NO_ID, keyed, map_batches, stage, to_id
 from headway.llm.words import mix, slices, spans_hash
+from headway.session import release, staged
 
 SLOTS = 1 << 21
 BLOCK = 1 << 14
@@ -236,9 +237,12 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     firsts = classes.select("first.key", "first.th")
     ordered = prefixes(texts, n, percent, levels)
     entries = ordered.join(firsts, ["key", "th"]).select("key", "th", "n", F.posexplode("prefix").alias("at", "gram"))
+    before = staged()
     entries = stage(entries, "entries")
     shared = entries.groupBy("gram").agg(F.count("*").alias("held")).filter("held > 1").select("gram")
-    entries = stage(_with_hub(entries.join(shared, "gram")), "shared")
+    shared = stage(entries.join(shared, "gram"), "shared")
+    release(spark, [p for p in staged() if p not in before][:1])  # all shingles; those shared by several documents go on
+    entries = stage(_with_hub(shared), "hubs")
     same = (F.col("one.key") == F.col("key")) & (F.col("one.th") == F.col("th"))
     star = entries.filter(~same).filter(_close("one.n", "n", percent) & _in_reach("one.n", "one.at", "n", "at", percent)).select(
         F.col("one.key").alias("a"), F.col("one.th").alias("ath"), F.col("one.n").alias("an"),
