@@ -145,8 +145,12 @@ def repeated_everywhere(paths, first, repeat) -> np.ndarray:
     return np.concatenate([first[often], repeat])
 
 
-def reports(docs, doc, word, which, shares: int):
-    """Word positions by document, packed for the share of the documents that each belongs to."""
+def reports(docs, doc, word, which, groups: int):
+    """Word positions by document, packed for the share of the documents that each belongs to.
+
+    There is one share to four groups: positions are small, and fewer shares make fewer packets.
+    """
+    shares = max(1, groups // 4)
     if not len(which):
         return
     which = which[np.lexsort((word[which], doc[which]))]
