@@ -398,6 +398,36 @@ def test_lines_on_corpus(docs):
     assert all(got[i] >= n for i, n in gone.items())
 
 
+def near_lines(rows, seed):
+    """Lines of 4 to 60 words and copies with up to a fifth of their words replaced, dropped or added; and pairs near by brute force."""
+    r = random.Random(seed)
+    made = []
+    for k in range(rows):
+        w = [f"w{r.randrange(400)}" for _ in range(r.choice((4, 5, 7, 9, 10, 14, 20, 30, 60)))]
+        made.append(w)
+        for _ in range(r.randrange(3)):
+            e = list(w)
+            for _ in range(r.randrange(1, 2 + len(w) // 5)):
+                at = r.randrange(len(e))
+                e[at : at + r.randrange(2)] = [f"x{r.randrange(400)}"] * r.randrange(2)
+            made.append(e)
+    made = list(dict.fromkeys(tuple(w) for w in made if len(w) >= 4))
+    codes = [np.array([int(x[1:]) + 1000 * (x[0] == "x") for x in w]) for w in made]
+    near = [(i, j) for j in range(len(made)) for i in range(j) if lines.edit_distance(codes[i], codes[j]) * 5 <= max(len(made[i]), len(made[j]))]
+    return made, near
+
+
+def test_near_lines_are_all_found(spark):
+    made, near = near_lines(120, 8)
+    low = list(range(len(made)))  # smallest line of each connected group
+    for _ in range(len(made)):
+        for i, j in near:
+            low[i] = low[j] = min(low[i], low[j])
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"] for r in lines.report(df).collect() if r["n_removed"]}
+    assert len(near) > 60 and got == {i for i, x in enumerate(low) if x != i}
+
+
 def test_edit_distance():
     def brute(a, b):
         row = list(range(len(b) + 1))
