@@ -1,14 +1,15 @@
-"""Benchmark decontamination: rare seeds find passages, Smith-Waterman scores them.
-
-Seeds are the n-grams of words of the benchmark items. A first pass counts in how
-many documents each seed occurs; an item's seeds are those that occur in at most
-``rare`` of all documents and, so that no item goes without, the ``always``
-rarest of those that occur. A second pass finds the seeds in all documents, cuts out the stretch of
-words around each diagonal that they lie on, and aligns it with the item. The
-score is the best local alignment over that of the item with itself.
-
-The benchmark is read in blocks of at most ``BLOCK_BYTES`` of text, one pair of
-passes each, so what is sent to tasks is bounded however long it is; every item
+"""Benchmark decontamination: word seeds find passages, Smith-Waterman scores them.
+
+Seeds are the n-grams of words of the benchmark items, all of them: however often
+an item is copied, an edited copy is found by whatever seeds it keeps. A pass finds
+the seeds in all documents and cuts out the stretch of words around each diagonal
+that they lie on. A stretch whose words, counted with repeats, are too few of the
+item's to reach the threshold even if all matched is dropped; the others are
+aligned with the item. The score is the best local alignment over that of the item
+with itself.
+
+The benchmark is read in blocks of at most ``BLOCK_BYTES`` of text, one pass
+each, so what is sent to tasks is bounded however long it is; every item
 meets every document.
 
 Defined cases: words are lower-cased and carry no punctuation; null and empty
@@ -32,6 +33,8 @@ from headway.llm.words import slices, spans_hash
 SEED = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 16_000_000
+#: Seed hits, each with every item that has the seed, that are looked at together.
+HITS = 2_000_000
 
 
 class Items:
@@ -72,15 +75,16 @@ class Items:
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         return join(rows), join(words), join(seeds)
 
-    def use(self, counts: np.ndarray, most: float, always: int) -> np.ndarray:
-        """Which (item, seed) entries may start an alignment."""
-        of = counts[np.searchsorted(self.seed, self.code)]
-        keep = of <= most
-        held = np.flatnonzero(of > 0)  # a seed that no document has starts nothing
-        order = held[np.lexsort((self.place[held], of[held], self.item[held]))]
-        rank = np.arange(len(order)) - np.searchsorted(self.item[order], self.item[order])
-        keep[order[rank < always]] = True
-        return keep
+
+def shared(item: np.ndarray, windows: list[np.ndarray]) -> np.ndarray:
+    """How many of an item's words, counted with repeats, each stretch has: no alignment matches more."""
+    words, count = np.unique(item, return_counts=True)
+    size = np.array([len(w) for w in windows])
+    code, of = np.concatenate(windows), np.repeat(np.arange(len(windows)), size)
+    k = np.minimum(np.searchsorted(words, code), len(words) - 1)
+    hit = words[k] == code
+    has = np.bincount(of[hit] * len(words) + k[hit], minlength=len(windows) * len(words)).reshape(len(windows), -1)
+    return np.minimum(has, count).sum(axis=1)
 
 
 def align(item: np.ndarray, windows: list[np.ndarray]) -> np.ndarray:
@@ -102,21 +106,37 @@ def align(item: np.ndarray, windows: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def _stretches(items: Items, s, keep: np.ndarray):
-    """(row, item, first word, end) around the diagonals that usable seeds lie on."""
+def _by_item(item: np.ndarray):
+    """Indices of equal items, at most 256 at a time."""
+    order = np.argsort(item, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(item[order])) + 1) if len(order) else []:
+        yield from (part[i : i + 256] for i in range(0, len(part), 256))
+
+
+def _stretches(items: Items, s, threshold: float):
+    """(row, item, first word, end) around the diagonals that seeds lie on, where enough of the item's words are."""
     row, word, seed = items.hits(s)
     end = np.append(items.first[1:], len(items.code))
     size = end[seed] - items.first[seed]
-    entry = np.repeat(items.first[seed] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    row, word = np.repeat(row, size), np.repeat(word, size)
-    ok = keep[entry]
-    row, word, item, place = row[ok], word[ok], items.item[entry[ok]], items.place[entry[ok]]
     length = np.array([len(w) for w in items.words], np.int64)
-    slack = length[item] // 2 + 2
-    low = np.maximum(word - place - slack, s.first[row])
-    high = np.minimum(word - place + length[item] + slack, s.first[row + 1])
+    found = [(np.zeros(0, np.int64),) * 4]
+    for at in np.split(np.arange(len(seed)), np.flatnonzero(np.diff(np.cumsum(size) // HITS)) + 1) if len(seed) else []:
+        n = size[at]
+        entry = np.repeat(items.first[seed[at]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        r, item = np.repeat(row[at], n), items.item[entry]
+        diagonal = np.repeat(word[at], n) - items.place[entry]
+        r, item, diagonal = np.unique(np.stack([r, item, diagonal]), axis=1)
+        slack = length[item] // 2 + 2
+        low = np.maximum(diagonal - slack, s.first[r])
+        high = np.minimum(diagonal + length[item] + slack, s.first[r + 1])
+        ok = np.zeros(len(r), bool)
+        for of in _by_item(item):
+            words = items.words[item[of[0]]]
+            ok[of] = shared(words, [s.code[low[i] : high[i]] for i in of]) >= threshold * len(words)
+        found.append((r[ok], item[ok], low[ok], high[ok]))
+    row, item, low, high = (np.concatenate(x) for x in zip(*found))
     order = np.lexsort((low, item, row))
-    row, item, low, high, length = row[order], item[order], low[order], high[order], length
+    row, item, low, high = row[order], item[order], low[order], high[order]
     # stretches whose starts lie within half an item of each other become one
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (low[1:] - low[:-1] > length[item[1:]] // 2)
@@ -124,39 +144,17 @@ def _stretches(items: Items, s, keep: np.ndarray):
     return row[start], item[start], low[start], np.maximum.reduceat(high, start) if len(start) else high
 
 
-def _block(docs: DataFrame, ids: list, texts: list[str], threshold: float, rare: float, always: int) -> DataFrame:
-    def count(batches):
-        items = Items(ids, texts)
-        held, seen = np.zeros(len(items.seed), np.int64), 0
-        for b in batches:
-            seen += b.num_rows
-            for s in slices(b.column(1), BREAKS, lower=True):
-                row, _, seed = items.hits(s)
-                pair = np.unique(np.stack([row, seed]), axis=1)
-                held += np.bincount(pair[1], minlength=len(held))
-        some = np.flatnonzero(held)
-        yield {"seed": np.append(some, -1), "held": np.append(held[some], seen)}
-
-    counted = map_batches(docs, count, "seed int, held long").groupBy("seed").agg(F.sum("held").alias("held")).collect()
-    of = {r["seed"]: r["held"] for r in counted}  # at most one row per seed of the block
-
+def _block(docs: DataFrame, ids: list, texts: list[str], threshold: float) -> DataFrame:
     def search(batches):
         items = Items(ids, texts)
-        counts = np.zeros(len(items.seed), np.int64)
-        for seed, held in of.items():
-            if seed >= 0:
-                counts[seed] = held
-        keep = items.use(counts, rare * of.get(-1, 0), always)
         for b in batches:
             for s in slices(b.column(1), BREAKS, lower=True):
-                row, item, low, high = _stretches(items, s, keep)
-                order = np.argsort(item, kind="stable")
+                row, item, low, high = _stretches(items, s, threshold)
                 found = []
-                for part in np.split(order, np.flatnonzero(np.diff(item[order])) + 1):
-                    for at in (part[i : i + 256] for i in range(0, len(part), 256)):
-                        words = items.words[item[at[0]]]
-                        scores = align(words, [s.code[low[i] : high[i]] for i in at]) / (MATCH * len(words))
-                        found += [(i, x) for i, x in zip(at.tolist(), scores.tolist()) if x >= threshold]
+                for at in _by_item(item):
+                    words = items.words[item[at[0]]]
+                    scores = align(words, [s.code[low[i] : high[i]] for i in at]) / (MATCH * len(words))
+                    found += [(i, x) for i, x in zip(at.tolist(), scores.tolist()) if x >= threshold]
                 at = np.array([i for i, _ in found], np.int64)
                 yield {
                     "doc_id": b.column(0).take(pa.array(s.offset + row[at])), "item_id": [ids[i] for i in item[at]],
@@ -166,7 +164,7 @@ def _block(docs: DataFrame, ids: list, texts: list[str], threshold: float, rare:
     return map_batches(docs, search, "doc_id long, item_id long, score double, first_word long, n_words long")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, rare: float = 0.001, always: int = 8) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, item_id and the best alignment: score, and the stretch of words (from 0) it was found in."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
@@ -176,7 +174,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, rare:
     for i in range(blocks):
         part = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect() if blocks > 1 else bench.collect()
         part.sort(key=lambda r: (r["item_id"] is not None, r["item_id"] or 0, r["text"]))
-        one = _block(docs, [r["item_id"] for r in part], [r["text"] for r in part], threshold, rare, always)
+        one = _block(docs, [r["item_id"] for r in part], [r["text"] for r in part], threshold)
         found = one if found is None else found.unionByName(one)
     best = F.max(F.struct("score", -F.col("first_word"), "n_words"))
     out = found.groupBy("doc_id", "item_id").agg(best.alias("best"))

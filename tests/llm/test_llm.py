@@ -210,6 +210,15 @@ def test_decontaminate_edited(spark, bench):
     assert [(r["doc_id"], r["item_id"]) for r in decontaminate.matches(df, bench).collect()] == [(1, 5)]
 
 
+def test_decontaminate_edited_beside_exact_copies(spark):
+    item = prose(40, 1234).split()
+    texts = [" ".join([*prose(30, 500 + i).split(), *item, *prose(30, 600 + i).split()]) for i in range(12)]
+    texts += [" ".join([*prose(30, 700 + n).split(), *(w if k % n else f"other{k}" for k, w in enumerate(item)), *prose(30, 800 + n).split()]) for n in (4, 6, 8, 10, 14)]
+    df = spark.createDataFrame(list(enumerate(texts + [prose(90, 900 + i) for i in range(20)])), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.matches(df, bench).collect()} == set(range(17))
+
+
 def test_decontaminate_in_blocks(docs, bench, monkeypatch):
     want = rows_of(decontaminate.matches(docs, bench).select("doc_id", "item_id", "score"))
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
