@@ -63,10 +63,22 @@ def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: i
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def unspaced(data: np.ndarray) -> np.ndarray:
+    """Bytes at which a character of a script without spaces (Thai to Tibetan, Burmese, Khmer, Chinese, Japanese) begins, and where it ends."""
+    at = np.flatnonzero((data >= 0xE0) & (data < 0xF1))
+    lead, two, three = data[at], data[at + 1], data[at + 2]
+    burmese = (lead == 0xE1) & ((two == 0x80) | (two == 0x81) | ((two == 0x82) & (three < 0xA0)))
+    khmer = (lead == 0xE1) & ((two == 0x9E) | (two == 0x9F))
+    forms = (lead == 0xEF) & (((two >= 0xA4) & (two <= 0xAB)) | ((two >= 0xBC) & (two <= 0xBE)))
+    rare = (lead == 0xF0) & (two >= 0xA0) & (two <= 0xB3)
+    at = at[((lead == 0xE0) & (two >= 0xB8)) | burmese | khmer | ((lead >= 0xE3) & (lead <= 0xE9)) | forms | rare]
+    return np.concatenate([at, at + np.where(data[at] == 0xF0, 4, 3)])
+
+
 class Slice:
     """Words of consecutive rows: ``row`` (per word), byte ``start``/``end``, ``code``; ``first[i]:first[i + 1]`` are row i's words."""
 
-    def __init__(self, offset: int, data: np.ndarray, bounds: np.ndarray, separators: np.ndarray, lower: bool):
+    def __init__(self, offset: int, data: np.ndarray, bounds: np.ndarray, separators: np.ndarray, lower: bool, characters: bool = False):
         self.offset, self.data, self.bounds, self.n_rows = offset, data, bounds, len(bounds) - 1
         inside = ~separators[data]
         edge = np.empty(len(data) + 1, bool)
@@ -76,6 +88,8 @@ class Slice:
             np.not_equal(inside[1:], inside[:-1], out=edge[1:-1])
             # two texts may touch without a separator between them
             cut = bounds[1:-1]
+            if characters:
+                cut = np.concatenate([cut, unspaced(data)])
             cut = cut[(cut > 0) & (cut < len(data))]
             touching = np.unique(cut[inside[cut - 1] & inside[cut]])
         else:
@@ -104,8 +118,8 @@ class Slice:
         return self.data[self.bounds[i] : self.bounds[i + 1]].tobytes()
 
 
-def slices(texts: pa.Array, separators: np.ndarray = SPACES, lower: bool = False):
-    """Slices of a string array; null counts as empty."""
+def slices(texts: pa.Array, separators: np.ndarray = SPACES, lower: bool = False, characters: bool = False):
+    """Slices of a string array; null counts as empty. With ``characters``, those of scripts without spaces are words."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -118,5 +132,5 @@ def slices(texts: pa.Array, separators: np.ndarray = SPACES, lower: bool = False
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(off, off[at] + SLICE, "right")) - 1)
         to = min(to, len(texts))
-        yield Slice(at, raw[off[at] : off[to]], off[at : to + 1] - off[at], separators, lower)
+        yield Slice(at, raw[off[at] : off[to]], off[at : to + 1] - off[at], separators, lower, characters)
         at = to

@@ -437,6 +437,14 @@ def test_near_lines_are_all_found(spark):
     assert len(near) > 60 and got == {i for i, x in enumerate(low) if x != i}
 
 
+def test_short_lines_and_scripts_without_spaces(spark):
+    chinese = "本网站的所有内容均受版权保护,未经许可不得转载或复制。"
+    thai = "สงวนลิขสิทธิ์ทั้งหมดห้ามคัดลอก"
+    texts = [f"All rights reserved\nprint\n{chinese}\n{thai}\n한국어 줄", f"all rights reserved.\nPrint\n{chinese.replace('复', '抄')}\n{thai}\n한국어 줄!\n版权", "版权声明全文\n12 !!"]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: texts[0], 1: "版权", 2: texts[2]}
+
+
 def test_edit_distance():
     def brute(a, b):
         row = list(range(len(b) + 1))
