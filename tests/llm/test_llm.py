@@ -512,6 +512,16 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert 5 in ids or None in ids
 
 
+def test_near_duplicates_keeps_one_of_repeated_rows(spark):
+    import corpus_pipeline as p
+
+    one, other = prose(40, 51), prose(40, 52)
+    rows = [(1, one)] * 9 + [(None, other)] * 5 + [(2, one), (3, ""), (3, ""), (4, None), (4, None), (5, prose(40, 53))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["text"]) for r in p.near_duplicates(spark, df, "").collect())
+    assert got == Counter([(1, one), (None, other), (3, ""), (3, ""), (4, None), (4, None), rows[-1]])
+
+
 def test_pipeline_equals_sum_of_queries(spark):
     import corpus_pipeline as p
 
