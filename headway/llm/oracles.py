@@ -61,7 +61,25 @@ def secret_spans() -> str:
       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN f USING (doc_id)"""
 
 
+def collocations(least: int = 100, top: int = 2000) -> str:
+    lower = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    return f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({lower}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+      w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+      t AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY 1),
+      g AS MATERIALIZED (SELECT lang, m, g, count(*) AS f FROM (SELECT lang, m, ws[k:k + m - 1] AS g FROM (
+        SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS k FROM w, range(1, 6) s(m))) GROUP BY ALL HAVING count(*) >= {least}),
+      c AS (SELECT lang, m, g, f, unnest(range(1, m)) AS k FROM g WHERE m >= 2),
+      s AS (SELECT c.lang, c.m, c.g, c.f AS a, x.f AS l, y.f AS r, n, k, (1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f) AS score
+        FROM c JOIN t USING (lang) JOIN g x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN g y ON y.lang = c.lang AND y.g = c.g[k + 1:]),
+      b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+      d AS (SELECT lang, g[1:m - 1] AS g, f FROM g WHERE m > 2 UNION SELECT lang, g[2:], f FROM g WHERE m > 2),
+      k AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM b ANTI JOIN d ON d.lang = b.lang AND d.g = b.g AND d.f >= b.a)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n,
+      CAST(score AS BIGINT) AS score FROM k QUALIFY rank <= {top}"""
+
+
 def all_sql(shard_bytes: int) -> dict[str, str]:
     return {
         "op2_ngram_jaccard": ngram_jaccard(), "op5_sharding": sharding.oracle(shard_bytes), "op6_secrets": secret_spans(), "op8_substrings": substrings(),
+        "op11_collocations": collocations(),
     }
