@@ -78,8 +78,26 @@ def collocations(least: int = 100, top: int = 2000) -> str:
       CAST(score AS BIGINT) AS score FROM k QUALIFY rank <= {top}"""
 
 
+def centroids(dim: int = 64, scale: int = 64, k: int = 16, rounds: int = 3, seed: int = 1) -> str:
+    """Every round compares all vectors with all centroids; ``//`` of whole numbers that divide evenly gives the floor."""
+    square = "list_sum(list_transform(list_zip(x.v, y.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    near = f"SELECT x.i, any_value(x.v) AS v, min({{'d': CAST({square} AS BIGINT), 'c': y.c}}) AS b FROM k x, %s y GROUP BY x.i"
+    steps = []
+    for i in range(rounds):
+        steps.append(f"""a{i} AS MATERIALIZED ({near % f"c{i}"}),
+      c{i + 1} AS MATERIALIZED (SELECT c, coalesce(w, v) AS v FROM c{i} LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY p) AS w FROM (
+        SELECT b.c AS c, p, count(*) AS n, sum(e)::BIGINT AS s FROM (SELECT b, unnest(v) AS e, generate_subscripts(v, 1) AS p FROM a{i}) GROUP BY ALL) GROUP BY 1) USING (c))""")
+    return f"""WITH k AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim}),
+      c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1 AS c, v FROM k QUALIFY c < {k}),
+      {', '.join(steps)}, f AS ({near % f"c{rounds}"})
+    SELECT vec_id, CAST(b.c AS INTEGER) AS cluster, b.d AS distance, CAST(sum(b.d) OVER (PARTITION BY b.c) AS BIGINT) AS cluster_inertia,
+      CAST(sum(b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(y.v, ',')) AS centroid_sha256
+    FROM f JOIN k USING (i) JOIN c{rounds} y ON y.c = f.b.c"""
+
+
 def all_sql(shard_bytes: int) -> dict[str, str]:
     return {
         "op2_ngram_jaccard": ngram_jaccard(), "op5_sharding": sharding.oracle(shard_bytes), "op6_secrets": secret_spans(), "op8_substrings": substrings(),
-        "op11_collocations": collocations(),
+        "op11_collocations": collocations(), "op12_centroids": centroids(),
     }
