@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headway.llm import bpe, centroids, collocations, decontaminate, langid, licenses, lines, ngram_join, oracles, quality, secrets, sharding, substrings
+from headway.llm import bpe, centroids, classifier, collocations, decontaminate, langid, licenses, lines, ngram_join, oracles, quality, secrets, sharding, substrings
 from headway.llm.tables import documents, table
 
 
@@ -67,9 +67,13 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op13_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_licenses": op1_licenses, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_bpe": op3_bpe, "op4_decontaminate": op4_decontaminate, "op5_sharding": op5_sharding, "op6_secrets": op6_secrets, "op7_language": op7_language,
     "op8_substrings": op8_substrings, "op9_quality": op9_quality, "op10_lines": op10_lines,
-    "op11_collocations": op11_collocations, "op12_centroids": op12_centroids,
+    "op11_collocations": op11_collocations, "op12_centroids": op12_centroids, "op13_classifier": op13_classifier,
 }
 ORACLE_SQL = oracles.all_sql(SHARD_BYTES)
