@@ -191,22 +191,22 @@ def count_words(texts: DataFrame, base: int, groups: int, least: int) -> DataFra
     """Rows of ``COUNTS``: frequent words (m = 1) and, by group, the words of a language (m = 0); ``clash`` where two words share a fingerprint."""
 
     def shard(held):
-        langs, codes, counts, sizes, raws = zip(*held)
-        size, raw = np.concatenate(sizes), np.concatenate(raws)
-        columns, count = [np.concatenate(langs), np.concatenate(codes)], np.concatenate(counts)
-        start = np.cumsum(size) - size
-        kept, at = Transducer.build(columns, count)
+        langs, codes, others, counts, sizes, raws = (np.concatenate(x) for x in zip(*held))
+        start = np.cumsum(sizes) - sizes
+        kept, at = Transducer.build([langs, codes, others], counts)
         columns = kept.columns()
-        for part, rows in _split(columns, groups):
+        for part, rows in _split(columns[:2], groups):
             some, _ = Transducer.build([c[rows] for c in columns], kept.weight[rows])
             where = at[rows]  # rows ascend, so this is the order of the automaton
-            words = size[where].astype(np.uint32).tobytes() + _gather(raw, start[where], size[where]).tobytes()
+            words = sizes[where].astype(np.uint32).tobytes() + _gather(raws, start[where], sizes[where]).tobytes()
             yield {"part": [part], "shard": [0], "data": [some.pack() + words]}
 
     def run(batches):
         held, n = [], 0
         for s, code, lang, _ in _slices(batches, base):
-            kept, at = Transducer.build([lang, code], np.ones(len(code), np.int64))
+            # words with one fingerprint stay apart by a second one until they have been compared
+            other = spans_hash(_VALUES[s._bytes], s.start, s.end, SECOND)
+            kept, at = Transducer.build([lang, code, other], np.ones(len(code), np.int64))
             size = s.end[at] - s.start[at]
             held.append((*kept.columns(), kept.weight, size, _gather(s._bytes, s.start[at], size)))
             n += len(at)
@@ -228,10 +228,8 @@ def count_words(texts: DataFrame, base: int, groups: int, least: int) -> DataFra
         end = np.cumsum(size)
         columns = [np.concatenate(c) for c in zip(*[p.columns() for p in parts])]
         weight = np.concatenate([p.weight for p in parts])
-        total, first = Transducer.build(columns, weight)
-        # a word is told from another with its fingerprint by a second one
-        second = spans_hash(_VALUES[raw], end - size, end, SECOND)
-        clash = len(Transducer.build([*columns, second], weight)[1]) > len(first)
+        total, first = Transducer.build(columns[:2], weight)
+        clash = len(Transducer.build(columns, weight)[1]) > len(first)
         keep = np.flatnonzero(total.weight >= least)
         words = [raw[end[i] - size[i] : end[i]].tobytes().decode("utf-8", "replace") for i in first[keep].tolist()]
         found = [c[keep] for c in total.columns()]
