@@ -1,8 +1,5 @@
 """Travel-time baselines, splits and scoring."""
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headway.catalog.registry import query, view
@@ -10,7 +7,6 @@ from headway.catalog.roles import samples, scores, table
 from headway.catalog.windows import SHINGLE, cumulated
 from headway.operators import aggregates as a
 from headway.operators import baselines as bl
-from headway.session import stage
 
 KEY, ORDER = "shingle_id", SHINGLE[1]
 view("hrs", """SELECT h AS t_hour, coalesce(speed, 6e0) AS speed FROM (SELECT unnest(range(24)) AS h) LEFT JOIN (
@@ -101,14 +97,43 @@ def _(spark, sf):
     return bl.apply_speeds(df, [KEY], ORDER)
 
 
-@query("learned_baseline", "shingle_id fold labels~4 preds~4")
+ENDS = ["x", "y", "sch_time_s", "cumul_dist_m"]
+WIDTH = 2 * len(ENDS) + sum(bl.START.values())
+
+
+def one_hot(size, col):
+    return f"list_transform(range({size}), lambda h: CASE WHEN h = {col} THEN 1e0 ELSE 0e0 END)"
+
+
+view("trv", "SELECT shingle_id, " + ", ".join(
+    f"coalesce({e}({c} ORDER BY locationtime, event_id), 0) * 1e0 AS {c}_{e}" for c in ENDS for e in ("first", "last"))
+    + """, coalesce(first(t_hour ORDER BY locationtime, event_id), 0) AS hr, coalesce(first(t_day_of_week ORDER BY locationtime, event_id), 0) AS wd,
+    coalesce(last(cumul_time_s ORDER BY locationtime, event_id), 0) * 1e0 AS lab FROM cum GROUP BY 1""")
+view("trf", f"""SELECT shingle_id, CAST(CAST('0x' || substr(md5(shingle_id || '|42'), 1, 12) AS BIGINT) % 5 AS INTEGER) AS fold, lab,
+    list_concat([{', '.join(f'{c}_{e}' for c in ENDS for e in ('first', 'last'))}], list_concat({one_hot(24, 'hr')}, {one_hot(7, 'wd')})) AS f FROM trv""")
+view("tix", f"SELECT unnest(range(1, {WIDTH + 1})) AS i")
+view("tgm", "SELECT fold, a.i, b.i AS j, sum(f[a.i] * f[b.i]) AS p FROM trf, tix a, tix b GROUP BY ALL")
+view("tms", "SELECT fold, i, sum(f[i]) AS s, sum(f[i] * lab) AS c FROM trf, tix GROUP BY ALL")
+view("tns", "SELECT o.fold, count(*) AS n, avg(lab) AS about FROM (SELECT DISTINCT fold FROM trf) o JOIN trf ON trf.fold <> o.fold GROUP BY ALL")
+view("tsp", """SELECT o.fold, g.i, g.j, sum(p) / any_value(n) AS p FROM tns o JOIN tgm g ON g.fold <> o.fold GROUP BY ALL""")
+view("tmn", """SELECT fold, i, m, sqrt(greatest(p - m * m, 0)) AS sd, c - m * about AS pull FROM (
+    SELECT o.fold, i, sum(s) / any_value(n) AS m, sum(c) / any_value(n) AS c, any_value(about) AS about
+    FROM tns o JOIN tms ON tms.fold <> o.fold GROUP BY ALL) JOIN (SELECT fold, i, p FROM tsp WHERE i = j) USING (fold, i)""")
+view("tlv", "SELECT *, CASE WHEN sd > 1e-9 * greatest(1, abs(m)) THEN sd END AS sc FROM tmn")
+view("trw", """SELECT a.fold, a.i, list_append(list(coalesce((p - a.m * b.m) / (a.sc * b.sc), 0) + CASE WHEN a.i = b.i THEN 1e-2 ELSE 0 END ORDER BY b.i),
+    coalesce(any_value(a.pull / a.sc), 0)) AS w FROM tlv a JOIN tlv b ON b.fold = a.fold JOIN tsp ON tsp.fold = a.fold AND tsp.i = a.i AND tsp.j = b.i GROUP BY ALL""")
+#: Elimination, one unknown a step; the ridge keeps every pivot away from zero.
+view("tsv", f"""WITH RECURSIVE g AS (SELECT 0 AS k, fold, i, w FROM trw UNION ALL
+    SELECT g.k + 1, g.fold, g.i, CASE WHEN g.i = g.k + 1 THEN r ELSE list_transform(range(1, {WIDTH + 2}), lambda j: g.w[j] - g.w[g.k + 1] * r[j]) END
+    FROM g JOIN (SELECT fold, list_transform(w, lambda v: v / w[k + 1]) AS r FROM g WHERE i = k + 1) q ON q.fold = g.fold WHERE g.k < {WIDTH})
+    SELECT fold, i, w[{WIDTH + 1}] AS b FROM g WHERE k = {WIDTH}""")
+
+
+@query("learned_baseline", "shingle_id fold labels~4 preds~4",
+       """SELECT shingle_id, fold, any_value(lab) AS labels, any_value(about) + sum(coalesce((f[i] - m) * b / sc, 0)) AS preds
+       FROM trf JOIN tns USING (fold) JOIN tlv USING (fold) JOIN tsv USING (fold, i) GROUP BY ALL""")
 def _(spark, sf):
-    df = stage(bl.assign_fold(cumulated(spark, sf), KEY, 5), "folds")
-    scored = []
-    for fold in range(5):
-        model, rows = bl.fit_travel_time(df.filter(F.col("fold") != fold), KEY, ORDER, ["x", "y", "sch_time_s", "cumul_dist_m"])
-        scored.append(model.transform(rows(df.filter(F.col("fold") == fold))).select(KEY, "labels", "preds").withColumn("fold", F.lit(fold)))
-    return reduce(DataFrame.unionByName, scored)
+    return bl.cross_predict(bl.assign_fold(cumulated(spark, sf), KEY, 5), KEY, ORDER, ENDS)
 
 
 @query("feature_sets", "event_id calc_dist_m calc_bear_d x_cent y_cent elev_m calc_stop_dist_m sch_time_s passed_stops_n cumul_passed_stops_n",

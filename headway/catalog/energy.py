@@ -95,9 +95,31 @@ def fixed_depots(spark, sf):
     return ends.withColumns({"depot_x": F.expr("block_id % 4 * 1e4"), "depot_y": F.expr("block_id % 3 * 1e4")})
 
 
-@query("depots", "network_id block_id depot_id depot_x~3 depot_y~3")
+DEPOTS = sorted({max(1, int(e.AREA_KM2 * ps["depot_density_per_sqkm"])) for _, ps in e.scenario_list()})
+view("dpk", f"SELECT unnest({DEPOTS}) AS k")
+view("lloyd", f"""WITH RECURSIVE l AS (
+    SELECT 0 AS r, network_id, k, rn - 1 AS i, sx AS x, sy AS y FROM (SELECT *, row_number() OVER (
+      PARTITION BY network_id ORDER BY md5(CAST(block_id AS VARCHAR)), block_id) AS rn FROM bend) JOIN dpk ON rn <= k
+    UNION ALL
+    SELECT l.r + 1, l.network_id, l.k, l.i, coalesce(m.x, l.x), coalesce(m.y, l.y) FROM l LEFT JOIN (
+      SELECT network_id, k, b.i AS i, floor(avg(sx) * 1000 + 5e-1) / 1000 AS x, floor(avg(sy) * 1000 + 5e-1) / 1000 AS y FROM (
+        SELECT bend.network_id, l.k, bend.block_id, any_value(sx) AS sx, any_value(sy) AS sy,
+          min({{'d': (sx - l.x) * (sx - l.x) + (sy - l.y) * (sy - l.y), 'i': l.i}}) AS b
+        FROM bend JOIN l ON l.network_id = bend.network_id GROUP BY bend.network_id, l.k, bend.block_id) GROUP BY network_id, k, b.i) m
+      ON m.network_id = l.network_id AND m.k = l.k AND m.i = l.i WHERE l.r < {e.DEPOT_ROUNDS})
+    SELECT network_id, k, i, x, y FROM l WHERE r = {e.DEPOT_ROUNDS}""")
+view("dasg", """SELECT a.*, l.x AS depot_x, l.y AS depot_y, abs(sx - l.x) + abs(sy - l.y) + abs(ex - l.x) + abs(ey - l.y) AS block_deadhead_dist_m
+    FROM (SELECT bend.network_id, block_id, k, any_value(sx) AS sx, any_value(sy) AS sy, any_value(ex) AS ex, any_value(ey) AS ey,
+      min({'d': (sx - x) * (sx - x) + (sy - y) * (sy - y), 'i': i}) AS b
+      FROM bend JOIN lloyd ON lloyd.network_id = bend.network_id GROUP BY bend.network_id, block_id, k) a
+    JOIN lloyd l ON l.network_id = a.network_id AND l.k = a.k AND l.i = a.b.i""")
+
+
+@query("depots", "network_id block_id n_depots depot_id depot_x~3 depot_y~3",
+       "SELECT *, k AS n_depots, b.i AS depot_id FROM dasg")
 def _(spark, sf):
-    return e.cluster_depots(e.block_ends(trips(spark, sf), ["network_id", "block_id"]), 6)
+    blocks = e.block_ends(trips(spark, sf), ["network_id", "block_id"])
+    return e.assign_depots(blocks, e.depot_centres(blocks, ["network_id"], DEPOTS), ["network_id"])
 
 
 @query("depot_deadhead", "network_id block_id block_deadhead_dist_m~3 block_deadhead_kwh~6",
@@ -153,11 +175,13 @@ def charge_sql(source, plug, scene=""):
         FROM {source} GROUP BY ALL))"""
 
 
-view("chg", charge_sql("fleet", "5e1"))
+#: Some blocks have a slow plug, at which they charge for days.
+PLUG = "CASE WHEN block_id % 97 < 2 THEN 2e0 ELSE 5e1 END"
+view("chg", charge_sql("fleet", PLUG))
 
 
 def charging(spark, sf):
-    return e.charging_needs(fleet(spark, sf), ["network_id", "block_id"], 50.0)
+    return e.charging_needs(fleet(spark, sf), ["network_id", "block_id"], F.expr(PLUG))
 
 
 @query("block_coverage", "block_id t_min_of_day t_min_of_day_end block_net_energy_kwh~6 charge_time_min~5 t_charge_end_min~5 "
@@ -172,14 +196,15 @@ view("sta", """SELECT network_id, t AS t_min_of_day, count(*) FILTER (t0 <= t AN
     coalesce(sum(block_net_energy_kwh) FILTER (t1 = t), 0) AS tot_energy_arriving,
     coalesce(sum(block_net_energy_kwh) FILTER (t0 = t), 0) AS tot_energy_departing,
     coalesce(sum(plug) FILTER (t1 <= t AND t_charge_end_min >= t), 0) AS tot_power
-    FROM chg CROSS JOIN (SELECT unnest(range(4320)) AS t) GROUP BY ALL""")
+    FROM chg JOIN (SELECT network_id, unnest(range(greatest(4320, (CAST(max(greatest(t1, floor(t_charge_end_min))) AS BIGINT) // 1440 + 1) * 1440))) AS t
+      FROM chg GROUP BY 1) USING (network_id) GROUP BY ALL""")
 STATUS_OUT = ("network_id t_min_of_day tot_veh_active tot_veh_inactive tot_veh_charging tot_veh_arriving tot_veh_departing "
               "tot_energy_arriving~4 tot_energy_departing~4 tot_power~4")
 
 
 @query("interval_count", STATUS_OUT, "SELECT * FROM sta")
 def _(spark, sf):
-    return e.vehicle_status(charging(spark, sf), ["network_id"])
+    return e.vehicle_status(charging(spark, sf), ["network_id"], None)
 
 
 view("fol", "SELECT network_id, t_min_of_day % 1440 AS t_min_of_day, " + ", ".join(
@@ -188,7 +213,7 @@ view("fol", "SELECT network_id, t_min_of_day % 1440 AS t_min_of_day, " + ", ".jo
 
 
 def folded(spark, sf):
-    return e.fold_minutes(e.vehicle_status(charging(spark, sf), ["network_id"]), ["network_id"])
+    return e.folded_status(charging(spark, sf), ["network_id"])
 
 
 @query("fold_day", STATUS_OUT, "SELECT * FROM fol")
@@ -211,7 +236,7 @@ view("mng", """SELECT network_id, d AS daily_energy_kwh, h AS charge_veh_hr, d /
 
 @query("managed_rate", "network_id daily_energy_kwh~4 charge_veh_hr~6 min_charge_rate_managed~6", "SELECT * FROM mng")
 def _(spark, sf):
-    return e.managed_rate(charging(spark, sf), folded(spark, sf), ["network_id"])
+    return e.managed_rate(charging(spark, sf), ["network_id"])
 
 
 PARAMS = list(e.BASELINE)
@@ -222,7 +247,16 @@ def number(v):
 
 
 view("scn", " UNION ALL ".join(
-    f"SELECT '{n}' AS file, " + ", ".join(f"{number(float(v))} AS {p}" for p, v in ps.items()) for n, ps in e.scenario_list()))
+    f"SELECT '{n}' AS file, {max(1, int(e.AREA_KM2 * ps['depot_density_per_sqkm']))} AS k, " + ", ".join(f"{number(float(v))} AS {p}" for p, v in ps.items())
+    for n, ps in e.scenario_list()))
+#: Stands for a table of measured consumption by cycle setting; at the baseline it is the trips' own.
+CONSUMPTION = "consumption_kwh_mi + 2e-3 * (passenger_load - 41e0) + 5e-2 * (acc_dec_factor - 1e0) + 1e-2 * (aux_power_kw - 2e1)"
+REGEN = "cyc_regen_kwh * (1e0 + 1e-1 * (acc_dec_factor - 1e0))"
+
+
+def consumption(spark, sf):
+    df = e.with_scenarios(trips(spark, sf), e.cycle_variants())
+    return df.selectExpr("trip_id", *e.CYCLE_PARAMS, f"{CONSUMPTION} AS consumption_kwh_mi", f"{REGEN} AS cyc_regen_kwh")
 
 
 @query("scenario_grid", "file network_id n_trips " + " ".join(f"{p}~6" for p in PARAMS),
@@ -232,13 +266,18 @@ def _(spark, sf):
     return df.groupBy("file", "network_id", *PARAMS).agg(F.count(F.lit(1)).alias("n_trips"))
 
 
-view("sfl", energy_sql("0e0", "0e0", "deadhead_consumption_kwh_mi", "aux_power_kw", "temperature_f", "door_open_time_s",
-                       "(SELECT * FROM prep CROSS JOIN scn)", "file, "))
+view("spr", f"""SELECT prep.* REPLACE ({CONSUMPTION} AS consumption_kwh_mi, {REGEN} AS cyc_regen_kwh), scn.*, block_deadhead_dist_m,
+    block_deadhead_dist_m / 1000 / 1.609e0 * deadhead_consumption_kwh_mi AS block_deadhead_kwh
+    FROM prep CROSS JOIN scn JOIN (SELECT network_id AS dn, block_id AS db, k AS dk, block_deadhead_dist_m FROM dasg)
+    ON dn = network_id AND db = block_id AND dk = scn.k""")
+view("sfl", energy_sql("block_deadhead_kwh", "block_deadhead_dist_m", "deadhead_consumption_kwh_mi", "aux_power_kw", "temperature_f", "door_open_time_s",
+                       "spr", "file, "))
 view("sch", charge_sql("sfl", "depot_plug_power_kw", "file, "))
 view("sev", """SELECT file, network_id, unnest([t1, greatest(t1, CAST(floor(t_charge_end_min) AS BIGINT)) + 1]) AS t,
     unnest([plug, -plug]) AS p FROM sch WHERE floor(t_charge_end_min) >= t1""")
 view("sin", """SELECT file, network_id, unnest([t0, t1 + 1]) AS t, unnest([1, -1]) AS a FROM sch""")
-view("sgrid", "SELECT * FROM (SELECT DISTINCT file, network_id FROM sch) CROSS JOIN (SELECT unnest(range(4320)) AS t)")
+view("sgrid", """SELECT * FROM (SELECT DISTINCT file, network_id FROM sch) CROSS JOIN (SELECT unnest(range((
+    SELECT greatest(4320, (CAST(max(greatest(t1, floor(t_charge_end_min))) AS BIGINT) // 1440 + 1) * 1440) FROM sch))) AS t)""")
 view("sst2", """SELECT g.file, g.network_id, g.t % 1440 AS m, p, n - a AS rest FROM (SELECT file, network_id, t,
       coalesce(sum(dp) OVER w, 0) AS p, coalesce(sum(da) OVER w, 0) AS a FROM sgrid
       LEFT JOIN (SELECT file, network_id, t, sum(p) AS dp FROM sev GROUP BY ALL) USING (file, network_id, t)
@@ -279,7 +318,7 @@ LABELS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in e.PARAM_NAMES.items())
 @query("scenario_run", "file network_id metric value~4 sensitivity_parameter",
        f"SELECT *, CASE split_part(file, '-', 1) {LABELS} ELSE file END AS sensitivity_parameter FROM smet")
 def _(spark, sf):
-    return e.run_scenarios(trips(spark, sf))
+    return e.run_scenarios(trips(spark, sf), cycle_kwh=consumption(spark, sf))
 
 
 @query("sensitivity_metrics", "file network_id metric value~4",
@@ -297,7 +336,7 @@ def _(spark, sf):
        JOIN mng ON provider = network_id WHERE distance < 400""")
 def _(spark, sf):
     base = e.run_scenarios(trips(spark, sf), scenarios=e.scenario_list()[:1]).withColumnRenamed("network_id", "provider")
-    charge = e.managed_rate(charging(spark, sf), folded(spark, sf), ["network_id"]).withColumnsRenamed(
+    charge = e.managed_rate(charging(spark, sf), ["network_id"]).withColumnsRenamed(
         {"network_id": "agency", "min_charge_rate_managed": "power"})
     names = {"Number of Blocks": "n_blocks", "Avg. Block Distance (mi)": "distance", "Avg. Block Energy (kWh)": "energy"}
     return j.network_compare(base, charge, list(names), ("Avg. Block Distance (mi)", 400)).withColumnsRenamed(names)

@@ -66,6 +66,48 @@ def _(spark, sf):
     return j.attach_schedule(points, static, trips(spark, sf))
 
 
+def two_feeds(spark, sf):
+    """Two feeds that share trip ids, each with two versions of its schedule: points, stop times, trips and versions."""
+    points = positions(spark, sf).drop("feed_id").selectExpr("*", "event_id % 2 AS feed_id")
+    kinds = "explode(array(0, 1)) AS feed_id"
+    days = table(spark, sf, "region").filter("r_regionkey < 4").selectExpr(
+        "r_regionkey % 2 AS feed_id", "r_regionkey div 2 AS edition",
+        "date_add(date'2024-01-05', cast(r_regionkey % 2 * 4 + r_regionkey div 2 * 11 as int)) AS version")
+    sec = "18000 + l_linenumber * 900 + (l_partkey % 60) * 10 + (l_orderkey % 24) * 3600 + feed_id * 60 + edition * 600"
+    times = table(spark, sf, "lineitem").selectExpr("*", kinds).join(F.broadcast(days), "feed_id").selectExpr(
+        "feed_id", "version", "cast(l_orderkey as string) AS trip_id", "cast((l_suppkey + 3 * feed_id + 5 * edition) % 10 + 1 as string) AS stop_id",
+        "l_linenumber AS stop_sequence", f"{sec} AS sec").selectExpr(
+        "* except (sec)", "concat_ws(':', lpad(cast(sec div 3600 as string), 2, '0'), lpad(cast(sec div 60 % 60 as string), 2, '0'), "
+        "lpad(cast(sec % 60 as string), 2, '0')) AS arrival_time")
+    runs = trips(spark, sf).selectExpr("trip_id", "route_id", "service_id", kinds).join(F.broadcast(days), "feed_id").selectExpr(
+        "feed_id", "version", "trip_id", "concat(route_id, '-', cast(edition as string)) AS route_id", "concat(service_id, '-', cast(feed_id as string)) AS service_id")
+    return points, times, runs, days.select("feed_id", "version")
+
+
+view("v2", """SELECT r_regionkey % 2 AS feed_id, r_regionkey // 2 AS edition, DATE '2024-01-05' + CAST(r_regionkey % 2 * 4 + r_regionkey // 2 * 11 AS INTEGER) AS version
+    FROM region WHERE r_regionkey < 4""")
+view("pos2", "SELECT * REPLACE (event_id % 2 AS feed_id) FROM pos")
+view("day2", """SELECT feed_id, service_day, coalesce(max(version) FILTER (version < service_day), min(version)) AS version
+    FROM (SELECT DISTINCT feed_id, service_day FROM pos2) JOIN v2 USING (feed_id) GROUP BY ALL""")
+view("sst2v", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feed_id, version, trip_id ORDER BY sec, seq, stop_id) - 1 AS stop_sequence FROM (
+    SELECT feed_id, version, CAST(l_orderkey AS VARCHAR) AS trip_id, CAST((l_suppkey + 3 * feed_id + 5 * edition) % 10 + 1 AS VARCHAR) AS stop_id, l_linenumber AS seq,
+    18000 + l_linenumber * 900 + (l_partkey % 60) * 10 + (l_orderkey % 24) * 3600 + feed_id * 60 + edition * 600 AS sec FROM lineitem, v2)) JOIN stp USING (stop_id)""")
+
+
+@query("schedule_in_force", "event_id feed_id version stop_id stop_sequence t_sch_sec_of_day calc_stop_dist_m~4 route_id service_id",
+       """SELECT p.event_id, p.feed_id, d.version, n.stop_id, n.stop_sequence, CAST(n.sec AS BIGINT) AS t_sch_sec_of_day, n.calc_stop_dist_m,
+       CASE WHEN t.trip_id IS NOT NULL THEN t.route_id || '-' || CAST(t.edition AS VARCHAR) END AS route_id,
+       CASE WHEN t.trip_id IS NOT NULL THEN t.service_id || '-' || CAST(t.feed_id AS VARCHAR) END AS service_id
+       FROM pos2 p JOIN day2 d USING (feed_id, service_day) LEFT JOIN (
+         SELECT event_id, stop_id, stop_sequence, sec, sqrt((x - stop_x) * (x - stop_x) + (y - stop_y) * (y - stop_y)) AS calc_stop_dist_m
+         FROM pos2 JOIN day2 USING (feed_id, service_day) JOIN sst2v USING (feed_id, version, trip_id)
+         QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY calc_stop_dist_m, stop_sequence, stop_id) = 1) n USING (event_id)
+       LEFT JOIN (SELECT * FROM trp, v2) t ON t.feed_id = p.feed_id AND t.version = d.version AND t.trip_id = p.trip_id""")
+def _(spark, sf):
+    points, times, runs, days = two_feeds(spark, sf)
+    return j.attach_schedule_in_force(points, times, stops(spark, sf), runs, days, ["feed_id"])
+
+
 @query("asof_static", "feed_id service_day version",
        """SELECT feed_id, service_day, coalesce(max(version) FILTER (version < service_day), min(version)) AS version
        FROM (SELECT DISTINCT feed_id, service_day FROM pos) JOIN ver USING (feed_id) GROUP BY ALL""")

@@ -84,9 +84,29 @@ def _(spark, sf):
     return replay(spark, sf, lambda df: st.stream_daily(df, []), halves(spark, sf, late=True))
 
 
-@query("st_steps", "event_id trip_id calc_dist_m~3 calc_time_s~3", "SELECT * FROM stp_steps")
+BUCKET = 21600
+LOST = "event_id % 50 = 7 AND ts < TIMESTAMP '2024-01-13 00:00:00'"
+#: What a stream may have emitted: rows that were not too late, in buckets that the watermark has passed.
+view("pos_in", f"SELECT * FROM cel WHERE event_id NOT IN (SELECT event_id FROM events WHERE {LOST})")
+view("past_mark", f"SELECT event_id FROM pos_in WHERE (locationtime // {BUCKET} + 1) * {BUCKET} <= (SELECT epoch(w) FROM wm)")
+
+
+def disordered(spark, sf):
+    """The events in two deliveries: the second brings rows up to 20 hours older than the newest before it, in time, and some days older, too late."""
+    events = table(spark, sf, "events")
+    cut = F.lit("2024-01-15").cast("timestamp_ntz")
+    soon = (F.col("ts") >= cut) & (F.col("ts") < cut + F.expr("INTERVAL 20 HOURS")) & (F.col("event_id") % 3 == 0)
+    first = ((F.col("ts") < cut - F.expr("INTERVAL 2 HOURS")) & ~F.expr(LOST.replace("TIMESTAMP", "TIMESTAMP_NTZ"))) | soon
+    return [events.filter(first), events.filter(~first)]
+
+
+@query("st_steps", "event_id trip_id calc_dist_m~3 calc_time_s~3",
+       """SELECT * FROM (SELECT event_id, trip_id, locationtime - lag(locationtime) OVER w AS calc_time_s,
+         CASE WHEN lag(lon) OVER w IS NOT NULL THEN 2 * 6371000 * asin(sqrt(least(1e0, pow(sin(radians(lat - lag(lat) OVER w) / 2), 2)
+           + cos(radians(lag(lat) OVER w)) * cos(radians(lat)) * pow(sin(radians(lon - lag(lon) OVER w) / 2), 2)))) END AS calc_dist_m
+         FROM pos_in WINDOW w AS (PARTITION BY trip_id ORDER BY locationtime, event_id)) JOIN past_mark USING (event_id)""")
 def _(spark, sf):
-    return replay(spark, sf, lambda df: st.stream_step_metrics(df, keep_ms=60 * st.DAY_MS), halves(spark, sf))
+    return replay(spark, sf, lambda df: st.stream_step_metrics(df, keep_ms=60 * st.DAY_MS, bucket_s=BUCKET), disordered(spark, sf))
 
 
 def binned(df):
@@ -96,9 +116,10 @@ def binned(df):
 @query("st_recent_cell", "event_id xbin ybin recent",
        """SELECT q.event_id, any_value(q.xbin) AS xbin, any_value(q.ybin) AS ybin,
        coalesce(list(p.speed_m_s ORDER BY p.locationtime DESC, p.event_id DESC) FILTER (p.event_id IS NOT NULL), []) [1:4] AS recent
-       FROM cel q LEFT JOIN cel p ON q.xbin = p.xbin AND q.ybin = p.ybin AND p.locationtime < q.locationtime GROUP BY q.event_id""")
+       FROM pos_in q JOIN past_mark USING (event_id) LEFT JOIN pos_in p ON q.xbin = p.xbin AND q.ybin = p.ybin AND p.locationtime < q.locationtime
+       GROUP BY q.event_id""")
 def _(spark, sf):
-    return replay(spark, sf, lambda df: st.stream_recent_in_cell(binned(df), 4, keep_ms=60 * st.DAY_MS), halves(spark, sf))
+    return replay(spark, sf, lambda df: st.stream_recent_in_cell(binned(df), 4, keep_ms=60 * st.DAY_MS, bucket_s=BUCKET), disordered(spark, sf))
 
 
 @query("st_cell_speed", "start xbin ybin speed~6 n",

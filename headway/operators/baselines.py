@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from itertools import combinations_with_replacement
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
-from pyspark.ml.regression import LinearRegression
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +14,7 @@ from headway import ordered as o
 from headway.functions.scalar import hash_number, ratio
 from headway.operators.aggregates import format_results
 from headway.operators.tracks import first_last
+from headway.session import stage
 
 # Feature names in their fixed order.
 LABEL_FEATURES = ("calc_time_s", "cumul_time_s")
@@ -146,21 +147,110 @@ def training_rows(df: DataFrame, sample: str, route: str, cols: Sequence[str] =
     return df.select(sample, values.alias("features"), F.col(route).cast("string").alias(route))
 
 
-def fit_travel_time(train: DataFrame, sample: str, order: Sequence[str], cols: Sequence[str], label="cumul_time_s"):
-    """Linear regression on the first and last row of each sample with the start hour and weekday.
+#: Categories of a sample's first row, and how many there are.
+START = {"t_hour_first": 24, "t_day_of_week_first": 7}
 
-    Returns the fitted pipeline and a function that makes its input rows.
+
+def travel_rows(df: DataFrame, sample: str, order: Sequence[str], cols: Sequence[str], label="cumul_time_s", keep: Sequence[str] = ()) -> DataFrame:
+    """One row per sample: its first and last row's columns, start hour and weekday, and the last running time as ``labels``; null is 0."""
+    ends = first_last(df, [sample], order, [*cols, "t_hour", "t_day_of_week", label, *keep])
+    ends = ends.withColumnsRenamed({f"{label}_last": "labels"} | {f"{c}_first": c for c in keep})
+    numbers = [f"{c}_{e}" for c in cols for e in ("first", "last")]
+    return ends.select(
+        sample, *keep, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in (*numbers, "labels")],
+        *[F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c) for c in START],
+    )
+
+
+def gram_sums(rows: DataFrame, numbers: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Everything a linear fit needs, in one pass: rows, sums and products per start hour and weekday (and ``by``)."""
+    cols = [*numbers, "labels"]
+    pairs = [F.sum(F.col(a) * F.col(b)) for a, b in combinations_with_replacement(cols, 2)]
+    return rows.groupBy(*by, *START).agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.sum(c) for c in cols]).alias("sums"), F.array(*pairs).alias("products")
+    )
+
+
+@dataclass(frozen=True)
+class Linear:
+    """A fitted line: one number per numeric column, one per category, and a constant."""
+
+    numbers: tuple[str, ...]
+    weights: tuple[float, ...]
+    starts: dict[str, tuple[float, ...]]
+    constant: float
+
+    def predict(self) -> Column:
+        out = F.lit(self.constant)
+        for c, v in zip(self.numbers, self.weights):
+            out = out + F.col(c) * F.lit(v)
+        for c, values in self.starts.items():
+            # a category that no row can have counts for nothing
+            out = out + F.coalesce(F.try_element_at(F.array(*map(F.lit, values)), F.when(F.col(c) >= 0, F.col(c) + 1)), F.lit(0.0))
+        return out
+
+
+def solve_ridge(sums: Sequence, numbers: Sequence[str], ridge: float = 0.01) -> Linear:
+    """Ridge regression from rows of :func:`gram_sums`: columns are scaled to unit deviation, those without any get 0."""
+    k, sizes = len(numbers), list(START.values())
+    width = k + sum(sizes)
+    upper = np.triu_indices(k + 1)
+    n, total, square, label, cross = 0, np.zeros(width), np.zeros((width, width)), np.zeros(2), np.zeros(width)
+    for r in sums:
+        at = [k + sum(sizes[:i]) + r[c] for i, c in enumerate(START) if 0 <= r[c] < sizes[i]]
+        s, p = np.array(r["sums"]), np.zeros((k + 1, k + 1))
+        p[upper] = r["products"]
+        p = p + np.triu(p, 1).T
+        n += r["n"]
+        total[:k] += s[:k]
+        square[:k, :k] += p[:k, :k]
+        cross[:k] += p[:k, k]
+        label += s[k], p[k, k]
+        for i in at:
+            total[i] += r["n"]
+            square[i, :k] += s[:k]
+            square[:k, i] += s[:k]
+            cross[i] += s[k]
+            for j in at:
+                square[i, j] += r["n"]
+    if not n:
+        return Linear(tuple(numbers), (0.0,) * k, {c: (0.0,) * m for c, m in START.items()}, 0.0)
+    mean, about = total / n, label[0] / n
+    spread = square / n - np.outer(mean, mean)
+    scale = np.sqrt(np.maximum(np.diag(spread), 0.0))
+    live = scale > 1e-9 * np.maximum(1.0, np.abs(mean))
+    scale = np.where(live, scale, 1.0)
+    spread = np.where(np.outer(live, live), spread / np.outer(scale, scale), 0.0)
+    pull = np.where(live, (cross / n - mean * about) / scale, 0.0)
+    slope = np.linalg.solve(spread + ridge * np.eye(width), pull) / scale
+    cuts = np.cumsum([k, *sizes])
+    starts = {c: tuple(slope[cuts[i] : cuts[i + 1]].tolist()) for i, c in enumerate(START)}
+    return Linear(tuple(numbers), tuple(slope[:k].tolist()), starts, float(about - slope @ mean))
+
+
+def fit_travel_time(train: DataFrame, sample: str, order: Sequence[str], cols: Sequence[str], label="cumul_time_s", ridge: float = 0.01):
+    """Ridge regression on the first and last row of each sample with the start hour and weekday.
+
+    Returns the fitted line and a function that makes its input rows.
     """
 
     def rows(df: DataFrame) -> DataFrame:
-        ends = first_last(df, [sample], order, [*cols, "t_hour", "t_day_of_week", label])
-        return ends.withColumnsRenamed({f"{label}_last": "labels"}).na.fill(0)
+        return travel_rows(df, sample, order, cols, label)
 
-    ends = [f"{c}_{e}" for c in cols for e in ("first", "last")]
-    hot = OneHotEncoder(
-        inputCols=["t_hour_first", "t_day_of_week_first"], outputCols=["_hour", "_weekday"], handleInvalid="keep"
-    )
-    vec = VectorAssembler(inputCols=[*ends, "_hour", "_weekday"], outputCol="features")
-    reg = LinearRegression(featuresCol="features", labelCol="labels", predictionCol="preds", regParam=0.01, solver="l-bfgs")
-    model = Pipeline(stages=[hot, vec, reg]).fit(rows(train))
-    return model, rows
+    numbers = [f"{c}_{e}" for c in cols for e in ("first", "last")]
+    return solve_ridge(gram_sums(rows(train), numbers).collect(), numbers, ridge), rows
+
+
+def cross_predict(df: DataFrame, sample: str, order: Sequence[str], cols: Sequence[str], fold: str = "fold", label="cumul_time_s", ridge: float = 0.01):
+    """sample, fold, labels, preds: every sample predicted by the fit of all folds but its own.
+
+    The sums of all folds come from one job, at most one row per fold, hour and
+    weekday; the fit without a fold is solved from the total less its share.
+    """
+    numbers = [f"{c}_{e}" for c in cols for e in ("first", "last")]
+    rows = stage(travel_rows(df, sample, order, cols, label, [fold]), "travel-rows")
+    sums = gram_sums(rows, numbers, [fold]).collect()
+    preds = F.lit(None).cast("double")
+    for f in sorted({r[fold] for r in sums}):
+        preds = F.when(F.col(fold) == f, solve_ridge([r for r in sums if r[fold] != f], numbers, ridge).predict()).otherwise(preds)
+    return rows.select(sample, fold, "labels", preds.alias("preds"))

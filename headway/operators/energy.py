@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from headway import ordered as o
 from headway.functions.clock import unwrap_end
@@ -30,7 +30,9 @@ WIND_FT_S = 0.5
 AIR_LB_FT3 = 0.075
 AIR_BTU_LB_F = 0.24
 BTU_PER_KWH = 3412
-HORIZON_MIN = 3 * 1440
+DAY_MIN = 1440
+HORIZON_MIN = 3 * DAY_MIN
+DEPOT_ROUNDS = 5
 
 
 @dataclass(frozen=True)
@@ -157,16 +159,61 @@ def block_ends(trips: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def cluster_depots(blocks: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """Blocks with a depot each: k-means centres of block starts, fitted by Spark."""
-    if k == 1:
-        centre = blocks.agg(F.avg("block_start_x"), F.avg("block_start_y")).first()
-        return blocks.withColumns({"depot_id": F.lit(0), "depot_x": F.lit(centre[0]), "depot_y": F.lit(centre[1])})
-    vec = VectorAssembler(inputCols=["block_start_x", "block_start_y"], outputCol="_at").transform(blocks)
-    model = KMeans(k=k, seed=seed, featuresCol="_at", predictionCol="depot_id").fit(vec)
-    rows = [(i, float(c[0]), float(c[1])) for i, c in enumerate(model.clusterCenters())]
-    depots = blocks.sparkSession.createDataFrame(rows, "depot_id int, depot_x double, depot_y double")
-    return model.transform(vec).drop("_at").join(depots, "depot_id")
+POINT = T.StructType().add("x", T.DoubleType()).add("y", T.DoubleType())
+
+
+def nearest_centre(x: str, y: str, centres: str) -> Column:
+    """(d, i): squared distance to the nearest of a list of centres and its place in the list, the first of equals."""
+    far = lambda c: (F.col(x) - c["x"]) * (F.col(x) - c["x"]) + (F.col(y) - c["y"]) * (F.col(y) - c["y"])
+    return F.array_min(F.transform(centres, lambda c, i: F.struct(far(c).alias("d"), i.alias("i"))))
+
+
+def depot_centres(blocks: DataFrame, network: Sequence[str], counts: Sequence[int], rounds: int = DEPOT_ROUNDS) -> DataFrame:
+    """network, n_depots, centres: depots of every network and count by Lloyd's rounds over the block starts, all at once.
+
+    They begin at the blocks with the smallest MD5 of the id; a round gives every block
+    start to its nearest centre, the first of equals, and moves each centre to the mean
+    of its starts, to the millimetre. A centre without starts stays. It ends when no
+    centre moves, or after ``rounds``. Blocks without a position count for nothing.
+    A round is one pass and one shuffle of partial sums; what returns is the centres
+    that moved, at most as many as the counts add up to per network.
+    """
+    network, of, spark = list(network), [*network, "n_depots"], blocks.sparkSession
+    x, y, counts = "block_start_x", "block_start_y", sorted(set(counts))
+    starts = blocks.select(*network, "block_id", x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    starts = stage(starts, "block-starts")
+    order = Window.partitionBy(*network).orderBy(F.md5(F.col("block_id").cast("string")), "block_id")
+    first = starts.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= max(counts))
+    first = first.groupBy(*network).agg(F.array_sort(F.collect_list(F.struct("_rn", F.col(x).alias("x"), F.col(y).alias("y")))).alias("_first")).collect()
+    places = {(*(r[c] for c in network), k): [(p["x"], p["y"]) for p in r["_first"][:k]] for r in first for k in counts}
+    fields = [*[starts.schema[c] for c in network], T.StructField("n_depots", T.IntegerType()), T.StructField("centres", T.ArrayType(POINT))]
+    schema = T.StructType(fields)
+
+    def table() -> DataFrame:
+        rows = [dict(zip(of, key)) | {"centres": [{"x": a, "y": b} for a, b in at]} for key, at in places.items()]
+        return spark.createDataFrame(pa.Table.from_pylist(rows, schema=to_arrow_schema(schema)), schema)
+
+    def mean(c: str) -> Column:
+        return (F.floor(F.avg(c) * 1000 + 0.5) / 1000).alias(c)
+
+    for _ in range(rounds):
+        own = starts.join(F.broadcast(table()), network).select(*of, x, y, nearest_centre(x, y, "centres")["i"].alias("_i"))
+        moved = False
+        for r in own.groupBy(*of, "_i").agg(mean(x), mean(y)).collect():
+            at = places[tuple(r[c] for c in of)]
+            moved |= at[r["_i"]] != (r[x], r[y])
+            at[r["_i"]] = (r[x], r[y])
+        if not moved:
+            break
+    return table()
+
+
+def assign_depots(blocks: DataFrame, centres: DataFrame, network: Sequence[str]) -> DataFrame:
+    """Every block once per depot count of its network, with its nearest depot; a block without a position has none."""
+    df = blocks.join(centres, list(network)).withColumn("_near", nearest_centre("block_start_x", "block_start_y", "centres"))
+    depot = F.try_element_at("centres", F.col("_near.i") + 1)
+    df = df.withColumns({"depot_id": F.when(F.col("_near.d").isNotNull(), F.col("_near.i")), "_depot": F.when(F.col("_near.d").isNotNull(), depot)})
+    return df.withColumns({"depot_x": F.col("_depot.x"), "depot_y": F.col("_depot.y")}).drop("_near", "_depot", "centres")
 
 
 def depot_deadhead(blocks: DataFrame, kwh_mi) -> DataFrame:
@@ -245,73 +292,178 @@ STATUS = (
 )
 
 
-def vehicle_status(blocks: DataFrame, keys: Sequence[str], horizon: int = HORIZON_MIN) -> DataFrame:
-    """State of the fleet in each minute, both ends of an interval counted.
+_COUNTED = ("active", "charging", "arriving", "departing", "e_in", "e_out", "power")
+
+
+def _amounts(**values) -> list[Column]:
+    return [_col(values.get(n, 0.0)).cast("double").alias(n) for n in (*_COUNTED, "blocks")]
+
 
-    Each block gives a handful of changes (+1 at a start, -1 in the minute
-    after an end); summed per minute and accumulated they replace comparing
-    every minute with every block. A key has at most ``horizon`` summed rows.
+def _spans(blocks: DataFrame) -> DataFrame:
+    """The times of a block as whole minutes, each span from its first minute to the one after its last."""
+    last = F.floor("t_charge_end_min").cast("long") + 1
+    return blocks.withColumns(
+        {
+            "_on": F.col("t_min_of_day").cast("long"), "_off": F.col("t_min_of_day_end").cast("long"),
+            "_from": F.ceil("t_charge_start_min").cast("long"), "_to": F.greatest(last, F.ceil("t_charge_start_min").cast("long")),
+        }
+    )
+
+
+def _levels(changes: DataFrame, keys: Sequence[str], names: Sequence[str], end: Column) -> DataFrame:
+    """Changes at ``t`` to levels: a row per minute in which anything changes, with the minutes until the next one.
+
+    Changes are added up before the shuffle, so a key has at most one row per minute there.
     """
     keys = list(keys)
-    start, end, energy = F.col("t_min_of_day"), F.col("t_min_of_day_end"), F.col("block_net_energy_kwh")
-    charge_from = F.ceil("t_charge_start_min").cast("long")
-    charge_to = F.floor("t_charge_end_min").cast("long")
-    charges = charge_to >= charge_from
-    plug = F.col("plug_power_kw")
-
-    def change(t: Column, when: Column | None = None, **values) -> Column:
-        names = ("active", "charging", "arriving", "departing", "e_in", "e_out", "power")
-        fields = [_col(values.get(n, 0.0)).cast("double").alias(n) for n in names]
-        row = F.struct(t.cast("long").alias("t"), *fields)
-        return row if when is None else F.when(when, row)
-
-    changes = F.filter(
-        F.array(
-            change(start, active=1, departing=1, e_out=energy),
-            change(end, arriving=1, e_in=energy),
-            change(end + 1, active=-1),
-            change(charge_from, charges, charging=1, power=plug),
-            change(charge_to + 1, charges, charging=-1, power=-plug),
-        ),
-        lambda c: c.isNotNull() & (c["t"] < horizon),
+    summed = changes.groupBy(*keys, "t").agg(*[F.sum(n).alias(n) for n in names])
+    line = Window.partitionBy(*keys).orderBy("t")
+    so_far = line.rowsBetween(Window.unboundedPreceding, 0)
+    out = summed.withColumn("_last", F.max("t").over(Window.partitionBy(*keys)))
+    out = out.select(*keys, "t", "_last", *[F.sum(n).over(so_far).alias(n) for n in names], F.lead("t").over(line).alias("_next"))
+    return out.withColumn("minutes", F.coalesce(F.col("_next"), end) - F.col("t")).filter("minutes > 0").drop("_next", "_last")
+
+
+def _whole(name: str) -> Column:
+    return F.round(F.col(name)).cast("long")
+
+
+def _named_status(levels: DataFrame, keys: Sequence[str], rest: Column) -> DataFrame:
+    return levels.select(
+        *keys, F.col("t").alias("t_min_of_day"), "minutes", _whole("active").alias("tot_veh_active"), rest.alias("tot_veh_inactive"),
+        _whole("charging").alias("tot_veh_charging"), _whole("arriving").alias("tot_veh_arriving"), _whole("departing").alias("tot_veh_departing"),
+        F.col("e_in").alias("tot_energy_arriving"), F.col("e_out").alias("tot_energy_departing"), F.col("power").alias("tot_power"),
     )
-    events = blocks.select(*keys, F.inline(changes)).withColumn("t", F.greatest(F.col("t"), F.lit(0)))
-    names = ("active", "charging", "arriving", "departing", "e_in", "e_out", "power")
-    per_minute = events.groupBy(*keys, "t").agg(*[F.sum(n).alias(n) for n in names])
-    groups = blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_blocks"))
-    minutes = groups.select(*keys, "_blocks", F.explode(F.expr(f"sequence(0L, {horizon - 1}L)")).alias("t"))
-    line = minutes.join(per_minute, [*keys, "t"], "left").na.fill(0.0, list(names))
-    w = Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    active = F.round(F.sum("active").over(w)).cast("long")
-    return line.select(
-        *keys,
-        F.col("t").alias("t_min_of_day"),
-        active.alias("tot_veh_active"),
-        (F.col("_blocks") - active).alias("tot_veh_inactive"),
-        F.round(F.sum("charging").over(w)).cast("long").alias("tot_veh_charging"),
-        F.col("arriving").cast("long").alias("tot_veh_arriving"),
-        F.col("departing").cast("long").alias("tot_veh_departing"),
-        F.col("e_in").alias("tot_energy_arriving"),
-        F.col("e_out").alias("tot_energy_departing"),
-        F.sum("power").over(w).alias("tot_power"),
+
+
+def _each_minute(levels: DataFrame) -> DataFrame:
+    at = F.explode(F.sequence(F.col("t_min_of_day"), F.col("t_min_of_day") + F.col("minutes") - 1)).alias("t_min_of_day")
+    return levels.select(*[at if c == "t_min_of_day" else F.col(c) for c in levels.columns if c != "minutes"])
+
+
+def status_levels(blocks: DataFrame, keys: Sequence[str], horizon: int | None = None) -> DataFrame:
+    """State of the fleet between changes, and the minutes it lasts; both ends of an interval counted.
+
+    Each block gives a handful of changes (+1 at a start, -1 in the minute after an
+    end); summed and accumulated they replace comparing minutes with blocks. Without a
+    horizon the line goes on to the end of the day of the last change, three days at least.
+    """
+    keys = list(keys)
+    energy, plug = F.col("block_net_energy_kwh"), F.col("plug_power_kw")
+
+    def change(t, **values) -> Column:
+        return F.struct(F.greatest(t.cast("long"), F.lit(0)).alias("t"), *_amounts(**values))
+
+    charges = F.col("_to") > F.col("_from")
+    changes = F.array(
+        change(F.lit(0), blocks=1),
+        change(F.col("_on"), active=1, departing=1, e_out=energy), change(F.col("_on") + 1, departing=-1, e_out=-energy),
+        change(F.col("_off"), arriving=1, e_in=energy), change(F.col("_off") + 1, active=-1, arriving=-1, e_in=-energy),
+        F.when(charges, change(F.col("_from"), charging=1, power=plug)),
+        F.when(charges, change(F.col("_to"), charging=-1, power=-plug)),
     )
+    events = _spans(blocks).select(*keys, F.inline(F.filter(changes, lambda c: c.isNotNull())))
+    if horizon is None:
+        end = F.greatest(F.lit(HORIZON_MIN), (F.floor((F.col("_last") - 1) / DAY_MIN) + 1) * DAY_MIN).cast("long")
+    else:
+        events, end = events.filter(F.col("t") < horizon), F.lit(horizon).cast("long")
+    levels = _levels(events, keys, (*_COUNTED, "blocks"), end)
+    return _named_status(levels, keys, _whole("blocks") - _whole("active"))
+
+
+def vehicle_status(blocks: DataFrame, keys: Sequence[str], horizon: int | None = HORIZON_MIN) -> DataFrame:
+    """:func:`status_levels` minute by minute."""
+    return _each_minute(status_levels(blocks, keys, horizon))
+
 
+def _round_the_clock(start: Column, end: Column, **values) -> list[Column]:
+    """Changes of a span laid round one day: whole turns count everywhere, the remainder may pass midnight."""
+    turns, at = F.floor((end - start) / DAY_MIN), F.pmod(start, F.lit(DAY_MIN))
+    to = at + F.pmod(end - start, F.lit(DAY_MIN))
+    part = to > at
 
-def fold_minutes(status: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Three days on one: sums, but the least of the vehicles at rest."""
-    aggs = [(F.min if c == "tot_veh_inactive" else F.sum)(c).alias(c) for c in STATUS]
-    return status.groupBy(*keys, F.pmod("t_min_of_day", F.lit(1440)).alias("t_min_of_day")).agg(*aggs)
+    def change(t: Column, times) -> Column:
+        return F.struct(t.cast("long").alias("t"), *_amounts(**{n: _col(v) * times for n, v in values.items()}))
+
+    return [
+        F.when(turns > 0, change(F.lit(0), turns)),
+        F.when(part, change(at, 1)),
+        F.when(part & (to < DAY_MIN), change(to, -1)),
+        F.when(to > DAY_MIN, change(F.lit(0), 1)),
+        F.when(to > DAY_MIN, change(to - DAY_MIN, -1)),
+    ]
 
 
-def managed_rate(blocks: DataFrame, folded: DataFrame, keys: Sequence[str]) -> DataFrame:
+def least_at_rest(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per minute of day, between changes, the least number of vehicles at rest on any day: t, rest, minutes.
+
+    Days are compared at the minutes in which any of them changes.
+    """
+    keys = list(keys)
+    spans = _spans(blocks)
+    ends = F.array(
+        F.struct(F.lit(0).cast("long").alias("t"), F.lit(0).alias("on"), F.lit(1).alias("blocks")),
+        F.struct(F.greatest("_on", F.lit(0)).alias("t"), F.lit(1).alias("on"), F.lit(0).alias("blocks")),
+        F.struct(F.greatest(F.col("_off") + 1, F.lit(0)).alias("t"), F.lit(-1).alias("on"), F.lit(0).alias("blocks")),
+    )
+    changes = spans.select(*keys, F.inline(ends)).groupBy(*keys, "t").agg(F.sum("on").alias("on"), F.sum("blocks").alias("blocks"))
+    marks = changes.groupBy(*keys).agg(
+        F.collect_set(F.pmod("t", F.lit(DAY_MIN))).alias("_at"), F.floor(F.max("t") / DAY_MIN).cast("long").alias("_days")
+    )
+    marks = marks.select(*keys, F.explode("_at").alias("_at"), "_days").select(*keys, "_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_days"))).alias("_day"))
+    marks = marks.select(*keys, (F.col("_at") + DAY_MIN * F.col("_day")).alias("t"), F.lit(0).cast("long").alias("on"), F.lit(0).cast("long").alias("blocks"))
+    levels = _levels(changes.union(marks), keys, ("on", "blocks"), F.col("_last") + 1)
+    rest = levels.groupBy(*keys, F.pmod("t", F.lit(DAY_MIN)).alias("t")).agg(F.min(F.col("blocks") - F.col("on")).alias("rest"))
+    following = F.lead("t", 1, DAY_MIN).over(Window.partitionBy(*keys).orderBy("t"))
+    return rest.withColumn("minutes", following - F.col("t"))
+
+
+def folded_levels(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All days laid on one, between changes: sums over days, but the least of the vehicles at rest."""
+    keys = list(keys)
+    energy, plug = F.col("block_net_energy_kwh"), F.col("plug_power_kw")
+    on, off = F.col("_on"), F.col("_off")
+    changes = [
+        F.struct(F.lit(0).cast("long").alias("t"), *_amounts()),
+        *_round_the_clock(on, off + 1, active=1),
+        *_round_the_clock(on, on + 1, departing=1, e_out=energy),
+        *_round_the_clock(off, off + 1, arriving=1, e_in=energy),
+        *_round_the_clock(F.col("_from"), F.col("_to"), charging=1, power=plug),
+    ]
+    events = _spans(blocks).select(*keys, F.inline(F.filter(F.array(*changes), lambda c: c.isNotNull())))
+    events = events.withColumn("rest", F.lit(0.0))
+    before = F.lag("rest", 1, 0).over(Window.partitionBy(*keys).orderBy("t"))
+    rest = least_at_rest(blocks, keys).select(*keys, "t", *_amounts(), (F.col("rest") - before).cast("double").alias("rest"))
+    levels = _levels(events.union(rest), keys, (*_COUNTED, "rest"), F.lit(DAY_MIN).cast("long"))
+    return _named_status(levels, keys, _whole("rest"))
+
+
+def folded_status(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """:func:`folded_levels` minute by minute."""
+    return _each_minute(folded_levels(blocks, keys))
+
+
+def power_levels(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Charging power of all days laid on one, between changes and quarter hours: t, minutes, power."""
+    keys = list(keys)
+    spans = _round_the_clock(F.col("_from"), F.col("_to"), power=F.col("plug_power_kw"))
+    spans = F.filter(F.array(*spans), lambda c: c.isNotNull())
+    events = _spans(blocks).select(*keys, F.inline(F.transform(spans, lambda c: F.struct(c["t"].alias("t"), c["power"].alias("power")))))
+    quarters = F.explode(F.expr(f"sequence(0L, {DAY_MIN - 15}L, 15L)")).alias("t")
+    marks = blocks.select(*keys).distinct().select(*keys, quarters, F.lit(0.0).alias("power"))
+    return _levels(events.union(marks), keys, ("power",), F.lit(DAY_MIN).cast("long"))
+
+
+def managed_rate(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Daily energy over parked vehicle-hours: the rate that would serve all blocks."""
     energy = blocks.groupBy(*keys).agg(F.sum("block_net_energy_kwh").alias("daily_energy_kwh"))
-    hours = folded.groupBy(*keys).agg((F.sum("tot_veh_inactive") / 60).alias("charge_veh_hr"))
+    rest = least_at_rest(blocks, keys)
+    hours = rest.groupBy(*keys).agg((F.sum(F.col("rest") * F.col("minutes")) / 60).alias("charge_veh_hr"))
     both = energy.join(hours, list(keys))
     return both.withColumn("min_charge_rate_managed", ratio("daily_energy_kwh", "charge_veh_hr"))
 
 
-# Baseline parameters and the ranges around them.
+# Baseline parameters, the ranges around them, and the names of parameters and metrics further down.
 BASELINE = {
     "acc_dec_factor": 1.0,
     "passenger_load": 41.0,
@@ -332,6 +484,8 @@ RANGES = {
     "temperature_f": (20.0, 90.0),
     "depot_plug_power_kw": (50.0, 350.0),
 }
+#: Fixed value: area served, for the number of depots.
+AREA_KM2 = 5530
 CYCLE_PARAMS = ("acc_dec_factor", "passenger_load", "aux_power_kw")
 PARAM_NAMES = {
     "acc_dec_factor": "Acc./Dec. Factor",
@@ -379,28 +533,40 @@ def cycle_variants(
 
 
 def block_stats(prepared: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """What a block's energy depends on, summed over its trips.
+    """What a block's energy depends on, summed over its trips, and where it begins and ends.
 
     Every cost is linear in these sums, so scenarios multiply blocks and not trips.
     """
     at = F.struct("t_min_of_day", "trip_id")
     return prepared.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_trips"),
-        F.sum("consumption_kwh_mi").alias("sum_consumption"),
-        F.sum(F.col("consumption_kwh_mi") * m_to_mi("trip_dist_m")).alias("cyc_energy_kwh"),
-        F.sum("cyc_regen_kwh").alias("block_cyc_regen_kwh"),
         F.sum("trip_dist_m").alias("trip_dist_m"),
         F.sum("trip_deadhead_dist_m").alias("trip_deadhead_dist_m"),
         F.sum(idle_minutes()).alias("idle_min"),
         F.sum("stop_count").alias("stop_count"),
         F.min("t_min_of_day").alias("t_min_of_day"),
         F.max_by("t_min_of_day_end", at).alias("t_min_of_day_end"),
+        F.min_by("start_x", at).alias("block_start_x"), F.min_by("start_y", at).alias("block_start_y"),
+        F.max_by("end_x", at).alias("block_end_x"), F.max_by("end_y", at).alias("block_end_y"),
+    )
+
+
+def drive_sums(prepared: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Consumption, drive energy and energy returned of each block, per setting of the columns ``by``."""
+    return prepared.groupBy(*keys, *by).agg(
+        F.sum("consumption_kwh_mi").alias("sum_consumption"),
+        F.sum(F.col("consumption_kwh_mi") * m_to_mi("trip_dist_m")).alias("cyc_energy_kwh"),
+        F.sum("cyc_regen_kwh").alias("block_cyc_regen_kwh"),
     )
 
 
-def block_table(stats: DataFrame, block_depots: DataFrame | None, depot_on: Sequence[str]) -> DataFrame:
-    """Energy, distance, consumption and charge window of each block, parameters read from its row."""
-    df = trip_costs(stats, {p: F.col(p) for p in BASELINE}, block_depots, depot_on, F.col("idle_min"))
+def block_table(stats: DataFrame) -> DataFrame:
+    """Energy, distance, consumption and charge window of each block, parameters and depot read from its row.
+
+    A block without a depot (null) has no way from and to it.
+    """
+    df = trip_costs(stats, {p: F.col(p) for p in BASELINE}, None, (), F.col("idle_min")).drop("block_deadhead_kwh", "block_deadhead_dist_m")
+    df = depot_deadhead(df, F.col("deadhead_consumption_kwh_mi")).na.fill(0.0, ["block_deadhead_kwh", "block_deadhead_dist_m"])
     net = F.col("cyc_energy_kwh") + F.col("trip_door_kwh") + F.col("trip_deadhead_kwh") + F.col("block_deadhead_kwh")
     far = F.col("trip_dist_m") + F.col("trip_deadhead_dist_m") + F.col("block_deadhead_dist_m")
     df = df.withColumns(
@@ -409,8 +575,10 @@ def block_table(stats: DataFrame, block_depots: DataFrame | None, depot_on: Sequ
     return charge_window(df.withColumn("block_consumption_kwh_mi", ratio("block_net_energy_kwh", "block_dist_mi")))
 
 
-def scenario_metrics(blocks: DataFrame, folded: DataFrame, keys: Sequence[str], battery_kwh: float = 466.0) -> DataFrame:
-    """The fleet numbers of each scenario, long form, from :func:`block_table` and the folded status.
+def scenario_metrics(blocks: DataFrame, rest: DataFrame, keys: Sequence[str], battery_kwh: float = 466.0) -> DataFrame:
+    """The fleet numbers of each scenario, long form, from :func:`block_table` and the networks' :func:`least_at_rest`.
+
+    No scenario changes when vehicles are out, so rest is counted once per network.
 
     The 15-minute power is the peak of quarter-hour means, the 1-minute power
     the peak of minutes.
@@ -433,15 +601,16 @@ def scenario_metrics(blocks: DataFrame, folded: DataFrame, keys: Sequence[str],
         F.avg("charge_time_min").alias("Avg. Charge Time (min)"),
         F.sum("block_net_energy_kwh").alias("_energy"),
     )
-    quarter = folded.groupBy(*keys, F.floor(F.col("t_min_of_day") / 15).alias("_q")).agg(
-        F.avg("tot_power").alias("_p"), F.max("tot_power").alias("_m"), F.sum("tot_veh_inactive").alias("_rest")
+    power = power_levels(blocks, keys).groupBy(*keys, F.floor(F.col("t") / 15).alias("_q")).agg(
+        (F.sum(F.col("power") * F.col("minutes")) / 15).alias("_p"), F.max("power").alias("_m")
     )
-    power = quarter.groupBy(*keys).agg(
+    power = power.groupBy(*keys).agg(
         F.max("_m").alias("Peak 1min Power (kW)"),
         F.max("_p").alias("Peak 15min Power (kW)"),
         F.avg("_p").alias("Avg. 15min Power (kW)"),
-        (F.sum("_rest") / 60).alias("_hours"),
     )
+    network = [k for k in keys if k in rest.columns]
+    hours = rest.groupBy(*network).agg((F.sum(F.col("rest") * F.col("minutes")) / 60).alias("_hours"))
     needs = blocks.unpivot(keys, ["block_net_energy_kwh", "min_charge_rate"], "_of", "_v")
     cuts = exact_percentiles(needs, [*keys, "_of"], "_v", [0.1, 0.95], "_p")
 
@@ -454,7 +623,7 @@ def scenario_metrics(blocks: DataFrame, folded: DataFrame, keys: Sequence[str],
         cut("min_charge_rate", "_p0").alias("Charger Power 10% (kW)"),
         cut("min_charge_rate", "_p1").alias("Charger Power 95% (kW)"),
     )
-    wide = fleet.join(power, keys).join(cuts, keys)
+    wide = fleet.join(power, keys).join(cuts, keys).join(hours, network)
     wide = wide.withColumn("Min Charge Rate (kW)", ratio("_energy", "_hours")).drop("_energy", "_hours")
     metrics = [m for m in wide.columns if m not in keys]
     return wide.unpivot(keys, [F.col(f"`{m}`") for m in metrics], "metric", "value")
@@ -465,26 +634,64 @@ def name_parameters(long: DataFrame, file: str = "file") -> DataFrame:
     return long.withColumn("sensitivity_parameter", relabel(param_of(file), PARAM_NAMES))
 
 
+#: What the metrics of a scenario read of its blocks.
+BLOCK_MEASURES = (
+    "n_trips", "sum_consumption", "block_dist_mi", "block_net_energy_kwh", "block_consumption_kwh_mi", "t_min_of_day", "t_min_of_day_end",
+    "plug_power_kw", "charge_time_min", "t_charge_start_min", "t_charge_end_min", "t_block_min", "t_until_pullout_min", "min_charge_rate",
+)
+
+
 def run_scenarios(
-    trips: DataFrame, keys: Sequence[str] = ("network_id",), scenarios=None, block_depots: DataFrame | None = None,
-    depot_on: Sequence[str] = (), cycle_kwh: DataFrame | None = None,
+    trips: DataFrame, keys: Sequence[str] = ("network_id",), scenarios=None, cycle_kwh: DataFrame | None = None,
+    depots: bool = True, area_km2: float = AREA_KM2, rounds: int = DEPOT_ROUNDS,
 ) -> DataFrame:
-    """All scenarios for all networks, from trips to named metrics, as one job.
+    """All scenarios for all networks, from trips to named metrics.
 
-    ``cycle_kwh`` (trip, the cycle parameters, consumption and energy returned)
-    replaces the trips' own consumption where the cycle stage was run.
+    ``cycle_kwh`` has the consumption and the energy returned of each trip per setting
+    of the cycle parameters (trip_id, ``CYCLE_PARAMS``, consumption_kwh_mi,
+    cyc_regen_kwh). Without it trips keep their own consumption, and scenarios that
+    change a drive cycle are refused: they would equal the baseline. So are scenarios
+    of depot density without ``depots``. Depots follow from the density and
+    ``area_km2``, for all counts in one clustering.
+
+    A block stays one row until the scenarios multiply it: its sums per cycle setting
+    and its depot per count are lists as long as there are settings and counts.
     """
     keys = list(keys)
     scene, block = [*keys, "file"], [*keys, "block_id"]
     scenarios = scenarios or scenario_list()
+    for names, given in ((("acc_dec_factor", "passenger_load"), cycle_kwh is not None), (("depot_density_per_sqkm",), depots)):
+        moved = [p for p in names if len({params[p] for _, params in scenarios}) > 1]
+        if moved and not given:
+            raise ValueError(f"scenarios of {', '.join(moved)} need {'depots' if names[0].startswith('depot') else 'a table of consumption by setting'}")
     prepared = prepare_trips(trips, block)
+    variants = cycle_variants(scenarios)
+    setting = {tuple(v.values()): i for i, (_, v) in enumerate(variants)}
     if cycle_kwh is None:
-        df = with_scenarios(block_stats(prepared, block), scenarios)
+        sums = drive_sums(prepared, block).withColumn("_setting", F.explode(F.array(*map(F.lit, range(len(variants))))))
+    else:
+        numbered = [(*map(float, v), i) for v, i in setting.items()]
+        settings = trips.sparkSession.createDataFrame(numbered, ", ".join(f"{c} double" for c in CYCLE_PARAMS) + ", _setting int")
+        wanted = cycle_kwh.select("trip_id", *CYCLE_PARAMS, "consumption_kwh_mi", "cyc_regen_kwh").join(F.broadcast(settings), list(CYCLE_PARAMS))
+        wanted = wanted.select("trip_id", "_setting", "consumption_kwh_mi", "cyc_regen_kwh")
+        sums = drive_sums(trips.select(*block, "trip_id", "trip_dist_m").join(wanted, "trip_id"), block, ["_setting"])
+    drive = F.struct("sum_consumption", "cyc_energy_kwh", "block_cyc_regen_kwh")
+    sums = sums.groupBy(*block).agg(F.map_from_entries(F.collect_list(F.struct("_setting", drive))).alias("_drive"))
+    df = stage(block_stats(prepared, block).join(sums, block), "block-stats")
+    counts = {name: max(1, int(area_km2 * p["depot_density_per_sqkm"])) for name, p in scenarios}
+    if depots:
+        centres = depot_centres(df, keys, list(counts.values()), rounds)
+        at = F.struct(F.col("depot_x").alias("x"), F.col("depot_y").alias("y"))
+        near = assign_depots(df.select(*block, "block_start_x", "block_start_y"), centres, keys)
+        near = near.groupBy(*block).agg(F.map_from_entries(F.collect_list(F.struct("n_depots", at))).alias("_depots"))
+        df = df.join(near, block, "left")
     else:
-        df = prepared.drop("consumption_kwh_mi", "cyc_regen_kwh").join(cycle_kwh, "trip_id")
-        names = ["file", *scenarios[0][1]]
-        grid = trips.sparkSession.createDataFrame([(n, *map(float, p.values())) for n, p in scenarios], names)
-        df = block_stats(df, [*block, *CYCLE_PARAMS]).join(grid, list(CYCLE_PARAMS))
-    blocks = stage(block_table(df, block_depots, depot_on), "blocks")
-    folded = stage(fold_minutes(vehicle_status(blocks, scene), scene), "status")
-    return name_parameters(scenario_metrics(blocks, folded, scene))
+        df = df.withColumn("_depots", F.lit(None).cast("map<int, struct<x: double, y: double>>"))
+    grid = [(name, {**p, "_setting": setting[tuple(p[c] for c in CYCLE_PARAMS)], "n_depots": counts[name]}) for name, p in scenarios]
+    df = with_scenarios(df, grid)
+    df = df.withColumns({"_at": F.try_element_at("_depots", F.col("n_depots").cast("int")), "_sums": F.try_element_at("_drive", F.col("_setting").cast("int"))})
+    df = df.select("*", F.col("_at.x").alias("depot_x"), F.col("_at.y").alias("depot_y"), "_sums.*")
+    blocks = stage(block_table(df).select(*scene, "block_id", *BLOCK_MEASURES), "blocks")
+    # when vehicles are out is the same in every scenario
+    one = blocks.filter(F.col("file") == scenarios[0][0])
+    return name_parameters(scenario_metrics(blocks, least_at_rest(one, keys), scene))

@@ -115,13 +115,15 @@ def day_services(
     return flags.filter(keep).select(*feed, "service_id")
 
 
-def keep_scheduled(points: DataFrame, schedule: DataFrame, by: Sequence[str], key: str = "trip_id") -> DataFrame:
+def keep_scheduled(points: DataFrame, schedule: DataFrame, by: Sequence[str], key: str | Sequence[str] = "trip_id") -> DataFrame:
     """Drop points whose trip is not scheduled, unless no trip of the group is.
 
-    A group (a day, a feed) without any match is kept whole and marked
-    ``scheduled`` = false, so that the later steps can fill their constants.
+    ``key`` may name a feed and a version besides the trip. A group (a day, a feed)
+    without any match is kept whole and marked ``scheduled`` = false, so that the later
+    steps can fill their constants.
     """
-    known = schedule.select(key).distinct().withColumn("scheduled", F.lit(True))
+    key = [key] if isinstance(key, str) else list(key)
+    known = schedule.select(*key).distinct().withColumn("scheduled", F.lit(True))
     marked = points.join(known, key, "left").withColumn("scheduled", F.coalesce("scheduled", F.lit(False)))
     return with_group(marked, by, _any=F.bool_or("scheduled")).filter(F.col("scheduled") | ~F.col("_any")).drop("_any")
 

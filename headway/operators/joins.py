@@ -18,20 +18,26 @@ from headway.functions.clock import hms_seconds
 from headway.functions.scalar import ratio
 
 
-def scheduled_stops(stop_times: DataFrame, stops: DataFrame) -> DataFrame:
-    """Stop times with stop positions, numbered from 0 by scheduled second in the trip."""
+def scheduled_stops(stop_times: DataFrame, stops: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Stop times with stop positions, numbered from 0 by scheduled second in the trip.
+
+    ``by`` names the columns that tell schedules apart, a feed and its version: trips
+    and stops of two schedules may share ids. Stops without these columns serve all.
+    """
     timed = stop_times.withColumn("t_sch_sec_of_day", hms_seconds("arrival_time"))
     timed = o.ordered(
         timed.withColumnRenamed("stop_sequence", "_seq"),
-        ["trip_id"], ["t_sch_sec_of_day", "_seq", "stop_id"], stop_sequence=o.row_number(),
+        [*by, "trip_id"], ["t_sch_sec_of_day", "_seq", "stop_id"], stop_sequence=o.row_number(),
     )
     timed = timed.withColumn("stop_sequence", F.col("stop_sequence") - 1).drop("_seq")
-    return timed.join(stops, "stop_id")
+    return timed.join(stops, [*[c for c in by if c in stops.columns], "stop_id"])
 
 
-def trip_route_lookup(trips: DataFrame, routes: DataFrame) -> DataFrame:
-    """Distinct (service, route, trip) of trips on known routes."""
-    return trips.join(routes.select("route_id"), "route_id").select("service_id", "route_id", "trip_id").distinct()
+def trip_route_lookup(trips: DataFrame, routes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct (service, route, trip) of trips on known routes, per schedule that ``by`` names."""
+    own = [c for c in by if c in routes.columns]
+    known = trips.join(routes.select(*own, "route_id"), [*own, "route_id"])
+    return known.select(*by, "service_id", "route_id", "trip_id").distinct()
 
 
 def _distance(x1, y1, x2, y2) -> Column:
@@ -39,49 +45,30 @@ def _distance(x1, y1, x2, y2) -> Column:
 
 
 def nearest_by_key(
-    points: DataFrame, places: DataFrame, key: str, place: str = "stop_id", seq: str = "stop_sequence",
-    xy: tuple[str, str] = ("x", "y"), place_xy: tuple[str, str] = ("stop_x", "stop_y"),
-    inline: int = 256, cell: float = 100.0,
+    points: DataFrame, places: DataFrame, key: str | Sequence[str], place: str = "stop_id", seq: str = "stop_sequence",
+    xy: tuple[str, str] = ("x", "y"), place_xy: tuple[str, str] = ("stop_x", "stop_y"), inline: int = 64,
 ) -> DataFrame:
     """For each point the closest place of its own key; the lowest sequence on a tie.
 
-    Places are first reduced to one per position. A key with at most ``inline``
-    positions carries them as an array beside its points, so the comparison is
-    a row expression after one join. Larger keys go through a pyramid of square
-    cells: the finest level with a place around the point bounds the distance,
-    and only cells within that bound are compared.
+    Places are reduced to one per position and laid on a curve through their key's
+    square (bits of both coordinates in turn). Runs of ``inline`` of them are the
+    leaves of an index, runs of as many leaves its nodes, each with the box it covers.
+    A point reads its key's root: the places themselves where one leaf holds them all,
+    else the boxes of the nodes. The farthest corner of the best box bounds the
+    distance, and the search goes down only into boxes that begin within the bound.
     Points and places without a position (null or NaN) match nothing, at any size.
     Adds ``place``, ``seq`` and ``calc_stop_dist_m``; null where the key has no place.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     x, y = xy
-    qx, qy = place_xy
-    spots = (
-        places.filter(_known(qx) & _known(qy))
-        .groupBy(key, F.col(qx).alias("_qx"), F.col(qy).alias("_qy"))
-        .agg(F.min(F.struct(F.col(seq).alias("s"), F.col(place).alias("p"))).alias("_place"))
-    )
-    # At most inline + 1 positions of a key leave each task; one more than
-    # inline marks a large key.
-    few = Window.partitionBy(key).orderBy("_qx", "_qy")
-    lists = (
-        spots.withColumn("_i", F.row_number().over(few))
-        .filter(F.col("_i") <= inline + 1)
-        .groupBy(key)
-        .agg(F.collect_list(F.struct("_qx", "_qy", "_place")).alias("_spots"))
-    )
-    small = lists.filter(F.size("_spots") <= inline)
-    large_keys = lists.filter(F.size("_spots") > inline).select(key)
-    here = F.array_min(
-        F.transform(
-            "_spots",
-            lambda s: F.struct(
-                _distance(F.col(x), F.col(y), s["_qx"], s["_qy"]).alias("d"), s["_place"].alias("place")
-            ),
-        )
-    )
-    found = points.join(small, key, "left").withColumn("_near", F.when(_known(x) & _known(y), here)).drop("_spots")
-    large = _nearest_in_cells(points, spots.join(large_keys, key, "left_semi"), key, x, y, cell)
-    both = found.join(large, [key, x, y], "left")
+    asked_keys = points.select(*keys).distinct()
+    leaves = _curve_leaves(places.join(asked_keys, keys, "left_semi"), keys, place, seq, place_xy, inline)
+    roots = leaves.groupBy(*keys).agg(F.first(F.when(F.col("_last") == 0, F.col("_spots")), True).alias("_spots"))
+    found = points.join(roots, keys, "left")
+    here = F.array_min(F.transform("_spots", lambda s: F.struct(_distance(F.col(x), F.col(y), s["x"], s["y"]).alias("d"), s["place"].alias("place"))))
+    found = found.withColumn("_near", F.when(_known(x) & _known(y), here)).drop("_spots")
+    far = _search(points, leaves.filter("_last > 0"), keys, x, y, max(2, inline))
+    both = found.join(far, [*keys, x, y], "left")
     return both.select(*points.columns, *_place_columns(F.coalesce("_near", "_far"), place, seq))
 
 
@@ -93,57 +80,112 @@ def _place_columns(best: Column, place: str, seq: str) -> list[Column]:
     return [best["place"]["p"].alias(place), best["place"]["s"].alias(seq), best["d"].alias("calc_stop_dist_m")]
 
 
-def _nearest_in_cells(points: DataFrame, spots: DataFrame, key: str, x: str, y: str, cell: float, levels: int = 10):
-    """Nearest spot per distinct (key, x, y), for keys with many spots."""
-    size = F.lit(cell) * F.pow(F.lit(4.0), F.col("_lv"))
-    at_level = F.explode(F.array(*[F.lit(i) for i in range(levels)]))
-    tiled = spots.withColumn("_lv", at_level).withColumns(
-        {"_cx": F.floor(F.col("_qx") / size), "_cy": F.floor(F.col("_qy") / size)}
+def _spread(v: Column) -> Column:
+    """The bits of a 16-bit number at every other place."""
+    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("long"))
+    return v
+
+
+def _curve_leaves(places: DataFrame, keys: list[str], place: str, seq: str, xy: tuple[str, str], size: int) -> DataFrame:
+    """Leaves of each key: _leaf, _last (the key's highest leaf number), _spots (x, y, place) and their box."""
+    qx, qy = xy
+    spots = (
+        places.filter(_known(qx) & _known(qy))
+        .groupBy(*keys, F.col(qx).cast("double").alias("_qx"), F.col(qy).cast("double").alias("_qy"))
+        .agg(F.min(F.struct(F.col(seq).alias("s"), F.col(place).alias("p"))).alias("_place"))
     )
-    asked = points.join(spots.select(key).distinct(), key, "left_semi").select(key, x, y).distinct()
-    asked = asked.filter(_known(x) & _known(y))
-
-    def around(df: DataFrame, reach: int) -> DataFrame:
-        offsets = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
-        df = df.withColumn("_dx", offsets).withColumn("_dy", offsets)
-        return df.withColumns(
-            {"_cx": F.floor(F.col(x) / size) + F.col("_dx"), "_cy": F.floor(F.col(y) / size) + F.col("_dy")}
-        ).drop("_dx", "_dy")
-
-    def edge(v: str, c: str, pick) -> Column:
-        low, high = F.col(c) * size - F.col(v), F.col(v) - (F.col(c) + 1) * size
-        return pick(low, high)
-
-    def farthest(v: str, c: str) -> Column:
-        return F.greatest(F.abs(F.col(v) - F.col(c) * size), F.abs((F.col(c) + 1) * size - F.col(v)))
-
-    def closest(v: str, c: str) -> Column:
-        return F.greatest(F.lit(0.0), edge(v, c, F.greatest))
-
-    used = tiled.select(key, "_lv", "_cx", "_cy").distinct()
-    reach = F.sqrt(farthest(x, "_cx") * farthest(x, "_cx") + farthest(y, "_cy") * farthest(y, "_cy"))
-    bound = (
-        around(asked.withColumn("_lv", at_level), 1)
-        .join(used, [key, "_lv", "_cx", "_cy"])
-        .groupBy(key, x, y)
-        .agg(F.min(F.struct(F.col("_lv"), reach.alias("_ub"))).alias("_b"))
-        .select(key, x, y, "_b._lv", (F.col("_b._ub") * (1 + 1e-9) + 1e-9).alias("_ub"))
+    spots = o.with_group(spots, keys, _x0=F.min("_qx"), _x1=F.max("_qx"), _y0=F.min("_qy"), _y1=F.max("_qy"), _n=F.count(F.lit(1)))
+
+    def share(v: str, low: str, high: str) -> Column:
+        return F.coalesce(F.floor(F.try_divide(F.col(v) - F.col(low), F.col(high) - F.col(low)) * 65535), F.lit(0)).cast("long")
+
+    curve = _spread(share("_qx", "_x0", "_x1")).bitwiseOR(F.shiftleft(_spread(share("_qy", "_y0", "_y1")), 1))
+    spots = o.ordered(spots.withColumn("_z", curve), keys, ["_z", "_qx", "_qy"], _rn=o.row_number())
+    leaf = F.floor((F.col("_rn") - 1) / size).alias("_leaf")
+    spot = F.struct(F.col("_qx").alias("x"), F.col("_qy").alias("y"), F.col("_place").alias("place"))
+    leaves = spots.groupBy(*keys, leaf).agg(F.collect_list(spot).alias("_spots"), F.floor((F.max("_n") - 1) / size).alias("_last"))
+    # boxes are read from the spots, so that all who read leaves need the same columns and share one exchange
+    edge = lambda pick, c: pick(F.transform("_spots", lambda s: s[c]))
+    box = F.struct(
+        edge(F.array_min, "x").alias("x0"), edge(F.array_max, "x").alias("x1"), edge(F.array_min, "y").alias("y0"), edge(F.array_max, "y").alias("y1")
     )
-    least = F.sqrt(closest(x, "_cx") * closest(x, "_cx") + closest(y, "_cy") * closest(y, "_cy"))
-    pairs = around(bound, 3).filter(least <= F.col("_ub")).join(tiled, [key, "_lv", "_cx", "_cy"])
-    dist = _distance(F.col(x), F.col(y), F.col("_qx"), F.col("_qy"))
-    best = F.min(F.struct(dist.alias("d"), F.col("_place").alias("place"))).alias("_far")
-    near = pairs.groupBy(key, x, y).agg(best)
-    # points outside every cell of the top level are compared with all places of their key
-    outside = asked.join(bound.select(key, x, y), [key, x, y], "left_anti").join(spots, key)
-    return near.unionByName(outside.groupBy(key, x, y).agg(best))
-
-
-def attach_schedule(points: DataFrame, static: DataFrame, trips: DataFrame) -> DataFrame:
-    """Arrival, scheduled second, route and service for points with a nearest stop."""
-    timed = static.select("trip_id", "stop_id", "stop_sequence", "arrival_time", "t_sch_sec_of_day", "stop_lon", "stop_lat")
-    out = points.join(timed, ["trip_id", "stop_id", "stop_sequence"], "left")
-    return out.join(trips.select("trip_id", "service_id", "route_id"), "trip_id", "left")
+    return leaves.withColumn("_box", box)
+
+
+def _search(points: DataFrame, leaves: DataFrame, keys: list[str], x: str, y: str, fan: int) -> DataFrame:
+    """The nearest spot of every distinct (key, x, y) in keys of several leaves: from the nodes' boxes down to the leaves."""
+    at = [*keys, x, y]
+    box = lambda c, pick, of: pick(F.col("_box")[c]).alias(of)
+    nodes = leaves.groupBy(*keys, F.floor(F.col("_leaf") / fan).alias("_node")).agg(
+        F.collect_list(F.struct(F.col("_leaf").alias("child"), F.col("_box").alias("box"))).alias("_boxes"),
+        F.struct(box("x0", F.min, "x0"), box("x1", F.max, "x1"), box("y0", F.min, "y0"), box("y1", F.max, "y1")).alias("_box"),
+    )
+    roots = nodes.groupBy(*keys).agg(F.collect_list(F.struct(F.col("_node").alias("child"), F.col("_box").alias("box"))).alias("_boxes"))
+
+    def within(b: Column) -> Column:
+        """Distance to the nearest point of a box."""
+        dx = F.greatest(b["x0"] - F.col(x), F.col(x) - b["x1"], F.lit(0.0))
+        dy = F.greatest(b["y0"] - F.col(y), F.col(y) - b["y1"], F.lit(0.0))
+        return F.sqrt(dx * dx + dy * dy)
+
+    def reach(b: Column) -> Column:
+        """Distance that holds a place of the box: each of its four sides has one."""
+        dx0, dx1 = F.abs(F.col(x) - b["x0"]), F.abs(F.col(x) - b["x1"])
+        dy0, dy1 = F.abs(F.col(y) - b["y0"]), F.abs(F.col(y) - b["y1"])
+        a, c, d, e = F.least(dx0, dx1), F.greatest(dy0, dy1), F.greatest(dx0, dx1), F.least(dy0, dy1)
+        return F.sqrt(F.least(a * a + c * c, d * d + e * e))
+
+    def down(df: DataFrame, child: str) -> DataFrame:
+        """The boxes that begin within the bound, one row each."""
+        bound = F.array_min(F.transform("_boxes", lambda b: reach(b["box"])))
+        df = df.withColumn("_ub", F.least("_ub", bound) if "_ub" in df.columns else bound)
+        near = F.filter("_boxes", lambda b: within(b["box"]) <= F.col("_ub") * (1 + 1e-9) + 1e-9)
+        return df.select(*at, "_ub", F.explode(F.transform(near, lambda b: b["child"])).alias(child))
+
+    asked = points.select(*at).filter(_known(x) & _known(y)).join(roots.select(*keys), keys, "left_semi").distinct()
+    rows = down(asked.join(roots, keys), "_node")
+    rows = down(rows.join(nodes.drop("_box"), [*keys, "_node"]), "_leaf")
+    best = F.array_min(F.transform("_spots", lambda s: F.struct(_distance(F.col(x), F.col(y), s["x"], s["y"]).alias("d"), s["place"].alias("place"))))
+    rows = rows.join(leaves.select(*keys, "_leaf", "_spots"), [*keys, "_leaf"]).select(*at, best.alias("_b"))
+    return rows.groupBy(*at).agg(F.min("_b").alias("_far"))
+
+
+def attach_schedule(points: DataFrame, static: DataFrame, trips: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Arrival, scheduled second, route and service for points with a nearest stop, of the schedule that ``by`` names."""
+    by = list(by)
+    timed = static.select(*by, "trip_id", "stop_id", "stop_sequence", "arrival_time", "t_sch_sec_of_day", "stop_lon", "stop_lat")
+    out = points.join(timed, [*by, "trip_id", "stop_id", "stop_sequence"], "left")
+    own = [c for c in by if c in trips.columns]
+    return out.join(trips.select(*own, "trip_id", "service_id", "route_id"), [*own, "trip_id"], "left")
+
+
+def in_force(
+    points: DataFrame, versions: DataFrame, feed: Sequence[str], day: str = "service_day", version: str = "version"
+) -> DataFrame:
+    """Each point with the version of its feed's schedule in force on its day; null where the feed has none.
+
+    Versions are resolved on the feeds' days, not on points: a version holds from the
+    day after its own until the day of the next one, the earliest also before.
+    """
+    chosen = latest_before(points.select(*feed, day).distinct(), versions, feed, day, version)
+    return points.drop(version).join(chosen, [*feed, day], "left")
+
+
+def attach_schedule_in_force(
+    points: DataFrame, stop_times: DataFrame, stops: DataFrame, trips: DataFrame, versions: DataFrame, feed: Sequence[str],
+    day: str = "service_day", version: str = "version", xy: tuple[str, str] = ("x", "y"),
+) -> DataFrame:
+    """Points with version, nearest stop and schedule of the feed's schedule in force: an effective-dated join.
+
+    ``stop_times`` and ``trips`` carry the feed columns and the version, ``stops`` may.
+    Equal trip ids of other feeds or versions never meet. Points of trips that the
+    schedule in force does not have keep nulls.
+    """
+    by = [*feed, version]
+    static = scheduled_stops(stop_times, stops, by)
+    points = in_force(points, versions, feed, day, version)
+    return attach_schedule(nearest_by_key(points, static, [*by, "trip_id"], xy=xy), static, trips, by)
 
 
 def latest_before(

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from math import comb
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from headway import ordered as o
 from headway.functions import geo
@@ -164,7 +164,7 @@ def _convolve(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def _smooth_chunk(values: np.ndarray, start: int, n: int, window: int, degree: int) -> np.ndarray:
-    """Smoothed values for a piece of a track of ``n`` rows that begins at row ``start``.
+    """What :func:`smooth` means, for the values of a piece of a track in memory: ``n`` rows in all, the piece begins at ``start``.
 
     Rows without a whole window inside the piece come out NaN unless they are
     at an end of the track, where the end window's polynomial is read.
@@ -187,42 +187,83 @@ def _smooth_chunk(values: np.ndarray, start: int, n: int, window: int, degree: i
     return out
 
 
+def _window_moments(df: DataFrame, track: Sequence[str], degree: int) -> DataFrame:
+    """Per row of ``_at``, ``_w`` and ``_v``: power sums of the values of its block of ``_w`` rows up to it and from it on.
+
+    The coordinate is the place in the block over its length, so that sums of a long
+    track lose no digits. The last entry counts unknown values.
+    """
+    block = F.floor(F.col("_at") / F.col("_w"))
+    place = (F.col("_at") - block * F.col("_w")) / F.col("_w")
+    df = df.withColumns({"_block": block, "_y": place})
+    known = F.coalesce(F.col("_v"), F.lit(0.0))
+    terms = [known * F.pow("_y", F.lit(float(r))) for r in range(degree + 1)] + [F.col("_v").isNull().cast("double")]
+    line = Window.partitionBy(*track, "_block")
+    up = line.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    down = line.orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)
+    return df.select(
+        *track, "_at", F.array(*[F.sum(t).over(up) for t in terms]).alias("_upto"), F.array(*[F.sum(t).over(down) for t in terms]).alias("_from")
+    )
+
+
 def smooth(
     df: DataFrame, track: Sequence[str], order: Sequence[str], col: str, factor: float = 0.03, degree: int = 5,
     low: float | None = None, high: float | None = None, name: str = "smoothed",
 ) -> DataFrame:
     """Local polynomial smoothing; window = max(3, int(n * factor)), degree < window.
 
-    A window of three with degree two returns its input, so only tracks long
-    enough for a wider window reach Python, and those in overlapping pieces of
-    bounded size: no task holds more than a piece and its margins.
+    The fit of a window is a sum over orthogonal polynomials of the sample, whose
+    recurrence is known for any width, times the window's moments. A window is the end
+    of one block of its width and the beginning of the next, so its moments come from
+    running sums within blocks: the cost of a row does not depend on the width, and no
+    task holds more than a block. The first and last half windows read the
+    polynomials of the first and last whole one. A window with an unknown value (null
+    or NaN) gives null. A window of three with degree two returns its input. Rows
+    without a track keep their value.
     """
     if factor > 1:
         raise ValueError("the window cannot be longer than the track")
-    piece_rows = o.row_limit(df)
+    track = list(track)
+    value = F.col(col).cast("double")
     df = o.ordered(df, track, order, _rn=o.row_number(), _n=o.group_count())
-    window = F.greatest(F.floor(F.col("_n") * F.lit(factor)), F.lit(3)).cast("int")
-    df = df.withColumn("_w", window)
-    plain = df.filter((F.col("_w") <= min(3, degree + 1)) | (F.col("_n") < 3))
-    wide = df.filter(~((F.col("_w") <= min(3, degree + 1)) | (F.col("_n") < 3)))
-    plain = plain.withColumn(name, F.col(col).cast("double"))
-    piece = F.greatest(F.lit(piece_rows), 2 * F.col("_w")).cast("long")
-    at = F.col("_rn") - 1
-    home = F.floor(at / piece)
-    first, last = F.greatest(F.lit(0), F.floor((at - F.col("_w")) / piece)), F.floor((at + F.col("_w")) / piece)
-    last = F.least(last, F.floor((F.col("_n") - 1) / piece))
-    wide = wide.withColumns({"_home": home, "_piece": F.explode(F.sequence(first, last))})
-    schema = T.StructType([*wide.schema.fields, T.StructField(name, T.DoubleType())])
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_rn", ignore_index=True)
-        w, n = int(part["_w"].iloc[0]), int(part["_n"].iloc[0])
-        values = part[col].to_numpy(dtype=float)
-        part[name] = _smooth_chunk(values, int(part["_rn"].iloc[0]) - 1, n, w, min(degree, w - 1))
-        return part[part["_home"] == part["_piece"]]
-
-    done = wide.groupBy(*track, "_piece").applyInPandas(run, schema)
-    both = plain.unionByName(done.drop("_home", "_piece"))
+    df = df.withColumn("_w", F.greatest(F.floor(F.col("_n") * F.lit(factor)), F.lit(3)).cast("long"))
+    short = F.coalesce((F.col("_w") <= min(3, degree + 1)) | (F.col("_n") < 3), F.lit(True))
+    plain = df.filter(short).withColumn(name, value)
+    wide = df.filter(~short).withColumns({"_at": F.col("_rn") - 1, "_v": F.when(F.isnan(value), None).otherwise(value)})
+    sums = _window_moments(wide.select(*track, "_at", "_w", "_v"), track, degree)
+    w, at, half = F.col("_w"), F.col("_at"), F.floor(F.col("_w") / 2)
+    first = F.when(at >= F.col("_n") - half, F.col("_n") - w).when(at < half, F.lit(0)).otherwise(at - half + (1 - w % 2))
+    wide = wide.withColumn("_lo", first.cast("long")).withColumn("_hi", F.col("_lo") + w - 1)
+    at_end = (at >= F.col("_n") - half) | (at < half)
+    wide = wide.withColumn("_q", F.when(at_end, (at - F.col("_lo") - (w - 1) / 2) / w).otherwise(F.lit(0.0)))
+    wide = wide.join(sums.select(*track, F.col("_at").alias("_lo"), "_from"), [*track, "_lo"])
+    wide = wide.join(sums.select(*track, F.col("_at").alias("_hi"), "_upto"), [*track, "_hi"])
+    # how far the coordinate of each block lies from the window's, whose origin is its middle
+    block = F.floor(F.col("_lo") / w)
+    wide = wide.withColumn("_d1", (block * w - F.col("_lo") - (w - 1) / 2) / w)
+    wide = wide.withColumns({"_d2": F.col("_d1") + 1, "_two": (block * w != F.col("_lo")).cast("double")})
+
+    def moment(m: int) -> Column:
+        parts = [
+            comb(m, r) * (F.pow("_d1", F.lit(float(m - r))) * F.col("_from")[r] + F.col("_two") * F.pow("_d2", F.lit(float(m - r))) * F.col("_upto")[r])
+            for r in range(m + 1)
+        ]
+        return reduce(lambda a, b: a + b, parts)
+
+    wide = wide.withColumns({f"_m{m}": moment(m) for m in range(degree + 1)})
+    # p[k + 1] = z p[k] - beta[k] p[k - 1], and the squares of p[k] add up to w beta[1] .. beta[k]
+    beta = [None, *[k * k * (w * w - k * k) / (4 * (4 * k * k - 1)) / (w * w) for k in range(1, degree + 1)]]
+    with_p = [[F.col(f"_m{m}") for m in range(degree + 1)]]
+    at_q, size = [F.lit(1.0)], [w.cast("double")]
+    for k in range(degree):
+        before = with_p[k - 1] if k else [F.lit(0.0)] * (degree + 1)
+        with_p.append([with_p[k][m + 1] - (beta[k] * before[m] if k else F.lit(0.0)) for m in range(degree - k)])
+        at_q.append(F.col("_q") * at_q[k] - (beta[k] * at_q[k - 1] if k else F.lit(0.0)))
+        size.append(size[k] * beta[k + 1])
+    terms = [F.when(F.lit(k) < w, F.try_divide(with_p[k][0] * at_q[k], size[k])).otherwise(F.lit(0.0)) for k in range(degree + 1)]
+    unknown = F.col("_from")[degree + 1] + F.col("_two") * F.col("_upto")[degree + 1]
+    done = wide.withColumn(name, F.when(unknown == 0, reduce(lambda a, b: a + b, terms)))
+    both = plain.unionByName(done.select(*plain.columns))
     return both.withColumn(name, clip(name, low, high)).drop("_rn", "_n", "_w")
 
 

@@ -5,9 +5,10 @@ is right for nearly every trip and wrong for the one that holds a third of the
 table. :func:`split_hot` finds keys above a row limit and cuts them into
 consecutive runs of the order column; :func:`ordered` then computes inside
 (key, run) and carries the running state from run to run through a small
-aggregate, one row per run of a hot key. Whether there is a hot key is checked
-first, with a count per key; without one the plan is a plain window, one
-shuffle and no carry.
+aggregate, one row per run of a hot key. Hot keys are found when the plan runs; no
+job starts while it is built. Where all the tables behind a frame together are no more
+than a task can take (``TASK_BYTES``), any one key is too, and the plan is a plain
+window, one shuffle and no carry.
 
 Sizes that are broadcast: hot keys number at most rows / limit and their runs
 at most a small multiple of that, whatever the data looks like.
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 
 GROUP_LIMIT = "spark.headway.maxGroupRows"
 DEFAULT_GROUP_LIMIT = 4_000_000
+#: Bytes of stored tables that one task can sort, spilling if need be.
+TASK_BYTES = 256_000_000
 _ALL = "_all"
 _CUTS = 32
 
@@ -189,6 +192,17 @@ def row_limit(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(GROUP_LIMIT, str(DEFAULT_GROUP_LIMIT)))
 
 
+def _input_bytes(df: DataFrame) -> int:
+    """Size of the tables behind the frame, as the planner knows it before any job; very large where it does not."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def _splits(df: DataFrame) -> bool:
+    """Whether a plan for the frame provides for hot keys: always where the limit is set, else unless its tables are small as a whole."""
+    return df.sparkSession.conf.get(GROUP_LIMIT, None) is not None or _input_bytes(df) > TASK_BYTES
+
+
 def _match(keys: Sequence[str], prefix: str) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k) == F.col(f"{prefix}{i}") for i, k in enumerate(keys)])
 
@@ -207,10 +221,10 @@ def split_hot(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
     Runs are cut at approximate quantiles of the numeric ``order`` column, so
     uneven density in time does not matter, and each quantile band is divided
-    again until a run is near the limit. Keys are split only in a session that
-    sets ``spark.headway.maxGroupRows``; the keys above it are found when the
-    plan runs, no job is started while it is built. Rows without a key belong to no track
-    and are scattered over negative runs.
+    again until a run is near the limit: ``spark.headway.maxGroupRows``, four million
+    by default. The keys above it are found when the plan runs, no job is started
+    while it is built. Rows without a key belong to no track and are scattered over
+    negative runs.
 
     :func:`ordered` does this on its own. Call it first when several ordered
     steps on one key and order follow each other: they then share one split
@@ -223,7 +237,7 @@ def split_hot(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     t = F.col(order).cast("double")
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     scattered = F.when(no_key, -1 - F.pmod(F.xxhash64(order), F.lit(4096)))
-    if df.sparkSession.conf.get(GROUP_LIMIT, None) is None:
+    if not _splits(df):
         return df.withColumn(run_name, scattered.otherwise(F.lit(0)).cast("long")).drop(_ALL)
     limit = row_limit(df)
     hot = (

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headway.operators import energy as e
-from headway.operators.reshape import union_tagged
 from headway.session import stage
 
 
@@ -31,24 +30,11 @@ def cycle_stage(cycles: DataFrame, veh: e.Vehicle, scenarios=None, t="time_s", s
     return out.select(*keys, F.col("electric_kwh_per_mi").alias("consumption_kwh_mi"), F.col("regen_kwh").alias("cyc_regen_kwh"))
 
 
-def depot_stage(trips: DataFrame, network: Sequence[str], counts: Sequence[int], seed: int = 0) -> DataFrame:
-    """Blocks with a depot for each depot count in use: one clustering job per count."""
-    ends = stage(e.block_ends(trips, [*network, "block_id"]), "block-ends")
-    frames = {str(k): e.cluster_depots(ends, k, seed) for k in sorted(set(counts))}
-    return union_tagged(frames, "n").withColumn("n_depots", F.col("n").cast("int")).drop("n")
-
-
 def sensitivity(
-    trips: DataFrame, cycles: DataFrame, network: str = "network_id", area_km2: float = 5530, veh: e.Vehicle = e.Vehicle(),
+    trips: DataFrame, cycles: DataFrame, network: str = "network_id", area_km2: float = e.AREA_KM2, veh: e.Vehicle = e.Vehicle(),
     scenarios=None,
 ) -> DataFrame:
-    """Named metrics of every scenario, with the cycle and depot stages run once each."""
+    """Named metrics of every scenario, with the cycle stage run once."""
     scenarios = scenarios or e.scenario_list()
-    counts = {name: max(1, int(area_km2 * p["depot_density_per_sqkm"])) for name, p in scenarios}
     cycle_kwh = stage(cycle_stage(cycles, veh, scenarios), "cycles")
-    depots = stage(depot_stage(trips, [network], list(counts.values())), "depots")
-    with_counts = [(name, {**p, "n_depots": float(counts[name])}) for name, p in scenarios]
-    depots = depots.withColumn("n_depots", F.col("n_depots").cast("double")).drop("depot_id")
-    return e.run_scenarios(
-        trips, [network], with_counts, depots, [network, "block_id", "n_depots"], cycle_kwh,
-    )
+    return e.run_scenarios(trips, [network], scenarios, cycle_kwh, area_km2=area_km2)

@@ -68,123 +68,156 @@ def _haversine_m(lon1, lat1, lon2, lat2):
     return 2 * 6371000 * np.arcsin(np.sqrt(np.minimum(chord, 1.0)))
 
 
-class _Expiring(StatefulProcessor):
-    """State that is dropped when the watermark is ``keep_ms`` past its newest row."""
+class _InOrder(StatefulProcessor):
+    """Rows of a key held back by event time and taken up in order.
+
+    A row waits in the bucket of its ``bucket_s`` seconds, a map entry. A timer at
+    the bucket's end fires when the watermark has passed it: no row of the bucket
+    can come any more, whatever the order of arrival was, and the bucket is worked
+    off after all earlier ones. One call holds the rows of a key and bucket, so
+    ``bucket_s`` bounds memory. Rows behind the watermark never arrive here.
+    """
+
+    #: Columns of a waiting row besides the time and event_id, and their types.
+    fields: dict[str, T.DataType] = {}
 
-    def __init__(self, keep_ms: int) -> None:
-        self.keep_ms = keep_ms
+    def __init__(self, bucket_s: int, keep_ms: int) -> None:
+        self.bucket_s, self.keep_ms = bucket_s, keep_ms
 
-    def remember(self, newest_s: int, timerValues) -> None:
-        at = newest_s * 1000 + self.keep_ms
-        if at > timerValues.getCurrentWatermarkInMs():
-            self.handle.registerTimer(at)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        held = T.StructType().add("t", T.ArrayType(T.LongType())).add("event_id", T.ArrayType(T.LongType()))
+        for name, kind in self.fields.items():
+            held = held.add(name, T.ArrayType(kind))
+        self.waiting = handle.getMapState("waiting", T.StructType().add("bucket", T.LongType()), held)
+        self.past = handle.getValueState("past", self.past_schema())
 
-    def newest(self):
+    def past_schema(self) -> T.StructType:
         raise NotImplementedError
 
-    def forget(self) -> None:
+    def work_off(self, key, rows: pd.DataFrame, past) -> tuple[pd.DataFrame, tuple, int]:
+        """Output for the rows of a bucket, in order; what later rows need to know; its newest second."""
         raise NotImplementedError
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        newest = self.newest()
-        if newest is not None and newest * 1000 + self.keep_ms <= expiredTimerInfo.getExpiryTimeInMs():
-            self.forget()
+    def ends_ms(self, bucket: int) -> int:
+        return (bucket + 1) * self.bucket_s * 1000
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names = ["locationtime", "event_id", *self.fields]
+        for df in rows:
+            for bucket, part in df.groupby(df["locationtime"] // self.bucket_s)[names]:
+                at = (int(bucket),)
+                new = [part[n].astype(object).where(part[n].notna(), None).tolist() for n in names]
+                if self.waiting.containsKey(at):
+                    new = [list(old) + more for old, more in zip(self.waiting.getValue(at), new)]
+                else:
+                    self.handle.registerTimer(self.ends_ms(at[0]))
+                self.waiting.updateValue(at, tuple(new))
         return iter(())
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        due = sorted(bucket for (bucket,) in self.waiting.keys() if self.ends_ms(bucket) <= now)
+        past = self.past.get() if self.past.exists() else None
+        newest = None
+        for bucket in due:
+            columns = self.waiting.getValue((bucket,))
+            rows = pd.DataFrame(dict(zip(["locationtime", "event_id", *self.fields], map(list, columns))))
+            rows = rows.sort_values(["locationtime", "event_id"], ignore_index=True)
+            out, past, newest = self.work_off(key, rows, past)
+            self.waiting.removeKey((bucket,))
+            yield out
+        if newest is not None:
+            self.past.update(past)
+            # a row this much later starts anew; the bucket it waits in must be over before the past goes
+            self.handle.registerTimer((newest + self.bucket_s) * 1000 + self.keep_ms + 1)
+        elif past is not None and (past[0] + self.bucket_s) * 1000 + self.keep_ms < now:
+            self.past.clear()
+
     def close(self) -> None:
         pass
 
 
-class _Steps(_Expiring):
-    """Last point of each trip; a step is measured against it and within the batch."""
+class _Steps(_InOrder):
+    """Each point against the one before it on the trip."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType().add("t", T.LongType()).add("lon", T.DoubleType()).add("lat", T.DoubleType())
-        self.handle = handle
-        self.last = handle.getValueState("last", schema)
+    fields = {"lon": T.DoubleType(), "lat": T.DoubleType()}
 
-    def newest(self):
-        return self.last.get()[0] if self.last.exists() else None
+    def past_schema(self) -> T.StructType:
+        return T.StructType().add("t", T.LongType()).add("lon", T.DoubleType()).add("lat", T.DoubleType())
 
-    def forget(self) -> None:
-        self.last.clear()
+    def work_off(self, key, rows, past):
+        t, lon, lat = (rows[c].astype("float64") for c in ("locationtime", "lon", "lat"))
+        t0, lon0, lat0 = t.shift(), lon.shift(), lat.shift()
+        if past is not None:
+            t0.iloc[0], lon0.iloc[0], lat0.iloc[0] = (np.nan if v is None else v for v in past)
+        far = (t - t0) * 1000 > self.keep_ms
+        out = pd.DataFrame({"trip_id": key[0], "event_id": rows["event_id"]})
+        out["calc_dist_m"] = _haversine_m(lon0, lat0, lon, lat).where(~far)
+        out["calc_time_s"] = (t - t0).where(~far)
+        last = tuple(None if np.isnan(v) else float(v) for v in (lon.iloc[-1], lat.iloc[-1]))
+        newest = int(rows["locationtime"].iloc[-1])
+        return out, (newest, *last), newest
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        df = pd.concat(list(rows)).sort_values(["locationtime", "event_id"], ignore_index=True)
-        before = self.last.get() if self.last.exists() else (None, np.nan, np.nan)
-        t = df["locationtime"].astype("float64")
-        lon0, lat0, t0 = df["lon"].shift(), df["lat"].shift(), t.shift()
-        if before[0] is not None and t.iloc[0] >= before[0]:
-            lon0.iloc[0], lat0.iloc[0], t0.iloc[0] = before[1], before[2], before[0]
-        out = pd.DataFrame({"trip_id": key[0], "event_id": df["event_id"]})
-        out["calc_dist_m"] = _haversine_m(lon0, lat0, df["lon"], df["lat"])
-        out["calc_time_s"] = t - t0
-        newest = df.iloc[-1]
-        if before[0] is None or newest["locationtime"] >= before[0]:
-            self.last.update((int(newest["locationtime"]), float(newest["lon"]), float(newest["lat"])))
-            self.remember(int(newest["locationtime"]), timerValues)
-        yield out
-
-
-def stream_step_metrics(df: DataFrame, ts: str = "ts", delay: str = "1 day", keep_ms: int = DAY_MS) -> DataFrame:
-    """Distance and time since the trip's previous point, over batch borders.
-
-    Input has trip_id, event_id, locationtime, lon, lat and the event time. One
-    call sees one trip's rows of one trigger, which ``max_files`` bounds; a
-    trip without news for ``keep_ms`` is forgotten.
+
+def stream_step_metrics(
+    df: DataFrame, ts: str = "ts", delay: str = "1 day", keep_ms: int = DAY_MS, bucket_s: int = 3600
+) -> DataFrame:
+    """Distance and time since the trip's previous point, whatever the order of arrival.
+
+    Input has trip_id, event_id, locationtime (the event time in whole seconds), lon,
+    lat and the event time. A step leaves when the watermark has passed the bucket of
+    its later point; points of one second go by event_id. A point more than
+    ``keep_ms`` after the one before it starts the trip anew, and a trip's last point
+    is forgotten by then. Points later than ``delay`` are dropped.
     """
     out = "trip_id string, event_id long, calc_dist_m double, calc_time_s double"
     cols = df.withWatermark(ts, delay).select("trip_id", "event_id", "locationtime", "lon", "lat", ts)
     return cols.groupBy("trip_id").transformWithStateInPandas(
-        statefulProcessor=_Steps(keep_ms), outputStructType=out, outputMode="Append", timeMode="EventTime"
+        statefulProcessor=_Steps(bucket_s, keep_ms), outputStructType=out, outputMode="Append", timeMode="EventTime"
     )
 
 
-class _RecentInCell(_Expiring):
-    """Ring of the last n observations of a cell."""
+class _RecentInCell(_InOrder):
+    """The last n observations of a cell before each point's second."""
 
-    def __init__(self, n: int, keep_ms: int) -> None:
-        super().__init__(keep_ms)
-        self.n = n
+    fields = {"speed_m_s": T.DoubleType()}
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType().add("t", T.ArrayType(T.LongType())).add("v", T.ArrayType(T.DoubleType()))
-        self.handle = handle
-        self.ring = handle.getValueState("ring", schema)
-
-    def newest(self):
-        return self.ring.get()[0][-1] if self.ring.exists() else None
+    def __init__(self, n: int, bucket_s: int, keep_ms: int) -> None:
+        super().__init__(bucket_s, keep_ms)
+        self.n = n
 
-    def forget(self) -> None:
-        self.ring.clear()
+    def past_schema(self) -> T.StructType:
+        return T.StructType().add("newest", T.LongType()).add("t", T.ArrayType(T.LongType())).add("v", T.ArrayType(T.DoubleType()))
+
+    def work_off(self, key, rows, past):
+        own = rows["locationtime"].to_numpy("int64")
+        t = np.concatenate([np.asarray(past[1] if past else [], dtype="int64"), own])
+        v = np.concatenate([np.asarray(past[2] if past else [], dtype="float64"), rows["speed_m_s"].to_numpy("float64")])
+        # rows of one second do not see each other; nothing older than the limit is seen
+        upto = np.searchsorted(t, own, side="left")
+        oldest = np.searchsorted(t, own - self.keep_ms // 1000, side="left")
+        recent = [[None if np.isnan(x) else float(x) for x in v[max(low, high - self.n) : high][::-1]] for low, high in zip(oldest, upto)]
+        out = pd.DataFrame({"xbin": key[0], "ybin": key[1], "event_id": rows["event_id"], "recent": recent})
+        # buckets end at whole seconds: no later row shares the newest second, so n are enough
+        ring = [None if np.isnan(x) else float(x) for x in v[-self.n :]]
+        return out, (int(t[-1]), t[-self.n :].tolist(), ring), int(t[-1])
+
+
+def stream_recent_in_cell(
+    df: DataFrame, n: int = 4, ts: str = "ts", delay: str = "1 day", keep_ms: int = DAY_MS, bucket_s: int = 3600
+) -> DataFrame:
+    """The last ``n`` speeds seen in each point's cell strictly before it, whatever the order of arrival.
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        df = pd.concat(list(rows)).sort_values(["locationtime", "event_id"], ignore_index=True)
-        ring_t, ring_v = self.ring.get() if self.ring.exists() else ([], [])
-        t = np.concatenate([np.asarray(ring_t, dtype="int64"), df["locationtime"].to_numpy("int64")])
-        v = np.concatenate([np.asarray(ring_v, dtype="float64"), df["speed_m_s"].to_numpy("float64")])
-        order = np.argsort(t, kind="stable")
-        t, v = t[order], v[order]
-        # Rows strictly earlier than each input row; the n before that mark are its answer.
-        seen = np.searchsorted(t, df["locationtime"].to_numpy("int64"), side="left")
-        recent = [v[max(0, s - self.n) : s][::-1].tolist() for s in seen]
-        # Keep enough for rows that share the newest second.
-        keep = len(t) - np.searchsorted(t, t[-1], side="left") + self.n
-        self.ring.update((t[-keep:].tolist(), v[-keep:].tolist()))
-        self.remember(int(t[-1]), timerValues)
-        yield pd.DataFrame({"xbin": key[0], "ybin": key[1], "event_id": df["event_id"], "recent": recent})
-
-
-def stream_recent_in_cell(df: DataFrame, n: int = 4, ts: str = "ts", delay: str = "1 day", keep_ms: int = DAY_MS) -> DataFrame:
-    """The last ``n`` speeds seen in each point's cell strictly before it.
-
-    Input has xbin, ybin, event_id, locationtime, speed_m_s and the event
-    time; a cell without news for ``keep_ms`` is forgotten.
+    Input has xbin, ybin, event_id, locationtime (the event time in whole seconds),
+    speed_m_s and the event time. A row leaves when the watermark has passed its
+    bucket; observations more than ``keep_ms`` older than a point are not seen by it.
+    Points later than ``delay`` are dropped.
     """
     out = "xbin long, ybin long, event_id long, recent array<double>"
     cols = df.withWatermark(ts, delay).select("xbin", "ybin", "event_id", "locationtime", "speed_m_s", ts)
     return cols.groupBy("xbin", "ybin").transformWithStateInPandas(
-        statefulProcessor=_RecentInCell(n, keep_ms), outputStructType=out, outputMode="Append", timeMode="EventTime"
+        statefulProcessor=_RecentInCell(n, bucket_s, keep_ms), outputStructType=out, outputMode="Append", timeMode="EventTime"
     )
 
 
