@@ -1,7 +1,8 @@
 """Benchmark decontamination: word seeds find passages, Smith-Waterman scores them.
 
 Seeds are the n-grams of words of the benchmark items, all of them: however often
-an item is copied, an edited copy is found by whatever seeds it keeps. A pass finds
+an item is copied, an edited copy is found by whatever seeds it keeps (one that keeps
+no three words in a row is not found, whatever it would score). A pass finds
 the seeds in all documents and cuts out the stretch of words around each diagonal
 that they lie on. A stretch whose words, counted with repeats, are too few of the
 item's to reach the threshold even if all matched is dropped; the others are
@@ -12,10 +13,11 @@ The benchmark is read in blocks of at most ``BLOCK_BYTES`` of text, one pass
 each, so what is sent to tasks is bounded however long it is; every item
 meets every document.
 
-Defined cases: words are lower-cased and carry no punctuation; null and empty
+Defined cases: words are lower-cased and carry no punctuation; a character of a
+script without spaces is a word; a text of any length is searched whole; null and empty
 texts and items match nothing; an item shorter than a seed has its whole sequence
 as its only seed; rows that repeat an id are searched each, the best score of an
-id and item counts; a null id is an id of its own; further columns are ignored;
+id and item counts, of equal scores the first stretch; a null id is an id of its own; further columns are ignored;
 empty tables give an empty result.
 """
 
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headway.llm.lines import BREAKS
-from headway.llm.tables import map_batches
+from headway.llm.tables import free_name, map_batches
 from headway.llm.words import slices, spans_hash
 
 SEED = 3
@@ -35,6 +37,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 16_000_000
 #: Seed hits, each with every item that has the seed, that are looked at together.
 HITS = 2_000_000
+#: Words of stretches, padded to the longest, that are aligned together; a longer stretch is aligned alone.
+CELLS = 1_000_000
 
 
 class Items:
@@ -44,7 +48,7 @@ class Items:
         self.ids, self.words = ids, []
         code, item, place = [], [], []
         at = 0
-        for s in slices(pa.array(texts, pa.string()), BREAKS, lower=True):
+        for s in slices(pa.array(texts, pa.string()), BREAKS, lower=True, characters=True):
             for i in range(s.n_rows):
                 w = s.code[s.first[i] : s.first[i + 1]]
                 self.words.append(w)
@@ -106,11 +110,17 @@ def align(item: np.ndarray, windows: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def _by_item(item: np.ndarray):
-    """Indices of equal items, at most 256 at a time."""
-    order = np.argsort(item, kind="stable")
+def _by_item(item: np.ndarray, size: np.ndarray):
+    """Indices of equal items with stretches of about one size, as many at a time as ``CELLS`` words hold, padded to the longest."""
+    order = np.lexsort((size, item))
     for part in np.split(order, np.flatnonzero(np.diff(item[order])) + 1) if len(order) else []:
-        yield from (part[i : i + 256] for i in range(0, len(part), 256))
+        at = 0
+        while at < len(part):
+            # sizes ascend: the last one taken is the width of all
+            taken = np.flatnonzero(size[part[at:]] * np.arange(1, len(part) - at + 1) <= CELLS)
+            to = at + max(1, int(taken[-1]) + 1 if len(taken) else 1)
+            yield part[at:to]
+            at = to
 
 
 def _stretches(items: Items, s, threshold: float):
@@ -130,7 +140,7 @@ def _stretches(items: Items, s, threshold: float):
         low = np.maximum(diagonal - slack, s.first[r])
         high = np.minimum(diagonal + length[item] + slack, s.first[r + 1])
         ok = np.zeros(len(r), bool)
-        for of in _by_item(item):
+        for of in _by_item(item, high - low):
             words = items.words[item[of[0]]]
             ok[of] = shared(words, [s.code[low[i] : high[i]] for i in of]) >= threshold * len(words)
         found.append((r[ok], item[ok], low[ok], high[ok]))
@@ -148,10 +158,10 @@ def _block(docs: DataFrame, ids: list, texts: list[str], threshold: float) -> Da
     def search(batches):
         items = Items(ids, texts)
         for b in batches:
-            for s in slices(b.column(1), BREAKS, lower=True):
+            for s in slices(b.column(1), BREAKS, lower=True, characters=True):
                 row, item, low, high = _stretches(items, s, threshold)
                 found = []
-                for at in _by_item(item):
+                for at in _by_item(item, high - low):
                     words = items.words[item[at[0]]]
                     scores = align(words, [s.code[low[i] : high[i]] for i in at]) / (MATCH * len(words))
                     found += [(i, x) for i, x in zip(at.tolist(), scores.tolist()) if x >= threshold]
@@ -183,5 +193,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> Da
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without those that hold a benchmark item."""
-    ids = matches(docs, benchmark).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("__found")), "left_anti")
+    found = free_name(docs, "found")
+    ids = matches(docs, benchmark).select(F.col("doc_id").alias(found)).distinct()
+    return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col(found)), "left_anti")

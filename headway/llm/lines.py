@@ -38,7 +38,7 @@ from pyspark.sql.window import Window
 
 from headway.llm.components import components
 from headway.llm.ngram_join import BLOCK, SLOTS, sketch
-from headway.llm.tables import NO_ID, keyed, map_batches, stage, to_id
+from headway.llm.tables import NO_ID, free_name, keyed, map_batches, stage, to_id
 from headway.llm.words import SPACES, Slice, mix, slices, spans_hash
 
 MIN_WORDS = 4
@@ -309,16 +309,17 @@ def repeated(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """The input with repeated lines taken out of ``text``; ``n_chars`` follows where there is one. Other columns as they are."""
     removed = repeated(docs)
-    removed = removed.select(F.col("key").alias("__key"), F.col("th").alias("__th"), F.col("removed").alias("__removed"))
+    key, th, gone = (free_name(docs, f"{c}_of_line") for c in ("key", "th", "removed"))
+    removed = removed.select(F.col("key").alias(key), F.col("th").alias(th), F.col("removed").alias(gone))
     marked = docs.withColumns(
-        {"__key": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__th": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))}
+        {key: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), th: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))}
     )
-    joined = marked.join(removed.hint("shuffle_hash"), ["__key", "__th"], "left")
-    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__removed", i))
-    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    joined = marked.join(removed.hint("shuffle_hash"), [key, th], "left")
+    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone, i))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: a prefix-tree join on globally ordered shingle sets.
+"""N-gram Jaccard join: a prefix-filter join on globally ordered shingle sets, verified in prefix trees.
 
 All sets are put in one global order, rarest shingles first, ties by fingerprint.
 Two sets that are similar enough share a shingle among the first

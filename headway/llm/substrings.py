@@ -1,4 +1,4 @@
-"""Substring dedup: repeated windows of words from prefix-partitioned suffix trees.
+"""Substring dedup: repeated windows of words, found by hash at sampled suffixes; no suffix tree is built.
 
 A window of ``size`` words is a path from the root of the suffix tree of all
 documents; it occurs again where that path ends at or above an inner node. The

@@ -39,6 +39,14 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(run, struct)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front until no column of the frame has it, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 #: Stands for a null id inside an operator; it sorts first.
 NO_ID = -(1 << 63)
 
