@@ -25,11 +25,11 @@ def _(spark, sf):
         F.expr("haversine_km(lon, lat, -122.3e0, 47.6e0)").alias("km_sql"))
 
 
-def vincenty_sql() -> str:
-    """Vincenty's inverse method from (-122.3, 47.6), the longitude iteration unrolled."""
+def vincenty_sql(source: str = "pos", lon0: str = "-122.3e0", lat0: str = "47.6e0") -> str:
+    """Vincenty's inverse method from a point or a point's columns, the longitude iteration unrolled."""
     f, a = "(1e0 / 298.257223563e0)", "6378137e0"
-    sql = f"""SELECT event_id, radians(lon - -122.3e0) AS dl, radians(lon - -122.3e0) AS lam, atan((1 - {f}) * tan(radians(47.6e0))) AS u1,
-        atan((1 - {f}) * tan(radians(lat))) AS u2 FROM pos"""
+    sql = f"""SELECT event_id, radians(lon - {lon0}) AS dl, radians(lon - {lon0}) AS lam, atan((1 - {f}) * tan(radians({lat0}))) AS u1,
+        atan((1 - {f}) * tan(radians(lat))) AS u2 FROM {source}"""
     for _ in range(6):
         sql = f"""SELECT *, sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) AS ss,
             sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs FROM ({sql})"""
