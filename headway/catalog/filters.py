@@ -5,7 +5,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from headway.catalog.registry import query, view
-from headway.catalog.roles import calendar, positions, routes, samples, scores, stop_times, table, trips, versions
+from headway.catalog.roles import calendar, exceptions, positions, routes, samples, scores, stop_times, table, trips, versions
 from headway.functions import geo
 from headway.operators import filters as f
 from headway.operators import reshape as r
@@ -46,17 +46,15 @@ def _(spark, sf):
 
 
 @query("service_on_date", "service_id",
-       "SELECT service_id FROM cal WHERE wednesday = 1 AND start_date <= '20240117' AND end_date >= '20240117'")
+       "SELECT service_id FROM onday")
 def _(spark, sf):
-    return f.active_services(calendar(spark, sf), date(2024, 1, 17))
+    return f.active_services(calendar(spark, sf), date(2024, 1, 17), exceptions=exceptions(spark, sf))
 
 
 @query("services_or_busiest", "network_id service_id rule",
        """SELECT * FROM (WITH counts AS (SELECT network_id, service_id, count(*) AS n FROM trp GROUP BY ALL),
        flags AS (SELECT c.*, d.service_id IS NOT NULL AS today, w.service_id IS NOT NULL AS wd FROM counts c
-         LEFT JOIN (SELECT DISTINCT service_id FROM cal WHERE wednesday = 1 AND '20240117' BETWEEN start_date AND end_date) d
-           USING (service_id)
-         LEFT JOIN (SELECT DISTINCT service_id FROM cal WHERE wednesday = 1) w USING (service_id)),
+         LEFT JOIN onday d USING (service_id) LEFT JOIN onweekday w USING (service_id)),
        both_ AS (SELECT *, bool_or(today) OVER (PARTITION BY network_id) AS any_today,
          count(*) OVER (PARTITION BY network_id) AS services FROM flags)
        SELECT network_id, service_id, 'calendar' AS rule FROM both_
@@ -66,7 +64,7 @@ def _(spark, sf):
 def _(spark, sf):
     t, day = trips(spark, sf), date(2024, 1, 17)
     return r.union_tagged(
-        {"calendar": f.day_services(t, calendar(spark, sf), day, ["network_id"]),
+        {"calendar": f.day_services(t, calendar(spark, sf), day, ["network_id"], exceptions(spark, sf)),
          "busiest": f.day_services(t, None, day, ["network_id"])}, "rule")
 
 

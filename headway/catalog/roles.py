@@ -190,6 +190,29 @@ view(
 )
 
 
+def exceptions(spark: SparkSession, sf: str) -> DataFrame:
+    """Services added to (1) and removed from (2) single days of January."""
+    return table(spark, sf, "nation").selectExpr(
+        "concat('S', cast(n_nationkey * 2 div 7 as string)) AS service_id",
+        "date_format(date_add(date'2024-01-10', cast(n_nationkey % 14 as int)), 'yyyyMMdd') AS date",
+        "cast(1 + n_nationkey div 14 % 2 as int) AS exception_type",
+    )
+
+
+view(
+    "exc",
+    """SELECT 'S' || CAST(n_nationkey * 2 // 7 AS VARCHAR) AS service_id,
+    strftime(DATE '2024-01-10' + CAST(n_nationkey % 14 AS INTEGER), '%Y%m%d') AS date, 1 + n_nationkey // 14 % 2 AS exception_type FROM nation""",
+)
+for _name, _range in (("onday", " AND '20240117' BETWEEN start_date AND end_date"), ("onweekday", "")):
+    view(
+        _name,
+        f"""SELECT service_id FROM cal WHERE wednesday = 1{_range} AND service_id NOT IN (
+        SELECT service_id FROM exc WHERE date = '20240117' AND exception_type = 2)
+        UNION SELECT service_id FROM exc WHERE date = '20240117' AND exception_type = 1""",
+    )
+
+
 def versions(spark: SparkSession, sf: str) -> DataFrame:
     """Schedule versions per feed, weekly, later in January for some feeds."""
     return (

@@ -206,6 +206,44 @@ def _window_moments(df: DataFrame, track: Sequence[str], degree: int) -> DataFra
     )
 
 
+def _power(x: Column, n: int) -> Column:
+    return reduce(lambda a, b: a * b, [x] * n) if n else F.lit(1.0)
+
+
+def _moment_weights(df: DataFrame, degree: int) -> DataFrame:
+    """``_c0``, ...: the weight of each window moment in the value at ``_q`` of the polynomial fitted to ``_w`` samples.
+
+    With orthogonal polynomials p[k + 1] = z p[k] - beta[k] p[k - 1], whose squares add up
+    to w beta[1] .. beta[k] over the samples, the fit is a sum of p[k] times p[k](q) over
+    that. Each step is a column, so that no expression grows with the degree.
+    """
+    w, q, own = F.col("_w"), F.col("_q"), list(df.columns)
+    df = df.withColumns({f"_beta{k}": k * k * (w * w - k * k) / (4 * (4 * k * k - 1)) / (w * w) for k in range(1, degree + 1)})
+    df = df.withColumns({"_p0": F.lit(1.0), "_p1": q, "_size0": w.cast("double")})
+    for k in range(1, degree + 1):
+        step = {f"_size{k}": F.col(f"_size{k - 1}") * F.col(f"_beta{k}")}
+        if k < degree:
+            step[f"_p{k + 1}"] = q * F.col(f"_p{k}") - F.col(f"_beta{k}") * F.col(f"_p{k - 1}")
+        df = df.withColumns(step)
+    shares = {f"_share{k}": F.when(F.lit(k) < w, F.try_divide(f"_p{k}", f"_size{k}")).otherwise(F.lit(0.0)) for k in range(degree + 1)}
+    df = df.withColumns(shares)
+    poly = [[F.lit(1.0)]]
+    for k in range(degree):
+        before = [*poly[k - 1], None, None] if k else [None, None]
+        poly.append([_less(u, F.col(f"_beta{k}"), v) for u, v in zip([None, *poly[k]], before)])
+    weights = [
+        reduce(lambda a, b: a + b, [F.col(f"_share{k}") * poly[k][m] for k in range(m, degree + 1) if poly[k][m] is not None]) for m in range(degree + 1)
+    ]
+    return df.select(*own, *[c.alias(f"_c{m}") for m, c in enumerate(weights)])
+
+
+def _less(u: Column | None, beta: Column, v: Column | None) -> Column | None:
+    """u - beta v, where either may be absent."""
+    if v is None:
+        return u
+    return -beta * v if u is None else u - beta * v
+
+
 def smooth(
     df: DataFrame, track: Sequence[str], order: Sequence[str], col: str, factor: float = 0.03, degree: int = 5,
     low: float | None = None, high: float | None = None, name: str = "smoothed",
@@ -236,33 +274,20 @@ def smooth(
     wide = wide.withColumn("_lo", first.cast("long")).withColumn("_hi", F.col("_lo") + w - 1)
     at_end = (at >= F.col("_n") - half) | (at < half)
     wide = wide.withColumn("_q", F.when(at_end, (at - F.col("_lo") - (w - 1) / 2) / w).otherwise(F.lit(0.0)))
-    wide = wide.join(sums.select(*track, F.col("_at").alias("_lo"), "_from"), [*track, "_lo"])
-    wide = wide.join(sums.select(*track, F.col("_at").alias("_hi"), "_upto"), [*track, "_hi"])
     # how far the coordinate of each block lies from the window's, whose origin is its middle
     block = F.floor(F.col("_lo") / w)
     wide = wide.withColumn("_d1", (block * w - F.col("_lo") - (w - 1) / 2) / w)
     wide = wide.withColumns({"_d2": F.col("_d1") + 1, "_two": (block * w != F.col("_lo")).cast("double")})
-
-    def moment(m: int) -> Column:
-        parts = [
-            comb(m, r) * (F.pow("_d1", F.lit(float(m - r))) * F.col("_from")[r] + F.col("_two") * F.pow("_d2", F.lit(float(m - r))) * F.col("_upto")[r])
-            for r in range(m + 1)
-        ]
-        return reduce(lambda a, b: a + b, parts)
-
-    wide = wide.withColumns({f"_m{m}": moment(m) for m in range(degree + 1)})
-    # p[k + 1] = z p[k] - beta[k] p[k - 1], and the squares of p[k] add up to w beta[1] .. beta[k]
-    beta = [None, *[k * k * (w * w - k * k) / (4 * (4 * k * k - 1)) / (w * w) for k in range(1, degree + 1)]]
-    with_p = [[F.col(f"_m{m}") for m in range(degree + 1)]]
-    at_q, size = [F.lit(1.0)], [w.cast("double")]
-    for k in range(degree):
-        before = with_p[k - 1] if k else [F.lit(0.0)] * (degree + 1)
-        with_p.append([with_p[k][m + 1] - (beta[k] * before[m] if k else F.lit(0.0)) for m in range(degree - k)])
-        at_q.append(F.col("_q") * at_q[k] - (beta[k] * at_q[k - 1] if k else F.lit(0.0)))
-        size.append(size[k] * beta[k + 1])
-    terms = [F.when(F.lit(k) < w, F.try_divide(with_p[k][0] * at_q[k], size[k])).otherwise(F.lit(0.0)) for k in range(degree + 1)]
+    wide = _moment_weights(wide, degree)
+    shift = lambda d, r: reduce(lambda x, y: x + y, [comb(m, r) * F.col(f"_c{m}") * _power(F.col(d), m - r) for m in range(r, degree + 1)])
+    wide = wide.withColumns(
+        {f"_a{r}": shift("_d1", r) for r in range(degree + 1)} | {f"_b{r}": F.col("_two") * shift("_d2", r) for r in range(degree + 1)}
+    ).drop("_d1", "_d2", "_q", *[f"_c{m}" for m in range(degree + 1)])
+    wide = wide.join(sums.select(*track, F.col("_at").alias("_lo"), "_from"), [*track, "_lo"])
+    wide = wide.join(sums.select(*track, F.col("_at").alias("_hi"), "_upto"), [*track, "_hi"])
+    terms = [F.col(f"_a{r}") * F.col("_from")[r] + F.col(f"_b{r}") * F.col("_upto")[r] for r in range(degree + 1)]
     unknown = F.col("_from")[degree + 1] + F.col("_two") * F.col("_upto")[degree + 1]
-    done = wide.withColumn(name, F.when(unknown == 0, reduce(lambda a, b: a + b, terms)))
+    done = wide.withColumn(name, F.when(unknown == 0, reduce(lambda x, y: x + y, terms)))
     both = plain.unionByName(done.select(*plain.columns))
     return both.withColumn(name, clip(name, low, high)).drop("_rn", "_n", "_w")
 
@@ -308,14 +333,14 @@ def as_lines(points: DataFrame) -> DataFrame:
 
 def network_trajectories(
     trips: DataFrame, spans: DataFrame, shape_points: DataFrame, calendar: DataFrame | None, day, feed: Sequence[str],
-    min_points: int = 3,
+    min_points: int = 3, exceptions: DataFrame | None = None,
 ) -> DataFrame:
     """A day's trips with their shape points and trip attributes, as one flat frame.
 
-    Trips without shape points, or with fewer than two or ``min_points`` of
+    Services of the day follow the calendar and its ``exceptions``. Trips without shape points, or with fewer than two or ``min_points`` of
     them, are left out.
     """
-    active = day_services(trips, calendar, day, feed)
+    active = day_services(trips, calendar, day, feed, exceptions)
     chosen = trips.join(active, [*feed, "service_id"]).join(spans, "trip_id")
     chosen = chosen.withColumn("t_day_of_week", F.lit(day.weekday()))
     points = o.with_group(shape_points, ["shape_id"], _n=F.count(F.lit(1)))

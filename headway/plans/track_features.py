@@ -47,9 +47,9 @@ class Settings:
     method: str = "geodesic"
 
 
-def clean_tracks(points: DataFrame, raster: DataFrame, origin: Sequence[float], p: Settings) -> DataFrame:
-    """Resample, trim, cut, project, measure and filter: points with ``shingle_id``."""
-    trip, order = ["trip_id"], ["locationtime", "point_no"]
+def clean_tracks(points: DataFrame, raster: DataFrame, origin: Sequence[float], p: Settings, feed: Sequence[str] = ()) -> DataFrame:
+    """Resample, trim, cut, project, measure and filter: points with ``shingle_id``; a trip id counts within its feed."""
+    trip, order = [*feed, "trip_id"], ["locationtime", "point_no"]
     df = tj.resample_trips(points, trip, ["locationtime", "event_id"], p.step_m, p.max_jump_m, p.method, first=("vehicle_id",))
     df = stage(df, "resampled")
     df, done = o.shared_split(df, trip, order[0])
@@ -60,17 +60,26 @@ def clean_tracks(points: DataFrame, raster: DataFrame, origin: Sequence[float],
     key = ["shingle_id"]
     df, done = o.shared_split(df, key, order[0])
     df = tr.step_metrics(df, key, order, method=p.method)
-    df = f.dropout(f.filter_points(df, p.point_ranges), p.drop_share, p.seed, ["trip_id", "point_no"])
+    df = f.dropout(f.filter_points(df, p.point_ranges), p.drop_share, p.seed, [*trip, "point_no"])
     df = tr.step_metrics(df, key, order, method=p.method)
     df = done(tr.step_speed(df, key, order))
     return f.filter_tracks(stage(df, "measured"), "shingle_id", p.track_ranges)
 
 
-def add_schedule(df: DataFrame, stop_times: DataFrame, stops: DataFrame, trips: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Nearest scheduled stop, scheduled elapsed time and stops passed."""
-    static = stage(j.scheduled_stops(stop_times, stops), "static")
-    df = f.keep_scheduled(df, static, by)
-    df = stage(j.attach_schedule(j.nearest_by_key(df, static, "trip_id"), static, trips), "scheduled")
+def add_schedule(
+    df: DataFrame, stop_times: DataFrame, stops: DataFrame, trips: DataFrame, by: Sequence[str], versions: DataFrame | None = None,
+    feed: Sequence[str] = (),
+) -> DataFrame:
+    """Nearest scheduled stop, scheduled elapsed time and stops passed.
+
+    With ``versions`` the schedule of the point's feed in force on its day counts.
+    """
+    own = []
+    if versions is not None:
+        df, own = j.in_force(df, versions, feed), [*feed, "version"]
+    static = stage(j.scheduled_stops(stop_times, stops, own), "static")
+    df = f.keep_scheduled(df, static, by, [*own, "trip_id"])
+    df = stage(j.attach_schedule(j.nearest_by_key(df, static, [*own, "trip_id"]), static, trips, own), "scheduled")
     df = tr.track_start(df, ["shingle_id"])
     df = df.withColumns(
         {
@@ -85,16 +94,18 @@ def add_schedule(df: DataFrame, stop_times: DataFrame, stops: DataFrame, trips:
 
 def track_features(
     points: DataFrame, stop_times: DataFrame, stops: DataFrame, trips: DataFrame, raster: DataFrame,
-    origin: Sequence[float], vectors: DataFrame, vector_key, p: Settings,
+    origin: Sequence[float], vectors: DataFrame, vector_key, p: Settings, versions: DataFrame | None = None, feed: Sequence[str] = (),
 ) -> DataFrame:
     """The whole feature table: one row per kept point.
 
-    ``vector_key`` is the expression that names a hexagon in ``vectors``.
+    ``vector_key`` is the expression that names a hexagon in ``vectors``. With
+    ``versions`` points, stop times and trips carry the ``feed`` columns, and the
+    latter two a version.
     """
     key, order = ["shingle_id"], ["locationtime", "point_no"]
-    df = clean_tracks(points, raster, origin, p)
+    df = clean_tracks(points, raster, origin, p, feed)
     df = clock.time_features(df, "locationtime", p.tz).withColumn("service_day", F.to_date(F.timestamp_seconds("locationtime")))
-    df = add_schedule(df, stop_times, stops, trips, ["service_day"])
+    df = add_schedule(df, stop_times, stops, trips, ["service_day"], versions, feed)
     df = stage(tr.cumulative_features(df, key, order), "cumulated")
     df = j.assign_hex(df, "x", "y", p.hex_size_m).withColumn("vec_id", vector_key)
     x0, y0, x1, y1 = p.grid_bounds

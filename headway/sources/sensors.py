@@ -55,10 +55,21 @@ def read_drive_cycle(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col(f"`{t}`").try_cast("int").alias("time_s"), mph_to_mps(F.col(f"`{v}`").try_cast("double")).alias("mps"))
 
 
-def read_vehicles(spark: SparkSession, path: str, maps: tuple[str, ...] = ("mc_eff_map",)) -> DataFrame:
-    """Vehicle coefficients, efficiency maps parsed from text to arrays."""
-    raw = spark.read.csv(path, header=True, inferSchema=True)
-    return raw.withColumns({m: array_from_text(F.col(m).cast("string")) for m in maps if m in raw.columns})
+#: The numeric coefficients that are used; other columns stay text.
+VEHICLE_NUMBERS = ("drag_coef", "frontal_area_m2", "veh_override_kg", "wheel_rr_coef", "aux_kw", "max_regen", "ess_max_kwh")
+
+
+def read_vehicles(
+    spark: SparkSession, path: str, maps: tuple[str, ...] = ("mc_eff_map",), numbers: tuple[str, ...] = VEHICLE_NUMBERS
+) -> DataFrame:
+    """Vehicle coefficients, efficiency maps parsed from text to arrays; an empty or unreadable cell is null. One pass: types are not inferred."""
+    raw = spark.read.csv(path, header=True)
+
+    def typed(c: str):
+        col = F.col(f"`{c}`")
+        return (array_from_text(col) if c in maps else col.try_cast("double") if c in numbers else col).alias(c)
+
+    return raw.select(*[typed(c) for c in raw.columns])
 
 
 REGISTRY = (

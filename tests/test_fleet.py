@@ -13,6 +13,7 @@ from headway.operators import energy as e
 from headway.operators import filters as f
 from headway.operators import joins as j
 from headway.operators import trajectory as tj
+from headway.plans.track_features import add_schedule
 
 BLOCKS = (
     "network_id string, block_id string, t_min_of_day long, t_min_of_day_end long, block_net_energy_kwh double, plug_power_kw double,"
@@ -186,6 +187,26 @@ def test_schedule_in_force(spark):
     assert {r["i"]: r["scheduled"] for r in kept.collect()} == {i: i != 8 for i in range(9) if i != 7}
 
 
+def test_features_take_the_schedule_in_force(spark):
+    day = lambda n: date(2024, 1, 1) + timedelta(n)
+    versions = [(f, day(v)) for f in (0, 1) for v in (5, 15)]
+    times = [(f, v, "T", "A", 0, f"0{6 + f}:{v.day:02d}:00") for f, v in versions]
+    trips = [(f, v, "T", "S", f"R{f}-{v.day}") for f, v in versions]
+    points = [(f, "T", f"{f}_{d}", day(d), 1000 * d + 10 * i, i, 21_600 + f * 3600 + 60 * i, 0.0, 0.0) for f in (0, 1) for d in (10, 20) for i in range(2)]
+    points += [(1, "U", "u", day(20), 5, 0, 0, 0.0, 0.0)]
+    names = "feed int, trip_id string, shingle_id string, service_day date, locationtime long, point_no long, t_sec_of_day long, x double, y double"
+    out = add_schedule(
+        spark.createDataFrame(points, names),
+        spark.createDataFrame(times, "feed int, version date, trip_id string, stop_id string, stop_sequence int, arrival_time string"),
+        spark.createDataFrame([("A", 0.0, 0.0, 3.0, 4.0)], "stop_id string, stop_lon double, stop_lat double, stop_x double, stop_y double"),
+        spark.createDataFrame(trips, "feed int, version date, trip_id string, service_id string, route_id string"), ["service_day"],
+        spark.createDataFrame(versions, "feed int, version date"), ["feed"],
+    ).collect()
+    assert {(r["shingle_id"], r["point_no"]): (r["route_id"], r["sch_time_s"], r["calc_stop_dist_m"]) for r in out} == {
+        (f"{f}_{d}", i): (f"R{f}-{v}", 60 * v, 5.0) for f in (0, 1) for d, v in ((10, 6), (20, 16)) for i in range(2)
+    }
+
+
 @pytest.mark.parametrize("inline", [2, 16, 64])
 def test_nearest_in_dense_and_far_places(spark, inline):
     """Thousands of places within a hand's breadth, a line of places, and points far outside."""

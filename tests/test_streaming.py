@@ -23,6 +23,10 @@ def state_store(spark):
     spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+#: Rows that came too late, per delivery.
+DROPPED = []
+
+
 def points(n, low, high, seed, first_id):
     r = random.Random(seed)
     out = []
@@ -42,7 +46,8 @@ def deliver(spark, tmp_path, parts, build):
     for part in parts:
         random.Random(len(part)).shuffle(part)
         frame(spark, part).repartition(2).write.mode("append").parquet(folder)
-        st.run_available(build(st.stream_positions(spark, folder, frame(spark, []).schema)), out, mark)
+        query = st.run_available(build(st.stream_positions(spark, folder, frame(spark, []).schema)), out, mark)
+        DROPPED.append(st.rows_dropped(query))
     return spark.read.parquet(out)
 
 
@@ -63,7 +68,9 @@ def settled(rows, bucket_s, delay=HOUR):
 
 def test_steps_equal_the_batch_whatever_the_order(spark, tmp_path, bucket_s=1800):
     parts, kept = deliveries()
+    DROPPED.clear()
     got = deliver(spark, tmp_path, parts, lambda df: st.stream_step_metrics(df, delay="1 hour", bucket_s=bucket_s)).collect()
+    assert DROPPED == [0, 1, 0]
     batch = tr.step_metrics(frame(spark, kept), ["trip_id"], ["locationtime", "event_id"], method="haversine").collect()
     want = {r["event_id"]: (r["calc_dist_m"], r["calc_time_s"]) for r in batch}
     ids = settled(kept, bucket_s)
