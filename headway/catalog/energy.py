@@ -176,7 +176,7 @@ def charge_sql(source, plug, scene=""):
 
 
 #: Some blocks have a slow plug, at which they charge for days.
-PLUG = "CASE WHEN block_id % 97 < 2 THEN 2e0 ELSE 5e1 END"
+PLUG = "CASE WHEN block_id % 97 < 2 THEN 8e0 ELSE 5e1 END"
 view("chg", charge_sql("fleet", PLUG))
 
 
