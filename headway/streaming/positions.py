@@ -71,11 +71,12 @@ def _haversine_m(lon1, lat1, lon2, lat2):
 class _InOrder(StatefulProcessor):
     """Rows of a key held back by event time and taken up in order.
 
-    A row waits in the bucket of its ``bucket_s`` seconds, a map entry. A timer at
-    the bucket's end fires when the watermark has passed it: no row of the bucket
-    can come any more, whatever the order of arrival was, and the bucket is worked
-    off after all earlier ones. One call holds the rows of a key and bucket, so
-    ``bucket_s`` bounds memory. Rows behind the watermark never arrive here.
+    A row waits in the bucket of its ``bucket_s`` seconds, whose rows are map entries,
+    one per arriving batch, so that nothing that waits is written again. When the
+    watermark has passed a bucket's end no row of it can come any more, whatever the
+    order of arrival was, and all such buckets are worked off, earliest first, in one
+    call. The state is read and written per bucket and batch, not per row. Memory is
+    that of a key's bucket. Rows behind the watermark never arrive here.
     """
 
     #: Columns of a waiting row besides the time and event_id, and their types.
@@ -89,7 +90,8 @@ class _InOrder(StatefulProcessor):
         held = T.StructType().add("t", T.ArrayType(T.LongType())).add("event_id", T.ArrayType(T.LongType()))
         for name, kind in self.fields.items():
             held = held.add(name, T.ArrayType(kind))
-        self.waiting = handle.getMapState("waiting", T.StructType().add("bucket", T.LongType()), held)
+        self.waiting = handle.getMapState("waiting", T.StructType().add("bucket", T.LongType()).add("part", T.LongType()), held)
+        self.open = handle.getValueState("open", T.StructType().add("bucket", T.ArrayType(T.LongType())).add("parts", T.ArrayType(T.LongType())))
         self.past = handle.getValueState("past", self.past_schema())
 
     def past_schema(self) -> T.StructType:
@@ -99,69 +101,102 @@ class _InOrder(StatefulProcessor):
         """Output for the rows of a bucket, in order; what later rows need to know; its newest second."""
         raise NotImplementedError
 
+    def forget(self, past, now_ms: int):
+        """What is left of ``past`` for rows from ``now_ms`` on."""
+        raise NotImplementedError
+
     def ends_ms(self, bucket: int) -> int:
         return (bucket + 1) * self.bucket_s * 1000
 
+    def parts(self) -> dict[int, int]:
+        """The buckets in which rows wait, and how many entries each has."""
+        return dict(zip(*self.open.get())) if self.open.exists() else {}
+
+    def leave_open(self, parts: dict[int, int]) -> None:
+        if parts:
+            self.open.update((list(parts), list(parts.values())))
+            self.handle.registerTimer(self.ends_ms(min(parts)))
+        else:
+            self.open.clear()
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         names = ["locationtime", "event_id", *self.fields]
+        parts = self.parts()
         for df in rows:
             for bucket, part in df.groupby(df["locationtime"] // self.bucket_s)[names]:
-                at = (int(bucket),)
-                new = [part[n].astype(object).where(part[n].notna(), None).tolist() for n in names]
-                if self.waiting.containsKey(at):
-                    new = [list(old) + more for old, more in zip(self.waiting.getValue(at), new)]
-                else:
-                    self.handle.registerTimer(self.ends_ms(at[0]))
-                self.waiting.updateValue(at, tuple(new))
+                bucket, new = int(bucket), [part[n].astype(object).where(part[n].notna(), None).tolist() for n in names]
+                self.waiting.updateValue((bucket, parts.get(bucket, 0)), tuple(new))
+                parts[bucket] = parts.get(bucket, 0) + 1
+        if parts:
+            self.leave_open(parts)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        due = sorted(bucket for (bucket,) in self.waiting.keys() if self.ends_ms(bucket) <= now)
+        now = timerValues.getCurrentWatermarkInMs()
+        parts = self.parts()
+        due = sorted(b for b in parts if self.ends_ms(b) <= now)
         past = self.past.get() if self.past.exists() else None
         newest = None
         for bucket in due:
-            columns = self.waiting.getValue((bucket,))
-            rows = pd.DataFrame(dict(zip(["locationtime", "event_id", *self.fields], map(list, columns))))
+            entries = [self.waiting.getValue((bucket, i)) for i in range(parts[bucket])]
+            names = ["locationtime", "event_id", *self.fields]
+            rows = pd.DataFrame({n: [v for e in entries for v in e[i]] for i, n in enumerate(names)})
             rows = rows.sort_values(["locationtime", "event_id"], ignore_index=True)
             out, past, newest = self.work_off(key, rows, past)
-            self.waiting.removeKey((bucket,))
+            for i in range(parts.pop(bucket)):
+                self.waiting.removeKey((bucket, i))
             yield out
-        if newest is not None:
-            self.past.update(past)
+        if due:
+            self.leave_open(parts)
+        # a row that waits or comes lies in a bucket that ends after the watermark
+        left = None if past is None else self.forget(past, now - self.bucket_s * 1000)
+        if left is not None:
+            self.past.update(left)
+        elif past is not None:
+            self.past.clear()
+        if newest is not None and left is not None:
             # a row this much later starts anew; the bucket it waits in must be over before the past goes
             self.handle.registerTimer((newest + self.bucket_s) * 1000 + self.keep_ms + 1)
-        elif past is not None and (past[0] + self.bucket_s) * 1000 + self.keep_ms < now:
-            self.past.clear()
 
     def close(self) -> None:
         pass
 
 
 class _Steps(_InOrder):
-    """Each point against the one before it on the trip."""
+    """Each point against the one before it on the trip. A key is a group of trips, so that a call works off many trips' rows at once."""
 
-    fields = {"lon": T.DoubleType(), "lat": T.DoubleType()}
+    fields = {"trip_id": T.StringType(), "lon": T.DoubleType(), "lat": T.DoubleType()}
 
     def past_schema(self) -> T.StructType:
-        return T.StructType().add("t", T.LongType()).add("lon", T.DoubleType()).add("lat", T.DoubleType())
+        last = T.StructType().add("trip_id", T.ArrayType(T.StringType())).add("t", T.ArrayType(T.LongType()))
+        return last.add("lon", T.ArrayType(T.DoubleType())).add("lat", T.ArrayType(T.DoubleType()))
 
     def work_off(self, key, rows, past):
-        t, lon, lat = (rows[c].astype("float64") for c in ("locationtime", "lon", "lat"))
-        t0, lon0, lat0 = t.shift(), lon.shift(), lat.shift()
-        if past is not None:
-            t0.iloc[0], lon0.iloc[0], lat0.iloc[0] = (np.nan if v is None else v for v in past)
+        names = ["trip_id", "locationtime", "lon", "lat"]
+        before = pd.DataFrame(dict(zip(names, map(list, past or ([],) * 4))))
+        both = pd.concat([before.astype(object), rows.astype(object)], ignore_index=True)
+        trip = pd.factorize(both["trip_id"], use_na_sentinel=False)[0]
+        order = np.argsort(trip, kind="stable")  # a trip's last point, then its rows, which are in order
+        trip, both = trip[order], both.iloc[order].reset_index(drop=True)
+        t, lon, lat = (both[c].astype("float64") for c in names[1:])
+        first = np.append(True, trip[1:] != trip[:-1])
+        t0, lon0, lat0 = (v.shift().mask(first) for v in (t, lon, lat))
         far = (t - t0) * 1000 > self.keep_ms
-        out = pd.DataFrame({"trip_id": key[0], "event_id": rows["event_id"]})
+        out = both[["trip_id", "event_id"]].copy()
         out["calc_dist_m"] = _haversine_m(lon0, lat0, lon, lat).where(~far)
         out["calc_time_s"] = (t - t0).where(~far)
-        last = tuple(None if np.isnan(v) else float(v) for v in (lon.iloc[-1], lat.iloc[-1]))
-        newest = int(rows["locationtime"].iloc[-1])
-        return out, (newest, *last), newest
+        out = out[order >= len(before)].astype({"event_id": rows["event_id"].dtype})
+        last = both[np.append(trip[1:] != trip[:-1], True)]
+        held = tuple([None if pd.isna(v) else v for v in last[c]] for c in names)
+        return out, (held[0], [int(v) for v in held[1]], *held[2:]), int(rows["locationtime"].iloc[-1])
+
+    def forget(self, past, now_ms):
+        stay = [i for i, t in enumerate(past[1]) if now_ms - t * 1000 <= self.keep_ms]
+        return tuple([column[i] for i in stay] for column in past) if stay else None
 
 
 def stream_step_metrics(
-    df: DataFrame, ts: str = "ts", delay: str = "1 day", keep_ms: int = DAY_MS, bucket_s: int = 3600
+    df: DataFrame, ts: str = "ts", delay: str = "1 day", keep_ms: int = DAY_MS, bucket_s: int = 3600, groups: int = 64
 ) -> DataFrame:
     """Distance and time since the trip's previous point, whatever the order of arrival.
 
@@ -169,11 +204,14 @@ def stream_step_metrics(
     lat and the event time. A step leaves when the watermark has passed the bucket of
     its later point; points of one second go by event_id. A point more than
     ``keep_ms`` after the one before it starts the trip anew, and a trip's last point
-    is forgotten by then. Points later than ``delay`` are dropped.
+    is forgotten by then. Points later than ``delay`` are dropped. Trips share state in
+    ``groups`` by hash: calls and state entries number groups times buckets, however
+    many trips there are.
     """
     out = "trip_id string, event_id long, calc_dist_m double, calc_time_s double"
-    cols = df.withWatermark(ts, delay).select("trip_id", "event_id", "locationtime", "lon", "lat", ts)
-    return cols.groupBy("trip_id").transformWithStateInPandas(
+    group = F.pmod(F.xxhash64("trip_id"), F.lit(groups)).alias("trip_group")
+    cols = df.withWatermark(ts, delay).select(group, "trip_id", "event_id", "locationtime", "lon", "lat", ts)
+    return cols.groupBy("trip_group").transformWithStateInPandas(
         statefulProcessor=_Steps(bucket_s, keep_ms), outputStructType=out, outputMode="Append", timeMode="EventTime"
     )
 
@@ -203,6 +241,9 @@ class _RecentInCell(_InOrder):
         ring = [None if np.isnan(x) else float(x) for x in v[-self.n :]]
         return out, (int(t[-1]), t[-self.n :].tolist(), ring), int(t[-1])
 
+    def forget(self, past, now_ms):
+        return None if now_ms - past[0] * 1000 > self.keep_ms else past
+
 
 def stream_recent_in_cell(
     df: DataFrame, n: int = 4, ts: str = "ts", delay: str = "1 day", keep_ms: int = DAY_MS, bucket_s: int = 3600

@@ -102,3 +102,22 @@ def test_recent_in_cell_equals_looking_back(spark, tmp_path, bucket_s=60):
         p = own[r["event_id"]]
         before = sorted((q[2], q[1], q[7]) for q in kept if q[5:7] == p[5:7] and q[2] < p[2])
         assert list(r["recent"]) == [v for *_, v in before[-4:][::-1]]
+
+
+def test_state_does_not_grow_with_trips(spark, tmp_path):
+    """1000 trips wait in one bucket: entries count by groups and buckets; every trip steps on its own."""
+    rows = [(f"t{i}", i, i % 50, 0.001 * i, 0.0, 0, 0, 1.0) for i in range(1000)]
+    rows += [(f"t{i}", 1000 + i, 60 + i % 50, 0.001 * i, 0.01, 0, 0, 1.0) for i in range(0, 1000, 2)]
+    rows += [(None, 2000, 5, 0.0, 0.0, 0, 0, 1.0), (None, 2001, 70, 0.0, 0.02, 0, 0, 1.0)]
+    folder, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    sizes = []
+    for part in (rows[::-1], [("end", 3000, 10 * HOUR, 0.0, 0.0, 0, 0, 1.0)]):
+        frame(spark, part).write.mode("append").parquet(folder)
+        query = st.run_available(st.stream_step_metrics(st.stream_positions(spark, folder, frame(spark, []).schema), delay="1 hour", bucket_s=60), out, mark)
+        sizes += [op.numRowsTotal for p in query.recentProgress for op in p.stateOperators]
+    assert 0 < max(sizes) < 1000
+    got = {r["event_id"]: r for r in spark.read.parquet(out).collect()}
+    assert sorted(got) == sorted(r[1] for r in rows)
+    assert all(got[i]["calc_time_s"] is None and got[i]["trip_id"] == f"t{i}" for i in range(1000))
+    assert all(got[1000 + i]["calc_time_s"] == 60 and got[1000 + i]["calc_dist_m"] == pytest.approx(1111.95, abs=0.1) for i in range(0, 1000, 2))
+    assert got[2000]["calc_time_s"] is None and got[2001]["calc_time_s"] == 65 and got[2001]["trip_id"] is None
