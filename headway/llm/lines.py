@@ -8,8 +8,8 @@ first line in document order stays.
 Candidates are found without loss. An edit of a word changes at most two of a
 line's pairs of adjacent words, so with pairs in one global order, rarest first,
 two near lines share one of the first few (``prefix``) of each. How often a pair
-occurs is read from a sketch over a sample of the documents; it decides the order,
-hence the work, never the result. An edit also changes at most two bits of the
+occurs is read from a sketch over all documents; it decides the order, hence the
+work, never the result. An edit also changes at most two bits of the
 parities of word counts in 256 classes; pairs of lines that differ in more bits
 than their allowed edits can change are dropped before their words are fetched.
 
@@ -45,8 +45,7 @@ MIN_WORDS = 4
 MIN_CHARS = 3
 DISTANCE = 2
 SIMILAR = 0.8
-#: One document in so many is read for the sketch; lines a task remembers to emit their word pairs once.
-SAMPLE = 4
+#: Lines a task remembers to emit their word pairs once.
 REMEMBERED = 500_000
 PARITIES = ("p1", "p2", "p3", "p4")
 _OTHER = 0xC2B2AE3D27D4EB4F
@@ -155,7 +154,7 @@ def read_lines(texts: DataFrame) -> DataFrame:
 
 
 def pair_levels(texts: DataFrame) -> np.ndarray:
-    """How often word pairs occur in a sample of the documents, as levels of a sketch."""
+    """How often word pairs occur in the documents, as levels of a sketch."""
 
     def run(batches):
         counts = np.zeros(SLOTS, np.uint32)
@@ -168,7 +167,7 @@ def pair_levels(texts: DataFrame) -> np.ndarray:
             if block.any():
                 yield {"block": [i], "counts": [block.tobytes()]}
 
-    return sketch(map_batches(texts.filter(F.pmod("th", F.lit(SAMPLE)) == 0), run, "block int, counts binary"))
+    return sketch(map_batches(texts, run, "block int, counts binary"))
 
 
 def read_pairs(texts: DataFrame, levels) -> DataFrame:

@@ -527,3 +527,12 @@ def test_pipeline_equals_sum_of_queries(spark):
 
     out = p.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < out.count() <= 200
+
+
+def test_word_pairs_of_every_document_are_counted(spark):
+    """The order of word pairs comes from all documents: no pair of any text is missing in the sketch."""
+    texts = ["\n".join([f"a{i} b{i} c{i} d{i}"] * 4) for i in range(40)]  # four times: a level is the log2 of a count
+    levels = lines.pair_levels(lines.keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for s in lines.slices(__import__("pyarrow").array(texts), lines.BREAKS, lower=True, characters=True):
+        _, code = lines.word_pairs(*lines.spans(s, lines.MIN_WORDS)[2:])
+        assert len(code) == 480 and (levels[(code % np.uint64(lines.SLOTS)).astype(int)] > 0).all()
