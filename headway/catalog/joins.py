@@ -34,8 +34,9 @@ view("near", """SELECT p.*, s.stop_id, s.stop_sequence, s.calc_stop_dist_m FROM
 
 
 def nearest(spark, sf):
-    static = j.scheduled_stops(stop_times(spark, sf), stops(spark, sf))
-    return j.nearest_by_key(positions(spark, sf), static, "trip_id"), static
+    points = positions(spark, sf)
+    static = j.scheduled_stops(stop_times(spark, sf), stops(spark, sf), points=points)
+    return j.nearest_by_key(points, static, "trip_id"), static
 
 
 @query("nearest_stop", "event_id trip_id stop_id stop_sequence calc_stop_dist_m~4", "SELECT * FROM near")
@@ -63,7 +64,7 @@ def _(spark, sf):
        LEFT JOIN trp t ON n.trip_id = t.trip_id""")
 def _(spark, sf):
     points, static = nearest(spark, sf)
-    return j.attach_schedule(points, static, trips(spark, sf))
+    return j.attach_schedule(points, static, j.of_trips(trips(spark, sf), positions(spark, sf)))
 
 
 def two_feeds(spark, sf):
