@@ -2,7 +2,8 @@
 
 Trip steps share one split and one shuffle; the frame is written to the shared
 folder where its key changes (after resampling, after filtering, after the
-schedule), so that later steps do not repeat earlier ones.
+schedule), so that later steps do not repeat earlier ones. A table is deleted when
+the next one is written: one is kept, and two while one is read for the other.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from headway.operators import filters as f
 from headway.operators import joins as j
 from headway.operators import tracks as tr
 from headway.operators import trajectory as tj
-from headway.session import stage
+from headway.session import release, stage, staged
 
 
 @dataclass(frozen=True)
@@ -52,6 +53,7 @@ def clean_tracks(points: DataFrame, raster: DataFrame, origin: Sequence[float],
     trip, order = [*feed, "trip_id"], ["locationtime", "point_no"]
     df = tj.resample_trips(points, trip, ["locationtime", "event_id"], p.step_m, p.max_jump_m, p.method, first=("vehicle_id",))
     df = stage(df, "resampled")
+    done_with = staged()[-1:]
     df, done = o.shared_split(df, trip, order[0])
     df = tr.trim_track_ends(df, trip, order, p.trim)
     df = done(tr.shingle(df, trip, order, *p.breaks, p.seed))
@@ -63,7 +65,9 @@ def clean_tracks(points: DataFrame, raster: DataFrame, origin: Sequence[float],
     df = f.dropout(f.filter_points(df, p.point_ranges), p.drop_share, p.seed, [*trip, "point_no"])
     df = tr.step_metrics(df, key, order, method=p.method)
     df = done(tr.step_speed(df, key, order))
-    return f.filter_tracks(stage(df, "measured"), "shingle_id", p.track_ranges)
+    df = stage(df, "measured")
+    release(df.sparkSession, done_with)
+    return f.filter_tracks(df, "shingle_id", p.track_ranges)
 
 
 def add_schedule(
@@ -77,9 +81,12 @@ def add_schedule(
     own = []
     if versions is not None:
         df, own = j.in_force(df, versions, feed), [*feed, "version"]
-    static = stage(j.scheduled_stops(stop_times, stops, own), "static")
+    static = stage(j.scheduled_stops(stop_times, stops, own, df), "static")
+    done_with = staged()[-1:]
+    trips = j.of_trips(trips, df)
     df = f.keep_scheduled(df, static, by, [*own, "trip_id"])
     df = stage(j.attach_schedule(j.nearest_by_key(df, static, [*own, "trip_id"]), static, trips, own), "scheduled")
+    release(df.sparkSession, done_with)
     df = tr.track_start(df, ["shingle_id"])
     df = df.withColumns(
         {
@@ -104,9 +111,13 @@ def track_features(
     """
     key, order = ["shingle_id"], ["locationtime", "point_no"]
     df = clean_tracks(points, raster, origin, p, feed)
+    done_with = staged()[-1:]
     df = clock.time_features(df, "locationtime", p.tz).withColumn("service_day", F.to_date(F.timestamp_seconds("locationtime")))
     df = add_schedule(df, stop_times, stops, trips, ["service_day"], versions, feed)
+    release(df.sparkSession, done_with)
+    done_with = staged()[-1:]
     df = stage(tr.cumulative_features(df, key, order), "cumulated")
+    release(df.sparkSession, done_with)
     df = j.assign_hex(df, "x", "y", p.hex_size_m).withColumn("vec_id", vector_key)
     x0, y0, x1, y1 = p.grid_bounds
     df = df.withColumns({"xbin": geo.grid_bin("x", x0, x1, p.grid_m), "ybin": geo.grid_bin("y", y0, y1, p.grid_m)})
