@@ -13,6 +13,7 @@ from headway.operators import energy as e
 from headway.operators import filters as f
 from headway.operators import joins as j
 from headway.operators import trajectory as tj
+from headway.plans.fleet import cycle_stage
 from headway.plans.track_features import add_schedule
 
 BLOCKS = (
@@ -263,3 +264,42 @@ def test_folds_from_one_pass_of_sums(spark):
         want = ty.mean() + (x[fold == k][:, live] - mean[live]) / scale[live] @ w
         assert np.allclose([got[s][2] for s, m in zip(names, fold) if m == k], want, atol=1e-6)
     assert [got[s][1] for s in names] == y.tolist()
+
+
+def test_only_trips_with_points_are_scheduled(spark):
+    """The rest of the schedule is looked up and dropped before it is sorted."""
+    times = spark.createDataFrame([(t, s, i, f"0{6 + i}:00:00") for t in ("T", "U", None) for i, s in enumerate("BA")], "trip_id string, stop_id string, stop_sequence int, arrival_time string")
+    stops = spark.createDataFrame([("A", 0.0, 0.0, 0.0, 0.0), ("B", 0.0, 0.0, 100.0, 0.0)], "stop_id string, stop_lon double, stop_lat double, stop_x double, stop_y double")
+    points = spark.createDataFrame([("T",), ("T",), (None,), ("V",)], "trip_id string")
+    got = j.scheduled_stops(times, stops, points=points).select("trip_id", "stop_id", "stop_sequence").collect()
+    assert sorted(map(tuple, got)) == [("T", "A", 1), ("T", "B", 0)]
+    assert [tuple(r) for r in j.of_trips(points.withColumn("n", F.lit(1)), points.filter("trip_id = 'V'")).collect()] == [("V", 1)]
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_cycles_of_all_settings_are_those_of_each(spark, own):
+    """Sums side by side equal one run a setting, and seconds are not multiplied on the way."""
+    r = random.Random(3)
+    factors = [float(p["acc_dec_factor"]) for _, p in e.cycle_variants()]
+    rows = [(f"t{i}", f, s, r.uniform(0, 20) * f ** 0.1, r.uniform(-0.05, 0.05)) for i in range(4) for f in (sorted(set(factors)) if own else [1.0]) for s in range(1 + 3 * i)]
+    cycles = spark.createDataFrame(rows, "trip_id string, acc_dec_factor double, time_s long, mps double, grade double")
+    plain = cycles if own else cycles.drop("acc_dec_factor")
+    got = {(x["trip_id"], x["acc_dec_factor"], x["passenger_load"], x["aux_power_kw"]): (x["consumption_kwh_mi"], x["cyc_regen_kwh"]) for x in cycle_stage(plain, e.Vehicle()).collect()}
+    want = {}
+    for _, p in e.cycle_variants():
+        one = cycles.filter(F.col("acc_dec_factor") == p["acc_dec_factor"]) if own else cycles
+        for x in e.road_load_energy(one, ["trip_id"], "time_s", "mps", "grade", aux_kw=p["aux_power_kw"], passengers=p["passenger_load"]).collect():
+            want[x["trip_id"], *(float(p[c]) for c in e.CYCLE_PARAMS)] = (x["electric_kwh_per_mi"], x["regen_kwh"])
+    assert got.keys() == want.keys()
+    assert all(got[k] == (pytest.approx(want[k][0], rel=1e-9), pytest.approx(want[k][1], rel=1e-9, abs=1e-12)) for k in want)
+    plan = cycle_stage(plain, e.Vehicle())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("Window") and plan.count("Generate inline") == 1
+
+
+def test_stages_of_features_are_deleted(spark):
+    from headway.catalog import load
+    from headway.session import staged
+
+    before = set(staged())
+    assert load()["flagship_track_features"].run(spark, "/root/testdata/sf0.001").count() > 0
+    assert ["/cumulated-" in p for p in staged() if p not in before] == [True]
