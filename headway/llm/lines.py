@@ -9,17 +9,22 @@ Candidates are found without loss. An edit of a word changes at most two of a
 line's pairs of adjacent words, so with pairs in one global order, rarest first,
 two near lines share one of the first few (``prefix``) of each. How often a pair
 occurs is read from a sketch over all documents; it decides the order, hence the
-work, never the result. An edit also changes at most two bits of the
-parities of word counts in 256 classes; pairs of lines that differ in more bits
-than their allowed edits can change are dropped before their words are fetched.
+work, never the result. A shared pair that stays is moved by no more words than
+edits are allowed before and behind it together, so pairs of lines whose word pair
+lies elsewhere are dropped. An edit also changes at most two bits of the parities of
+word counts in 256 classes; pairs of lines that differ in more bits than their
+allowed edits can change are dropped before they are aligned.
 
 A SimHash of 64 bits at a distance of 2 (``simhash``, ``DISTANCE``) found only a
 part of these lines: a replaced word moves 8 bits in a line of 10 words.
 
-Only word pairs that several lines share are kept. The lines of a pair are
-first compared with one of them; then, after contraction, lines that share
-a pair but not yet a group, so that a group of many variants is not expanded
-into all pairs and no link between groups is lost.
+Word pairs travel packed, by groups of their hash, 16 bytes each; a group keeps those
+that several lines share and hands on candidates only. The lines of a word pair are
+first compared with a few of them, the hubs; then, after contraction, lines that share
+a word pair but not yet a connected group, so that many variants of a line are not
+expanded into all pairs and no link is lost. Lines that share a word pair, lie in
+different groups and are not near are filtered pair by pair inside a task, in numpy:
+time grows with the square of their number there, memory and rows do not.
 
 Defined cases: lines of fewer than ``MIN_WORDS`` words are near no other, but go
 as exact repeats; lines of fewer than ``MIN_CHARS`` characters in words, empty ones
@@ -32,14 +37,16 @@ names; an empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from headway.llm.components import components
 from headway.llm.ngram_join import BLOCK, SLOTS, sketch
-from headway.llm.tables import NO_ID, free_name, keyed, map_batches, stage, to_id
+from headway.llm.tables import NO_ID, arrow_schema, free_name, group_count, keyed, map_batches, stage, to_id
 from headway.llm.words import SPACES, Slice, mix, slices, spans_hash
+from headway.session import release, staged
 
 MIN_WORDS = 4
 MIN_CHARS = 3
@@ -47,7 +54,19 @@ DISTANCE = 2
 SIMILAR = 0.8
 #: Lines a task remembers to emit their word pairs once.
 REMEMBERED = 500_000
+#: Bytes of text worked on at once; small, so that the arrays of a slice stay near the processor.
+SLICE = 400_000
+#: Word pairs a task holds before it packs them, and text bytes whose word pairs make a group.
+HELD = 1_000_000
+GROUP_BYTES = 16_000_000
+#: Lines of a word pair that others are compared with before contraction.
+HUBS = 8
+#: Pairs of lines that are filtered at once.
+CHUNK = 200_000
 PARITIES = ("p1", "p2", "p3", "p4")
+#: Stands for a length or a place that does not fit, or a word pair that stands twice in its line.
+ANY = 65535
+LINE_BITS, LEVEL_BITS = 20, 6
 _OTHER = 0xC2B2AE3D27D4EB4F
 
 BREAKS = SPACES.copy()
@@ -111,7 +130,7 @@ def parities(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     bit = np.uint64(1) << (k & np.uint64(63))
     part = k >> np.uint64(6) & np.uint64(3)
     none = np.uint64(0)
-    return np.stack([np.bitwise_xor.reduceat(np.where(part == i, bit, none), bounds[:-1]) for i in range(len(PARITIES))]).view(np.int64)
+    return np.stack([np.bitwise_xor.reduceat(np.where(part == i, bit, none), bounds[:-1]) for i in range(len(PARITIES))])
 
 
 def word_pairs(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,83 +140,227 @@ def word_pairs(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return line[at], mix(words[at] * np.uint64(_OTHER) + mix(words[at + 1]))
 
 
-def rarest(line: np.ndarray, code: np.ndarray, keep: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, value) of the first ``keep`` word pairs of every line in the global order; the k-th of equal ones counts as a value of its own."""
-    order = np.lexsort((code, levels[(code % np.uint64(SLOTS)).astype(np.int64)], line))
-    line, code = line[order], code[order]
-    at = np.arange(len(line))
-    new = np.ones(len(line), bool)
-    new[1:] = (line[1:] != line[:-1]) | (code[1:] != code[:-1])
-    again = at - np.maximum.accumulate(np.where(new, at, 0))
-    inside = at - np.searchsorted(line, line) < keep[line]
-    return line[inside], mix(code[inside] + again[inside].astype(np.uint64) * np.uint64(_OTHER))
+def rarest(line: np.ndarray, code: np.ndarray, keep: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, value, place) of the first ``keep`` word pairs of every line in the global order; place is ``ANY`` if the pair stands twice there.
+
+    The order is by level and the upper bits of the fingerprint; pairs equal in both are one
+    value, and the k-th of equal ones in a line counts as a value of its own.
+    """
+    out = []
+    begin, n_lines = 0, int(line[-1]) + 1 if len(line) else 0
+    for block in range(0, n_lines, 1 << LINE_BITS):
+        end = int(np.searchsorted(line, block + (1 << LINE_BITS)))
+        part, part_code = line[begin:end], code[begin:end]
+        level = levels[(part_code & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64)
+        bits = np.uint64(64 - LINE_BITS - LEVEL_BITS)
+        key = ((part - block).astype(np.uint64) << np.uint64(64 - LINE_BITS)) | (level << bits) | (part_code >> np.uint64(64) - bits)
+        order = np.argsort(key)
+        begins = runs(part)
+        first = np.repeat(begins[:-1], np.diff(begins))
+        key, of, at = key[order], part[order], np.arange(len(key))
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        again = at - np.maximum.accumulate(np.where(new, at, 0))
+        twice = ~new
+        twice[:-1] |= ~new[1:]
+        inside = at - first < keep[of]  # lines keep their places when their pairs are sorted
+        place = np.where(twice, ANY, np.minimum(order - first, ANY))
+        value = mix((key << np.uint64(LINE_BITS)) + mix(again.astype(np.uint64) * np.uint64(_OTHER)))
+        out.append((of[inside], value[inside], place[inside]))
+        begin = end
+    if not out:
+        return line, code, line
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def read_lines(texts: DataFrame) -> DataFrame:
-    """key, th, line, 128-bit fingerprint of the words, their parities and number; lines with enough characters only."""
+    """key, th, line, a 128-bit fingerprint of the words, their parities and number, for lines with enough characters; and the task's counts of word pairs as rows without key."""
+    names = ("key", "th", "line", "h1", "h2", *PARITIES, "n")
 
     def run(batches):
+        counts, codes, held = np.zeros(SLOTS, np.int64), [], 0
         for b in batches:
             key, th = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for s in slices(b.column(2), BREAKS, lower=True, characters=True):
+            for s in slices(b.column(2), BREAKS, lower=True, characters=True, size=SLICE):
                 row, number, words, bounds = spans(s, 1, MIN_CHARS)
                 if not len(row):
                     continue
-                odd = parities(words, bounds)
+                _, code = word_pairs(words, bounds)
+                codes.append((code & np.uint64(SLOTS - 1)).astype(np.int32))
+                held += len(code)
+                if held > SLOTS:
+                    counts += np.bincount(np.concatenate(codes), minlength=SLOTS)
+                    codes, held = [], 0
                 yield {
                     "key": key[s.offset + row], "th": th[s.offset + row], "line": number,
                     "h1": spans_hash(words, bounds[:-1], bounds[1:]).view(np.int64), "h2": spans_hash(words, bounds[:-1], bounds[1:], _OTHER).view(np.int64),
-                    "n": np.diff(bounds),
-                } | dict(zip(PARITIES, odd))
+                    "n": np.diff(bounds), "block": np.full(len(row), -1), "counts": pa.nulls(len(row), pa.binary()),
+                } | dict(zip(PARITIES, parities(words, bounds).view(np.int64)))
+        if held:
+            counts += np.bincount(np.concatenate(codes), minlength=SLOTS)
+        for i in range(SLOTS // BLOCK):
+            block = np.minimum(counts[i * BLOCK : (i + 1) * BLOCK], 2**32 - 1).astype(np.uint32)
+            if block.any():
+                yield dict.fromkeys(names, [None]) | {"block": [i], "counts": [block.tobytes()]}
 
-    return map_batches(texts, run, "key long, th long, line int, h1 long, h2 long, p1 long, p2 long, p3 long, p4 long, n int")
+    return map_batches(texts, run, "key long, th long, line int, h1 long, h2 long, p1 long, p2 long, p3 long, p4 long, n int, block int, counts binary")
 
 
-def pair_levels(texts: DataFrame) -> np.ndarray:
-    """How often word pairs occur in the documents, as levels of a sketch."""
+def pair_levels(texts: DataFrame, scan: DataFrame | None = None) -> np.ndarray:
+    """How often word pairs occur in the documents, as levels of a sketch; ``scan`` is what ``read_lines`` made of them, if at hand."""
+    scan = read_lines(texts) if scan is None else scan
+    return sketch(scan.filter("block >= 0").select("block", "counts"))
 
-    def run(batches):
-        counts = np.zeros(SLOTS, np.uint32)
-        for b in batches:
-            for s in slices(b.column(2), BREAKS, lower=True, characters=True):
-                _, code = word_pairs(*spans(s, MIN_WORDS)[2:])
-                counts += np.bincount((code % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
-        for i in range(SLOTS // BLOCK):
-            block = counts[i * BLOCK : (i + 1) * BLOCK]
-            if block.any():
-                yield {"block": [i], "counts": [block.tobytes()]}
 
-    return sketch(map_batches(texts, run, "block int, counts binary"))
+#: A line's word pair in a group: upper half of the value, line, its number of words, place of the pair.
+ENTRY = np.dtype([("value", np.uint32), ("h1", np.uint64), ("n", np.uint16), ("place", np.uint16)])
+
 
+def packets(parts: list[tuple], n_groups: int):
+    """Word pairs of lines by group of their value, a packet each."""
+    value, h1, n, place = (np.concatenate(c) for c in zip(*parts))
+    group = ((value & np.uint64(0xFFFFFFFF)) % np.uint64(n_groups)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    entries = np.empty(len(value), ENTRY)
+    entries["value"], entries["h1"], entries["n"], entries["place"] = (value >> np.uint64(32))[order], h1[order], n[order], place[order]
+    ends = np.cumsum(np.bincount(group, minlength=n_groups))
+    for i in np.unique(group).tolist():
+        yield {"part": [i], "data": [entries[ends[i - 1] if i else 0 : ends[i]].tobytes()]}
 
-def read_pairs(texts: DataFrame, levels) -> DataFrame:
-    """(value, h1): the rarest word pairs of the lines, of equal lines in a task mostly once."""
+
+def read_pairs(texts: DataFrame, levels, n_groups: int) -> DataFrame:
+    """(part, data): the rarest word pairs of the lines in packets, of equal lines in a task mostly once."""
 
     def run(batches):
-        done = set()
+        done, parts, held = set(), [], 0
         for b in batches:
-            for s in slices(b.column(2), BREAKS, lower=True, characters=True):
+            for s in slices(b.column(2), BREAKS, lower=True, characters=True, size=SLICE):
                 _, _, words, bounds = spans(s, MIN_WORDS)
-                h1 = spans_hash(words, bounds[:-1], bounds[1:]).view(np.int64)
-                new = []
+                h1 = spans_hash(words, bounds[:-1], bounds[1:])
+                fresh = np.zeros(len(h1), bool)
                 for i, h in enumerate(h1.tolist()):
                     if h not in done:
                         done.add(h)
-                        new.append(i)
+                        fresh[i] = True
                 if len(done) > REMEMBERED:
                     done = set()
-                fresh = np.zeros(len(h1), bool)
-                fresh[new] = True
-                line, code = word_pairs(words, bounds)
-                ok = fresh[line]
-                line, value = rarest(line[ok], code[ok], prefix(np.diff(bounds)), levels.value)
-                yield {"value": value.view(np.int64), "h1": h1[line]}
+                n = np.diff(bounds)
+                words, n, h1 = words[np.repeat(fresh, n)], n[fresh], h1[fresh]
+                line, value, place = rarest(*word_pairs(words, np.concatenate([[0], np.cumsum(n)])), prefix(n), levels.value)
+                parts.append((value, h1[line], np.minimum(n, ANY)[line].astype(np.uint16), place.astype(np.uint16)))
+                held += len(line)
+                if held > HELD:
+                    yield from packets(parts, n_groups)
+                    parts, held = [], 0
+        if held:
+            yield from packets(parts, n_groups)
+
+    return map_batches(texts, run, "part int, data binary")
+
+
+def may_be_near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether lengths of two lines, and places of the word pair they share, allow them to be near."""
+    n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
+    i, j = x["place"].astype(np.int64), y["place"].astype(np.int64)
+    most = allowed(np.maximum(n, m))
+    unknown = (n == ANY) | (m == ANY)
+    before = np.where((i == ANY) | (j == ANY), 0, np.abs(i - j))
+    behind = np.where((i == ANY) | (j == ANY), np.abs(n - m), np.abs((n - i) - (m - j)))
+    return unknown | (before + behind <= most)
+
+
+def runs(*keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins, and the end."""
+    new = np.zeros(max(0, len(keys[0]) - 1), bool)
+    for k in keys:
+        new |= k[1:] != k[:-1]
+    return np.concatenate([[0], np.flatnonzero(new) + 1, [len(keys[0])]]) if len(keys[0]) else np.zeros(1, np.int64)
+
+
+def shared(entries: np.ndarray) -> np.ndarray:
+    """The entries of values that several lines hold, each once, by value and line."""
+    entries = entries[np.argsort(entries["value"])]
+    size = np.diff(runs(entries["value"]))
+    entries = entries[np.repeat(size, size) > 1]
+    entries = entries[np.lexsort((entries["h1"], entries["value"]))]
+    entries = entries[runs(entries["value"], entries["h1"])[:-1]]
+    size = np.diff(runs(entries["value"]))
+    return entries[np.repeat(size, size) > 1]
+
+
+def distinct_pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of lines, smaller one first, each once."""
+    x, y = np.minimum(x, y), np.maximum(x, y)
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    at = runs(x, y)[:-1]
+    return x[at], y[at]
+
+
+def star(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates (hub, line): of each value, lines that may be near its first one, then of the others those that may be near the first of them, ``HUBS`` times."""
+    found, left = [(np.zeros(0, np.uint64),) * 2], entries
+    for _ in range(HUBS):
+        begin = runs(left["value"])
+        size = np.diff(begin)
+        hub = np.repeat(begin[:-1], size)
+        ok = may_be_near(left[hub], left)
+        ok[begin[:-1]] = False
+        found.append((left["h1"][hub[ok]], left["h1"][ok]))
+        ok[begin[:-1]] = True
+        left = left[~ok]
+        if not len(left):
+            break
+    return distinct_pairs(*(np.concatenate(c) for c in zip(*found)))
+
+
+def across(entries: np.ndarray, line: np.ndarray, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates among lines that share a value and lie in different components; ``line`` is sorted, other lines are alone."""
+    of = entries["h1"].copy()
+    alone = np.ones(len(of), bool)
+    if len(line):
+        at = np.minimum(np.searchsorted(line, of), len(line) - 1)
+        alone = line[at] != of
+        of[~alone] = component[at[~alone]]
+    order = np.lexsort((of, alone, entries["value"]))
+    entries, of, alone = entries[order], of[order], alone[order]
+    same = runs(entries["value"], of, alone)
+    ends = np.repeat(same[1:], np.diff(same))  # the first entry of another component
+    values = runs(entries["value"])
+    until = np.repeat(values[1:], np.diff(values))
+    total = np.concatenate([[0], np.cumsum(until - ends)])
+    found = [(np.zeros(0, np.uint64),) * 2]
+    for low in range(0, int(total[-1]), CHUNK):
+        k = np.arange(low, min(low + CHUNK, int(total[-1])))
+        x = np.searchsorted(total, k, "right") - 1
+        y = ends[x] + k - total[x]
+        ok = may_be_near(entries[x], entries[y])
+        found.append(distinct_pairs(entries["h1"][x[ok]], entries["h1"][y[ok]]))
+    return distinct_pairs(*(np.concatenate(c) for c in zip(*found)))
+
+
+def packed(data) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in data), ENTRY)
+
+
+def unpacked(found: DataFrame) -> DataFrame:
+    """(part, x, y): candidates of all groups, from the packed ones."""
+
+    def run(batches):
+        for b in batches:
+            for part, data in zip(b.column(0), b.column(1)):
+                both = np.frombuffer(data.as_py(), np.int64)
+                yield {"part": np.full(len(both) // 2, part.as_py()), "x": both[: len(both) // 2], "y": both[len(both) // 2 :]}
+
+    return map_batches(found.select("part", "pairs"), run, "part int, x long, y long")
 
-    return map_batches(texts, run, "value long, h1 long")
 
+def edit_distance(a: np.ndarray, b: np.ndarray, most: int | None = None) -> int:
+    """Levenshtein distance of two sequences; beyond ``most``, some number above it.
 
-def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
-    """Levenshtein distance of two sequences, one vector step per item left after trimming equal ends."""
+    A column of the table is two bit vectors, where it rises and where it falls, so an item
+    of the longer sequence costs a few operations on whole numbers.
+    """
     k = min(len(a), len(b))
     differ = np.flatnonzero(a[:k] != b[:k])
     head = int(differ[0]) if len(differ) else k
@@ -210,99 +373,173 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
         return max(len(a), len(b))
     if len(a) > len(b):
         a, b = b, a
-    at = np.arange(len(b) + 1)
-    row = at.copy()
-    for i, x in enumerate(a):
-        best = np.empty_like(row)
-        best[0] = i + 1
-        np.minimum(row[1:] + 1, row[:-1] + (b != x), out=best[1:])
-        row = np.minimum.accumulate(best - at) + at
-    return int(row[-1])
+    at: dict[int, int] = {}
+    for i, x in enumerate(a.tolist()):
+        at[x] = at.get(x, 0) | 1 << i
+    n, left = len(a), len(b)
+    full, last = (1 << n) - 1, 1 << n - 1
+    up, down, distance = full, 0, n
+    most = n + left if most is None else most
+    for y in b.tolist():
+        same = at.get(y, 0)
+        flat = (((same & up) + up) ^ up) | same | down
+        rise, fall = down | (full & ~(flat | up)), up & flat
+        left -= 1
+        if rise & last:
+            distance += 1
+            if distance - left > most:
+                return distance - left
+        elif fall & last:
+            distance -= 1
+        rise = rise << 1 | 1
+        up = (fall << 1 | ~(flat | rise)) & full
+        down = rise & flat
+    return distance
+
+
+def cut_lines(texts: pa.Array, wanted: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(row, number, text) of the wanted lines of each text."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    _, off, buf = texts.buffers()
+    off = np.frombuffer(off, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(buf, np.uint8) if buf is not None else np.zeros(0, np.uint8)
+    number = wanted.flatten().to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), pa.compute.list_value_length(wanted).to_numpy())
+    breaks = np.flatnonzero(raw[off[0] : off[-1]] == 10) + off[0]
+    before = np.searchsorted(breaks, off)
+    breaks = np.append(breaks, 0)  # stands for no break; not used
+    nth = before[row] + number
+    start = np.where(number > 0, breaks[np.maximum(nth - 1, 0)] + 1, off[row])
+    end = np.where(nth < before[row + 1], breaks[np.minimum(nth, len(breaks) - 1)], off[row + 1])
+    size = end - start
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    data = raw[np.repeat(start - bounds[:-1], size) + np.arange(bounds[-1])]
+    return row, number, pa.Array.from_buffers(pa.large_string(), len(row), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
 
 
 def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b: key, th, line) whose edit similarity is high enough."""
-    pairs = pairs.select("a", "b", F.col("a.key").alias("pk"), F.col("a.th").alias("pt"), F.col("a.line").alias("pl"),
-                         F.col("b.key").alias("qk"), F.col("b.th").alias("qt"), F.col("b.line").alias("ql"))
+    """The pairs (a, b: key, th, line) whose edit similarity is high enough; a staged table."""
+    before = staged()
+    pairs = stage(pairs.select(F.col("a.key").alias("pk"), F.col("a.th").alias("pt"), F.col("a.line").alias("pl"),
+                               F.col("b.key").alias("qk"), F.col("b.th").alias("qt"), F.col("b.line").alias("ql")), "line-pairs")
     asked = pairs.selectExpr("pk AS key", "pt AS th", "pl AS line").union(pairs.selectExpr("qk AS key", "qt AS th", "ql AS line")).distinct()
     wanted = asked.groupBy("key", "th").agg(F.collect_list("line").alias("wanted"))  # at most the document's lines
 
     def codes(batches):
+        done = set()  # rows that repeat id and text
         for b in batches:
-            for s in slices(b.column(2), BREAKS, lower=True, characters=True):
-                row, number, first, last = line_words(s)
-                at = np.searchsorted(row, np.arange(s.n_rows))
-                for i in range(s.n_rows):
-                    lines = sorted(set(b.column(3)[s.offset + i].as_py()))
-                    one = {"key": [b.column(0)[s.offset + i].as_py()] * len(lines), "th": [b.column(1)[s.offset + i].as_py()] * len(lines)}
-                    yield one | {"line": lines, "words": [s.code[first[at[i] + j] : last[at[i] + j]].tobytes() for j in lines]}
+            docs = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            new = [d not in done and not done.add(d) for d in docs]
+            b = b if all(new) else b.filter(pa.array(new))
+            size = np.cumsum(pa.compute.binary_length(b.column(2)).to_numpy().astype(np.int64))
+            at = 0
+            while at < len(size):  # indices of bytes are eight times the text: a few rows at once
+                to = max(at + 1, int(np.searchsorted(size, size[at] + SLICE)))
+                row, number, cut = cut_lines(b.column(2)[at:to], b.column(3)[at:to])
+                key, th = b.column(0).to_numpy()[at:to][row], b.column(1).to_numpy()[at:to][row]
+                for s in slices(cut, BREAKS, lower=True, characters=True, size=SLICE):
+                    inside = slice(s.offset, s.offset + s.n_rows)
+                    bounds = pa.py_buffer((8 * s.first).astype(np.int32))
+                    words = pa.Array.from_buffers(pa.binary(), s.n_rows, [None, bounds, pa.py_buffer(np.ascontiguousarray(s.code))])
+                    yield {"key": key[inside], "th": th[inside], "line": number[inside], "words": words}
+                at = to
 
     rows = texts.join(wanted.hint("shuffle_hash"), ["key", "th"]).select("key", "th", "text", "wanted")
-    words = stage(map_batches(rows, codes, "key long, th long, line int, words binary").dropDuplicates(["key", "th", "line"]), "line-words")
+    words = stage(map_batches(rows, codes, "key long, th long, line int, words binary"), "line-words")
     p = words.select(F.col("key").alias("pk"), F.col("th").alias("pt"), F.col("line").alias("pl"), F.col("words").alias("pw"))
     q = words.select(F.col("key").alias("qk"), F.col("th").alias("qt"), F.col("line").alias("ql"), F.col("words").alias("qw"))
     both = pairs.join(p, ["pk", "pt", "pl"]).join(q, ["qk", "qt", "ql"])
 
     def near(batches):
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(6), b.column(7)):
+            keep = []
+            for i, (x, y) in enumerate(zip(b.column(6), b.column(7))):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                most = allowed(max(len(x), len(y)))
-                ok.append(abs(len(x) - len(y)) <= most and edit_distance(x, y) <= most)
-            keep = np.flatnonzero(ok)
-            yield {name: b.column(i).take(keep) for i, name in enumerate(("pk", "pt", "pl", "qk", "qt", "ql"))}
+                most = int(allowed(max(len(x), len(y))))
+                if abs(len(x) - len(y)) <= most and edit_distance(x, y, most) <= most:
+                    keep.append(i)
+            yield {name: b.column(i).take(pa.array(keep, pa.int64())) for i, name in enumerate(("pk", "pt", "pl", "qk", "qt", "ql"))}
 
     fields = "pk long, pt long, pl int, qk long, qt long, ql int"
     found = map_batches(both.select("pk", "pt", "pl", "qk", "qt", "ql", "pw", "qw"), near, fields)
     named = lambda x: F.struct(F.col(f"{x}k").alias("key"), F.col(f"{x}t").alias("th"), F.col(f"{x}l").alias("line"))
-    return found.select(named("p").alias("a"), named("q").alias("b"))
+    used = [x for x in staged() if x not in before]
+    links = stage(found.select(named("p").alias("a"), named("q").alias("b")), "line-links")
+    release(texts.sparkSession, used)
+    return links
 
 
 def _within(a: str, b: str):
-    """Whether lengths and parities of two lines (structs) allow them to be near."""
+    """Whether lengths and parities of two lines (structs) allow them to be near: a word replaced changes two bits at most, one dropped or added one."""
     most = F.floor(F.greatest(f"{a}.n", f"{b}.n") * F.lit(1 - SIMILAR) + 1e-9)
+    longer = F.abs(F.col(f"{a}.n") - F.col(f"{b}.n"))
     bits = sum(F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in PARITIES)
-    return (F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) <= most) & (bits <= 2 * most)
+    return (longer <= most) & (bits <= 2 * most - longer)
+
 
+def places(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(a, b): the candidates (x, y: h1) that lengths and parities allow, as first places of their lines."""
+    line = distinct.select("h1", F.struct("first", "n", *PARITIES).alias("p"))
+    one = line.select(F.col("h1").alias("x"), F.col("p").alias("a"))
+    two = line.select(F.col("h1").alias("y"), F.col("p").alias("b"))
+    both = pairs.join(one, "x").join(two, "y").filter(_within("a", "b"))
+    return both.select(F.col("a.first").alias("a"), F.col("b.first").alias("b"))
 
-def groups(texts: DataFrame, distinct: DataFrame) -> DataFrame:
+
+def groups(texts: DataFrame, scan: DataFrame, distinct: DataFrame) -> DataFrame:
     """(node, component): first lines by group, of all groups of more than one distinct line."""
-    levels = texts.sparkSession.sparkContext.broadcast(pair_levels(texts))
-    value = Window.partitionBy("value")
-    entries = read_pairs(texts, levels).select("value", "h1", F.min("h1").over(value).alias("hub"), F.max("h1").over(value).alias("top"))
-    entries = stage(entries.filter("hub <> top AND h1 <> hub").select("value", "h1", "hub"), "word-pairs")
-    line = distinct.select("h1", F.struct("first", "n", *PARITIES).alias("y"))
-    hub = line.select(F.col("h1").alias("hub"), F.col("y").alias("x"))
-    star = entries.select("hub", "h1").distinct().join(line, "h1").join(hub, "hub").filter(_within("x", "y"))
-    links = stage(verified(texts, star.select(F.col("x.first").alias("a"), F.col("y.first").alias("b"))), "line-links")
+    levels = texts.sparkSession.sparkContext.broadcast(pair_levels(texts, scan))
+    form, pairs = "part int, data binary, pairs binary", "part int, pairs binary"
+    made, crossing = arrow_schema(form), arrow_schema(pairs)
+
+    def hubs(group: pa.Table) -> pa.Table:
+        entries = shared(packed(group.column("data")))
+        x, y = star(entries)
+        one = {"part": [group.column("part")[0].as_py()], "data": [entries.tobytes()], "pairs": [np.concatenate([x, y]).tobytes()]}
+        return pa.Table.from_pydict(one if len(entries) else {k: [] for k in one}, schema=made)
+
+    def rest(left: pa.Table, right: pa.Table) -> pa.Table:
+        line, component = (right.column(k).to_numpy().astype(np.int64).view(np.uint64) for k in ("h1", "component"))
+        order = np.argsort(line)
+        x, y = across(packed(left.column("data")), line[order], component[order])
+        one = {"part": [left.column("part")[0].as_py()] if len(left) else [], "pairs": [np.concatenate([x, y]).tobytes()]}
+        return pa.Table.from_pydict(one if len(x) else {"part": [], "pairs": []}, schema=crossing)
+
+    packets = read_pairs(texts, levels, group_count(texts, GROUP_BYTES))
+    found = stage(packets.groupBy("part").applyInArrow(hubs, form), "word-pairs")
+    tried = stage(unpacked(found), "line-stars")
+    first = tried.select("x", "y").distinct()
+    links = verified(texts, places(first, distinct))
     labels = components(links)
-    left = entries.select("value", "h1").distinct().join(line, "h1").select("value", "y", F.col("y.first").alias("node"))
-    left = left.join(labels, "node", "left").select("value", "y", F.coalesce("component", "node").alias("component"))
-    mixed = left.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("value")
-    left = left.join(mixed, "value")
-    a, b = left.selectExpr("value", "y AS x", "component AS xc"), left.selectExpr("value", "y", "component AS yc")
-    rest = a.join(b, "value").filter("xc <> yc AND x.first < y.first").filter(_within("x", "y"))
-    rest = stage(rest.select(F.col("x.first").alias("a"), F.col("y.first").alias("b")).distinct(), "line-rest")
-    if rest.isEmpty():
+    known = labels.join(distinct.select("h1", F.col("first").alias("node")), "node").select("h1", F.xxhash64("component").alias("component"))
+    held = tried.select("part", F.col("x").alias("h1")).union(tried.select("part", F.col("y").alias("h1"))).distinct()
+    # of two lines with one h1 none is known: more is compared, nothing is lost
+    known = known.groupBy("h1").agg(F.min("component").alias("component"), F.count("*").alias("lines")).filter("lines = 1").drop("lines")
+    known = held.join(known, "h1").select("part", "h1", "component")
+    more = found.select("part", "data").groupBy("part").cogroup(known.groupBy("part")).applyInArrow(rest, pairs)
+    more = stage(unpacked(more).select("x", "y").distinct().join(first, ["x", "y"], "left_anti"), "line-rest")
+    if more.isEmpty():
         return labels
-    return components(links.union(verified(texts, rest)))
+    return components(links.union(verified(texts, places(more, distinct))))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(key, th, removed): line numbers that repeat an earlier line or are near one."""
+    """(key, th, removed): line numbers that repeat an earlier line or are near one; a staged table, the ones before it are deleted."""
+    before = staged()
     texts = keyed(docs)
-    lines = stage(read_lines(texts), "lines")
+    scan = stage(read_lines(texts), "lines")
+    lines = scan.filter("block < 0").drop("block", "counts")
     place = F.struct("key", "th", "line")
-    distinct = lines.groupBy("h1", "h2").agg(
-        F.min(place).alias("first"), *[F.min(c).alias(c) for c in (*PARITIES, "n")], F.count("*").alias("held")
-    )
-    distinct = stage(distinct, "distinct-lines")
-    labels = groups(texts, distinct)
+    marks = [F.first(c).alias(c) for c in (*PARITIES, "n")]  # equal for equal words
+    distinct = stage(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), *marks, F.count("*").alias("held")), "distinct-lines")
+    labels = groups(texts, scan, distinct)
     known = distinct.join(labels.withColumnRenamed("node", "first"), "first", "left").filter("held > 1 OR component IS NOT NULL")
     known = known.select("h1", "h2", F.coalesce("component", "first").alias("stays"))
-    gone = lines.join(known, ["h1", "h2"]).filter(place != F.col("stays")).select("key", "th", "line").distinct()
-    return gone.groupBy("key", "th").agg(F.collect_list("line").alias("removed"))
+    gone = lines.select("key", "th", "line", "h1", "h2").join(known, ["h1", "h2"]).filter(place != F.col("stays")).select("key", "th", "line").distinct()
+    used = [p for p in staged() if p not in before]
+    removed = stage(gone.groupBy("key", "th").agg(F.collect_list("line").alias("removed")), "removed-lines")
+    release(docs.sparkSession, used)
+    return removed
 
 
 def dedup(docs: DataFrame) -> DataFrame:
