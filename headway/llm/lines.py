@@ -36,6 +36,8 @@ names; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -43,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headway.llm.components import components
-from headway.llm.ngram_join import BLOCK, SLOTS, sketch
+from headway.llm.ngram_join import BLOCK, SLOTS, _level
 from headway.llm.tables import NO_ID, arrow_schema, free_name, group_count, keyed, map_batches, stage, to_id
 from headway.llm.words import SPACES, Slice, mix, slices, spans_hash
 from headway.session import release, staged
@@ -53,17 +55,22 @@ MIN_CHARS = 3
 DISTANCE = 2
 SIMILAR = 0.8
 #: Lines a task remembers to emit their word pairs once.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 #: Bytes of text worked on at once; small, so that the arrays of a slice stay near the processor.
 SLICE = 400_000
-#: Word pairs a task holds before it packs them, and text bytes whose word pairs make a group.
-HELD = 1_000_000
+#: Word pairs and lines a task holds before it packs them, and text bytes whose word pairs make a group.
+HELD = 500_000
+HELD_LINES = 50_000
 GROUP_BYTES = 16_000_000
 #: Lines of a word pair that others are compared with before contraction.
 HUBS = 8
+#: Lines of a word pair up to which all of them are compared with each other.
+FEW = 4
 #: Pairs of lines that are filtered at once.
 CHUNK = 200_000
-PARITIES = ("p1", "p2", "p3", "p4")
+PARITIES = 4
+#: Words of the longest lines whose prefixes are shortened by the places of their word pairs.
+MEASURED = 256
 #: Stands for a length or a place that does not fit, or a word pair that stands twice in its line.
 ANY = 65535
 LINE_BITS, LEVEL_BITS = 20, 6
@@ -126,22 +133,70 @@ def spans(s: Slice, words: int, chars: int = 0):
 
 def parities(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """256 bits of each line: whether the number of its words in a class is odd."""
-    k = mix(words ^ np.uint64(_OTHER))
-    bit = np.uint64(1) << (k & np.uint64(63))
-    part = k >> np.uint64(6) & np.uint64(3)
+    bit = np.uint64(1) << (words & np.uint64(63))
+    part = words >> np.uint64(6) & np.uint64(3)
     none = np.uint64(0)
-    return np.stack([np.bitwise_xor.reduceat(np.where(part == i, bit, none), bounds[:-1]) for i in range(len(PARITIES))])
+    return np.stack([np.bitwise_xor.reduceat(np.where(part == i, bit, none), bounds[:-1]) for i in range(PARITIES)])
 
 
 def word_pairs(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(line, fingerprint) of every two adjacent words of a line."""
     line = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     at = np.flatnonzero(line[1:] == line[:-1])
-    return line[at], mix(words[at] * np.uint64(_OTHER) + mix(words[at + 1]))
+    return line[at], mix(words[at] * np.uint64(_OTHER) + words[at + 1])
+
+
+@cache
+def _lost() -> np.ndarray:
+    """Most word pairs, of some, that edits allowed to a line can change: by its number of words and by how many edits can change two of them."""
+    n, twos = np.arange(MEASURED + 1)[:, None, None], np.arange(allowed(MEASURED) + 1)[None, :, None]
+    more = np.arange(MEASURED // 4 + 2)  # words that the other line is longer by; each is an edit that changes one pair only
+    edits = allowed(n + more)
+    return np.where(edits >= more, edits + np.minimum(edits - more, twos), 0).max(axis=2)
+
+
+def needed(size: np.ndarray, keep: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """How many of its rarest word pairs a line needs, ``keep`` at most, so that a near line has one of them.
+
+    ``size`` is the number of word pairs of each line, ``place`` their places in the global
+    order, line by line. An edit changes two word pairs only if they stand side by side (or stand
+    twice in the line), so pairs that lie apart are as many edits.
+    """
+    lost, measured = _lost(), size < MEASURED
+    first = np.cumsum(size) - size
+    spot = first + 2 * np.arange(len(size)) + 1  # with a gap between lines
+    run = np.zeros(int(size.sum()) + 2 * len(size) + 1, np.int64)  # lengths of runs of places, at both their ends
+    # no line needs fewer than these
+    least = np.minimum(np.minimum(keep, size), allowed(size + 1) + 1)
+    taken = np.repeat(np.where(measured, least, 0), size) > np.arange(len(place)) - np.repeat(first, size)
+    of, at = np.repeat(np.arange(len(size)), size)[taken], place[taken]
+    known = at != ANY
+    there = np.zeros(len(run), bool)
+    there[spot[of[known]] + at[known]] = True
+    edge = np.flatnonzero(there[1:] != there[:-1]) + 1
+    begin, end = edge[0::2], edge[1::2]
+    run[begin] = run[end - 1] = end - begin
+    twos = np.bincount(of[~known], minlength=len(size))
+    twos += np.bincount(np.searchsorted(spot, begin, "right") - 1, (end - begin) // 2, len(size)).astype(np.int64)
+    keep = np.minimum(keep, size)
+    enough = np.where(measured, least, keep)
+    left = np.flatnonzero(measured)
+    while len(left := left[lost[size[left] + 1, np.minimum(twos[left], lost.shape[1] - 1)] >= enough[left]]):
+        left = left[enough[left] < keep[left]]
+        at = place[first[left] + enough[left]]
+        enough[left] += 1
+        known = at != ANY
+        twos[left[~known]] += 1
+        own, of = (spot[left] + at)[known], left[known]
+        before, behind = run[own - 1], run[own + 1]
+        now = before + behind + 1
+        run[own] = run[own - before] = run[own + behind] = now
+        twos[of] += now // 2 - before // 2 - behind // 2
+    return enough
 
 
 def rarest(line: np.ndarray, code: np.ndarray, keep: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, value, place) of the first ``keep`` word pairs of every line in the global order; place is ``ANY`` if the pair stands twice there.
+    """(line, value, place) of the word pairs of every line that are ``needed``, in the global order; place is ``ANY`` if the pair stands twice there.
 
     The order is by level and the upper bits of the fingerprint; pairs equal in both are one
     value, and the k-th of equal ones in a line counts as a value of its own.
@@ -163,8 +218,9 @@ def rarest(line: np.ndarray, code: np.ndarray, keep: np.ndarray, levels: np.ndar
         again = at - np.maximum.accumulate(np.where(new, at, 0))
         twice = ~new
         twice[:-1] |= ~new[1:]
-        inside = at - first < keep[of]  # lines keep their places when their pairs are sorted
-        place = np.where(twice, ANY, np.minimum(order - first, ANY))
+        place = np.where(twice, ANY, np.minimum(order - first, ANY))  # lines keep their places when their pairs are sorted
+        size = np.diff(begins)
+        inside = at - first < np.repeat(needed(size, keep[of[begins[:-1]]], place), size)
         value = mix((key << np.uint64(LINE_BITS)) + mix(again.astype(np.uint64) * np.uint64(_OTHER)))
         out.append((of[inside], value[inside], place[inside]))
         begin = end
@@ -173,12 +229,50 @@ def rarest(line: np.ndarray, code: np.ndarray, keep: np.ndarray, levels: np.ndar
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def read_lines(texts: DataFrame) -> DataFrame:
-    """key, th, line, a 128-bit fingerprint of the words, their parities and number, for lines with enough characters; and the task's counts of word pairs as rows without key."""
-    names = ("key", "th", "line", "h1", "h2", *PARITIES, "n")
+#: A line: fingerprint of 128 bits of its words, its place, number of words, parities.
+LINE = np.dtype([("h1", np.uint64), ("h2", np.uint64), ("key", np.int64), ("th", np.int64), ("line", np.int32), ("n", np.int32), ("parities", np.uint64, (PARITIES,))])
+PLACE = np.dtype([("key", np.int64), ("th", np.int64), ("line", np.int32)])
+READ = "part int, data binary, repeats binary"
+
+
+def firsts(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first one of equal lines, by fingerprint; and the places of the others."""
+    lines = lines[np.lexsort(tuple(lines[c] for c in ("line", "th", "key", "h2", "h1")))]
+    begin = runs(lines["h1"], lines["h2"])
+    first = np.repeat(lines[begin[:-1]], np.diff(begin))
+    other = lines[np.any([lines[c] != first[c] for c in PLACE.names], axis=0)]
+    other = other[runs(*[other[c] for c in ("h1", "h2", *PLACE.names)])[:-1]]
+    places = np.empty(len(other), PLACE)
+    for c in PLACE.names:
+        places[c] = other[c]
+    return lines[begin[:-1]], places
+
+
+def part_of(h1: np.ndarray, n_groups: int) -> np.ndarray:
+    return (h1 % np.uint64(n_groups)).astype(np.int64)
+
+
+def by_group(group: np.ndarray, rows: np.ndarray, n_groups: int):
+    """(group, bytes of its rows) of all groups that have any."""
+    order = np.argsort(group, kind="stable")
+    rows, ends = rows[order], np.cumsum(np.bincount(group, minlength=n_groups))
+    for i in np.unique(group).tolist():
+        yield i, rows[ends[i - 1] if i else 0 : ends[i]].tobytes()
+
+
+def read_lines(texts: DataFrame, n_groups: int) -> DataFrame:
+    """(part, data, repeats): packed lines with enough characters by group of their fingerprint, of equal ones in a task mostly the first, and places of the others; the task's counts of word pairs as parts below 0."""
+
+    def flush(held):
+        lines, places = firsts(np.concatenate(held))
+        # any group will do for the places: one very common line is spread over all
+        repeats = dict(by_group((mix(places["key"].view(np.uint64)) % np.uint64(n_groups)).astype(np.int64), places, n_groups))
+        data = dict(by_group(part_of(lines["h1"], n_groups), lines, n_groups))
+        part = sorted(data.keys() | repeats.keys())
+        yield {"part": part, "data": [data.get(i, b"") for i in part], "repeats": [repeats.get(i, b"") for i in part]}
 
     def run(batches):
-        counts, codes, held = np.zeros(SLOTS, np.int64), [], 0
+        counts, codes, held, n_lines, n_pairs = np.zeros(SLOTS, np.int64), [], [], 0, 0
         for b in batches:
             key, th = b.column(0).to_numpy(), b.column(1).to_numpy()
             for s in slices(b.column(2), BREAKS, lower=True, characters=True, size=SLICE):
@@ -187,29 +281,55 @@ def read_lines(texts: DataFrame) -> DataFrame:
                     continue
                 _, code = word_pairs(words, bounds)
                 codes.append((code & np.uint64(SLOTS - 1)).astype(np.int32))
-                held += len(code)
-                if held > SLOTS:
+                n_pairs += len(code)
+                if n_pairs > HELD:
                     counts += np.bincount(np.concatenate(codes), minlength=SLOTS)
-                    codes, held = [], 0
-                yield {
-                    "key": key[s.offset + row], "th": th[s.offset + row], "line": number,
-                    "h1": spans_hash(words, bounds[:-1], bounds[1:]).view(np.int64), "h2": spans_hash(words, bounds[:-1], bounds[1:], _OTHER).view(np.int64),
-                    "n": np.diff(bounds), "block": np.full(len(row), -1), "counts": pa.nulls(len(row), pa.binary()),
-                } | dict(zip(PARITIES, parities(words, bounds).view(np.int64)))
+                    codes, n_pairs = [], 0
+                lines = np.empty(len(row), LINE)
+                lines["key"], lines["th"], lines["line"], lines["n"] = key[s.offset + row], th[s.offset + row], number, np.diff(bounds)
+                lines["h1"], lines["h2"] = spans_hash(words, bounds[:-1], bounds[1:]), spans_hash(words, bounds[:-1], bounds[1:], _OTHER)
+                lines["parities"] = parities(words, bounds).T
+                held.append(lines)
+                n_lines += len(lines)
+                if n_lines > HELD_LINES:
+                    yield from flush(held)
+                    held, n_lines = [], 0
         if held:
+            yield from flush(held)
+        if n_pairs:
             counts += np.bincount(np.concatenate(codes), minlength=SLOTS)
         for i in range(SLOTS // BLOCK):
             block = np.minimum(counts[i * BLOCK : (i + 1) * BLOCK], 2**32 - 1).astype(np.uint32)
             if block.any():
-                yield dict.fromkeys(names, [None]) | {"block": [i], "counts": [block.tobytes()]}
+                yield {"part": [-1 - i], "data": [block.tobytes()], "repeats": [b""]}
 
-    return map_batches(texts, run, "key long, th long, line int, h1 long, h2 long, p1 long, p2 long, p3 long, p4 long, n int, block int, counts binary")
+    return map_batches(texts, run, READ)
+
+
+def scan_lines(texts: DataFrame, n_groups: int) -> DataFrame:
+    """(part, data, repeats): the distinct lines of every group as their first places, by fingerprint, and the places of the others; levels of the sketch as parts below 0; a staged table."""
+    made = arrow_schema(READ)
+
+    def gather(group: pa.Table) -> pa.Table:
+        part = group.column("part")[0].as_py()
+        if part < 0:
+            data, repeats = _level(sum(np.frombuffer(x.as_py(), np.uint32).astype(np.uint64) for x in group.column("data"))), b""
+        else:
+            data, places = firsts(packed(group.column("data"), LINE))
+            repeats = b"".join(x.as_py() for x in group.column("repeats")) + places.tobytes()
+        return pa.Table.from_pydict({"part": [part], "data": [data.tobytes()], "repeats": [repeats]}, schema=made)
+
+    return stage(read_lines(texts, n_groups).groupBy("part").applyInArrow(gather, READ), "lines")
 
 
 def pair_levels(texts: DataFrame, scan: DataFrame | None = None) -> np.ndarray:
-    """How often word pairs occur in the documents, as levels of a sketch; ``scan`` is what ``read_lines`` made of them, if at hand."""
-    scan = read_lines(texts) if scan is None else scan
-    return sketch(scan.filter("block >= 0").select("block", "counts"))
+    """How often word pairs occur in the documents, as levels of a sketch; ``scan`` is what ``scan_lines`` made of them, if at hand."""
+    scan = scan_lines(texts, group_count(texts, GROUP_BYTES)) if scan is None else scan
+    levels = np.zeros(SLOTS, np.uint8)
+    for r in scan.filter("part < 0").select("part", "data").collect():
+        i = -1 - r["part"]
+        levels[i * BLOCK : (i + 1) * BLOCK] = np.frombuffer(r["data"], np.uint8)
+    return levels
 
 
 #: A line's word pair in a group: upper half of the value, line, its number of words, place of the pair.
@@ -219,13 +339,10 @@ ENTRY = np.dtype([("value", np.uint32), ("h1", np.uint64), ("n", np.uint16), ("p
 def packets(parts: list[tuple], n_groups: int):
     """Word pairs of lines by group of their value, a packet each."""
     value, h1, n, place = (np.concatenate(c) for c in zip(*parts))
-    group = ((value & np.uint64(0xFFFFFFFF)) % np.uint64(n_groups)).astype(np.int64)
-    order = np.argsort(group, kind="stable")
     entries = np.empty(len(value), ENTRY)
-    entries["value"], entries["h1"], entries["n"], entries["place"] = (value >> np.uint64(32))[order], h1[order], n[order], place[order]
-    ends = np.cumsum(np.bincount(group, minlength=n_groups))
-    for i in np.unique(group).tolist():
-        yield {"part": [i], "data": [entries[ends[i - 1] if i else 0 : ends[i]].tobytes()]}
+    entries["value"], entries["h1"], entries["n"], entries["place"] = value >> np.uint64(32), h1, n, place
+    for i, data in by_group(((value & np.uint64(0xFFFFFFFF)) % np.uint64(n_groups)).astype(np.int64), entries, n_groups):
+        yield {"part": [i], "data": [data]}
 
 
 def read_pairs(texts: DataFrame, levels, n_groups: int) -> DataFrame:
@@ -314,8 +431,8 @@ def star(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return distinct_pairs(*(np.concatenate(c) for c in zip(*found)))
 
 
-def across(entries: np.ndarray, line: np.ndarray, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates among lines that share a value and lie in different components; ``line`` is sorted, other lines are alone."""
+def across(entries: np.ndarray, line: np.ndarray, component: np.ndarray, near=None) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates among lines that share a value and lie in different components; ``line`` is sorted, other lines are alone. ``near``: a further condition on two arrays of lines."""
     of = entries["h1"].copy()
     alone = np.ones(len(of), bool)
     if len(line):
@@ -335,24 +452,36 @@ def across(entries: np.ndarray, line: np.ndarray, component: np.ndarray) -> tupl
         x = np.searchsorted(total, k, "right") - 1
         y = ends[x] + k - total[x]
         ok = may_be_near(entries[x], entries[y])
-        found.append(distinct_pairs(entries["h1"][x[ok]], entries["h1"][y[ok]]))
+        x, y = distinct_pairs(entries["h1"][x[ok]], entries["h1"][y[ok]])
+        if near is not None and len(x):
+            ok = near(x, y)
+            x, y = x[ok], y[ok]
+        found.append((x, y))
     return distinct_pairs(*(np.concatenate(c) for c in zip(*found)))
 
 
-def packed(data) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in data), ENTRY)
+def packed(data, kind: np.dtype = ENTRY) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in data), kind)
 
 
-def unpacked(found: DataFrame) -> DataFrame:
-    """(part, x, y): candidates of all groups, from the packed ones."""
+def looked_up(lines: np.ndarray, h1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index in ``h1``, index in ``lines``, which are sorted) of equal fingerprints; two lines may have one."""
+    low, high = (np.searchsorted(lines["h1"], h1, side) for side in ("left", "right"))
+    at = np.repeat(np.arange(len(h1)), high - low)
+    return at, np.arange(len(at)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[at]
+
+
+def within(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether lengths and parities of lines allow them to be near: a word replaced changes two bits at most, one dropped or added one."""
+    n, m = n.astype(np.int64), m.astype(np.int64)
+    most, longer = allowed(np.maximum(n, m)), np.abs(n - m)
+    bits = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return (longer <= most) & (bits <= 2 * most - longer)
 
-    def run(batches):
-        for b in batches:
-            for part, data in zip(b.column(0), b.column(1)):
-                both = np.frombuffer(data.as_py(), np.int64)
-                yield {"part": np.full(len(both) // 2, part.as_py()), "x": both[: len(both) // 2], "y": both[len(both) // 2 :]}
 
-    return map_batches(found.select("part", "pairs"), run, "part int, x long, y long")
+def sent(x: np.ndarray, y: np.ndarray, n_groups: int) -> list[tuple[int, bytes]]:
+    """Pairs of lines, packed by the group of the first."""
+    return list(by_group(part_of(x, n_groups), np.stack([x, y], axis=1), n_groups)) if len(x) else []
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int | None = None) -> int:
@@ -418,12 +547,11 @@ def cut_lines(texts: pa.Array, wanted: pa.Array) -> tuple[np.ndarray, np.ndarray
 
 
 def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b: key, th, line) whose edit similarity is high enough; a staged table."""
+    """The links (a, b: numbers of lines) among ``pairs``, a staged table, whose edit similarity is high enough; a staged table."""
     before = staged()
-    pairs = stage(pairs.select(F.col("a.key").alias("pk"), F.col("a.th").alias("pt"), F.col("a.line").alias("pl"),
-                               F.col("b.key").alias("qk"), F.col("b.th").alias("qt"), F.col("b.line").alias("ql")), "line-pairs")
-    asked = pairs.selectExpr("pk AS key", "pt AS th", "pl AS line").union(pairs.selectExpr("qk AS key", "qt AS th", "ql AS line")).distinct()
-    wanted = asked.groupBy("key", "th").agg(F.collect_list("line").alias("wanted"))  # at most the document's lines
+    asked = pairs.selectExpr("pk AS key", "pt AS th", "pl AS line", "x AS id").union(pairs.selectExpr("qk AS key", "qt AS th", "ql AS line", "y AS id")).distinct()
+    wanted = asked.groupBy("key", "th").agg(F.collect_list(F.struct("line", "id")).alias("wanted"))  # at most the document's lines
+    wanted = wanted.select("key", "th", F.col("wanted.line").alias("wanted"), F.col("wanted.id").alias("ids"))
 
     def codes(batches):
         done = set()  # rows that repeat id and text
@@ -435,109 +563,194 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
             at = 0
             while at < len(size):  # indices of bytes are eight times the text: a few rows at once
                 to = max(at + 1, int(np.searchsorted(size, size[at] + SLICE)))
-                row, number, cut = cut_lines(b.column(2)[at:to], b.column(3)[at:to])
-                key, th = b.column(0).to_numpy()[at:to][row], b.column(1).to_numpy()[at:to][row]
+                _, _, cut = cut_lines(b.column(2)[at:to], b.column(3)[at:to])
+                ids = b.column(4)[at:to].flatten().to_numpy()
                 for s in slices(cut, BREAKS, lower=True, characters=True, size=SLICE):
                     inside = slice(s.offset, s.offset + s.n_rows)
                     bounds = pa.py_buffer((8 * s.first).astype(np.int32))
                     words = pa.Array.from_buffers(pa.binary(), s.n_rows, [None, bounds, pa.py_buffer(np.ascontiguousarray(s.code))])
-                    yield {"key": key[inside], "th": th[inside], "line": number[inside], "words": words}
+                    yield {"id": ids[inside], "words": words}
                 at = to
 
-    rows = texts.join(wanted.hint("shuffle_hash"), ["key", "th"]).select("key", "th", "text", "wanted")
-    words = stage(map_batches(rows, codes, "key long, th long, line int, words binary"), "line-words")
-    p = words.select(F.col("key").alias("pk"), F.col("th").alias("pt"), F.col("line").alias("pl"), F.col("words").alias("pw"))
-    q = words.select(F.col("key").alias("qk"), F.col("th").alias("qt"), F.col("line").alias("ql"), F.col("words").alias("qw"))
-    both = pairs.join(p, ["pk", "pt", "pl"]).join(q, ["qk", "qt", "ql"])
+    rows = texts.join(wanted.hint("shuffle_hash"), ["key", "th"]).select("key", "th", "text", "wanted", "ids")
+    words = stage(map_batches(rows, codes, "id long, words binary"), "line-words")
+    p = words.select(F.col("id").alias("x"), F.col("words").alias("pw"))
+    q = words.select(F.col("id").alias("y"), F.col("words").alias("qw"))
+    both = pairs.select("x", "y").join(p, "x").join(q, "y")
 
     def near(batches):
         for b in batches:
             keep = []
-            for i, (x, y) in enumerate(zip(b.column(6), b.column(7))):
+            for i, (x, y) in enumerate(zip(b.column(2), b.column(3))):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 most = int(allowed(max(len(x), len(y))))
                 if abs(len(x) - len(y)) <= most and edit_distance(x, y, most) <= most:
                     keep.append(i)
-            yield {name: b.column(i).take(pa.array(keep, pa.int64())) for i, name in enumerate(("pk", "pt", "pl", "qk", "qt", "ql"))}
+            yield {name: b.column(i).take(pa.array(keep, pa.int64())) for i, name in enumerate("ab")}
 
-    fields = "pk long, pt long, pl int, qk long, qt long, ql int"
-    found = map_batches(both.select("pk", "pt", "pl", "qk", "qt", "ql", "pw", "qw"), near, fields)
-    named = lambda x: F.struct(F.col(f"{x}k").alias("key"), F.col(f"{x}t").alias("th"), F.col(f"{x}l").alias("line"))
+    found = map_batches(both.select("x", "y", "pw", "qw"), near, "a long, b long")
     used = [x for x in staged() if x not in before]
-    links = stage(found.select(named("p").alias("a"), named("q").alias("b")), "line-links")
+    links = stage(found, "line-links")
     release(texts.sparkSession, used)
     return links
 
 
-def _within(a: str, b: str):
-    """Whether lengths and parities of two lines (structs) allow them to be near: a word replaced changes two bits at most, one dropped or added one."""
-    most = F.floor(F.greatest(f"{a}.n", f"{b}.n") * F.lit(1 - SIMILAR) + 1e-9)
-    longer = F.abs(F.col(f"{a}.n") - F.col(f"{b}.n"))
-    bits = sum(F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in PARITIES)
-    return (longer <= most) & (bits <= 2 * most - longer)
-
-
-def places(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(a, b): the candidates (x, y: h1) that lengths and parities allow, as first places of their lines."""
-    line = distinct.select("h1", F.struct("first", "n", *PARITIES).alias("p"))
-    one = line.select(F.col("h1").alias("x"), F.col("p").alias("a"))
-    two = line.select(F.col("h1").alias("y"), F.col("p").alias("b"))
-    both = pairs.join(one, "x").join(two, "y").filter(_within("a", "b"))
-    return both.select(F.col("a.first").alias("a"), F.col("b.first").alias("b"))
-
-
-def groups(texts: DataFrame, scan: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(node, component): first lines by group, of all groups of more than one distinct line."""
+#: A line's number is its group and where it stands there.
+STANDS = 32
+#: A pair of lines on its way: number and all of the first, the fingerprint of the second.
+HALF = np.dtype([("y", np.uint64), ("id", np.int64), ("x", LINE)])
+#: What a group gets to know of a line that it asks for.
+KNOWN = np.dtype([("h1", np.uint64), ("component", np.uint64), ("alone", bool), ("sure", bool), ("n", np.int32), ("parities", np.uint64, (PARITIES,))])
+PAIRS = "pk long, pt long, pl int, qk long, qt long, ql int, x long, y long"
+
+
+def places(found: DataFrame, scan: DataFrame, n_groups: int) -> DataFrame:
+    """First places (p, q) and numbers (x, y) of the lines of candidates (to, pairs) that lengths and parities allow; a staged table."""
+    form = "to int, pairs binary"
+    half, whole = arrow_schema(form), arrow_schema(PAIRS)
+    lines = scan.filter("part >= 0").select("part", "data").groupBy("part")
+
+    def first(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, y = distinct_pairs(*packed(left.column("pairs"), np.dtype((np.uint64, 2))).T) if len(left) else (np.zeros(0, np.uint64),) * 2
+        known = packed(right.column("data"), LINE)
+        at, i = looked_up(known, x)
+        pairs = np.empty(len(at), HALF)
+        pairs["y"], pairs["x"] = y[at], known[i]
+        pairs["id"] = (right.column("part")[0].as_py() << STANDS) + i if len(at) else 0
+        to = list(by_group(part_of(pairs["y"], n_groups), pairs, n_groups)) if len(at) else []
+        return pa.Table.from_pydict({"to": [t for t, _ in to], "pairs": [d for _, d in to]}, schema=half)
+
+    def second(left: pa.Table, right: pa.Table) -> pa.Table:
+        pairs = packed(left.column("pairs"), HALF) if len(left) else np.zeros(0, HALF)
+        known = packed(right.column("data"), LINE)
+        at, i = looked_up(known, pairs["y"])
+        x, y, one = pairs["x"][at], known[i], pairs["id"][at]
+        two = i + (right.column("part")[0].as_py() << STANDS) if len(at) else i
+        ok = within(x["n"], y["n"], x["parities"], y["parities"])
+        x, y = x[ok], y[ok]
+        names = zip(("pk", "pt", "pl", "qk", "qt", "ql"), (*[x[c] for c in PLACE.names], *[y[c] for c in PLACE.names]))
+        return pa.Table.from_pydict(dict(names) | {"x": one[ok], "y": two[ok]}, schema=whole)
+
+    ones = found.select("to", "pairs").groupBy("to").cogroup(lines).applyInArrow(first, form)
+    return stage(ones.groupBy("to").cogroup(lines).applyInArrow(second, PAIRS), "line-pairs")
+
+
+def grown(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component) with further links between lines; only what they join is labelled anew."""
+    for x in ("a", "b"):
+        of = labels.select(F.col("node").alias(x), F.col("component").alias("of"))
+        links = links.join(of, x, "left").withColumn(x, F.coalesce("of", x)).drop("of")
+    joined = components(links).select(F.col("node").alias("component"), F.col("component").alias("root"))
+    alone = joined.select(F.col("component").alias("node"), "component").join(labels.select("node"), "node", "left_anti")
+    return stage(labels.union(alone).join(joined, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+
+
+def groups(texts: DataFrame, scan: DataFrame, n_groups: int) -> DataFrame:
+    """(node, component): numbers of lines by connected group, of all groups of more than one distinct line."""
     levels = texts.sparkSession.sparkContext.broadcast(pair_levels(texts, scan))
-    form, pairs = "part int, data binary, pairs binary", "part int, pairs binary"
-    made, crossing = arrow_schema(form), arrow_schema(pairs)
+    form, told, crossed = "part int, data binary, to int, pairs binary, ask binary", "part int, known binary", "to int, pairs binary"
+    made, answered, crossing = arrow_schema(form), arrow_schema(told), arrow_schema(crossed)
 
     def hubs(group: pa.Table) -> pa.Table:
+        part = group.column("part")[0].as_py()
         entries = shared(packed(group.column("data")))
-        x, y = star(entries)
-        one = {"part": [group.column("part")[0].as_py()], "data": [entries.tobytes()], "pairs": [np.concatenate([x, y]).tobytes()]}
-        return pa.Table.from_pydict(one if len(entries) else {k: [] for k in one}, schema=made)
+        size = np.diff(runs(entries["value"]))
+        few = np.repeat(size, size) <= FEW
+        many = entries[~few]
+        none = np.zeros(0, np.uint64)
+        x, y = distinct_pairs(*(np.concatenate(c) for c in zip(across(entries[few], none, none), star(many))))
+        rows = [(None, to, pairs, None) for to, pairs in sent(x, y, n_groups)]
+        if len(many):
+            asked = np.unique(many["h1"])
+            rows += [(many.tobytes(), None, None, None)] + [(None, to, None, ask) for to, ask in by_group(part_of(asked, n_groups), asked, n_groups)]
+        columns = dict(zip(("data", "to", "pairs", "ask"), zip(*rows))) if rows else {k: [] for k in ("data", "to", "pairs", "ask")}
+        return pa.Table.from_pydict({"part": [part] * len(rows)} | columns, schema=made)
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        lines = packed((x for x in right.column("data") if x.is_valid), LINE)
+        node, component = (right.column(k).drop_null().to_numpy().astype(np.int64) for k in ("node", "component"))
+        linked = np.full(len(lines), -1, np.int64)
+        linked[node & ((1 << STANDS) - 1)] = component
+        out = []
+        for part, ask in zip(left.column("part").to_pylist(), left.column("ask")):
+            asked = np.frombuffer(ask.as_py(), np.uint64)
+            at, i = looked_up(lines, asked)
+            known = np.zeros(len(asked), KNOWN)
+            known["h1"], known["n"][at], known["parities"][at] = asked, lines["n"][i], lines["parities"][i]
+            # of two lines with one h1 none is known: more is compared, nothing is lost
+            known["sure"] = np.bincount(at, minlength=len(asked)) == 1
+            known["alone"], known["component"] = True, asked
+            alone = ~known["sure"][at] | (linked[i] < 0)
+            known["alone"][at[~alone]], known["component"][at[~alone]] = False, linked[i[~alone]].astype(np.uint64)
+            out.append((part, known.tobytes()))
+        return pa.Table.from_pydict({"part": [p for p, _ in out], "known": [k for _, k in out]}, schema=answered)
 
     def rest(left: pa.Table, right: pa.Table) -> pa.Table:
-        line, component = (right.column(k).to_numpy().astype(np.int64).view(np.uint64) for k in ("h1", "component"))
-        order = np.argsort(line)
-        x, y = across(packed(left.column("data")), line[order], component[order])
-        one = {"part": [left.column("part")[0].as_py()] if len(left) else [], "pairs": [np.concatenate([x, y]).tobytes()]}
-        return pa.Table.from_pydict(one if len(x) else {"part": [], "pairs": []}, schema=crossing)
-
-    packets = read_pairs(texts, levels, group_count(texts, GROUP_BYTES))
-    found = stage(packets.groupBy("part").applyInArrow(hubs, form), "word-pairs")
-    tried = stage(unpacked(found), "line-stars")
-    first = tried.select("x", "y").distinct()
-    links = verified(texts, places(first, distinct))
+        known = packed(right.column("known"), KNOWN)
+        known = known[np.argsort(known["h1"])]
+
+        def near(x, y):
+            a, b = known[np.searchsorted(known["h1"], x)], known[np.searchsorted(known["h1"], y)]
+            return ~(a["sure"] & b["sure"]) | within(a["n"], b["n"], a["parities"], b["parities"])
+
+        of = known[~known["alone"]]
+        to = sent(*across(packed(left.column("data")), of["h1"], of["component"], near), n_groups)
+        return pa.Table.from_pydict({"to": [t for t, _ in to], "pairs": [p for _, p in to]}, schema=crossing)
+
+    found = stage(read_pairs(texts, levels, n_groups).groupBy("part").applyInArrow(hubs, form), "word-pairs")
+    pairs = places(found.filter("pairs IS NOT NULL"), scan, n_groups)
+    links = verified(texts, pairs)
     labels = components(links)
-    known = labels.join(distinct.select("h1", F.col("first").alias("node")), "node").select("h1", F.xxhash64("component").alias("component"))
-    held = tried.select("part", F.col("x").alias("h1")).union(tried.select("part", F.col("y").alias("h1"))).distinct()
-    # of two lines with one h1 none is known: more is compared, nothing is lost
-    known = known.groupBy("h1").agg(F.min("component").alias("component"), F.count("*").alias("lines")).filter("lines = 1").drop("lines")
-    known = held.join(known, "h1").select("part", "h1", "component")
-    more = found.select("part", "data").groupBy("part").cogroup(known.groupBy("part")).applyInArrow(rest, pairs)
-    more = stage(unpacked(more).select("x", "y").distinct().join(first, ["x", "y"], "left_anti"), "line-rest")
+    asked = found.filter("ask IS NOT NULL").select("part", F.col("to").alias("of"), "ask")
+    if asked.isEmpty():
+        return labels
+    none = F.lit(None)
+    known = labels.select(F.shiftright("node", STANDS).cast("int").alias("of"), none.cast("binary").alias("data"), "node", "component")
+    lines = scan.filter("part >= 0").select(F.col("part").alias("of"), "data", none.cast("long").alias("node"), none.cast("long").alias("component"))
+    answers = asked.groupBy("of").cogroup(lines.union(known).groupBy("of")).applyInArrow(answer, told)
+    data = found.filter("data IS NOT NULL").select("part", "data")
+    more = stage(data.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(rest, crossed), "line-rest")
     if more.isEmpty():
         return labels
-    return components(links.union(verified(texts, places(more, distinct))))
+    return grown(labels, verified(texts, places(more, scan, n_groups)))
+
+
+def placed(labels: DataFrame, scan: DataFrame) -> DataFrame:
+    """(component, key, th, line): the first places of lines (node, component)."""
+    form = "component long, key long, th long, line int"
+    made = arrow_schema(form)
+
+    def place(left: pa.Table, right: pa.Table) -> pa.Table:
+        node = left.column("node").to_numpy().astype(np.int64)
+        lines = packed(right.column("data"), LINE)[node & ((1 << STANDS) - 1)] if len(node) else np.zeros(0, LINE)
+        return pa.Table.from_pydict({"component": left.column("component")} | {c: lines[c] for c in PLACE.names}, schema=made)
+
+    numbered = labels.select(F.shiftright("node", STANDS).cast("int").alias("of"), "node", "component")
+    lines = scan.filter("part >= 0").select(F.col("part").alias("of"), "data")
+    return stage(numbered.groupBy("of").cogroup(lines.groupBy("of")).applyInArrow(place, form), "line-places")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """(key, th, removed): line numbers that repeat an earlier line or are near one; a staged table, the ones before it are deleted."""
     before = staged()
     texts = keyed(docs)
-    scan = stage(read_lines(texts), "lines")
-    lines = scan.filter("block < 0").drop("block", "counts")
+    n_groups = group_count(texts, GROUP_BYTES)
+    scan = scan_lines(texts, n_groups)
+    labels = groups(texts, scan, n_groups)
+
+    def unpacked(batches):
+        for b in batches:
+            for x in b.column(0):
+                places = np.frombuffer(x.as_py(), PLACE)
+                yield {c: places[c] for c in PLACE.names}
+
+    gone = map_batches(scan.filter("part >= 0").select("repeats"), unpacked, "key long, th long, line int")
+    near = placed(labels, scan)
     place = F.struct("key", "th", "line")
-    marks = [F.first(c).alias(c) for c in (*PARITIES, "n")]  # equal for equal words
-    distinct = stage(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), *marks, F.count("*").alias("held")), "distinct-lines")
-    labels = groups(texts, scan, distinct)
-    known = distinct.join(labels.withColumnRenamed("node", "first"), "first", "left").filter("held > 1 OR component IS NOT NULL")
-    known = known.select("h1", "h2", F.coalesce("component", "first").alias("stays"))
-    gone = lines.select("key", "th", "line", "h1", "h2").join(known, ["h1", "h2"]).filter(place != F.col("stays")).select("key", "th", "line").distinct()
+    stays = near.groupBy("component").agg(F.min(place).alias("stays"))
+    gone = gone.union(near.join(stays, "component").filter(place != F.col("stays")).select("key", "th", "line"))
     used = [p for p in staged() if p not in before]
-    removed = stage(gone.groupBy("key", "th").agg(F.collect_list("line").alias("removed")), "removed-lines")
+    removed = stage(gone.groupBy("key", "th").agg(F.collect_set("line").alias("removed")), "removed-lines")
     release(docs.sparkSession, used)
     return removed
 

@@ -97,3 +97,67 @@ def test_edit_distance_up_to_a_limit():
             row = new
         for most in range(6):
             assert (lines.edit_distance(np.array(a), np.array(b), most) <= most) == (row[-1] <= most)
+
+
+def test_word_pairs_that_lie_apart_make_short_prefixes():
+    words, bounds, h1 = read(variants(7) + [" ".join(f"z{i}" for i in range(60))])
+    n = np.diff(bounds)
+    levels = np.random.default_rng(9).integers(0, 20, lines.SLOTS).astype(np.uint8)
+    line, value, _ = lines.rarest(*lines.word_pairs(words, bounds), lines.prefix(n), levels)
+    kept = np.bincount(line, minlength=len(n))
+    assert (kept <= lines.prefix(n)).all() and (kept > lines.allowed(n)).all() and kept[-1] < lines.prefix(n)[-1]
+    values = {int(h): set() for h in h1}
+    for i, v in zip(line, value):
+        values[int(h1[i])].add(int(v))
+    near = list(near_pairs(words, bounds, h1))
+    assert len(near) > 100 and all(values[a] & values[b] for a, b in near)
+
+
+def test_neighbouring_word_pairs_count_as_one_edit():
+    # two edits of ten words change four pairs that stand side by side two by two, but only two that lie apart
+    size, keep = np.array([9, 9]), np.array([5, 5])
+    apart, beside = np.array([0, 2, 4, 6, 8, 1, 3, 5, 7]), np.array([0, 1, 4, 5, 7, 2, 3, 6, 8])
+    kept = lines.needed(size, keep, np.concatenate([apart, beside]))
+    assert kept.tolist() == [3, 5]
+    twice = np.full(9, lines.ANY)
+    assert lines.needed(size[:1], keep[:1], twice).tolist() == [5]
+
+
+def removed_by_brute_force(near, n):
+    low = list(range(n))
+    for _ in range(n):
+        for i, j in near:
+            low[i] = low[j] = min(low[i], low[j])
+    return {i for i, x in enumerate(low) if x != i}
+
+
+def test_word_pairs_of_many_lines(spark, monkeypatch):
+    """Hubs first, then lines of different groups only; the result is that of all pairs."""
+    texts = variants(11)[:150]
+    words, bounds, h1 = read(texts)
+    at = {int(h): i for i, h in enumerate(h1)}
+    near = [(at[a], at[b]) for a, b in near_pairs(words, bounds, h1)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(lines, "FEW", 0)
+    monkeypatch.setattr(lines, "HUBS", 1)
+    got = {r["doc_id"] for r in lines.report(df).collect() if r["n_removed"]}
+    assert len(near) > 60 and got == removed_by_brute_force(near, len(texts))
+
+
+def test_lines_travel_packed(spark):
+    """Tasks hand on packets, not a row per line; equal lines of a task only once."""
+    text = "\n".join(["one line of many copies", *(f"line {i} of its own words" for i in range(200))] * 3)
+    df = lines.keyed(spark.createDataFrame([(i, text) for i in range(20)], "doc_id long, text string").coalesce(1))
+    rows = lines.read_lines(df, 5).filter("part >= 0").collect()
+    assert len(rows) == 5 and sum(len(r["data"]) for r in rows) == 201 * lines.LINE.itemsize
+    assert sum(len(r["repeats"]) for r in rows) == (60 - 1) * 201 * lines.PLACE.itemsize
+    scan = lines.scan_lines(df, 5).filter("part >= 0").collect()
+    first = np.concatenate([lines.packed(lines.pa.array([r["data"]]), lines.LINE) for r in scan])
+    assert len(scan) == 5 and set(first["key"]) == {0} and sorted(first["line"].tolist()) == list(range(201))
+
+
+def test_further_links_join_groups(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (7, 5), (8, 8), (9, 8)], "node long, component long")
+    links = spark.createDataFrame([(7, 2), (3, 9)], "a long, b long")
+    got = {r["node"]: r["component"] for r in lines.grown(labels, links).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 7: 1, 3: 3, 8: 3, 9: 3}
