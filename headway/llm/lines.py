@@ -18,10 +18,14 @@ allowed edits can change are dropped before they are aligned.
 A SimHash of 64 bits at a distance of 2 (``simhash``, ``DISTANCE``) found only a
 part of these lines: a replaced word moves 8 bits in a line of 10 words.
 
-Word pairs travel packed, by groups of their hash, 16 bytes each; a group keeps those
-that several lines share and hands on candidates only. The lines of a word pair are
-first compared with a few of them, the hubs; then, after contraction, lines that share
-a word pair but not yet a connected group, so that many variants of a line are not
+Of a line as many of its rarest word pairs travel as its allowed edits can't all change:
+an edit changes two only if they stand side by side (``needed``).
+
+Lines, word pairs (16 bytes each) and candidates travel packed, by groups of their hash.
+A group keeps word pairs that several lines share. Up to ``FEW`` lines of a word pair are
+compared with each other; more are first compared with a few of them, the hubs, then,
+after contraction, lines that share a word pair but not yet a connected group, so that
+many variants of a line are not
 expanded into all pairs and no link is lost. Lines that share a word pair, lie in
 different groups and are not near are filtered pair by pair inside a task, in numpy:
 time grows with the square of their number there, memory and rows do not.
