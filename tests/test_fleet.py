@@ -1,5 +1,7 @@
 """Sweeps round the clock, depots, scenarios and schedules in force against counting by hand."""
 
+import hashlib
+import itertools
 import math
 import random
 from datetime import date, timedelta
@@ -130,6 +132,37 @@ def fleet(n, seed):
     ]
 
 
+def by_hand(points, k):
+    """Lloyd's rounds over (block, x, y) until one moves nothing, and their number."""
+    centres = [(x, y) for _, x, y in sorted(points, key=lambda p: (hashlib.md5(str(p[0]).encode()).hexdigest(), p[0]))[:k]]
+    for n in itertools.count(1):
+        own = [[] for _ in centres]
+        for _, x, y in points:
+            far = [(x - a) ** 2 + (y - b) ** 2 for a, b in centres]
+            own[far.index(min(far))].append((x, y))
+        mean = [tuple(math.floor(sum(v) / len(o) * 1000 + 0.5) / 1000 for v in zip(*o)) if o else c for o, c in zip(own, centres)]
+        if mean == centres:
+            return centres, n
+        centres = mean
+
+
+def test_scenarios_move_depots_until_they_rest(spark, monkeypatch):
+    rows = fleet(600, 11)
+    found, cluster = [], e.depot_centres
+    monkeypatch.setattr(e, "depot_centres", lambda *a, **k: found.append(cluster(*a, **k)) or found[-1])
+    e.run_scenarios(spark.createDataFrame(rows, TRIPS), scenarios=[("baseline", e.BASELINE)])
+    centres = {r["network_id"]: [(c["x"], c["y"]) for c in r["centres"]] for r in found[0].collect()}
+    longest = 0
+    for network, got in centres.items():
+        first = {}
+        for r in sorted((r for r in rows if r[1] == network), key=lambda r: (r[3], r[0])):
+            first.setdefault(r[2], (r[2], r[5], r[6]))
+        want, n = by_hand(list(first.values()), len(got))
+        assert got == want
+        longest = max(longest, n)
+    assert len(centres) == 2 and longest > 6  # five rounds were not enough
+
+
 def measured(spark, rows, scenarios):
     settings = [tuple(v.values()) for _, v in e.cycle_variants(scenarios)]
     table = [(t[0], *map(float, s), t[10] + 0.05 * (s[0] - 1) + 0.002 * (s[1] - 41), -1.0) for t in rows for s in settings]
