@@ -336,3 +336,16 @@ def test_stages_of_features_are_deleted(spark):
     before = set(staged())
     assert load()["flagship_track_features"].run(spark, "/root/testdata/sf0.001").count() > 0
     assert ["/cumulated-" in p for p in staged() if p not in before] == [True]
+
+
+def test_other_trips_go_before_anything_is_shuffled(spark):
+    points = spark.range(0, 20_000, 100).selectExpr("cast(if(id = 0, null, id) as string) AS trip_id")
+    times = spark.range(20_000).selectExpr("cast(if(id % 1000 = 7, null, id) as string) AS trip_id", "id AS n")
+    wanted = points.filter("trip_id IS NOT NULL").distinct()
+    kept = {r["n"] for r in j._maybe_of(times, wanted, "trip_id").collect()}
+    asked = set(range(100, 20_000, 100))
+    assert asked <= kept and len(kept) < 1.2 * len(asked)
+    out = j.of_trips(times, points)
+    assert sorted(r["n"] for r in out.collect()) == sorted(asked)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") < plan.index("strategy=broadcast")  # the sketch is read below the look-up
