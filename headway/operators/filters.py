@@ -120,12 +120,12 @@ def keep_scheduled(points: DataFrame, schedule: DataFrame, by: Sequence[str], ke
 
     ``key`` may name a feed and a version besides the trip. A group (a day, a feed)
     without any match is kept whole and marked ``scheduled`` = false, so that the later
-    steps can fill their constants.
+    steps can fill their constants. Groups are few: what is known of each is broadcast.
     """
     key = [key] if isinstance(key, str) else list(key)
     known = schedule.select(*key).distinct().withColumn("scheduled", F.lit(True))
     marked = points.join(known, key, "left").withColumn("scheduled", F.coalesce("scheduled", F.lit(False)))
-    return with_group(marked, by, _any=F.bool_or("scheduled")).filter(F.col("scheduled") | ~F.col("_any")).drop("_any")
+    return with_group(marked, by, few=True, _any=F.bool_or("scheduled")).filter(F.col("scheduled") | ~F.col("_any")).drop("_any")
 
 
 def without_rows(df: DataFrame, bad: Column, track: str) -> DataFrame:

@@ -349,3 +349,12 @@ def test_other_trips_go_before_anything_is_shuffled(spark):
     assert sorted(r["n"] for r in out.collect()) == sorted(asked)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("LeftSemi") < plan.index("strategy=broadcast")  # the sketch is read below the look-up
+
+
+def test_rows_stay_where_they_are_when_groups_are_few(spark):
+    rows = [(1, "a"), (1, "x"), (2, "x"), (2, None), (None, "x"), (None, "a"), (3, "a")]
+    points = spark.createDataFrame(rows, "day int, trip_id string")
+    out = f.keep_scheduled(points, spark.createDataFrame([("a",)], "trip_id string"), ["day"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 1
+    got = {(r["day"], r["trip_id"], r["scheduled"]) for r in out.collect()}
+    assert got == {(1, "a", True), (2, "x", False), (2, None, False), (None, "a", True), (3, "a", True)}
