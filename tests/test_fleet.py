@@ -342,7 +342,7 @@ def test_other_trips_go_before_anything_is_shuffled(spark):
     points = spark.range(0, 20_000, 100).selectExpr("cast(if(id = 0, null, id) as string) AS trip_id")
     times = spark.range(20_000).selectExpr("cast(if(id % 1000 = 7, null, id) as string) AS trip_id", "id AS n")
     wanted = points.filter("trip_id IS NOT NULL").distinct()
-    kept = {r["n"] for r in j._maybe_of(times, wanted, "trip_id").collect()}
+    kept = {r["n"] for r in j.maybe_of(times, wanted, "trip_id").collect()}
     asked = set(range(100, 20_000, 100))
     assert asked <= kept and len(kept) < 1.2 * len(asked)
     out = j.of_trips(times, points)
